@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ def _clean() -> None:
             pass
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Bounds what one Arrow batch of texts holds, on the JVM's side and on Python's, for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Stored:
     """A DataFrame written as Parquet into the shared folder: its lineage ends here, and lost executors lose nothing."""
 
@@ -53,7 +66,8 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/lodestone/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.options(**options).parquet(self.path)
+        with arrow_rows(self.spark):
+            df.write.options(**options).parquet(self.path)
         _live.append((self.spark, self.path))
 
     @property
