@@ -6,19 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import documents, stored
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.mixing import mixed
+from lodestone.llm.packing import packed
+from lodestone.llm.quality_crf import quality_filter
 from lodestone.llm.simhash_dedup import near_dedup
 
-STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: exact_dedup(docs)),
-    ("near_dedup", lambda spark, docs, sf_dir: near_dedup(docs)),
-]
 
-#: SQL can express neither the classifier nor the components; the tests hold each stage against a brute-force version.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the one with the smallest doc_id stays."""
+    return near_dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's target asks, the last one of a source in part."""
+    return mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packed(docs)
+
+
+STAGES = [("quality_crf", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mix), ("packing", pack)]
+
+#: SQL can express neither the classifier nor the components; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

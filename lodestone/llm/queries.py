@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash_dedup
+from . import chat_format, exact_dedup, mixing, packing, quality_crf, simhash_dedup, spot_signatures, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spot_signatures": spot_signatures.query,
+    "op2_chat_format": chat_format.query,
+    "op4_mixing": mixing.query,
+    "op5_token_files": token_files.query,
     "op7_simhash_dedup": simhash_dedup.query,
+    "op8_packing": packing.query,
+    "op9_quality_crf": quality_crf.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
