@@ -2,7 +2,7 @@
 
 A run of common words is an anchor; its signature is the run's first word with the CHAIN content words that follow it,
 further common words left out. A text's fingerprint is the set of its signatures' 32-bit hashes, ascending, as hex; a text
-without any has its whole word sequence for a signature. Likeness is the Jaccard similarity of two sets. near_pairs finds
+with few has its word pairs, too, and a text without any of these its whole word sequence. Likeness is the Jaccard similarity of two sets. near_pairs finds
 similar documents: sets are partitioned by length so that only neighbouring partitions can reach the threshold, each set is
 looked up by its rarest signatures alone, and a candidate is dropped where its lengths bound the similarity below it.
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import documents, slim, stored
 
 CHAIN = 2
+#: Texts with fewer signatures than this have their word pairs as signatures, too.
+FEW = 8
 #: Common words of English, French, Spanish and German that serve as anchors. Fixed values.
 ANCHORS = (
     "the of and to in a is that for on with was it as are this be by from at or an which he his "
@@ -41,7 +43,10 @@ def spots(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Col
     marked = F.regexp_replace(words(text), rf"(?<![^ ])({any_})(?: {any_})*+ (?!{any_}(?![^ ]))(?=[^ ])", "$1>")
     found = F.regexp_extract_all(marked, F.lit(rf"(?<![^ ])(?=([^ >]++>[^ ]++(?: [^ ]++){{{chain - 1}}}))"))
     plain = F.transform(found, lambda s: F.hash(F.regexp_replace(s, " [^ >]+>", " ")))
-    return F.when(F.size(plain) > 0, F.array_sort(F.array_distinct(plain))).otherwise(F.array(F.hash(words(text))))
+    pairs = F.transform(F.regexp_extract_all(words(text), F.lit("(?<![^ ])(?=([^ ]++ [^ ]++))")), lambda s: F.hash(s))
+    few = F.concat(plain, pairs)
+    few = F.when(F.size(few) > 0, few).otherwise(F.array(F.hash(words(text))))
+    return F.array_sort(F.array_distinct(F.when(F.size(plain) >= FEW, plain).otherwise(few)))
 
 
 def fingerprint(spots: Column) -> Column:
