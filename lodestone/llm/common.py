@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -83,6 +84,12 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return Stored(df, name, **options).df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans now instead of at some later garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
