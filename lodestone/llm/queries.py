@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, mixing, packing, quality_crf, simhash_dedup, spot_signatures, suffix_dedup, token_files
+from . import chat_format, exact_dedup, lm_score, mixing, packing, quality_crf, simhash_dedup, spot_signatures, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spot_signatures": spot_signatures.query,
     "op2_chat_format": chat_format.query,
+    "op3_lm_score": lm_score.query,
     "op4_mixing": mixing.query,
     "op5_token_files": token_files.query,
     "op6_suffix_dedup": suffix_dedup.query,
