@@ -1,10 +1,667 @@
-"""The catalogue: each reference capability as a query over the driver's tables, with the SQL that it must equal."""
+"""The catalogue: each capability as a query over the driver's tables, with the SQL that it must equal.
+
+A document is a source and its lines are passages; `source` plays the project, `labels` the index (a document without a
+label isn't indexed), `embeddings` the vectors of the documents with the same id, `conversations` the threads, `events` the
+change feed, and region > nation > customer > orders the folder tree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as tx
+from lodestone.operators import incremental, relational, search, select, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+TERMS = ["the", "of", "and", "license", "de"]
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+
+
+def big(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
+
+
+P = "p AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents)"
+T = "list_distinct(regexp_extract_all(lower(line), '[\\p{L}\\p{N}_]+'))"
+LIST = "['the', 'of', 'and', 'license', 'de']"
+
+
+# --- passages, terms, lexical retrieval ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {P} SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(length(line) AS BIGINT) AS n_chars, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p")
+def passages_by_line(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return passages(spark, d).select("doc_id", big("ordinal").alias("ordinal"), big(F.length("line")).alias("n_chars"), big(F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))).alias("start"))
+
+
+@query("WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:_[\\p{L}\\p{N}]+)*')) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 50")
+def token_frequency_topk(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(tx.TERM))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+@query("WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:_[\\p{L}\\p{N}]+)*') AS l FROM documents WHERE n_chars < 2000) SELECT doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 32), ' ') AS terms FROM l")
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("n_chars < 2000").select("doc_id", F.concat_ws(" ", tx.query_terms(F.col("text"))).alias("terms"))
+
+
+LEX = f"""WITH {P}, s AS (SELECT doc_id, ordinal, source, len(list_intersect({T}, {LIST})) AS hits FROM p)
+SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(hits / 5.0, 6) AS coverage, row_number() OVER (ORDER BY hits DESC, doc_id, ordinal) AS rank FROM s WHERE hits > 0"""
+
+
+@query(LEX + " ORDER BY rank LIMIT 24")
+def lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.lexical(passages(spark, d), TERMS, 24).select("doc_id", big("ordinal").alias("ordinal"), F.round("coverage", 6).alias("coverage"), big("rank").alias("rank"))
+
+
+@query(LEX.replace("FROM s WHERE", "FROM s SEMI JOIN labels USING (doc_id) WHERE source IN ('src0', 'src1') AND") + " ORDER BY rank LIMIT 24")
+def lexical_search_scoped(spark: SparkSession, d: str) -> DataFrame:
+    mine = passages(spark, d).filter(F.col("source").isin("src0", "src1")).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return search.lexical(mine, TERMS, 24).select("doc_id", big("ordinal").alias("ordinal"), F.round("coverage", 6).alias("coverage"), big("rank").alias("rank"))
+
+
+@query(f"WITH {P}, h AS (SELECT doc_id, ordinal, unnest(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM p), r AS (SELECT doc_id, ordinal, CAST(count(*) AS DOUBLE) AS r FROM h WHERE list_contains({LIST}, term) GROUP BY ALL) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(r / (r + 1), 6) AS score FROM r ORDER BY r DESC, doc_id, ordinal LIMIT 50")
+def weighted_rank(spark: SparkSession, d: str) -> DataFrame:
+    postings = search.postings(passages(spark, d), ["doc_id", "ordinal"], "line")
+    return search.density_rank(postings, TERMS, ["doc_id", "ordinal"]).orderBy(F.desc("raw"), "doc_id", "ordinal").limit(50).select("doc_id", big("ordinal").alias("ordinal"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^a-z])(latest|current|how many|count of|timestamp)([^a-z]|$)') AS gated FROM conversations WHERE role = 'user'")
+def gate_exact_question(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", search.needs_live_answer(F.col("text")).alias("gated"))
+
+
+@query(f"WITH {P}, n AS (SELECT doc_id, count(*) AS lines, arg_max(ordinal, (len(list_intersect({T}, {LIST})), -ordinal)) AS best FROM p GROUP BY doc_id) SELECT doc_id, lines, CAST(best AS BIGINT) AS best FROM n")
+def best_block(spark: SparkSession, d: str) -> DataFrame:
+    hits = F.size(F.array_intersect(tx.body_words(F.col("line")), F.array(*map(F.lit, TERMS))))
+    return passages(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), big(F.max_by("ordinal", F.struct(hits.alias("h"), (-F.col("ordinal")).alias("o")))).alias("best"))
+
+
+# --- vectors and fusion -------------------------------------------------------------------------------------------------
+
+COS = "(SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0)"
+
+
+@query(f"SELECT vec_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY round(s, 6) DESC, vec_id) AS rank FROM {COS} ORDER BY rank LIMIT 24")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vectors.top_k(e.filter("vec_id <> 0"), vectors.vector(e, 0), 24).select("vec_id", "similarity", big("rank").alias("rank"))
+
+
+@query(f"SELECT vec_id, round(s, 6) AS similarity FROM {COS} WHERE 1 - s <= 1 - 0.15")
+def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vectors.similarity(e.filter("vec_id <> 0"), vectors.vector(e, 0)).filter(1 - F.col("s") <= 1 - 0.15).select("vec_id", F.round("s", 6).alias("similarity"))
+
+
+@query("SELECT count(*) AS vectors, count(*) FILTER (len(embedding) = 64) AS right_size, count(*) FILTER (list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0) AS non_zero FROM embeddings")
+def vector_norm_validity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").agg(F.count("*").alias("vectors"), F.count_if(F.size("embedding") == 64).alias("right_size"), F.count_if(vectors.valid(F.col("embedding"), 64)).alias("non_zero"))
+
+
+RRF = f"""WITH {P}, l AS (SELECT doc_id, row_number() OVER (ORDER BY max(len(list_intersect({T}, {LIST}))) DESC, doc_id) AS rk FROM p GROUP BY doc_id QUALIFY rk <= 24),
+v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(s, 6) DESC, vec_id) AS rk FROM {COS} QUALIFY rk <= 24),
+u AS (SELECT * FROM l UNION ALL SELECT * FROM v)"""
+
+
+@query(RRF + " SELECT doc_id, round(sum(1.0 / (60 + rk)), 8) AS score, count(*) AS lists FROM u GROUP BY doc_id")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return search.fuse(*_lists(spark, d)).select("doc_id", F.round("score", 8).alias("score"), "lists")
+
+
+def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
+    e = table(spark, d, "embeddings")
+    lexical = search.coverage(passages(spark, d), TERMS).groupBy("doc_id").agg(F.max("hits").alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(24)
+    near = vectors.top_k(e.filter("vec_id <> 0"), vectors.vector(e, 0), 24)
+    return [search.ranked(lexical, F.desc("hits"), "doc_id").select("doc_id", "rank"), near.select(F.col("vec_id").alias("doc_id"), "rank")]
+
+
+@query(RRF + " SELECT doc_id, CAST(row_number() OVER (ORDER BY round(sum(1.0 / (60 + rk)), 8) DESC, doc_id) AS BIGINT) AS rank, CAST(max(CASE WHEN has THEN 1 ELSE 0 END) AS BIGINT) AS vector_ready FROM (SELECT u.*, e.vec_id IS NOT NULL AS has FROM u LEFT JOIN embeddings e ON e.vec_id = u.doc_id) GROUP BY doc_id ORDER BY rank LIMIT 24")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    fused = search.fuse(*_lists(spark, d)).withColumn("score", F.round("score", 8)).orderBy(F.desc("score"), "doc_id").limit(24)
+    ready = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has"))
+    return search.ranked(fused, F.desc("score"), "doc_id").join(ready, "doc_id", "left").select("doc_id", big("rank").alias("rank"), big(F.coalesce("has", F.lit(0))).alias("vector_ready"))
+
+
+@query("SELECT source, count(*) AS total, count(e.vec_id) AS ready, count(*) = count(e.vec_id) AS active FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY source")
+def vector_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.coverage(table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), ["source"])
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN (SELECT vec_id AS doc_id FROM embeddings) e USING (doc_id) ORDER BY doc_id LIMIT 16")
+def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id").orderBy("doc_id").limit(16)
+
+
+@query("SELECT lang, source FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL HAVING count(*) FILTER (e.vec_id IS NULL) <= 5")
+def activation_ready(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.coverage(table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), ["lang", "source"]).filter("total - ready <= 5").select("lang", "source")
+
+
+@query("SELECT sha, CAST(ceil(n / 16.0) AS BIGINT) AS batch FROM (SELECT sha, row_number() OVER (ORDER BY sha) AS n FROM (SELECT DISTINCT sha256(text) AS sha FROM documents d ANTI JOIN (SELECT vec_id AS doc_id FROM embeddings) e USING (doc_id)))")
+def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    return vectors.batches(docs.select(F.sha2("text", 256).alias("sha")), "sha", 16)
+
+
+@query(f"WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20), k AS (SELECT q, max(CASE WHEN hit THEN 1.0 ELSE 0 END) AS recall, max(CASE WHEN hit THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN hit THEN 1 / log2(rk + 1.0) ELSE 0 END) AS dcg FROM r WHERE rk <= 10 GROUP BY q) SELECT CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr, round(avg(dcg), 6) AS dcg FROM k")
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return search.metrics(vectors.neighbours(e.filter("vec_id < 20"), e, 10), 10)
+
+
+# --- duplicates, neighbours, threads, selection -------------------------------------------------------------------------
+
+NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT sha256({NORM}) AS fingerprint, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(F.sha2(tx.collapse(F.col("text")), 256).alias("fingerprint")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+
+
+@query(f"SELECT lang, round(1 - count(DISTINCT sha256({NORM})) / count(*), 6) AS rate FROM documents GROUP BY lang")
+def duplicate_rate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang").agg(F.round(1 - F.count_distinct(F.sha2(tx.collapse(F.col("text")), 256)) / F.count("*"), 6).alias("rate"))
+
+
+@query(f"WITH k AS (SELECT doc_id, {NORM} AS t, array_to_string(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), ',') AS nums FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t, nums) AS keep_id FROM k")
+def redundant_pairs(spark: SparkSession, d: str) -> DataFrame:
+    keyed = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\0", tx.collapse(F.col("text")), F.concat_ws(",", tx.numbers(F.col("text")))), 256).alias("k"))
+    return keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("keep_id")), "k").select("doc_id", "keep_id")
+
+
+@query(f"WITH {P}, n AS (SELECT doc_id, ordinal, sha256(line) AS h, lag(sha256(line)) OVER w AS before, lead(sha256(line)) OVER w AS after FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, before, after FROM n")
+def neighbour_passages(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    return passages(spark, d).select("doc_id", "ordinal", F.sha2("line", 256).alias("h")).select("doc_id", big("ordinal").alias("ordinal"), F.lag("h").over(w).alias("before"), F.lead("h").over(w).alias("after"))
+
+
+@query("SELECT a.conv_id, a.turn, b.turn AS other FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn WHERE a.turn = 1 QUALIFY row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn) <= 6")
+def thread_context(spark: SparkSession, d: str) -> DataFrame:
+    return select.thread(table(spark, d, "conversations"), F.col("turn") == 1, 6)
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE WHEN role = 'user' THEN 0 ELSE 1 END) AS place FROM conversations")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", F.when(F.col("role") == "user", 0).otherwise(1))
+    return table(spark, d, "conversations").select("conv_id", "turn", big(F.row_number().over(w)).alias("place"))
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+def latest_turn_per_conv(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
+
+
+@query(f"WITH {P}, w AS (SELECT doc_id, ordinal, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY ordinal) AS used FROM p) SELECT doc_id, count(*) AS chosen, CAST(max(used) AS BIGINT) AS used FROM w WHERE used <= 3000 AND ordinal < 6 GROUP BY doc_id")
+def budget_select_running(spark: SparkSession, d: str) -> DataFrame:
+    return select.prefix_budget(passages(spark, d).withColumn("cost", F.length("line")), ["doc_id"], "ordinal", 3000, 6)
+
+
+@query()
+def budget_select_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy selection skips what doesn't fit, so it depends on the order: no SQL equals it."""
+    return select.greedy_budget(passages(spark, d).withColumn("cost", F.length("line")), "doc_id", "ordinal", 3000, 6)
+
+
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def citation_containment(spark: SparkSession, d: str) -> DataFrame:
+    return search.quotes(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+
+
+@query("SELECT d.lang, count(DISTINCT b.item_id) AS items, count(*) AS pairs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY d.lang")
+def contamination_pairs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return search.quotes(docs.select("doc_id", "text"), table(spark, d, "benchmark")).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count_distinct("item_id").alias("items"), F.count("*").alias("pairs"))
+
+
+# --- relational core ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT source, count(DISTINCT d.doc_id) AS documents, count(l.doc_id) AS labels, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS good FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source")
+def source_counts(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
+    return table(spark, d, "documents").select("doc_id", "source").join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), big(F.coalesce(F.sum("n"), F.lit(0))).alias("labels"), big(F.coalesce(F.sum("good"), F.lit(0))).alias("good"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND (o_orderdate IS NULL OR o_orderdate > TIMESTAMP '1996-01-01') AND EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o_custkey AND c.c_acctbal > 0)")
+def authorized_semi(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("account_id"), (F.col("o_orderstatus") == "O").alias("is_active"), F.col("o_orderdate").alias("access_expires_at"))
+    accounts = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("account_id"))
+    return relational.accessible(orders, accounts, "1996-01-01", ["account_id"]).select("o_orderkey")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unindexed_anti(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT CASE WHEN quality = 0 THEN NULL ELSE doc_id END FROM labels)")
+def null_aware_not_in(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql("SELECT doc_id FROM {d} WHERE doc_id NOT IN (SELECT CASE WHEN quality = 0 THEN NULL ELSE doc_id END FROM {l})", d=table(spark, d, "documents"), l=table(spark, d, "labels"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F' AND p_size < 25 GROUP BY 1")
+def composite_membership(spark: SparkSession, d: str) -> DataFrame:
+    li, o, p, s = (table(spark, d, t) for t in ("lineitem", "orders", "part", "supplier"))
+    joined = li.join(o.filter("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).join(p.filter("p_size < 25"), F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS total, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS returned, (SELECT max(l_linenumber) FROM lineitem)::BIGINT AS version")
+def scalar_subquery_receipt(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").agg(F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), big(F.max("l_linenumber")).alias("version"))
+
+
+@query("WITH RECURSIVE c AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT t.conv_id, t.turn, c.depth + 1 FROM c JOIN conversations t ON t.conv_id = c.conv_id AND t.turn = c.turn + 1) SELECT conv_id, turn, CAST(depth AS BIGINT) AS depth FROM c")
+def recursive_closure(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "conversations").select("conv_id", "turn")
+    edges = t.select(F.concat_ws("/", "conv_id", "turn").alias("child"), F.concat_ws("/", "conv_id", F.col("turn") - 1).alias("parent"))
+    roots = t.filter("turn = 0").select(F.concat_ws("/", "conv_id", "turn").alias("node"))
+    found = relational.descendants(edges, roots)
+    part = F.split("node", "/")
+    return found.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), big("depth").alias("depth"))
+
+
+@query("SELECT c_custkey, n_name || ' < ' || r_name AS path, CAST(2 AS BIGINT) AS depth FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def ancestor_chain(spark: SparkSession, d: str) -> DataFrame:
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    up = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    return up.select("c_custkey", F.concat_ws(" < ", "n_name", "r_name").alias("path"), big(F.lit(2)).alias("depth"))
+
+
+@query("SELECT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def set_union(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sets(spark, d)
+    return a.union(b).distinct()
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def set_except(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sets(spark, d)
+    return a.subtract(b)
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def set_intersect(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sets(spark, d)
+    return a.intersect(b)
+
+
+def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "events").filter("event_type = 'click'").select("user_id"), table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 3")
+def having_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n > 3")
+
+
+@query("SELECT event_type, list_sort(list(value))[CAST(ceil(0.5 * count(*)) AS BIGINT)] AS p50, list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS p95, list_sort(list(value))[CAST(ceil(0.99 * count(*)) AS BIGINT)] AS p99 FROM events GROUP BY 1")
+def percentiles_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
+    return relational.nearest_rank(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query("SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars), 4) AS mean_chars, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
+def cross_lang_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.count_distinct("source").alias("sources"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS active, count(*) FILTER (o_orderstatus = 'O') < 3 AS admitted FROM orders GROUP BY 1")
+def admission_capacity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("active")).withColumn("admitted", F.col("active") < 3)
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS queued, count(*) FILTER (event_type = 'view') AS unchanged, count(*) FILTER (event_type NOT IN ('click', 'view')) AS removed FROM events GROUP BY 1")
+def progress_counters(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_type")
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(e == "click").alias("queued"), F.count_if(e == "view").alias("unchanged"), F.count_if(~e.isin("click", "view")).alias("removed"))
+
+
+@query("SELECT count(*) FILTER (NOT (o_totalprice >= 0)) AS negative_price, count(*) FILTER (NOT (o_orderstatus IN ('O', 'F', 'P'))) AS bad_status, count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans FROM orders")
+def check_predicates(spark: SparkSession, d: str) -> DataFrame:
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
+    return o.join(c, "o_custkey", "left").agg(F.count_if(~(F.col("o_totalprice") >= 0)).alias("negative_price"), F.count_if(~F.col("o_orderstatus").isin("O", "F", "P")).alias("bad_status"), F.count_if(F.col("known").isNull()).alias("orphans"))
+
+
+@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT min(CAST(ts AS DATE)) + 2 FROM events) AND (SELECT min(CAST(ts AS DATE)) + 4 FROM events)")
+def date_window(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return spark.sql("SELECT event_id FROM {e} WHERE to_date(ts) BETWEEN (SELECT date_add(min(to_date(ts)), 2) FROM {e}) AND (SELECT date_add(min(to_date(ts)), 4) FROM {e})", e=e)
+
+
+@query("SELECT a.c_custkey AS account, b.s_suppkey AS companion FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey AND a.c_custkey % 10 = b.s_suppkey % 10 WHERE a.c_mktsegment = 'BUILDING'")
+def companion_accounts(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("account"), F.col("c_nationkey").alias("owner"), (F.col("c_custkey") % 10).alias("external"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("companion"), F.col("s_nationkey").alias("owner"), (F.col("s_suppkey") % 10).alias("external"))
+    return a.join(b, ["owner", "external"]).select("account", "companion")
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders QUALIFY place <= 3")
+def latest_per_group(spark: SparkSession, d: str) -> DataFrame:
+    return relational.first_n(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 3, "place").select("o_custkey", "o_orderkey", big("place").alias("place"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_totalprice, o_orderkey) < (SELECT (o_totalprice, o_orderkey) FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1 OFFSET 99) ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50")
+def keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    last = o.orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).limit(100).agg(F.min(F.struct("o_totalprice", "o_orderkey")).alias("last"))
+    return relational.after_key(o.join(F.broadcast(last)), F.struct("o_totalprice", "o_orderkey"), F.col("last"), 50).select("o_orderkey")
+
+
+# --- windows over reading order -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P} SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, row_number() OVER (PARTITION BY doc_id, line ORDER BY ordinal) - 1 AS occurrence FROM p")
+def block_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("doc_id", F.sha2("line", 256)).orderBy("ordinal")
+    return passages(spark, d).select("doc_id", big("ordinal").alias("ordinal"), big(F.row_number().over(w) - 1).alias("occurrence"))
+
+
+@query("WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g) SELECT user_id, min(ts) AS started, count(*) AS events FROM s GROUP BY user_id, n")
+def islands(spark: SparkSession, d: str) -> DataFrame:
+    return relational.islands(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) > F.expr("INTERVAL 30 MINUTE")).groupBy("user_id", "island").agg(F.min("ts").alias("started"), F.count("*").alias("events")).drop("island")
+
+
+@query("SELECT user_id, max(gap) AS widest FROM (SELECT user_id, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap FROM events) GROUP BY 1")
+def widest_gap(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    seconds = F.expr("timestampdiff(SECOND, date_trunc('SECOND', before), date_trunc('SECOND', ts))")
+    return table(spark, d, "events").withColumn("before", F.lag("ts").over(w)).withColumn("gap", seconds).groupBy("user_id").agg(big(F.max("gap")).alias("widest"))
+
+
+@query(f"WITH {P}, r AS (SELECT doc_id, ordinal, length(line) AS n, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY ordinal) AS used, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS k FROM p) SELECT doc_id, CAST(max(CASE WHEN used <= 7800 AND k <= 5 THEN ordinal END) + 1 AS BIGINT) AS next_ordinal, count(*) FILTER (used <= 7800 AND k <= 5) AS pieces FROM r GROUP BY doc_id")
+def page_read(spark: SparkSession, d: str) -> DataFrame:
+    return select.page(passages(spark, d).withColumn("cost", F.length("line")), ["doc_id"], "ordinal", 7800, 5)
+
+
+# --- scalar functions ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{FFFD}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS BIGINT) AS garbled, CAST(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS BIGINT) AS non_ascii FROM documents")
+def garbled_ratio(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", big(tx.garbled_count(t)).alias("garbled"), big(tx.non_ascii_count(t)).alias("non_ascii"))
+
+
+@query("SELECT lang, round(sum(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) / sum(length(text)), 6) AS ratio FROM documents GROUP BY lang")
+def non_ascii_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("lang").agg(F.round(F.sum(tx.non_ascii_count(F.col("text"))) / F.sum(F.length("text")), 6).alias("ratio"))
+
+
+ASSIGN = "'((?:token|secret|password|api_key)\\s*[=:]\\s*)(\"[^\"<$]+\"|[^\\s\"<$]+)'"
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(text, {ASSIGN}, '\\1[REDACTED]', 'g')) AS redacted FROM documents")
+def redact_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(tx.redact_assignments(F.col("text")), 256).alias("redacted"))
+
+
+@query(f"SELECT doc_id, regexp_matches(text, {ASSIGN}) AS secret FROM documents")
+def secret_flags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tx.has_secret(F.col("text")).alias("secret"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), ',') AS numbers FROM documents")
+def number_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", tx.numbers(F.col("text"))).alias("numbers"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha, ('0x' || substr(sha256(text), 1, 15))::BIGINT AS lock_key FROM documents")
+def sha_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), tx.lock_key(F.col("text")).alias("lock_key"))
+
+
+@query("SELECT doc_id, ('0x' || substr(sha256(text), 1, 4))::BIGINT % 2048 AS bucket FROM documents")
+def stable_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", big(tx.stable_bucket(F.col("text"))).alias("bucket"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM pages")
+def parse_url_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1).alias("path"))
+
+
+@query("SELECT n_nationkey, '| ' || n_nationkey || ' | ' || replace(n_name, '|', '\\|') || ' |' AS line FROM nation")
+def table_render(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", tx.table_row(F.col("n_nationkey"), F.col("n_name")).alias("line"))
+
+
+@query("SELECT n, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INT)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 27) // 26) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INT)) AS letters, n AS back FROM range(1, 2001) t(n)")
+def base26_columns(spark: SparkSession, d: str) -> DataFrame:
+    letters = spark.range(1, 2001).withColumnRenamed("id", "n").withColumn("letters", tx.column_letters(F.col("n")))
+    return letters.withColumn("back", tx.column_number(F.col("letters")))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) < 50")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", big(F.get_json_object("props", "$.k")).alias("k")).filter("k < 50")
+
+
+LOG = "2024-01-02T03:04:05Z start request_id=alpha\n  more\n2024-01-02 03:04:06 stop request_id=beta\n"
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), '2024-01-02T03:04:05Z', 'alpha', CAST(2 AS BIGINT)), (1, '2024-01-02 03:04:06', 'beta', 1)) t(ordinal, stamp, request, lines)")
+def log_records(spark: SparkSession, d: str) -> DataFrame:
+    return search.log_records(spark.range(1).select(F.lit(LOG).alias("text")), "text").select(big("ordinal").alias("ordinal"), "stamp", "request", big("lines").alias("lines"))
+
+
+VTT = "WEBVTT\n\n00:01.000 --> 00:05.500\n<v Ann>Hello there\n\n01:00:06.000 --> 01:00:10.000\nBye\n"
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 1.0::DOUBLE, 5.5::DOUBLE, 'Ann', 'Hello there'), (1, 3606.0, 3610.0, '', 'Bye')) t(ordinal, starts, ends, speaker, said)")
+def transcript_cues(spark: SparkSession, d: str) -> DataFrame:
+    return search.cues(spark.range(1).select(F.lit(VTT).alias("text")), "text").select(big("ordinal").alias("ordinal"), "starts", "ends", "speaker", "said")
+
+
+# --- pages: headings, blocks, sections ----------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title, CAST(len(regexp_extract_all(html, '<h[1-6][ >]')) AS BIGINT) AS headings FROM pages")
+def html_headings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("title"), big(F.size(F.regexp_extract_all("html", F.lit("(<h[1-6][ >])")))).alias("headings"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p[^>]*>[^<]*</p>')) AS BIGINT) AS paragraphs, CAST(length(array_to_string(regexp_extract_all(html, '<p[^>]*>([^<]*)</p>', 1), '')) AS BIGINT) AS chars FROM pages")
+def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit("<p[^>]*>([^<]*)</p>"))
+    return table(spark, d, "pages").select("page_id", big(F.size(found)).alias("paragraphs"), big(F.length(F.array_join(found, ""))).alias("chars"))
+
+
+@query()
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A parser's blocks; no SQL parses HTML."""
+    from lodestone.sources import blocks
+
+    return blocks.parsed(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("html").alias("modality"), F.col("html").alias("text")))
+
+
+HEADS = "h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])', 1)) AS level, generate_subscripts(regexp_extract_all(html, '<h([1-6])', 1), 1) - 1 AS ordinal FROM pages)"
+
+
+@query(f"WITH {HEADS} SELECT a.page_id, CAST(a.ordinal AS BIGINT) AS ordinal, CAST(max(b.ordinal) AS BIGINT) AS parent FROM h a LEFT JOIN h b ON a.page_id = b.page_id AND b.ordinal < a.ordinal AND CAST(b.level AS INT) < CAST(a.level AS INT) GROUP BY 1, 2")
+def section_tree(spark: SparkSession, d: str) -> DataFrame:
+    return relational.section_parents(_heads(spark, d), ["page_id"], "ordinal", "level").select("page_id", big("ordinal").alias("ordinal"), big("parent").alias("parent"))
+
+
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h([1-6])"))).alias("ordinal", "level")).withColumn("level", F.col("level").cast("int"))
+
+
+@query(f"WITH {HEADS} SELECT page_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(lead(ordinal) OVER (PARTITION BY page_id ORDER BY ordinal) AS BIGINT) AS next FROM h")
+def next_edges(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("page_id").orderBy("ordinal")
+    return _heads(spark, d).select("page_id", big("ordinal").alias("ordinal"), big(F.lead("ordinal").over(w)).alias("next"))
+
+
+@query(f"WITH {P} SELECT p.doc_id, round(1 - count(DISTINCT line) / count(*), 6) AS duplicate_rate, round(sum(length(regexp_replace(line, '[^\\x{{FFFD}}]', '', 'g'))) / greatest(sum(length(line)), 1), 6) AS garbled, bool_or(l.quality = 0) AS flagged FROM p LEFT JOIN labels l ON l.doc_id = p.doc_id GROUP BY 1")
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.length(F.regexp_replace("line", r"[^\x{FFFD}]", ""))
+    report = passages(spark, d).groupBy("doc_id").agg(F.round(1 - F.count_distinct(F.sha2("line", 256)) / F.count("*"), 6).alias("duplicate_rate"), F.round(F.sum(bad) / F.greatest(F.sum(F.length("line")), F.lit(1)), 6).alias("garbled"))
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.bool_or(F.col("quality") == 0).alias("flagged"))
+    return report.join(labels, "doc_id", "left")
+
+
+# --- incremental --------------------------------------------------------------------------------------------------------
+
+OLD = "(SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0)"
+NEW = "(SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)"
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    old = docs.filter("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
+    new = docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"))
+    return old, new
+
+
+@query(f"SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS state FROM {OLD} o FULL JOIN {NEW} n ON o.doc_id = n.doc_id")
+def change_detection(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.changes(*_snapshots(spark, d), ["doc_id"], "h")
+
+
+@query(f"SELECT n.doc_id FROM {NEW} n JOIN {OLD} o ON o.doc_id = n.doc_id AND o.h = n.h")
+def unchanged_reuse(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    return new.join(old, ["doc_id", "h"], "left_semi").select("doc_id")
+
+
+@query(f"SELECT doc_id, h FROM {NEW} UNION ALL SELECT doc_id, h FROM {OLD} o WHERE NOT EXISTS (SELECT 1 FROM {NEW} n WHERE n.doc_id = o.doc_id)")
+def merge_newer_wins(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.newer_wins(*_snapshots(spark, d), ["doc_id"])
+
+
+@query(f"SELECT doc_id, h FROM {OLD} UNION ALL SELECT doc_id, h FROM {NEW} n WHERE NOT EXISTS (SELECT 1 FROM {OLD} o WHERE n.doc_id = o.doc_id)")
+def upsert_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.insert_missing(*_snapshots(spark, d), ["doc_id"])
+
+
+@query(f"SELECT o.doc_id FROM {OLD} o WHERE NOT EXISTS (SELECT 1 FROM {NEW} n WHERE n.doc_id = o.doc_id)")
+def inventory_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.swept(*_snapshots(spark, d), ["doc_id"]).select("doc_id")
+
+
+@query("WITH s AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') SELECT (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)) AS parents, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM s)) AS children")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    parents, children = incremental.delete_cascade(o, o.filter("o_orderstatus = 'P'"), ["o_orderkey"], li.withColumnRenamed("l_orderkey", "o_orderkey"))
+    return parents.agg(F.count("*").alias("parents")).join(children.agg(F.count("*").alias("children")))
+
+
+@query("SELECT count(*) AS rows_to_move, count(*) FILTER (c.text IS NOT NULL) AS conflicts FROM (SELECT text FROM documents WHERE source = 'src1') a LEFT JOIN (SELECT DISTINCT text FROM documents WHERE source = 'src0') c ON a.text = c.text")
+def guarded_reassign(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("h"))
+    return incremental.reassign_preview(docs, "source", "src1", "src0", "h")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def last_event_wins(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", F.col("event_type").alias("state"), "event_id")
+
+
+@query("SELECT user_id, count(*) AS pending FROM events e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND x.ts > e.ts) GROUP BY 1")
+def event_drain(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    done = e.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("done"))
+    return e.filter("event_type = 'view'").join(done, "user_id", "left").filter("done IS NULL OR done <= ts").groupBy("user_id").agg(F.count("*").alias("pending"))
+
+
+@query("SELECT user_id, count(*) AS n, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS full FROM events GROUP BY user_id")
+def coalesced_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.coalesce_jobs(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase")
+
+
+@query("SELECT attempt, least(CAST(pow(2, attempt) AS BIGINT), 3600) AS wait, CASE WHEN attempt >= 8 THEN 'failed' ELSE 'queued' END AS state FROM range(0, 16) t(attempt)")
+def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
+    a = F.col("attempt")
+    return spark.range(16).withColumnRenamed("id", "attempt").select("attempt", tx.backoff(a).alias("wait"), F.when(a >= 8, "failed").otherwise("queued").alias("state"))
+
+
+@query("SELECT CAST(('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 4))::BIGINT % 64 AS BIGINT) AS bucket, date_trunc('hour', ts) AS hour, count(*) AS hits, count(*) > 20 AS limited FROM events GROUP BY 1, 2")
+def keyed_quotas(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.groupBy(big(tx.stable_bucket(F.col("user_id").cast("string"), 64)).alias("bucket"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("hits")).withColumn("limited", F.col("hits") > 20)
+
+
+# --- streams ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+def event_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.streaming import jobs
+
+    return jobs.run_once(jobs.deduplicated(jobs.events(spark, d)), "event_dedup").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def rate_window_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.streaming import jobs
+
+    out = jobs.run_once(jobs.tumbling(jobs.events(spark, d)), "rate_window")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, n")
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("at", "30 minutes").alias("s")).agg(F.min("ts").alias("started"), F.count("*").alias("n")).drop("s")
+
+
+@query()
+def job_state_machine(spark: SparkSession, d: str) -> DataFrame:
+    """Stateful: retries, leases and terminal states per key follow the order of arrival."""
+    from lodestone.streaming import jobs
+
+    return jobs.run_once(jobs.job_states(jobs.events(spark, d)), "job_states")
+
+
+@query()
+def first_hit_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Stateful: rate windows that begin at a key's first hit."""
+    from lodestone.streaming import jobs
+
+    return jobs.run_once(jobs.rate_limited(jobs.events(spark, d), 3600, 2), "first_hit")
+
+
+# --- extensions that Spark adds -----------------------------------------------------------------------------------------
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
+def rollup_sources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT e.event_id, p.event_id AS before FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') p ON e.user_id = p.user_id AND e.ts > p.ts")
+def asof_events(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return relational.asof(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), ["user_id"], "ts", "event_id").select("event_id", "before")
