@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, Stored, documents, slim, stored
+from .common import WS, Stored, documents, slim, stored, unused
 
 PACKS = T.StructType([
     T.StructField("sender", T.LongType()), T.StructField("owner", T.IntegerType()), T.StructField("n", T.IntegerType()),
@@ -167,12 +167,12 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = lambda x:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; one row of each group of equal texts."""
-    names = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), (F.col("group_size") > 1).alias("__many"))
-    mine = docs.withColumn("__s", F.sha2(normalised(), 256))
-    stay = mine.join(names, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")))
-    repeats = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if repeats:  # rows that repeat a doc_id and a text stay once
-        stay = stay.filter("NOT __many").unionByName(stay.filter("__many").dropDuplicates(["doc_id", "__s"]))
+    id_, sha, many, own = unused(docs, "kept_id", "kept_sha", "kept_many", "own_sha")
+    names = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), (F.col("group_size") > 1).alias(many))
+    mine = docs.withColumn(own, F.sha2(normalised(), 256))
+    stay = mine.join(names, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)))
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # rows that repeat a doc_id and a text stay once
+        stay = stay.filter(~F.col(many)).unionByName(stay.filter(F.col(many)).dropDuplicates(["doc_id", own]))
     return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

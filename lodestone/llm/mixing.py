@@ -103,12 +103,12 @@ class Mix:
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed corpus with the columns of docs: a document comes as often as it is taken, one that is taken in part with
     its first words alone (n_chars is then counted anew), one that is not taken not at all."""
-    many, whole, part, size, key, turn = unused(docs, "m_taken", "m_whole", "m_part", "m_size", "m_key", "m_turn")
-    took = Mix(docs, **options).taken().filter("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("key").alias("m_k")).agg(F.sum("taken").alias(many), F.max("size").alias(size))
+    many, whole, part, size, key, turn, id_, of = unused(docs, "m_taken", "m_whole", "m_part", "m_size", "m_key", "m_turn", "m_id", "m_of")
+    took = Mix(docs, **options).taken().filter("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("key").alias(of)).agg(F.sum("taken").alias(many), F.max("size").alias(size))
     mine = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows share what they are taken
         mine = mine.dropDuplicates(["doc_id", key])
-    out = mine.join(took, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col(key) == F.col("m_k")))
+    out = mine.join(took, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)))
     out = out.withColumn(whole, F.floor(F.col(many) / F.col(size))).withColumn(part, F.col(many) % F.col(size))
     out = out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(whole) + F.when(F.col(part) > 0, 1).otherwise(0))))
     cut = F.col(turn) > F.col(whole)

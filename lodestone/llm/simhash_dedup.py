@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import EDGE, Stored, _forest, connected_components, documents, slim, stored
+from .common import EDGE, Stored, _forest, connected_components, documents, slim, stored, unused
 
 RADIUS = 2
 BUCKET = 512
@@ -115,9 +115,9 @@ def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the row with the smallest doc_id, with all its columns."""
-    groups = near_groups(docs)
-    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    (name,) = unused(docs, "stay_id")
+    stay = near_groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # a doc_id that repeats stays once
         kept = kept.dropDuplicates(["doc_id"])
     return kept
