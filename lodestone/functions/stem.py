@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _CONSONANT, _VOWEL = "[^aeiou]", "[aeiouy]"
 _C, _V = f"{_CONSONANT}[^aeiouy]*", f"{_VOWEL}[aeiou]*"
@@ -70,6 +71,6 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
