@@ -3,9 +3,8 @@
 Every source is a queue of its documents' ids in one fixed order. Its stream of T_s ids is cut into P blocks at
 floor(p * T_s / P): block p of every source goes to packing partition p, so that each partition holds the target mixture
 and what rounding leaves, the fraction of p * T_s / P, is the deficit with which a source enters partition p. Inside a
-partition each window adds to every source its share of the window as credit; sources are served in order of credit,
-never in pieces below MIN_PIECE ids unless a document or the window ends, and what they got too much or too little is
-carried to the next window. Windows are full; what is left at the end of a partition is cut into sequences whose lengths
+partition each round adds to every source its share of a window as credit; a source is served once its credit reaches
+MIN_PIECE ids, so pieces are that long unless a document or a window ends, and what it is still owed is carried on. Windows are full; what is left at the end of a partition is cut into sequences whose lengths
 are powers of two, so nothing is padded.
 
 A null text is empty and gives its end id alone. A null source is a queue of its own. Rows that repeat a doc_id are
@@ -14,6 +13,7 @@ documents of their own.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import Stored, documents, slim, stored
 from .tokens import encoder, vocabulary_path
 
-MIN_PIECE = 32
+MIN_PIECE = 64
 
 TOKENS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("part", T.IntegerType()),
@@ -39,7 +39,9 @@ QUEUED = T.StructType([
 PIECES = T.StructType([T.StructField(c, T.StringType() if c == "source" else T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")])
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, wide: int):
+    kind = f"<u{wide}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -47,18 +49,18 @@ def _encode(path: str, end: int):
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                found = [x + tail for x in enc.encode(batch.column(2).to_pylist())]
+                found = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in enc.encode(batch.column(2).to_pylist())]
                 local = []
                 for s, x in zip(batch.column(1).to_pylist(), found, strict=True):
                     local.append(ends.get(s, 0))
-                    ends[s] = local[-1] + len(x) // 4
-                n = pa.array([len(x) // 4 for x in found], pa.int64())
+                    ends[s] = local[-1] + len(x) // wide
+                n = pa.array([len(x) // wide for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(found), pa.int32()), pa.array(local, pa.int64()), n, pa.array(found, pa.binary())], TOKENS.names)
 
     return run
 
 
-def _deal(blocks: int, total: int):
+def _deal(blocks: int, total: int, wide: int):
     """Cuts each document at its source's block boundaries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +72,7 @@ def _deal(blocks: int, total: int):
                 while at < stop:
                     p = ((at + 1) * blocks - 1) // all_
                     to = min(stop, (p + 1) * all_ // blocks)
-                    out.append((p, r["source"], at, all_ / total, p * all_ % blocks / blocks, r["doc_id"], at - u, r["n"], r["ids"][4 * (at - u) : 4 * (to - u)]))
+                    out.append((p, r["source"], at, all_ / total, p * all_ % blocks / blocks, r["doc_id"], at - u, r["n"], r["ids"][wide * (at - u) : wide * (to - u)]))
                     at = to
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(QUEUED.names, x, strict=True)) for x in out], pa.schema([("block", pa.int64()), ("source", pa.string()), ("at", pa.int64()), ("share", pa.float64()), ("credit", pa.float64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
@@ -84,38 +86,38 @@ def sizes(total: int, window: int) -> list[int]:
     return [window] * (total // window) + [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
 
 
-def round_robin(queues: list[list[int]], shares: list[float], credit: list[float], window: int, least: int = MIN_PIECE) -> Iterator[tuple[int, int, int, int, int]]:
-    """(window, queue, item, start in the item, length) in the order of the windows' content; every id of every item once."""
-    at = [[0, 0] for _ in queues]
-    left = [sum(q) for q in queues]
-    for w, size in enumerate(sizes(sum(left), window)):
-        for s, share in enumerate(shares):
-            credit[s] += size * share
-        room = size
-        for stage in (0, 1):
-            while room:
-                live = [s for s in range(len(queues)) if left[s]]
-                for s in sorted(live, key=lambda s: -credit[s]):
-                    head = queues[s][at[s][0]] - at[s][1]
-                    take = min(left[s], room, int(credit[s]) if not stage else max(least, int(credit[s])))
-                    if not room or take <= 0 or not stage and take < min(least, head):
-                        continue
-                    credit[s] -= take
-                    room -= take
-                    left[s] -= take
-                    while take:
-                        i, done = at[s]
-                        n = min(take, queues[s][i] - done)
-                        yield w, s, i, done, n
-                        at[s] = [i, done + n] if done + n < queues[s][i] else [i + 1, 0]
-                        take -= n
-                    if stage:
-                        break
-                if not stage:
-                    break
-
-
-def _pack(window: int, per_block: int, least: int):
+def round_robin(queues: list[list[int]], shares: list[float], credit: list[float], window: int, least: int = MIN_PIECE) -> np.ndarray:
+    """Rows (window, queue, item, start in the item, length) in the order of the windows' content; every id once.
+
+    A round gives every source its share of a window as credit. A source is served all its whole credit once that reaches
+    `least`; since credit grows by a constant, that is every so many rounds, and what a source has got after each round has
+    a closed form. The rounds' pieces follow one another and are cut where windows end."""
+    total = sum(map(sum, queues))
+    rounds = max(1, -(-total // window))
+    parts = []
+    for s, (queue, share, owed) in enumerate(zip(queues, shares, credit, strict=True)):
+        ends = np.cumsum(np.array(queue, np.int64))
+        every = max(1, math.ceil(least / max(share * window, 1e-9))) if share * window < least else 1
+        turn = np.arange(1, rounds + 1)
+        served = np.maximum(0, (turn + s % every) // every * every - s % every)  # the rounds that a source has been paid for
+        got = np.minimum(ends[-1], np.floor(share * window * served + owed).astype(np.int64))
+        got[-1] = ends[-1]
+        cuts = np.unique(np.concatenate([ends, got[got > 0]]))
+        begin = np.concatenate([[0], cuts[:-1]])
+        item = np.searchsorted(ends, begin, side="right")
+        parts.append((np.searchsorted(got, begin, side="right"), np.full(len(cuts), s), item, begin - np.concatenate([[0], ends])[item], cuts - begin))
+    at, queue, item, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, item, queue, at))
+    queue, item, start, n = queue[order], item[order], start[order], n[order]
+    edges = np.cumsum(sizes(total, window))
+    stop = np.cumsum(n)
+    to = np.union1d(stop, edges)
+    begin = np.concatenate([[0], to[:-1]])
+    k = np.searchsorted(stop, begin, side="right")
+    return np.column_stack([np.searchsorted(edges, begin, side="right"), queue[k], item[k], start[k] + begin - (stop - n)[k], to - begin])
+
+
+def _pack(window: int, per_block: int, least: int, wide: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.select([c for c in QUEUED.names if c != "ids"]).to_pydict()
         ids = table["ids"].combine_chunks() if table.num_rows else table["ids"]
@@ -125,20 +127,19 @@ def _pack(window: int, per_block: int, least: int):
         items: list[list[int]] = [[] for _ in names]
         for i in order:
             items[names.index(rows["source"][i])].append(i)
-        data = [ids[i].as_buffer() for i in range(table.num_rows)]
+        data = [np.frombuffer(ids[i].as_buffer(), f"<u{wide}").astype("<u4").view(np.uint8).data for i in range(table.num_rows)]
         queues = [[len(data[i]) // 4 for i in q] for q in items]
         first = [q[0] for q in items]
-        out: dict[str, list] = {c: [] for c in PIECES.names}
-        last, offset = -1, 0
-        for w, s, k, start, n in round_robin(queues, [rows["share"][i] for i in first], [rows["credit"][i] for i in first], window, least):
-            if w != last:
-                last, offset = w, 0
-            i = items[s][k]
-            values = (rows["doc_id"][i], rows["start"][i] + start, n, zlib.crc32(memoryview(data[i])[4 * start : 4 * (start + n)]), rows["doc_tokens"][i], block * per_block + w, offset, names[s])
-            for c, v in zip(PIECES.names, values, strict=True):
-                out[c].append(v)
-            offset += n
-        return pa.table({c: pa.array(v, pa.string() if c == "source" else pa.int64()) for c, v in out.items()})
+        w, q, k, at, n = round_robin(queues, [rows["share"][i] for i in first], [rows["credit"][i] for i in first], window, least).T
+        bounds = np.cumsum([0, *map(len, items)])[:-1]
+        item = np.array([i for mine in items for i in mine], np.int64)[bounds[q] + k]
+        stop = np.cumsum(n)
+        opened = np.flatnonzero(np.diff(w, prepend=-1))  # the first piece of each sequence
+        offset = stop - n - np.repeat((stop - n)[opened], np.diff(np.append(opened, len(w))))
+        crc = [zlib.crc32(data[i][a:b]) for i, a, b in zip(item.tolist(), (4 * at).tolist(), (4 * (at + n)).tolist(), strict=True)]
+        of = table.select(["doc_id", "start", "doc_tokens", "source"]).take(pa.array(item))
+        start = pa.array(of["start"].to_numpy() + at)
+        return pa.table([of["doc_id"], start, pa.array(n), pa.array(crc, pa.int64()), of["doc_tokens"], pa.array(block * per_block + w), pa.array(offset), of["source"]], PIECES.names)
 
     return run
 
@@ -147,7 +148,9 @@ def packed(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = 0, w
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source. block_windows: windows of a
     packing partition, which bounds its memory."""
     d = slim(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = stored(d.mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), TOKENS), "tokens")
+    path = vocabulary or vocabulary_path()
+    wide = 2 if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4  # bytes that an id takes
+    tokens = stored(d.mapInArrow(_encode(path, end_id, wide), TOKENS), "tokens")
     parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("source")
     starts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("n").over(by.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(by).alias("of_source"))
@@ -155,8 +158,8 @@ def packed(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = 0, w
     total = starts.select("s", "of_source").distinct().agg(F.sum("of_source")).first()[0] or 0
     blocks = max(1, -(-total // (window * block_windows)))
     placed = tokens.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).drop("s", "p")
-    queued = placed.mapInArrow(_deal(blocks, total), QUEUED)
-    return queued.groupBy("block").applyInArrow(_pack(window, 2 * (block_windows + 64), least), PIECES)
+    queued = placed.mapInArrow(_deal(blocks, total, wide), QUEUED)
+    return queued.groupBy("block").applyInArrow(_pack(window, 2 * (block_windows + 64), least, wide), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,37 @@
 """Byte-pair token ids for whole texts, by the tokenizers library with a cache of words.
 
 The vocabulary's pre-tokenizer never lets a token cross from a non-space character into white space, so a text falls into
-independent pieces, each with the one blank before it; a piece's ids depend on nothing else. Distinct pieces are encoded
-by the library once per worker and looked up afterwards, which gives the ids of encode() on the whole text. Texts that
-hold one of the vocabulary's special tokens go to the library whole.
+independent pieces at its blanks and line ends, and before a full stop or comma that follows a letter or digit; a piece's
+ids depend on nothing else. Distinct pieces are encoded by the library once and looked up afterwards, which gives the ids
+of encode() on the whole text. Pieces of letters go straight to the library's model, in the alphabet of byte-level
+vocabularies. Texts with uneven white space or marks are cut at blanks alone, and those that hold one of the vocabulary's
+special tokens go to the library whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
 
-CACHE = 600_000
+CACHE = 900_000
 _split = re.compile(r"(?<=\S) ").split
-_space = re.compile(r"\s").search
-_double = re.compile(r"\s ").search
+_marked = re.compile(r"[\W_][.,]").search
+_PLAIN = bytes(c < 128 and chr(c).isalnum() for c in range(256))
+
+
+def _hard(text: str) -> bool:
+    """Whether the quick cut can't take a text: white space but blanks and line ends, or a stop or comma after another mark."""
+    if not text.replace("\n", "").isprintable():
+        return True
+    data = text.encode()
+    before = set()
+    for mark in b".", b",":
+        before.update(part[-1:] for part in data.split(mark)[:-1])
+    if any(not x or x[0] < 128 and not _PLAIN[x[0]] for x in before):
+        return True
+    return any(x[0] >= 128 for x in before) and bool(_marked(text))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,13 +45,18 @@ class Encoder:
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else None
         self.cache, self.most = {}, cache
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.alphabet[10] = f" {self.alphabet[10]} "
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -43,40 +64,52 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
+        """The first piece, which has no blank before it, then those that have one, or "\\0" where there is none."""
         if not text or self.special and self.special(text):
             return [text]
-        found = text.split(" ")
-        if "" in found or _double(text):
-            found = _split(text)
-        return found
+        if not _hard(text):
+            found = text.replace("\n", " \0\n").replace(".", " \0.").replace(",", " \0,").split(" ")
+            if "" not in found and "\0\n" not in found:
+                return found
+        return [text] if "\0" in text else _split(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        cache, cut = self.cache, list(map(self.pieces, texts))
-        firsts = [p.pop(0) for p in cut]
-        if missing := [p for p in {p for pieces in cut for p in pieces} if p not in cache]:
-            self.learn(missing)
-        look = cache.__getitem__
-        return [self.alone(a) + b"".join(map(look, pieces)) for a, pieces in zip(firsts, cut, strict=True)]
-
-    def alone(self, piece: str) -> bytes:
-        return self.whole(piece) if piece else b""
+        out, cache, on = [], self.cache, gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the cache is large
+        try:
+            for i in range(0, len(texts), 16):
+                cut = list(map(self.pieces, texts[i : i + 16]))
+                firsts = [p.pop(0) for p in cut]
+                if missing := set().union(*cut).difference(cache):
+                    if len(cache) > self.most:
+                        cache.clear()
+                        missing = set().union(*cut)
+                    self.learn(list(missing))
+                look = cache.__getitem__
+                out += [(self.whole(a) if a else b"") + b"".join(map(look, pieces)) for a, pieces in zip(firsts, cut, strict=True)]
+        finally:
+            if on:
+                gc.enable()
+        return out
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces with their blank: those without white space in one go, on lines of their own."""
+        """Caches pieces: letters go to the model in one go, a line each, other pieces to the tokenizer."""
         import numpy as np
 
-        plain = [p for p in pieces if p and not _space(p)]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n " + "\n ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.flatnonzero(ids == self.line)
-        if plain and len(starts) == len(plain):
-            flat, cuts = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-            self.cache.update((p, flat[a + 4 : b]) for p, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True))
+        cache, words = self.cache, []
         for p in pieces:
-            if p not in self.cache:
-                self.cache[p] = self.whole(" " + p)
+            if p.isalpha() or p[:2] == "\0\n" and p[2:].isalpha():
+                words.append(p)
+            else:
+                cache[p] = self.whole(p[1:] if p[:1] == "\0" else " " + p)
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            text = "".join([w[1:] if w[0] == "\0" else f"\n {w}" for w in some]).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.append(np.flatnonzero(ids == self.line), len(ids))).tolist()
+            flat = ids.tobytes()
+            cache.update((w, flat[a if w[0] == "\0" else a + 4 : b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
 
 
 @lru_cache(maxsize=2)

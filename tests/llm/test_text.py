@@ -195,7 +195,11 @@ def test_round_robin_keeps_the_mixture():
     queues = [[50] * 80, [200] * 10, [10] * 100]
     total = sum(map(sum, queues))
     shares = [sum(q) / total for q in queues]
-    got = list(packing.round_robin(queues, shares, [0.0] * 3, 100, 8))
+    got = packing.round_robin(queues, shares, [0.0] * 3, 100, 8).tolist()
+    for k, q in enumerate(queues):
+        mine = sorted((i, a, n) for _, s, i, a, n in got if s == k)
+        assert [(i, a) for i, a, _ in mine] == [(i, sum(n for j, _, n in mine[:m] if j == i)) for m, (i, _, _) in enumerate(mine)]
+        assert Counter({i: sum(n for j, _, n in mine if j == i) for i in range(len(q))}) == Counter(dict(enumerate(q)))
     for w in range(60):
         mine = [sum(n for v, s, *_, n in got if v == w and s == k) for k in range(3)]
         assert sum(mine) == 100 and all(abs(m - 100 * x) <= 16 for m, x in zip(mine, shares, strict=True))
