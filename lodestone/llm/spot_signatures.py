@@ -36,17 +36,37 @@ def words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def spots(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The set of signature hashes of a text, as an ascending array<int>; never empty."""
-    any_ = "(?:" + "|".join(sorted(set(anchors), key=lambda w: (-len(w), w))) + ")"
+def one_of(words_: list[str]) -> str:
+    """A pattern for any of the words, branching letter by letter; a longer word before its prefixes."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words_)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    branches = [c + (one_of(rest) if any(rest) else "") for c, rest in heads.items() if c]
+    return "(?:" + "|".join(branches) + ")" + ("?" if "" in heads and branches else "")
+
+
+def _chains(words_: Column, anchors: list[str], chain: int) -> Column:
+    """The signatures' hashes, in order of appearance."""
+    any_ = one_of(anchors)
     # common words go, but the first of a run stays as a mark on the content word after it
-    marked = F.regexp_replace(words(text), rf"(?<![^ ])({any_})(?: {any_})*+ (?!{any_}(?![^ ]))(?=[^ ])", "$1>")
+    marked = F.regexp_replace(words_, rf"(?<![^ ])({any_})(?: {any_})*+ (?!{any_}(?![^ ]))(?=[^ ])", "$1>")
     found = F.regexp_extract_all(marked, F.lit(rf"(?<![^ ])(?=([^ >]++>[^ ]++(?: [^ ]++){{{chain - 1}}}))"))
-    plain = F.transform(found, lambda s: F.hash(F.regexp_replace(s, " [^ >]+>", " ")))
-    pairs = F.transform(F.regexp_extract_all(words(text), F.lit("(?<![^ ])(?=([^ ]++ [^ ]++))")), lambda s: F.hash(s))
-    few = F.concat(plain, pairs)
-    few = F.when(F.size(few) > 0, few).otherwise(F.array(F.hash(words(text))))
-    return F.array_sort(F.array_distinct(F.when(F.size(plain) >= FEW, plain).otherwise(few)))
+    return F.transform(found, lambda s: F.hash(F.regexp_replace(s, " [^ >]+>", " ")))
+
+
+def with_spots(df: DataFrame, texts: dict[str, Column], anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """df with, for each name, the set of its text's signature hashes: an ascending array<int>, never empty; null where the
+    text is null. In three projections, so that nothing that is used twice is computed twice."""
+    df = df.withColumns({f"{k}_words": F.when(t.isNotNull(), words(t)) for k, t in texts.items()})
+    df = df.withColumns({f"{k}_chains": _chains(F.col(f"{k}_words"), anchors, chain) for k in texts})
+    out = {}
+    for k in texts:
+        plain, all_ = F.col(f"{k}_chains"), F.col(f"{k}_words")
+        pairs = F.transform(F.regexp_extract_all(all_, F.lit("(?<![^ ])(?=([^ ]++ [^ ]++))")), lambda s: F.hash(s))
+        one = F.when(F.size(plain) > 0, F.array().cast("array<int>")).otherwise(F.array(F.hash(all_)))
+        rest = F.when(F.size(plain) >= FEW, F.array().cast("array<int>")).when(all_.contains(" "), pairs).otherwise(one)
+        out[k] = F.when(all_.isNotNull(), F.array_sort(F.array_distinct(F.concat(plain, rest))))
+    return df.withColumns(out).drop(*[f"{k}_{x}" for k in texts for x in ("words", "chains")])
 
 
 def fingerprint(spots: Column) -> Column:
@@ -97,13 +117,13 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull() | (row == 0), 0).otherwise((row - 1) * step + inner)
 
 
-def with_next(docs: DataFrame, bucket_docs: int = 4000) -> tuple[DataFrame, Window]:
+def with_next(docs: DataFrame, bucket_docs: int = 4000, most_buckets: int = 50_000) -> tuple[DataFrame, Window]:
     """doc_id, text, next_text, last, bucket: each document and the text after it. Ranges of doc_id, cut at quantiles, are
     the partitions; each gets the first text of the range after it. Returns the window that later columns can use, too."""
     d = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
-    k = max(1, -(-n // bucket_docs))
-    bounds = d.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [0.5], 20 * k)).first()[0] if k > 1 else []
+    k = min(max(1, -(-n // bucket_docs)), most_buckets)  # beyond that, ranges grow and their windows spill
+    bounds = d.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], min(20 * k, 1_000_000))).first()[0] if k > 1 else []
     d = d.withColumn("bucket", _bucket(F.col("doc_id"), sorted(set(bounds or []))))
     least = d.groupBy("bucket").agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select(F.col("bucket").alias("k"), F.col("m.doc_id").alias("m"))
     firsts = d.join(F.broadcast(least), (F.col("bucket") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("m"))).groupBy("bucket").agg(F.min("text").alias("first"))
@@ -120,9 +140,10 @@ def fingerprints(docs: DataFrame, **options: int) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
-    found = edited.select("bucket", "doc_id", "text", "last", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spots(F.col("text")).alias("own"), spots(F.col("edited")).alias("changed"), F.when(F.col("last"), spots(F.col("next_text"))).alias("after"))
+    found = edited.select("bucket", "doc_id", "text", "edited", "last", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.when(F.col("last"), F.col("next_text")).alias("after_text"))
+    found = with_spots(found, {"own": F.col("text"), "changed": F.col("edited"), "after": F.col("after_text")}).drop("edited", "after_text")
     both = found.withColumn("next", F.coalesce("after", F.lead("own").over(w)))
-    return both.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    return both.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), length_partition(F.size("own"), 0.8).alias("length_partition"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
