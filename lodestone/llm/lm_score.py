@@ -1,18 +1,21 @@
 """Language-model scores by logistic context mixing over bits.
 
-The text is its lower-cased words (A-Z alone are folded) and one end. Words and ends are counted over all training
-documents, those whose crc32(doc_id) mod 5 is not 1. A word that occurs has its discounted share of the tokens; what the
-discount frees pays for spelling: a word's bytes and a closing blank, as bits of a Huffman code. Shares are taken per
-language of the training documents, too (column lang, the KINDS - 1 commonest and a rest), each backing off to the shares
-over all; a text is the mixture of its languages' predictions, whose weights follow from what was read so far (as a
-product over the text that is the sum over languages of prior times likelihood; a scored text's own lang is not used).
-Each bit of a spelling is predicted from
-several hashed contexts (the last one to four bytes of the word, and the place in it), whose counts come from all distinct
-training words. The predictions are stretched, weighted by weights that the context's count gates, added and squashed;
-weights are learned online by gradient descent on the coding cost, in every task over its share of the words, each word's
-own occurrence left out of its counts, and averaged. A last adaptive map from the mixed prediction and the depth in the
-code to the frequency that was seen refines it. A word is spelled once, wherever it occurs: all tables that grow with the
-corpus stay distributed, and what is collected (count tables of fixed size, weights, the most frequent words) is bounded.
+The text is its lower-cased words (A-Z alone are folded) and one end, read in order as a stream of bytes: each word and a
+blank, and a blank more for the end. A byte is the bits of a Huffman code. Each bit is predicted from several hashed
+contexts: the last one, two, three, four and six bytes, which reach into the words before, the word's bytes so far, and
+these with the whole word before. Their counts come from all training documents, those whose crc32(doc_id) mod 5 is not
+1; the count of a word's bytes so far is the word's share, as an input to the mix. The predictions are stretched, weighted
+by weights that the context's count gates, added and squashed; weights are learned online by gradient descent on the
+coding cost over the training documents in every task, each bit's own occurrence left out of its counts, and averaged. A
+last adaptive map from the mixed prediction and the depth in the code to the frequency that was seen refines it.
+
+The tables are hashed, so exact shares are mixed in beside them. A word that occurs has its discounted share of the tokens
+of a language of the training documents (column lang, the KINDS - 1 commonest and a rest), backing off to the shares over
+all, and what the discounts free goes to the mixer's prediction of the word where it stands. Per language there are two
+models of the next word, these shares and their BLEND with the mixer, and the mixer alone is one more. A text's prediction
+is the mixture of the models', whose weights follow from what was read so far (as a product over the text that is the sum
+over models of prior times likelihood; a scored text's own lang is not used). All tables that grow with the corpus stay
+distributed, and what is collected (count tables of fixed size, weights, the most frequent words) is bounded.
 
 A null or empty text is an end alone. Rows that repeat a doc_id come back each; a null doc_id's remainder is that of the
 empty string. Without training documents all counts are zero and the base is one of an empty vocabulary.
@@ -23,7 +26,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -32,13 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out_modulus, release, slim, stored
+from .common import arrow_rows, documents, held_out_modulus, release, slim, stored
 
-CONTEXTS = 5
+CONTEXTS = 7
 SLOT_BITS = 20
 BLOCK_BITS = 14
 GATES = 8
+WEIGHT = 0.3  # of each prediction at first
 DISCOUNT = 0.75
+#: The shares' part in their mixture with the bit predictors, word by word.
+BLEND = 0.5
+#: The prior of the shares' models; what is left goes to their blends and to the mixer alone by halves.
+PRIOR = 0.9
+#: Bytes of the texts that are worked on at once, and words before a piece of a longer text that its contexts may need.
+BULK = 1 << 15
+LEAD = 6
+PAD = 8
+BASE = 0x9E3779B97F4A7C15
 FREQUENT = 1 << 16
 KINDS = 8
 LN10 = float(np.log(10))
@@ -49,9 +62,10 @@ TABLE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("blo
 LEARNED = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("seen", T.BinaryType()), T.StructField("n", T.LongType())])
 
 
-def _parts(kinds: int) -> T.StructType:
-    longs, doubles = ("n_bytes", "n", "known"), ("base", *[f"m{k}" for k in range(kinds)])
-    return T.StructType([T.StructField("row", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in longs], *[T.StructField(n, T.DoubleType()) for n in doubles]])
+PARTS = T.StructType([
+    T.StructField("row", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("known", T.LongType()), T.StructField("mixer", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType())),
+])
 
 
 def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -74,49 +88,97 @@ def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
     return paths
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+POWERS = [_powers(b, 2 * BULK) for b in (BASE, pow(BASE, -1, 1 << 64))]
+
+
 class Bits:
-    """The bits of some words' spelling, all at once: which word, the node's depth, the bit, and the slot in each table."""
+    """The bits of some pieces of texts, all at once: which coded word, the node's depth, the bit, and the slot in each table.
 
-    def __init__(self, words: list[bytes], paths: list[list[tuple[int, int]]]) -> None:
+    A piece is (lead, words): the lead is context and isn't coded."""
+
+    def __init__(self, pieces: list[tuple[list[bytes], list[bytes]]], paths: list[list[tuple[int, int]]]) -> None:
         size = np.array([len(p) for p in paths])
         first = np.cumsum(size) - size
-        nodes = np.array([n for p in paths for n, _ in p], np.uint32)
+        nodes = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x85EBCA6B)
         bits = np.array([b for p in paths for _, b in p], np.uint8)
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        length = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        start = np.cumsum(length) - length
-        place = np.arange(len(data)) - np.repeat(start, length)
-        back = [np.zeros(len(data), np.uint32)]
-        for k in range(1, 5):
-            prev = np.zeros(len(data), np.uint32)
-            prev[k:] = data[:-k].astype(np.uint32) + 1
-            prev[place < k] = 0
-            back.append(prev)
-        h, self.slots = np.zeros(len(data), np.uint32), []
-        n = size[data]
-        self.at = np.repeat(np.arange(len(data)), n)  # which byte
-        depth = np.arange(len(self.at)) - np.repeat(np.cumsum(n) - n, n)
-        code = np.repeat(first[data], n) + depth
-        node = nodes[code] * np.uint32(0x85EBCA6B)
-        self.bit, self.depth = bits[code], np.minimum(depth, 7)
-        self.word = np.repeat(np.repeat(np.arange(len(words)), length), n)
-        contexts = []
-        for k in range(1, 5):
-            h = (h ^ (back[k] + np.uint32(k << 10))) * np.uint32(0x9E3779B1)
+        pad = b"\0" * PAD
+        data = np.frombuffer(b"".join([x for lead, words in pieces for x in (pad, b" ".join(lead + words), b" ")]), np.uint8)
+        leads = np.fromiter((len(x) for x, _ in pieces), np.int64, len(pieces))
+        counts = leads + np.fromiter((len(x) for _, x in pieces), np.int64, len(pieces))
+        opened = np.cumsum(counts) - counts  # each piece's first word
+        ends = np.flatnonzero(data == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        of = np.repeat(np.arange(len(ends)), ends + 1 - starts)  # each byte's word
+        starts[opened] += PAD
+        coded = np.arange(len(ends)) - np.repeat(opened, counts) >= np.repeat(leads, counts)
+        pos = np.flatnonzero(coded[of] & (np.arange(len(data)) >= starts[of]))
+        up, down = POWERS if len(data) <= 2 * BULK else [_powers(b, len(data)) for b in (BASE, pow(BASE, -1, 1 << 64))]
+        sums = np.zeros(len(data) + 1, np.uint64)  # of the bytes before, each by its place's power
+        np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        prefix = (sums[:-1] - sums[starts][of]) * down[starts][of]
+        before = np.zeros(len(ends), np.uint64)
+        before[1:] = ((sums[ends] - sums[starts]) * down[starts])[:-1] + np.uint64(1)
+        before[opened] = 0
+        before = (before * np.uint64(0xC2B2AE3D27D4EB4F))[of]
+        h, contexts = np.zeros(len(pos), np.uint32), []
+        for k in range(1, 7):
+            h = (h ^ (data[pos - k].astype(np.uint32) + np.uint32(k << 10))) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-            contexts.append(h)
-        contexts.append((np.minimum(place, 30).astype(np.uint32) * np.uint32(257) + back[1]) * np.uint32(0xC2B2AE35))
+            if k != 5:
+                contexts.append(h)
+        for x in (prefix, prefix + before):
+            x = x[pos]
+            contexts.append(((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+        n = size[data[pos]]
+        depth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        code = np.repeat(first[data[pos]], n) + depth
+        node = nodes[code]
+        self.bit, self.depth = bits[code], np.minimum(depth, 7)
+        self.words = int(coded.sum())
+        self.word = np.repeat((np.cumsum(coded) - 1)[of[pos]], n)
+        self.slots = []
         for k, c in enumerate(contexts):
-            x = (c[self.at] + node) * np.uint32(0x27D4EB2F)
+            x = (np.repeat(c, n) + node) * np.uint32(0x27D4EB2F)
             x ^= x >> np.uint32(13)
             x *= np.uint32(0x165667B1)
             self.slots.append((x >> np.uint32(32 - SLOT_BITS)).astype(np.int64) + (k << SLOT_BITS))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], words: int = 4000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, words):
-            yield batch.slice(i, words)
+def _of_texts(column: list[bytes]) -> Iterator[list[bytes]]:
+    """Each text's words in order, the end as the empty word."""
+    return ([*text.lower().split(), b""] for text in column)
+
+
+def _of_words(column: list[bytes]) -> Iterator[list[bytes]]:
+    """Each word as a text of its own, without an end."""
+    return ([word] for word in column)
+
+
+def _bulks(texts: Iterator[list[bytes]]) -> Iterator[list[tuple[list[bytes], list[bytes]]]]:
+    """Pieces of the texts in order, about BULK bytes at a time; a longer text is cut between words."""
+    held, size = [], 0
+    for words in texts:
+        n = sum(map(len, words)) + len(words)
+        if n <= BULK:
+            cuts = [0, len(words)]
+        else:
+            block = np.cumsum([len(w) + 1 for w in words]) // BULK
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(words)]
+        for a, b in zip(cuts, cuts[1:]):
+            mine = n if len(cuts) == 2 else sum(map(len, words[a:b])) + b - a
+            if held and size + mine > BULK:
+                yield held
+                held, size = [], 0
+            held.append((words[max(0, a - LEAD) : a], words[a:b]))
+            size += mine
+    if held:
+        yield held
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +205,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words and the blanks after them, as often as the words occur."""
     total = np.zeros(256, np.int64)
     for batch in batches:
         words = batch.column(0).to_pylist()
-        total += np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8), minlength=256)
+        times = np.repeat(batch.column(1).to_numpy(), [len(w) + 1 for w in words])
+        total += np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8), weights=times, minlength=256).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], BYTES.names)
 
 
@@ -158,17 +222,16 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<i8")
 
 
-def _count_bits(paths: list) -> object:
+def _count_bits(paths: list, cut: Callable) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        table = np.zeros(2 * CONTEXTS << SLOT_BITS, np.int32)
-        for batch in _batches(batches):
-            bits = Bits(batch.column(0).to_pylist(), paths)
+        table, one = np.zeros(2 * CONTEXTS << SLOT_BITS, np.int32), np.int32(1)
+        for pieces in _bulks(w for batch in batches for w in cut(batch.column(0).to_pylist())):
+            bits = Bits(pieces, paths)
             for s in bits.slots:
-                slot, n = np.unique(2 * s + bits.bit, return_counts=True)
-                table[slot] += n.astype(np.int32)
+                np.add.at(table, 2 * s + bits.bit, one)
         step = 2 << BLOCK_BITS
         for block in range(len(table) // step):
             x = table[block * step : (block + 1) * step]
@@ -198,17 +261,28 @@ def _map(z: np.ndarray, depth: np.ndarray) -> np.ndarray:
     return depth * 64 + np.clip((z * 3 + 32).astype(np.int64), 0, 63)
 
 
-def _learn(paths: list, counts: object, rate: float = 0.02):
+def _left_out(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched predictions and gates by slot and the bit whose own occurrence is left out of the counts."""
+    x, g = np.empty(len(table), np.float32), np.empty(len(table), np.int8)
+    for i in range(0, len(table), 2 << BLOCK_BITS):
+        some = slice(i, i + (2 << BLOCK_BITS))
+        zero, one = table[some][0::2].astype(np.float64), table[some][1::2].astype(np.float64)
+        for bit, (a, b) in enumerate([(np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]):
+            x[some][bit::2], g[some][bit::2] = _stretch(a, b), _gate(a + b)
+    return x, g
+
+
+def _learn(paths: list, counts: object, cut: Callable, rate: float = 0.02):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zero, one = counts.value[0::2], counts.value[1::2]
-        w = np.full((CONTEXTS, GATES), 0.3)
-        seen, words = np.zeros((2, 8 * 64)), 0
-        for batch in _batches(batches, 2000):
-            bits = Bits(batch.column(0).to_pylist(), paths)
+        stretched, gates = counts.value
+        w = np.full((CONTEXTS, GATES), WEIGHT)
+        seen, n_bits = np.zeros((2, 8 * 64)), 0
+        for pieces in _bulks(x for batch in batches for x in cut(batch.column(0).to_pylist())):
+            bits = Bits(pieces, paths)
             y, z, inputs = bits.bit.astype(np.float64), 0.0, []
             for k, s in enumerate(bits.slots):
-                a, b = np.maximum(zero[s] - (1 - bits.bit), 0), np.maximum(one[s] - bits.bit, 0)
-                g, x = _gate(a + b), _stretch(a, b)
+                at = 2 * s + bits.bit
+                g, x = gates[at].astype(np.int64), stretched[at]
                 inputs.append((k, g, x))
                 z = z + w[k][g] * x
             p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
@@ -217,98 +291,110 @@ def _learn(paths: list, counts: object, rate: float = 0.02):
             for k, g, x in inputs:
                 n = np.bincount(g, minlength=GATES) + 100
                 w[k] += rate * 64 * np.bincount(g, weights=(y - p) * x, minlength=GATES) / n / 8
-            words += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([seen.tobytes()]), pa.array([words], pa.int64())], LEARNED.names)
-
-    return run
-
-
-def _spell(paths: list, tables: object, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted, refined = tables.value
-        for batch in _batches(batches):
-            words = batch.column(0).to_pylist()
-            bits = Bits(words, paths)
-            z = weighted[bits.slots[0]]
-            for s in bits.slots[1:]:
-                z = z + weighted[s]
-            # the adaptive map, read between its two nearest entries, and the mix itself have half each
-            at, u = bits.depth * 64, np.clip(z * 3 + 31.5, 0, 62.999)
-            i = u.astype(np.int64)
-            q = refined[at + i] * (1 - (u - i)) + refined[at + i + 1] * (u - i)
-            p = 0.5 * q + 0.5 / (1 + np.exp(-np.clip(z, -12, 12)))
-            cost = np.log(np.where(bits.bit == 1, p, 1 - p))
-            spell = np.bincount(bits.word, weights=cost, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spell)], [*names, "spell"])
+            n_bits += len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([seen.tobytes()]), pa.array([n_bits], pa.int64())], LEARNED.names)
 
     return run
 
 
-def _spelling(words: DataFrame) -> DataFrame:
-    """words (word, c, ...) with spell: the natural log-probability of a spelling, learned from the distinct training words."""
+def _costs(texts: Iterator[list[bytes]], paths: list, weighted: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """The natural log-probability of each word of the texts where it stands."""
+    out = [np.zeros(0)]
+    for pieces in _bulks(texts):
+        bits = Bits(pieces, paths)
+        z = weighted[bits.slots[0]]
+        for s in bits.slots[1:]:
+            z = z + weighted[s]
+        # the adaptive map, read between its two nearest entries, and the mix itself have half each
+        at, u = bits.depth * 64, np.clip(z * 3 + 31.5, 0, 62.999)
+        i = u.astype(np.int64)
+        q = refined[at + i] * (1 - (u - i)) + refined[at + i + 1] * (u - i)
+        p = 0.5 * q + 0.5 / (1 + np.exp(-np.clip(z, -12, 12)))
+        out.append(np.bincount(bits.word, weights=np.log(np.where(bits.bit == 1, p, 1 - p)), minlength=bits.words))
+    return np.concatenate(out)
+
+
+def _mixer(words: DataFrame, texts: DataFrame, cut: Callable = _of_texts) -> tuple[list, object]:
+    """The code's paths and the broadcast tables (weighted predictions, adaptive map). words: (word, c), for the code alone;
+    texts: one column, the training texts that cut makes words of."""
     spark = words.sparkSession
-    train = words.filter("c > 0")
-    counts = sum((np.frombuffer(r["counts"], np.int64) for r in train.select("word").mapInArrow(_count_bytes, BYTES).collect()), np.zeros(256, np.int64))
+    counts = sum((np.frombuffer(r["counts"], np.int64) for r in words.filter("c > 0").select("word", "c").mapInArrow(_count_bytes, BYTES).collect()), np.zeros(256, np.int64))
     paths = huffman(counts)
-    sums = train.select("word").mapInArrow(_count_bits(paths), TABLE)
+    texts = texts.coalesce(2 * spark.sparkContext.defaultParallelism)  # a task's table is large however little it reads
+    sums = texts.mapInArrow(_count_bits(paths, cut), TABLE)
     sums = sums.groupBy(F.pmod("part", F.lit(64)).alias("p"), "block").applyInArrow(_add, TABLE).groupBy("block").applyInArrow(_add, TABLE)
     table = np.zeros(2 * CONTEXTS << SLOT_BITS, np.int64)
-    for r in sums.toLocalIterator():  # a fixed number of blocks
-        table[r["block"] * (2 << BLOCK_BITS) : (r["block"] + 1) * (2 << BLOCK_BITS)] = _unpack(r["counts"])
-    table = np.minimum(table, 1 << 30).astype(np.int32)
-    w, seen, n = np.full((CONTEXTS, GATES), 0.3), np.zeros((2, 8 * 64)), 0
-    learned = train.select("word").mapInArrow(_learn(paths, spark.sparkContext.broadcast(table)), LEARNED).filter("n > 0").toLocalIterator()
+    with arrow_rows(spark):
+        for r in sums.toLocalIterator():  # a fixed number of blocks
+            table[r["block"] * (2 << BLOCK_BITS) : (r["block"] + 1) * (2 << BLOCK_BITS)] = _unpack(r["counts"])
+    table = np.minimum(table, 1 << 30).astype("<i4")
+    w, seen, n = np.full((CONTEXTS, GATES), WEIGHT), np.zeros((2, 8 * 64)), 0
     total = np.zeros_like(w)
+    with arrow_rows(spark):
+        learned = texts.mapInArrow(_learn(paths, spark.sparkContext.broadcast(_left_out(table)), cut), LEARNED).filter("n > 0").collect()  # one small row a task
     for r in learned:
         total += np.frombuffer(r["w"]).reshape(w.shape) * r["n"]
         seen, n = seen + np.frombuffer(r["seen"]).reshape(seen.shape), n + r["n"]
     w = total / n if n else w
-    zero, one = table[0::2].astype(np.float64), table[1::2].astype(np.float64)
-    gates = _gate(zero + one)
-    weighted = np.concatenate([w[k][gates[k << SLOT_BITS : (k + 1) << SLOT_BITS]] * _stretch(zero[k << SLOT_BITS : (k + 1) << SLOT_BITS], one[k << SLOT_BITS : (k + 1) << SLOT_BITS]) for k in range(CONTEXTS)]).astype(np.float32)
+    weighted = np.empty(CONTEXTS << SLOT_BITS, np.float32)
+    for k in range(CONTEXTS):
+        mine = slice(k << SLOT_BITS, (k + 1) << SLOT_BITS)
+        zero, one = table[0::2][mine].astype(np.float64), table[1::2][mine].astype(np.float64)
+        weighted[mine] = w[k][_gate(zero + one)] * _stretch(zero, one)
     middle = np.tile(1 / (1 + np.exp(-(np.arange(64) - 31.5) / 3)), 8)
     refined = (seen[1] + 20 * middle) / (seen[0] + 20)
-    schema = T.StructType([*words.schema.fields, T.StructField("spell", T.DoubleType())])
-    return words.mapInArrow(_spell(paths, spark.sparkContext.broadcast((weighted, refined)), words.columns), schema)
+    return paths, spark.sparkContext.broadcast((weighted, refined))
+
+
+def _spelling(words: DataFrame) -> DataFrame:
+    """words (word, c, ...) with spell: the mixer's natural log-probability of each word as a text without an end, learned
+    from the words that occur, each once."""
+    paths, tables = _mixer(words, words.filter("c > 0").select("word"), _of_words)
+    names = words.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_costs(_of_words(batch.column(0).to_pylist()), paths, *tables.value))], [*names, "spell"])
+
+    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("spell", T.DoubleType())]))
 
 
-def _documents(frequent: object, kinds: int):
-    """Per document a row with the sums over frequent words, and one for each other word with its count."""
-    schema = _parts(kinds)
+def _documents(frequent: object, left: list[float], paths: list, tables: object):
+    """Per document a row with the sums over frequent words, and one for each other word with the mixer's cost.
+    left: per language what the discounts free."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, (known, costs) = TaskContext.get().partitionId() << 33, frequent.value
+        row, (known, shares) = TaskContext.get().partitionId() << 33, frequent.value
+        free = np.array(left)
         for batch in batches:
-            rows, words, ids, size, n, mine, times = [], [], [], [], [], [], []
-            sums = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = Counter(text.lower().split())
-                counts[b""] = 1
-                at, k = [], []
-                rest = 0
-                for w, c in counts.items():
-                    if (i := known.get(w)) is not None:
-                        at.append(i)
-                        k.append(c)
-                    else:
-                        words.append(w)
-                        n.append(c)
-                        rest += 1
-                rows += [row] * (rest + 1)
-                ids += [doc_id] * (rest + 1)
-                size += [0] * rest + [len(text)]
-                mine.append(len(words))
+            texts = batch.column(1).to_pylist()
+            split = list(_of_texts(texts))
+            costs = _costs(iter(split), paths, *tables.value)
+            rows, words, ids, size, n, hits, mixer, sums, at = [], [], [], [], [], [], [], [], 0
+            for doc_id, text, mine in zip(batch.column(0).to_pylist(), texts, split, strict=True):
+                cost = costs[at : at + len(mine)]
+                at += len(mine)
+                place = np.fromiter((known.get(w, -1) for w in mine), np.int64, len(mine))
+                rest = np.flatnonzero(place < 0)
+                words += [mine[i] for i in rest.tolist()]
+                mixer += cost[rest].tolist()
+                old = place >= 0
+                share, x = shares[place[old]], cost[old]
+                p, a = np.exp(x)[:, None], share[:, 1:]
+                logs = [share[:, :1], np.log10(a + free * p), np.log10(BLEND * a + (BLEND * free + 1 - BLEND) * p), x[:, None] / LN10]
+                sums += [None] * len(rest) + [np.hstack(logs).sum(axis=0).tolist()]
                 words.append(b"\n%d" % row)  # no word; a key of its own keeps these rows spread
-                n.append(sum(k))
-                times.append(n[-1])
-                sums.append(np.array(k, float) @ costs[at] if at else np.zeros(costs.shape[1]))
+                mixer.append(0.0)
+                rows += [row] * (len(rest) + 1)
+                ids += [doc_id] * (len(rest) + 1)
+                size += [0] * len(rest) + [len(text)]
+                n += [1] * len(rest) + [len(x)]
+                hits += [0] * len(rest) + [len(x)]
                 row += 1
-            full, hits = np.zeros((1 + kinds, len(words))), np.zeros(len(words), np.int64)
-            full[:, mine], hits[mine] = np.array(sums).T if sums else 0, times
-            cols = [pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(hits), *map(pa.array, full)]
-            yield pa.RecordBatch.from_arrays(cols, schema.names)
+            longs = [pa.array(v, pa.int64()) for v in (size, n, hits)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(ids, pa.int64()), *longs, pa.array(mixer, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], PARTS.names)
 
     return run
 
@@ -334,25 +420,35 @@ def scores(docs: DataFrame) -> DataFrame:
     release(spark)
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), *[x for k in range(kinds) for x in (F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}"), F.count_if(F.col(f"c{k}") > 0).alias(f"v{k}"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col(f"c{k}"))), F.lit(0)).alias(f"d{k}"))]).first()
     tokens, distinct = sums["n"], sums["v"]
-    spelled = stored(_spelling(words), "spelled")
     free = DISCOUNT * distinct / tokens if tokens else 1.0
-    back = F.log(F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / max(1, tokens) + F.greatest(free * F.exp("spell"), F.lit(1e-300)))
-    both = spelled.withColumn("back", back)
+    back = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / max(1, tokens)
     used = [k for k in range(kinds) if sums[f"n{k}"]] or [0]
-    costs = [F.log10((F.col("c") + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("base_")]
+    shares, left = [F.log10((F.col("c") + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("base_")], []
     for k in used:
         n, v = max(1, sums[f"n{k}"]), sums[f"v{k}"]
-        left = DISCOUNT * v / n if v else 1.0
-        costs.append((F.log(F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / n + left * F.exp("back")) / LN10).alias(f"m{k}_"))
-    both = both.select("word", "c", *costs)
+        freed = DISCOUNT * v / n if v else 1.0
+        shares.append((F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / n + freed * back).alias(f"a{k}_"))
+        left.append(freed * free)
+    both = words.select("word", "c", *shares)
     priors = [float(np.log10(max(1, sums[f"d{k}"]) / max(1, sum(sums[f"d{j}"] for j in used)))) for k in used]
+    priors = [*[p + float(np.log10(PRIOR)) for p in priors], *[p + float(np.log10((1 - PRIOR) / 2)) for p in priors], float(np.log10((1 - PRIOR) / 2))]
     top = list(both.filter("c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).toLocalIterator())
     table = np.array([[*r[2:]] for r in top]).reshape(len(top), 1 + len(used))
     frequent = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, table))
-    parts = d.select("doc_id", "text").mapInArrow(_documents(frequent, len(used)), _parts(len(used)))
-    names = ["base", *[f"m{i}" for i in range(len(used))]]
-    priced = ["base_", *[f"m{k}_" for k in used]]
-    told = parts.join(both, "word", "left").select("row", "doc_id", "n_bytes", "n", F.when(F.col("c") > 0, F.col("n")).otherwise(F.col("known")).alias("known"), *[(F.col(a) + F.coalesce(F.col("n") * F.col(b), F.lit(0.0))).alias(a) for a, b in zip(names, priced, strict=True)])
+    paths, tables = _mixer(words, d.filter(held_out_modulus() != 1).select("text"))
+    release(spark)
+    with arrow_rows(spark):
+        parts = stored(d.select("doc_id", "text").mapInArrow(_documents(frequent, left, paths, tables), PARTS), "parts")
+    release(spark)
+
+    def price(a: F.Column, some: float) -> F.Column:
+        """log10(a + some * what the mixer says), also where that is below the smallest double."""
+        return F.when(a > 0, F.log10(a + some * F.exp("mixer"))).otherwise(float(np.log10(some)) + F.col("mixer") / LN10)
+
+    a = [F.coalesce(F.col(f"a{k}_"), F.lit(0.0)) for k in used]
+    priced = [F.col("base_"), *[price(x, f) for x, f in zip(a, left, strict=True)], *[price(BLEND * x, BLEND * f + 1 - BLEND) for x, f in zip(a, left, strict=True)], F.col("mixer") / LN10]
+    names = ["base", *[f"m{i}" for i in range(len(priors))]]
+    told = parts.join(both, "word", "left").select("row", "doc_id", "n_bytes", "n", F.when(F.col("c") > 0, F.col("n")).otherwise(F.col("known")).alias("known"), *[F.coalesce(F.col("sums")[i], x).alias(m) for i, (m, x) in enumerate(zip(names, priced, strict=True))])
     out = told.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n", "known", *names)])
     most = F.greatest(*[F.col(f"m{i}") + p for i, p in enumerate(priors)], F.lit(-1e308))
     mixed = most + F.log10(sum((F.pow(F.lit(10.0), F.col(f"m{i}") + p - most) for i, p in enumerate(priors)), F.lit(0.0)))

@@ -121,6 +121,31 @@ def test_spellings_are_a_distribution(spark):
     assert 0.3 < total < 1
 
 
+def test_the_score_reads_words_in_order(spark):
+    """Shuffled words and a text that repeats a training passage get other scores than a unigram model's, and the contexts
+    reach across blanks; pieces of a long text cost what the whole does."""
+    phrases = [prose(s, 8).split() for s in range(4)]
+    train = [(i, " ".join(w for s in range(3) for w in phrases[(i + s) % 4])) for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    ordered = phrases[0] + phrases[1]
+    shuffled = [random.Random(i).sample(ordered, len(ordered)) for i in range(len(held) - 1)]
+    got = {r["doc_id"]: r for r in lm_score.scores(frame(spark, [*train, *[(i, " ".join(w)) for i, w in zip(held, [ordered, *shuffled], strict=True)]])).collect()}
+    first, *rest = [got[i] for i in held]
+    assert all(r["base_score"] == pytest.approx(first["base_score"]) for r in rest)
+    assert all(r["score"] < first["score"] - 3 for r in rest)
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    words = [*prose(3, 700).lower().encode().split(), b"x" * 300, *prose(4, 300).lower().encode().split(), b""]
+    paths = lm_score.huffman(np.ones(256, np.int64))
+    whole = [s for p in lm_score._bulks(iter([words])) for s in lm_score.Bits(p, paths).slots]
+    monkeypatch.setattr(lm_score, "BULK", 200)
+    pieces = [lm_score.Bits(p, paths).slots for p in lm_score._bulks(iter([words]))]
+    assert len(pieces) > 10 and sum(len(w) for p in lm_score._bulks(iter([words])) for _, w in p) == len(words)
+    for k, s in enumerate(whole):
+        assert np.array_equal(np.concatenate([p[k] for p in pieces]), s)
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.water_fill([0, 10], [5, 2], 15, 2) == [0.0, 15.0]
