@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import Stored, documents, slim, stored
 from .tokens import encoder, vocabulary_path
 
-MIN_PIECE = 64
+MIN_PIECE = 32
 
 TOKENS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("part", T.IntegerType()),

@@ -230,6 +230,12 @@ def test_round_robin_keeps_the_mixture():
         assert sum(mine) == 100 and all(abs(m - 100 * x) <= 16 for m, x in zip(mine, shares, strict=True))
 
 
+def test_small_sources_are_in_every_window_by_default():
+    """A source of 4 per cent is owed 40 ids a window, more than the least piece."""
+    got = packing.round_robin([[1000] * 96, [100] * 40], [0.96, 0.04], [0.0, 0.0], 1000).tolist()
+    assert {v for v, s, *_ in got if s == 1} == set(range(100))
+
+
 def test_crf_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     counts = np.array([3, 1, 4])
