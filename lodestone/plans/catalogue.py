@@ -70,6 +70,12 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("n_chars < 2000").select("doc_id", F.concat_ws(" ", tx.query_terms(F.col("text"))).alias("terms"))
 
 
+@query()
+def query_terms_all(spark: SparkSession, d: str) -> DataFrame:
+    """query_terms of every document, however long; DuckDB's list_filter is quadratic there, so there is no SQL."""
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", tx.query_terms(F.col("text"))).alias("terms"))
+
+
 LEX = f"""WITH {P}, s AS (SELECT doc_id, ordinal, source, len(list_intersect({T}, {LIST})) AS hits FROM p)
 SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(hits / 5.0, 6) AS coverage, row_number() OVER (ORDER BY hits DESC, doc_id, ordinal) AS rank FROM s WHERE hits > 0"""
 

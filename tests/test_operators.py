@@ -125,3 +125,15 @@ def test_streams_allow_a_limit_a_window(spark, tmp_path):
     stream = spark.readStream.schema(jobs.EVENTS).parquet(f"file://{tmp_path}/t").withColumn("at", F.col("ts").cast("timestamp"))
     got = {r["event_id"]: r["allowed"] for r in jobs.run_once(jobs.rate_limited(stream, 60, 2), "limit").collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 9: True}
+
+
+def test_query_terms_of_every_document(spark, tmp_path):
+    import re
+
+    from lodestone.plans import catalogue
+
+    texts = {1: "One two one", 2: " ".join(f"W{i % 50}_x" for i in range(3000)), 3: "no length", 4: "", 5: None}
+    rows = [(k, t, None if k == 3 or t is None else len(t)) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["terms"] for r in catalogue.QUERIES["query_terms_all"](spark, f"file://{tmp_path}").collect()}
+    assert got == {k: " ".join(list(dict.fromkeys(re.findall(r"[a-z0-9]+(?:_[a-z0-9]+)*", (t or "").lower())))[:32]) for k, t in texts.items()}
