@@ -82,6 +82,19 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("q", "hit", "rk")
 
 
+def neighbours_in_blocks(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """neighbours for any number of queries: the corpus is read once for each block of as many as are held at once."""
+    ids = queries.select("vec_id").distinct()
+    n = max(1, -(-ids.count() // block))
+    found = None
+    for i in range(n):
+        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i)
+        if mine.limit(1).count():
+            near = neighbours(mine, corpus, k)
+            found = near if found is None else found.unionByName(near)
+    return neighbours(queries.limit(0), corpus.limit(0), k) if found is None else found
+
+
 def coverage(passages: DataFrame, vectors: DataFrame, keys: list[str], on: str = "doc_id") -> DataFrame:
     """keys, total, ready, active: a group is active when all of it has vectors."""
     has = vectors.select(on).distinct().withColumn("has", F.lit(1))

@@ -181,6 +181,13 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return search.metrics(vectors.neighbours(e.filter("vec_id < 20"), e, 10), 10)
 
 
+@query(f"WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT q, max(CASE WHEN hit THEN 1.0 ELSE 0 END) AS recall, max(CASE WHEN hit THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN hit THEN 1 / log2(rk + 1.0) ELSE 0 END) AS dcg FROM r WHERE rk <= 10 GROUP BY q) SELECT CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr, round(avg(dcg), 6) AS dcg FROM k")
+def retrieval_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """retrieval_metrics over the rule's queries, the vectors whose id is divisible by 50, as many as the table has."""
+    e = table(spark, d, "embeddings")
+    return search.metrics(vectors.neighbours_in_blocks(e.filter("vec_id % 50 = 0"), e, 10), 10)
+
+
 # --- duplicates, neighbours, threads, selection -------------------------------------------------------------------------
 
 NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"

@@ -137,3 +137,15 @@ def test_query_terms_of_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["terms"] for r in catalogue.QUERIES["query_terms_all"](spark, f"file://{tmp_path}").collect()}
     assert got == {k: " ".join(list(dict.fromkeys(re.findall(r"[a-z0-9]+(?:_[a-z0-9]+)*", (t or "").lower())))[:32]) for k, t in texts.items()}
+
+
+def test_neighbours_in_blocks_lose_no_query(spark):
+    import random
+
+    from lodestone.operators import vectors
+
+    r = random.Random(5)
+    e = spark.createDataFrame([(i, i % 3, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id long, label long, embedding array<float>")
+    q = e.filter("vec_id % 5 = 0")
+    got = sorted(map(tuple, vectors.neighbours_in_blocks(q, e, 4, block=3).collect()))
+    assert got == sorted(map(tuple, vectors.neighbours(q, e, 4).collect())) and len(got) == 48
