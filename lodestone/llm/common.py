@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,17 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bounded(batch: pa.RecordBatch, column: int, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `rows` rows and about `size` bytes of a text or binary column each; at least a row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column).fill_null("" if pa.types.is_string(batch.column(column).type) else b"")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(batch.num_rows, at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Stored:
     """A DataFrame written as Parquet into the shared folder: its lineage ends here, and lost executors lose nothing."""
 

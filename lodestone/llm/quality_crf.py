@@ -5,17 +5,21 @@ words, ...), together with those of the line before and the line after; a 2 x 2
 Forward-backward marginals, weighted by the lines' lengths, give a document's share of good text, and a logistic curve
 fitted on the training documents turns its log-odds into a score.
 
-Training sees a bounded sample: at most sample_docs labelled documents, the first by a hash of doc_id, of at most
-sample_lines lines each. Labels name documents, not lines, so lines start with their document's label and, once, are
+Training sees a bounded sample: sample_docs labelled documents at most, the first by a hash, of at most sample_lines lines
+each and sample_all together. Labels name documents, not lines, so lines start with their document's label and, once, are
 labelled anew by the model inside bad documents. Everything else runs over all documents and whole texts.
 
-Null or empty texts are one empty line. Rows that repeat a doc_id are scored each. Without any usable label all scores
-are 0.5. Scores depend on the text alone.
+A score is a function of the text alone, bit for bit: equal texts have equal scores however rows are dealt to tasks and
+batches. Null or empty texts are one empty line. A line of more than 2^20 characters counts as several; very long texts are
+read in pieces of whole lines. Rows that repeat a doc_id are scored each, an empty table gives none, and only doc_id and text
+of a document and doc_id and quality of a label are read, so other columns may have any name. A document with several
+labels trains with each. Without both labels all scores are 0.5.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out_modulus, slim, stored
+from .common import bounded, documents, held_out_modulus, slim, stored
 
 BASE = 18
 FEATURES = 3 * BASE + 1
 THRESHOLD = 0.3
+BASE_HASH = 0x9E3779B97F4A7C15
+#: Characters that are worked on at once, and of a line before it counts as several.
+BULK = 1 << 20
+LONGEST = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -42,10 +50,54 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE_HASH^i and its inverse, modulo 2^64, for i below n."""
+    up, down = np.full(n, BASE_HASH, np.uint64), np.full(n, pow(BASE_HASH, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _line_count(text: str | None) -> int:
+    return sum(max(1, -(-len(x) // LONGEST)) for x in text.split("\n")) if text and len(text) > LONGEST else text.count("\n") + 1 if text else 1
+
+
+def _wrapped(text: str | None) -> str:
+    """The text with lines above LONGEST characters cut."""
+    if text and len(text) > LONGEST:
+        return "\n".join(x[i : i + LONGEST] for x in text.split("\n") for i in range(0, max(1, len(x)), LONGEST))
+    return text or ""
+
+
 def lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Base features (lines x BASE), line lengths in characters, and the number of lines of each text."""
-    joined = "\n".join(t if t else "" for t in texts) + "\n"
-    counts = np.array([t.count("\n") + 1 if t else 1 for t in texts])
+    """Base features (lines x BASE), line lengths in characters, and the number of lines of each text.
+
+    A line's row depends on its document up to that line alone, bit for bit, however texts are put together: sums are of
+    integers, and words and lines are compared by polynomial hashes that don't know their place."""
+    counts = np.array([_line_count(t) for t in texts])
+    parts, size, held = [], 0, []
+    for t in map(_wrapped, texts):  # about BULK characters at a time; a longer text in pieces of whole lines
+        while held and size + len(t) > BULK or size > BULK:
+            parts.append(_piece(held))
+            held, size = [], 0
+        lead = ""
+        while len(t) > BULK and (at := t.find("\n", BULK)) >= 0:
+            parts.append(_piece([t[:at]], lead))
+            lead = t[t.rfind("\n", 0, at) + 1 : at]
+            t = t[at + 1 :]
+        if lead:
+            parts.append(_piece([t], lead))
+        else:
+            held.append(t)
+            size += len(t)
+    if held:
+        parts.append(_piece(held))
+    return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]), counts
+
+
+def _piece(texts: list[str], lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Features and lengths of the lines of some texts. lead: the line before the first text's first, not told itself."""
+    joined = (lead + "\n" if lead else "") + "\n".join(texts) + "\n"
     ch = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _CLASS[np.minimum(ch, 0x2FFF)]
     ends = np.flatnonzero(ch == 10)
@@ -60,11 +112,12 @@ def lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     stop = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     line_of = np.searchsorted(ends, begin)
-    length = (stop - begin).astype(np.int64)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
-        sums = np.concatenate([[0], np.cumsum(ch.astype(np.uint64) * power[ch % 4096] ^ (ch.astype(np.uint64) << np.uint64(17)), dtype=np.uint64)])
-        word = (sums[stop] - sums[begin]) + length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    length = stop - begin
+    up, down = _powers(1 << max(20, len(ch).bit_length()))
+    sums = np.zeros(len(ch) + 1, np.uint64)
+    np.cumsum((ch + np.uint64(1)) * up[: len(ch)], dtype=np.uint64, out=sums[1:])
+    word = (sums[stop] - sums[begin]) * down[begin]
+    whole = (sums[ends] - sums[starts]) * down[starts]
     k = len(ends)
 
     def words(flag: np.ndarray) -> np.ndarray:
@@ -78,17 +131,19 @@ def lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = words(np.ones(len(word)))
     letters = per_line(kind == 1) + per_line(kind == 2)
     some, any_w, any_l = np.maximum(n, 1), np.maximum(w, 1), np.maximum(letters, 1)
-    near = np.maximum.reduce([again(1), again(2), again(3)]) if len(word) > 3 else np.zeros(len(word))
-    of_line = words((word % np.uint64(1 << 30)).astype(np.float64))
-    same_line = np.concatenate([[0.0], ((of_line[1:] == of_line[:-1]) & (w[1:] > 2)).astype(np.float64)])
-    last, first = kind[stop - 1] if len(stop) else np.zeros(0), kind[begin] if len(begin) else np.zeros(0)
+    near = np.maximum.reduce([again(1), again(2), again(3)])
+    same_line = np.zeros(k)
+    same_line[1:] = (whole[1:] == whole[:-1]) & (n[1:] == n[:-1]) & (w[1:] > 2)
+    opened = np.cumsum([(1 if lead else 0), *(t.count("\n") + 1 for t in texts[:-1])])
+    same_line[opened[1 if lead else 0 :]] = 0  # a document's first line follows none
+    last, first = kind[stop - 1], kind[begin]
     x = np.column_stack([
         np.minimum(np.log1p(n), 8) / 8, np.minimum(np.log1p(w), 6) / 6, per_line(kind == 2) / any_l, per_line(kind == 3) / some, per_line(kind == 4) / some,
-        per_line(ch == 33) / any_w, per_line(ch == 124) / any_w, per_line(space) / some, words(again(1) if len(word) > 1 else near) / any_w, words(near) / any_w,
+        per_line(ch == 33) / any_w, per_line(ch == 124) / any_w, per_line(space) / some, words(again(1)) / any_w, words(near) / any_w,
         words(length <= 3) / any_w, words(length >= 14) / any_w, np.minimum(words(length) / any_w, 30) / 10, words(last == 4) / any_w, words(first == 4) / any_w,
         np.minimum(per_line((kind == 4) & np.concatenate([[False], (kind == 4)[:-1]])) / any_w, 3), same_line, (n == 0).astype(np.float64),
     ])
-    return x, n, counts
+    return (x[1:], n[1:]) if lead else (x, n)
 
 
 def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -101,34 +156,36 @@ def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def marginals(emit: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line, and the expected transitions (2 x 2); emit: log-odds of good, all documents side by side."""
+    """P(good) of each line, and the expected transitions (2 x 2); emit: log-odds of good, all documents side by side.
+
+    Both passes carry the share of good alone and are written out by element: a matrix product's last bit would depend on
+    the other documents."""
     order = np.argsort(-counts, kind="stable")
     at, length = (np.cumsum(counts) - counts)[order], counts[order]
     longest = int(length[0])
     e = np.clip(emit, -30, 30)
     good, bad = 1 / (1 + np.exp(-e)), 1 / (1 + np.exp(e))
-    m = np.exp(trans)
-    fwd = np.empty((len(emit), 2))
-    alive = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
-    a = np.column_stack([bad[at], good[at]])
-    a /= a.sum(1, keepdims=True)
-    fwd[at] = a
+    (m00, m01), (m10, m11) = np.exp(trans)
+    alive = np.searchsorted(-length, -np.arange(1, longest + 1), side="right").tolist()
+    fwd, back = np.empty(len(emit)), np.full(len(emit), 0.5)
+    fwd[at] = f = good[at]
     for t in range(1, longest):
-        i = at[: alive[t]] + t
-        a = (a[: alive[t]] @ m) * np.column_stack([bad[i], good[i]])
-        a /= a.sum(1, keepdims=True)
-        fwd[i] = a
-    back = np.ones((len(emit), 2))
-    pair = np.zeros((2, 2))
+        i, f = at[: alive[t]] + t, f[: alive[t]]
+        g, b = ((1 - f) * m01 + f * m11) * good[i], ((1 - f) * m00 + f * m10) * bad[i]
+        fwd[i] = f = g / (g + b)
     for t in range(longest - 1, 0, -1):
         i = at[: alive[t]] + t
-        nb = np.column_stack([bad[i], good[i]]) * back[i]
-        joint = fwd[i - 1][:, :, None] * m[None] * nb[:, None, :]
-        pair += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        b = nb @ m.T
-        back[i - 1] = b / b.sum(1, keepdims=True)
-    p = fwd * back
-    return p[:, 1] / p.sum(1), pair
+        h = back[i]
+        g, b = good[i] * h, bad[i] * (1 - h)
+        x, y = b * m10 + g * m11, b * m00 + g * m01
+        back[i - 1] = x / (x + y)
+    p, q = fwd * back, (1 - fwd) * (1 - back)
+    inner = np.ones(len(emit), bool)
+    inner[at] = False
+    i = np.flatnonzero(inner)
+    g, b, f = good[i] * back[i], bad[i] * (1 - back[i]), fwd[i - 1]
+    joint = np.array([(1 - f) * m00 * b, (1 - f) * m01 * g, f * m10 * b, f * m11 * g])
+    return p / (p + q), (joint / joint.sum(0)).sum(1).reshape(2, 2)
 
 
 def fit(x: np.ndarray, counts: np.ndarray, n: np.ndarray, label: np.ndarray, steps: int = 120) -> dict[str, np.ndarray | float]:
@@ -170,9 +227,22 @@ def fit(x: np.ndarray, counts: np.ndarray, n: np.ndarray, label: np.ndarray, ste
     return model | {"a": float(a), "b": float(b)}
 
 
+def emissions(model: dict, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The log-odds of good of each line, feature by feature, so that equal lines among equal ones get equal bits."""
+    weight = model["theta"][:FEATURES] / model["dev"]
+    sides = np.zeros((3, len(x)))
+    for k in range(3):
+        for j in range(BASE):
+            sides[k] += x[:, j] * weight[k * BASE + j]
+    stop = np.cumsum(counts)
+    before, after = np.roll(sides[1], 1), np.roll(sides[2], -1)
+    before[stop - counts] = 0
+    after[stop - 1] = 0
+    return sides[0] + before + after + (weight[-1] - float((model["mean"] * weight).sum()))
+
+
 def log_odds(model: dict, x: np.ndarray, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    z = (with_neighbours(x, counts) - model["mean"]) / model["dev"]
-    p, _ = marginals(z @ model["theta"][:FEATURES], model["theta"][FEATURES:].reshape(2, 2), counts)
+    p, _ = marginals(emissions(model, x, counts), model["theta"][FEATURES:].reshape(2, 2), counts)
     starts = np.cumsum(counts) - counts
     share = np.add.reduceat(p * (n + 1), starts) / np.add.reduceat(n + 1, starts)
     share = np.clip(share, 1e-4, 1 - 1e-4)
@@ -183,41 +253,48 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key
 SAMPLE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("n", T.BinaryType()), T.StructField("x", T.BinaryType())])
 
 
-def _score(model: dict | None):
+def _scores(model: dict | None, texts: list[str | None]) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    x, n, counts = lines(texts)
+    return 1 / (1 + np.exp(-np.clip(model["a"] * log_odds(model, x, counts, n) + model["b"], -30, 30)))
+
+
+def _score(model: dict | None, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                if model is None:
-                    score = np.full(batch.num_rows, 0.5)
-                else:
-                    x, n, counts = lines(batch.column(2).to_pylist())
-                    score = 1 / (1 + np.exp(-np.clip(model["a"] * log_odds(model, x, counts, n) + model["b"], -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], SCORES.names)
+            for batch in bounded(whole, 2, rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_scores(model, batch.column(2).to_pylist()))], SCORES.names)
 
     return run
 
 
-def _features(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["text"].count("\n") < most:
-                    x, n, _ = lines([r["text"]])
-                    rows.append({"doc_id": r["doc_id"], "quality": r["quality"], "n": n.tobytes(), "x": x.tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("n", pa.binary()), ("x", pa.binary())]))
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            x, n, _ = lines([r["text"]])
+            rows.append({"doc_id": r["doc_id"], "quality": r["quality"], "n": n.tobytes(), "x": x.tobytes()})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("n", pa.binary()), ("x", pa.binary())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_lines: int = 1000) -> dict | None:
-    """Fits on at most sample_docs labelled rows whose crc32(doc_id) mod 5 is not 0; None if they don't hold both labels."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_lines: int = 1000, sample_all: int = 200_000) -> dict | None:
+    """Fits on labelled rows whose crc32(doc_id) mod 5 is not 0: the first sample_docs by a hash of doc_id and text among those
+    of at most sample_lines lines and a character more than 2^20 at most, as far as they have sample_all lines together.
+    None if they don't hold both labels."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter((held_out_modulus() != 0) & F.col("quality").isin(0, 1))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_docs)
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_docs)
     d = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_features(sample_lines), SAMPLE)
-    got = sorted((r for r in rows.collect()), key=lambda r: (r["doc_id"], r["quality"], r["x"]))
+    rows = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("key"), (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("lines"))
+    rows = rows.filter((F.col("lines") <= sample_lines) & (F.length("text") <= LONGEST))
+    first = rows.select("doc_id", "quality", "key", "lines").distinct().orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key", "quality").limit(sample_docs).collect()
+    ends = np.cumsum([r["lines"] for r in first])
+    told = [(r["doc_id"], r["key"]) for r, end in zip(first, ends, strict=True) if end <= sample_all]
+    if not told:
+        return None
+    keys = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(told)), "doc_id long, key long"))
+    some = rows.join(keys, ["doc_id", "key"]).dropDuplicates(["doc_id", "key", "quality"]).select("doc_id", "quality", "text").mapInArrow(_features, SAMPLE)
+    got = sorted(some.collect(), key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     if len({r["quality"] for r in got}) < 2:
         return None
     x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, BASE) for r in got])
@@ -225,30 +302,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_li
     return fit(x, np.array([len(v) for v in n]), np.concatenate(n), np.array([r["quality"] for r in got], np.float64))
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, key (a hash of its text)."""
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = 256) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, key (a hash of its text). rows: texts worked on at once."""
     model = train(docs, labels)
     d = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    scores = stored(d.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_score(model), SCORES), "quality")
+    scores = stored(d.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_score(model, rows), SCORES), "quality")
     return scores.select("doc_id", (held_out_modulus() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "key")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with all their columns, without a shuffle."""
     model = train(docs, labels)
-    names = docs.columns
-    at = next(i for i, c in enumerate(names) if c.lower() == "text")
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                if model is not None:
-                    x, n, counts = lines(texts)
-                    score = 1 / (1 + np.exp(-np.clip(model["a"] * log_odds(model, x, counts, n) + model["b"], -30, 30)))
-                    batch = batch.filter(pa.array(score >= threshold))
-                yield batch
+            for batch in bounded(whole, at, 256):
+                yield batch.filter(pa.array(_scores(model, batch.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
