@@ -90,10 +90,34 @@ def test_chat_round_trip(spark):
         assert (got[conv]["n_turns"], got[conv]["loss_chars"]) == (len(mine), len(loss)) and got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert [got[c]["valid"] for c in (1, 2, 3, 4)] == [True, False, False, True]
     f = chat_format.formatted(df).filter("conv_id = 1").first()
-    assert f["formatted"].count("<|im_start|>") == 2 and f["loss"] == [False, False, False, False, True, False]
+    assert f["formatted"].count("<|im_start|>") == 2 and [m["loss"] for m in f["mask"]] == [False, False, False, False, True, False]
+    assert sum(m["chars"] for m in f["mask"]) == len(f["formatted"])
     assert chat_format.digests(df.limit(0)).count() == 0
 
 
+def test_the_digest_is_read_through_the_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ask \U0001f600 <|"), (1, 1, "assistant", "say <|x"), (2, 0, "user", "u"), (2, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    whole = chat_format.formatted(df)
+
+    def loss(flip):
+        flipped = F.transform("mask", lambda m, i: F.struct(m["chars"].alias("chars"), (m["loss"] != (i == flip)).alias("loss")))
+        return {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat_format.digest(whole.withColumn("mask", flipped)).collect()}
+
+    def told(text):
+        return len(text), hashlib.sha256(text.encode()).hexdigest()
+
+    assert loss(-1) == {1: told("say <|x"), 2: told("a")}
+    assert loss(1) == {1: told("ask \U0001f600 <|say <|x"), 2: told("ua")}
+    assert loss(4) == {1: told(""), 2: told("")}
+    assert loss(0)[2] == told("<|im_start|>user\na")
+
+
+def test_a_very_long_conversation(spark):
+    df = spark.range(3000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('x<|', 20) AS text")
+    r = chat_format.digests(df).first()
+    assert (r["n_turns"], r["loss_chars"], r["valid"]) == (3000, 1500 * 60, True)
+
+
 def test_language_model(spark, nasty, nothing):
     rows = [*NASTY, *[(100 + i, prose(20 + i, 60)) for i in range(30)]]
     got = {}
@@ -272,6 +296,32 @@ def test_quality(spark, nasty, nothing):
     assert {r["score"] for r in quality_crf.scored(nasty, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("tasks,rows", [(1, 256), (7, 1), (50, 5)])
+def test_equal_texts_have_equal_scores(spark, tasks, rows):
+    """A score depends on its text alone, to the last bit: not on the batch, the task or the document before."""
+    r = random.Random(11)
+    texts = ["", None, "one", "dog god dog", "same line here\n" * 3, junk(3), *("\n".join(prose(s * 5 + k, r.randrange(1, 40)) for k in range(r.randrange(1, 9))) for s in range(40))]
+    rows_ = [(i, texts[i % len(texts)]) for i in range(3 * len(texts))]
+    labels = spark.createDataFrame([(i, int(t != texts[5]), 0) for i, t in rows_], "doc_id long, quality int, toxic int")
+    one = {x["doc_id"]: x["score"] for x in quality_crf.scored(frame(spark, rows_), labels).collect()}
+    got = {x["doc_id"]: x["score"] for x in quality_crf.scored(frame(spark, r.sample(rows_, len(rows_))).repartition(tasks), labels, rows=rows).collect()}
+    assert got == one and len(set(one.values())) > 5
+    assert all(one[i] == one[i + len(texts)] == one[i + 2 * len(texts)] for i in range(len(texts)))
+
+
+def test_pieces_of_long_documents_have_the_same_features(monkeypatch):
+    text = "\n".join([*(prose(s, 30) for s in range(60)), "", "again and again and again", "again and again and again", "x" * 700])
+    whole = quality_crf.lines([text, "tail tail", text])
+    monkeypatch.setattr(quality_crf, "BULK", 400)
+    for a, b in zip(whole, quality_crf.lines([text, "tail tail", text]), strict=True):
+        assert np.array_equal(a, b)
+    assert whole[0][62, 16] == 1.0 and whole[0][0, 16] == 0.0
+    x = quality_crf.lines(["dog god cab bac", "dog dog cab cab"])[0]
+    assert x[0, 8] == 0 and x[1, 8] == 0.5  # anagrams are other words
+    monkeypatch.setattr(quality_crf, "LONGEST", 100)
+    assert quality_crf.lines(["y" * 250 + "\nz"])[2].tolist() == [4]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
