@@ -1,97 +1,121 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of slots of block_words words. Slot i maps the golden-ratio point frac(i * phi), computed exactly in
-64-bit fractions, through the cumulative targets to a source; a slot's rank within its source names the block that fills
-it. A source's documents stand in the order of a seeded hash, are cut into blocks of equal words, and the stream is walked
-at most max_epochs times. Ranks come from counts per chunk of slots and prefix sums over chunks, offsets from sums per
-hash bucket, so no source is ever sorted in one task. Golden-ratio counts miss a target by a few slots; ranks beyond a
-source's need are left out and missing ones follow at the end, so that a source takes its target to the word.
+The mix is a sequence of 2^k slots of equal word counts, real numbers that differ by less than a word once cut. Slot i maps
+the van der Corput point of i (its k bits reversed) through the cumulative targets to a source; a slot's rank among its
+source's slots names the block that fills it. A source's documents stand in the order of a seeded hash, are cut into blocks,
+and the stream is walked at most max_epochs times. What is taken of a source is what its slots ask for: a slot count is the
+length of the source's interval in 2^-k, so it misses the target by a block at most, and k grows until a block is a SHARP-th
+of the smallest target or LEAST words.
+
+Everything is keyed by source and spread: slots of an interval are made from pieces of it, ranks come from counts per chunk
+of slots and prefix sums over chunks, offsets from sums per hash bucket (as many as a source's documents need). Targets are
+filled by a few aggregations over the table of sources; its cumulative sums are one window over a slim row per source.
 
 A null text has no words and is never taken. A null source is a source, last in order. Rows that repeat a doc_id are
-documents of their own.
+documents of their own; rows that repeat doc_id and text, too, are taken by turns. A very long text fills many blocks. An
+empty table gives an empty mix. Only doc_id, source and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_WS, documents, slim, stored, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: 2^64 divided by the golden ratio, odd.
-GOLDEN = 11400714819323198485
-
-
-def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of total by weight, none above most times its size; the excess goes to the others by weight."""
-    caps = [float(most * s) for s in sizes]
-    targets, open_, left = [0.0] * len(sizes), set(range(len(sizes))), min(total, math.fsum(caps))
-    while open_:
-        whole = math.fsum(weights[i] for i in open_)
-        full = {i for i in open_ if left * weights[i] / whole > caps[i]}
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / whole
-            break
-        for i in full:
-            targets[i] = caps[i]
-        left = max(0.0, left - math.fsum(caps[i] for i in full))
-        open_ -= full
-    return targets
-
-
-def schedule(spark: SparkSession, targets: list[float], needs: list[int], chunk: int = 1 << 16) -> DataFrame:
-    """(slot, s, rank): which block of which source (by its place in targets) fills each slot."""
-    total, n = math.fsum(targets) or 1.0, sum(needs)
-    ends, at = [], 0.0
-    for t in targets[:-1]:
-        at += t / total
-        ends.append(at)
-    point = ((F.col("id").cast("decimal(18,0)") * F.lit(str(GOLDEN)).cast("decimal(20,0)")) % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("double") / float(1 << 64)
-    s = F.size(F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<double>"), lambda e: e <= F.col("x")))
-    slots = spark.range(1, n + 1).withColumn("x", point).select("id", s.alias("s"), F.floor(F.col("id") / chunk).alias("chunk"))
+BLOCK_WORDS = 1024
+SHARP = 128
+LEAST = 16
+#: Slots that a row of an interval becomes, and that a chunk of the ranking holds.
+CHUNK = 1 << 14
+
+
+def water_fill(sources: DataFrame, total: float, most: float) -> DataFrame:
+    """sources (s, weight, size, ...) with target: shares of total by weight, none above most times its size; the excess goes
+    to the others by weight. Each pass over the table closes the sources that are full; few passes close any."""
+    caps = F.col("size") * float(most)
+    sums = sources.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), F.coalesce(F.sum(caps), F.lit(0.0)).alias("c")).first()
+    left, open_ = min(total, sums["c"]), sums["w"]
+    level, full = left / open_ if open_ else 0.0, F.lit(False)
+    while True:  # the level rises with each pass, so a source that is full stays so
+        full = caps <= F.col("weight") * level
+        now = sources.agg(F.coalesce(F.sum(F.when(full, caps)), F.lit(0.0)).alias("c"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("w"), F.count_if(~full).alias("n")).first()
+        new = (left - now["c"]) / now["w"] if now["n"] else level
+        if new <= level * (1 + 1e-12):
+            return sources.withColumn("target", F.when(full, caps).otherwise(F.col("weight") * level))
+        level = new
+
+
+def bits_for(total: float, smallest: float) -> int:
+    """k: blocks of at most BLOCK_WORDS words, smaller ones for small targets."""
+    words = min(BLOCK_WORDS, max(LEAST, smallest / SHARP))
+    return max(0, math.ceil(math.log2(max(1.0, total / words))))
+
+
+def corput(i: Column, k: int) -> Column:
+    """The k bits of i in reverse: its van der Corput point in units of 2^-k."""
+    for shift, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        i = F.shiftrightunsigned(i, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(i.bitwiseAND(F.lit(mask)), shift))
+    return F.shiftrightunsigned(F.shiftrightunsigned(i, 32).bitwiseOR(F.shiftleft(i, 32)), 64 - k) if k else F.lit(0).cast("long")
+
+
+def schedule(targets: DataFrame, k: int, chunk: int = CHUNK, point: str = "corput") -> DataFrame:
+    """(slot, s, rank): which block of which source fills each of the 2^k slots. targets: (s, target), in the order of s.
+
+    point: "corput", or "ordered" for one source after another, which is what a schedule without spreading would do."""
+    order = Window.orderBy("s")  # a slim row a source
+    ends = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    of = targets.select("s", ends.alias("end"), F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    cut = of.select("s", F.round(F.col("end") / F.col("all") * float(1 << k)).cast("long").alias("to"))
+    cut = cut.withColumn("from", F.coalesce(F.lag("to").over(order), F.lit(0).cast("long"))).filter("from < to")
+    pieces = cut.select("s", "to", F.explode(F.sequence("from", F.col("to") - 1, F.lit(chunk).cast("long"))).alias("from")).select("s", "from", F.least(F.col("from") + chunk, "to").alias("to"))
+    points = pieces.repartition("s", "from").select("s", F.explode(F.sequence("from", F.col("to") - 1)).alias("point"))
+    slots = points.select("s", (corput(F.col("point"), k) if point == "corput" else F.col("point")).alias("slot"))
+    slots = slots.withColumn("chunk", F.floor(F.col("slot") / (chunk << 4)))
     counts = slots.groupBy("s", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("s", "chunk", (F.sum("n").over(Window.partitionBy("s").orderBy("chunk")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("id")) - 1
-    ranked = slots.withColumn("local", local).join(before, ["s", "chunk"]).select(F.col("id").alias("slot"), "s", (F.col("before") + F.col("local")).alias("rank"))
-    need = spark.createDataFrame(list(enumerate(needs)), "s int, need long")
-    have = counts.groupBy("s").agg(F.sum("n").alias("have"))
-    missing = need.join(have, "s", "left").filter("need > coalesce(have, 0)").select("s", F.explode(F.sequence(F.coalesce("have", F.lit(0)), F.col("need") - 1)).alias("rank"))
-    return ranked.join(need, "s").filter("rank < need").drop("need").unionByName(missing.select((F.lit(n + 1) + F.col("rank")).alias("slot"), "s", "rank"))
+    local = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
+    return slots.withColumn("local", local).join(before, ["s", "chunk"]).select("slot", "s", (F.col("before") + F.col("local")).alias("rank"))
 
 
 class Mix:
-    """plan: (slot, doc_id, source, key, first_word, words), the mix's pieces; docs: one row per document with its target."""
+    """plan: (slot, s, doc_id, source, key, at, epoch, first_word, words), the mix's pieces by slot; docs: a row per document with
+    its source's target. block_words is the real number of words that each slot holds."""
 
-    def __init__(self, docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = 1024, bucket_docs: int = 50_000, seed: int = 0) -> None:
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, bucket_docs: int = 4096, seed: int = 0, point: str = "corput") -> None:
         d = slim(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
         d = d.select("doc_id", "source", F.regexp_count("text", F.lit(NOT_WS + "+")).cast("long").alias("size"), F.xxhash64("text").alias("key"))
         sized = stored(d.withColumn("h", F.xxhash64("doc_id", "key", F.lit(seed))), "sizes")
-        sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
-        sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-        sizes = [r["size"] for r in sums]
-        targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sums))], share * sum(sizes), max_epochs)
-        quotas = [min(math.floor(t + 0.5), max_epochs * s) for t, s in zip(targets, sizes, strict=True)]
-        told = spark.createDataFrame([(i, r["source"], r["size"], t, q) for i, (r, t, q) in enumerate(zip(sums, targets, quotas, strict=True))], "s int, name string, source_size long, target double, quota long")
-        told = F.broadcast(told) if len(sums) <= 100_000 else told
-        bits = max(0, math.ceil(math.log2(max(1, sum(r["n"] for r in sums)) / bucket_docs))) if sums else 0
-        mine = sized.join(told, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+        sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        named = sums.withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long") - 1)  # a slim row a source
+        weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights)).cast("int"))
+        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / bucket_docs))).cast("int")
+        sources = stored(named.select("s", F.col("source").alias("name"), "size", weight.alias("weight"), bits.alias("bits")), "sources")
+        size = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+        told = stored(water_fill(sources, share * size, max_epochs), "targets")
+        ask = told.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("all"), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0)).alias("least")).first()
+        self.bits = bits_for(ask["all"], ask["least"])
+        self.block_words = w = ask["all"] / (1 << self.bits) or 1.0
+        mine = sized.join(told.withColumnRenamed("size", "source_size"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+        mine = mine.withColumn("bucket", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(h, 64 - bits)")).otherwise(F.lit(0).cast("long")))
         buckets = mine.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
         before = buckets.select("s", "bucket", (F.sum("n").over(Window.partitionBy("s").orderBy("bucket")) - F.col("n")).alias("before"))
         running = F.sum("size").over(Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0))
         placed = mine.withColumn("running", running).join(before, ["s", "bucket"]).withColumn("at", F.col("before") + F.col("running") - F.col("size"))
-        self.docs = stored(placed.select("doc_id", "source", "size", "key", "s", "source_size", "target", "quota", "at"), "placed")
-        walks = self.docs.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("from", F.col("at") + F.col("epoch") * F.col("source_size"))
-        walks = walks.withColumn("to", F.least(F.col("from") + F.col("size"), "quota")).filter("from < to")
-        cut = walks.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("to") - 1) / block_words))))
-        start = F.greatest(F.col("rank") * block_words, "from")
-        blocks = cut.select("s", "rank", "doc_id", "source", "key", "at", (start - F.col("from")).alias("first_word"), (F.least((F.col("rank") + 1) * block_words, F.col("to")) - start).alias("words"))
-        needs = [-(-q // block_words) for q in quotas]
-        self.plan = schedule(spark, targets, needs).join(blocks, ["s", "rank"]).drop("rank")
+        self.docs = stored(placed.select("doc_id", "source", "size", "key", "s", "source_size", "target", "at"), "placed")
+        walks = self.docs.filter("size > 0 AND target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("from", F.col("at") + F.col("epoch") * F.col("source_size"))
+        # block r holds the words from floor(r w) on; a word past the last slot's end meets no slot
+        walks = walks.withColumn("to", F.col("from") + F.col("size")).filter(F.col("from") <= F.col("target") + 2 * w)
+        first = F.greatest(F.lit(0), F.floor(F.col("from") / w) - 1)
+        cut = walks.withColumn("rank", F.explode(F.sequence(first, F.floor(F.col("to") / w) + 1)))
+        start, stop = F.greatest(F.floor(F.col("rank") * w), "from"), F.least(F.floor((F.col("rank") + 1) * w), "to")
+        blocks = cut.withColumn("start", start).withColumn("stop", stop).filter("start < stop")
+        blocks = blocks.select("s", "rank", "doc_id", "source", "key", "at", "epoch", (F.col("start") - F.col("from")).alias("first_word"), (F.col("stop") - F.col("start")).alias("words"))
+        self.slots = schedule(told.select("s", "target"), self.bits, point=point)
+        self.plan = self.slots.join(blocks, ["s", "rank"]).drop("rank")
 
     def taken(self) -> DataFrame:
         """Per document: doc_id, source, size, source_size, target, taken, key."""
@@ -99,24 +123,25 @@ class Mix:
         on = (F.col("s") == F.col("s_")) & (F.col("at") == F.col("at_")) & (F.col("size") > 0)
         return self.docs.join(words, on, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "key")
 
+    def turns(self) -> DataFrame:
+        """(doc_id, key, copies, slot): each turn of a document that the mix takes, at the slot of its first word there. A turn
+        that ends with its source's last slot counts as a whole one if half of its words or more are in the mix."""
+        went = self.plan.groupBy("s", "at", "epoch").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"), F.any_value("doc_id").alias("doc_id"), F.any_value("key").alias("key"))
+        whole = went.join(self.docs.filter("size > 0").select("s", "at", "size"), ["s", "at"]).filter("2 * words >= size")
+        return whole.groupBy("doc_id", "key", "epoch").agg(F.min("slot").alias("slot"), F.count("*").alias("copies"))
+
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
-    """The mixed corpus with the columns of docs: a document comes as often as it is taken, one that is taken in part with
-    its first words alone (n_chars is then counted anew), one that is not taken not at all."""
-    many, whole, part, size, key, turn, id_, of = unused(docs, "m_taken", "m_whole", "m_part", "m_size", "m_key", "m_turn", "m_id", "m_of")
-    took = Mix(docs, **options).taken().filter("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("key").alias(of)).agg(F.sum("taken").alias(many), F.max("size").alias(size))
+    """The mixed corpus with the columns of docs, in the order of the schedule: a whole document comes once for each turn that
+    the mix takes of it, at the slot that its first word fills. Written files follow that order."""
+    key, id_, of, slot, copies, turn = unused(docs, "m_key", "m_id", "m_of", "m_slot", "m_copies", "m_turn")
+    turns = Mix(docs, **options).turns().select(F.col("doc_id").alias(id_), F.col("key").alias(of), F.col("slot").alias(slot), F.col("copies").alias(copies))
     mine = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows share what they are taken
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows share their turns
         mine = mine.dropDuplicates(["doc_id", key])
-    out = mine.join(took, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)))
-    out = out.withColumn(whole, F.floor(F.col(many) / F.col(size))).withColumn(part, F.col(many) % F.col(size))
-    out = out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(whole) + F.when(F.col(part) > 0, 1).otherwise(0))))
-    cut = F.col(turn) > F.col(whole)
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({NOT_WS}+)")), F.lit(1), F.col(part).cast("int")), " ")
-    out = out.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = mine.join(turns, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)))
+    out = out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return out.repartitionByRange(slot).sortWithinPartitions(slot, "doc_id", turn).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,16 +170,64 @@ def test_pieces_of_a_long_text(monkeypatch):
         assert np.array_equal(np.concatenate([p[k] for p in pieces]), s)
 
 
-def test_water_fill():
-    assert mixing.water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert mixing.water_fill([0, 10], [5, 2], 15, 2) == [0.0, 15.0]
-    assert mixing.water_fill([], [], 0, 2) == []
+def filled(sizes, weights, total, most):
+    """Water filling by bisection on the level."""
+    low, high = 0.0, max([most * s / w for s, w in zip(sizes, weights, strict=True)], default=0.0)
+    total = min(total, most * sum(sizes))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(most * s, w * mid) for s, w in zip(sizes, weights, strict=True)) < total else (low, mid)
+    return [min(most * s, w * high) for s, w in zip(sizes, weights, strict=True)]
+
+
+@pytest.mark.parametrize("sizes", [[0, 10], [], [1000, 1, 1, 1, 500, 3]])
+def test_water_fill(spark, sizes):
+    weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+    df = spark.createDataFrame(list(zip(range(len(sizes)), weights, sizes)), "s long, weight double, size long")
+    got = [r["target"] for r in mixing.water_fill(df, 1.5 * sum(sizes), 2).orderBy("s").collect()]
+    assert got == pytest.approx(filled(sizes, weights, 1.5 * sum(sizes), 2))
+
+
+def mix_docs(spark, nasty):
+    return nasty.union(frame(spark, [(1000 + i, prose(i, 5 + i % 50), "en", f"s{i % 4}") for i in range(120)]))
+
+
+@pytest.mark.parametrize("point", ["corput", "ordered"])
+def test_mix_equals_brute_force(spark, nasty, nothing, point):
+    """Slots map to sources, ranks to blocks, blocks to words; what is taken is what the slots hold."""
+    docs = mix_docs(spark, nasty)
+    mix = mixing.Mix(docs, bucket_docs=20, point=point)
+    rows = mix.docs.collect()
+    names = sorted({r["source"] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r["size"] for r in rows if r["source"] == x) for x in names]
+    targets = filled(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2)
+    n = 1 << mix.bits
+    ends = [round(sum(targets[: i + 1]) / sum(targets) * n) for i in range(len(names))]
+    want, rank = {}, Counter()
+    for slot in range(n):
+        at = int(f"{slot:0{mix.bits}b}"[::-1], 2) if point == "corput" else slot
+        s = next(i for i, e in enumerate(ends) if at < e)
+        w, r = mix.block_words, rank[s]
+        rank[s] += 1
+        for word in range(math.floor(r * w), math.floor((r + 1) * w)):
+            if word < 2 * sizes[s]:
+                d = next(x for x in rows if x["source"] == names[s] and x["at"] <= word % sizes[s] < x["at"] + x["size"])
+                key = (slot, s, str(d["doc_id"]), d["at"], word // sizes[s])
+                low, many = want.get(key, (word % sizes[s] - d["at"], 0))
+                want[key] = low, many + 1
+    got = {(r["slot"], r["s"], str(r["doc_id"]), r["at"], r["epoch"]): (r["first_word"], r["words"]) for r in mix.plan.collect()}
+    assert got == want
+    took = Counter()
+    for (_, s, d, at, _), (_, many) in want.items():
+        took[names[s], d, at] += many
+    assert {(r["source"], str(r["doc_id"])): 0 for r in rows}.keys() == {(r["source"], str(r["doc_id"])): 0 for r in mix.taken().collect()}.keys()
+    assert sum(r["taken"] for r in mix.taken().collect()) == sum(took.values())
+    assert mixing.mixed(nothing).count() == 0 and mixing.Mix(nothing).taken().count() == 0
 
 
-@pytest.mark.parametrize("block_words", [7, 1024])
-def test_mix_takes_its_targets(spark, nasty, nothing, block_words):
-    docs = nasty.union(frame(spark, [(1000 + i, prose(i, 5 + i % 50), "en", f"s{i % 4}") for i in range(120)]))
-    mix = mixing.Mix(docs, block_words=block_words, bucket_docs=20)
+def test_mix_comes_near_its_targets(spark, nasty):
+    docs = mix_docs(spark, nasty)
+    mix = mixing.Mix(docs)
     rows = mix.taken().collect()
     assert len(rows) == docs.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
     by = {}
@@ -187,20 +235,42 @@ def test_mix_takes_its_targets(spark, nasty, nothing, block_words):
         by.setdefault(r["source"], [r["target"], 0, 0])
         by[r["source"]][1] += r["taken"]
         by[r["source"]][2] += r["size"]
-    assert all(abs(t - k) <= 0.5 and t <= 2 * s for t, k, s in by.values())
+    assert all(abs(t - k) <= mix.block_words + 1 and t <= 2 * s for t, k, s in by.values())
     assert sum(t for t, _, _ in by.values()) == pytest.approx(1.5 * sum(s for _, _, s in by.values()))
-    again = mixing.Mix(docs.repartition(3), block_words=block_words, bucket_docs=20).taken().collect()
-    assert sorted(map(str, rows)) == sorted(map(str, again))
-    out = mixing.mixed(docs)
-    assert out.columns == docs.columns and sum(len(words_of(r["text"])) for r in out.collect()) == sum(r["taken"] for r in rows)
-    assert mixing.mixed(nothing).count() == 0 and mixing.Mix(nothing).taken().count() == 0
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.Mix(docs.repartition(3)).taken().collect()))
+
+
+def test_mixed_holds_whole_texts_in_slot_order(spark, nasty):
+    docs = mix_docs(spark, nasty)
+    texts = {r["text"] for r in docs.collect()}
+
+    def rows(point):
+        out = mixing.mixed(docs, point=point)
+        assert out.columns == docs.columns
+        return [(r["source"], r["doc_id"], r["text"]) for r in out.coalesce(1).collect()]
+
+    spread, ordered = rows("corput"), rows("ordered")
+    assert all(t in texts for *_, t in spread) and Counter(spread).most_common(1)[0][1] <= 4
+    assert [s for s, *_ in spread] != [s for s, *_ in ordered]
+    assert len({s for s, *_ in spread[:40]}) > len({s for s, *_ in ordered[:40]})
+    mix, words, most = mixing.Mix(docs), Counter(), Counter()
+    for s, _, t in spread:
+        words[s] += len(words_of(t))
+    took = Counter()
+    for r in mix.taken().collect():
+        took[r["source"]] += r["taken"]
+        most[r["source"]] = max(most[r["source"]], r["size"])
+    assert all(abs(words[s] - took[s]) <= most[s] / 2 + 1 for s in took)  # a source's last turn is whole or left out
 
 
 def test_schedule_stays_near_the_weights(spark):
-    slots = [r["s"] for r in mixing.schedule(spark, [5.0, 2.0, 1.0], [500, 200, 100], chunk=64).orderBy("slot").collect()]
-    assert Counter(slots) == {0: 500, 1: 200, 2: 100}
-    for n in (8, 80, 400):
-        assert all(abs(slots[:n].count(s) - n * w / 8) <= 4 for s, w in enumerate((5, 2, 1)))
+    df = spark.createDataFrame([(0, 500.0), (1, 200.0), (2, 100.0)], "s long, target double")
+    slots = [(r["s"], r["rank"]) for r in mixing.schedule(df, 10, chunk=8).orderBy("slot").collect()]
+    assert Counter(s for s, _ in slots) == {0: 640, 1: 256, 2: 128}
+    for s in range(3):
+        assert [r for x, r in slots if x == s] == list(range(Counter(x for x, _ in slots)[s]))
+    for n in (8, 80, 400, 1000):
+        assert all(abs(sum(x == s for x, _ in slots[:n]) - n * w / 8) <= 4 for s, w in enumerate((5, 2, 1)))
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
