@@ -8,8 +8,8 @@ length of the source's interval in 2^-k, so it misses the target by a block at m
 of the smallest target or LEAST words.
 
 Everything is keyed by source and spread: slots of an interval are made from pieces of it, ranks come from counts per chunk
-of slots and prefix sums over chunks, offsets from sums per hash bucket (as many as a source's documents need). Targets are
-filled by a few aggregations over the table of sources; its cumulative sums are one window over a slim row per source.
+of slots and prefix sums over chunks, offsets from sums per hash bucket (as many as a source's documents need). Targets and
+their cumulative sums come from windows over a slim row per source.
 
 A null text has no words and is never taken. A null source is a source, last in order. Rows that repeat a doc_id are
 documents of their own; rows that repeat doc_id and text, too, are taken by turns. A very long text fills many blocks. An
@@ -33,20 +33,22 @@ LEAST = 16
 CHUNK = 1 << 14
 
 
-def water_fill(sources: DataFrame, total: float, most: float) -> DataFrame:
-    """sources (s, weight, size, ...) with target: shares of total by weight, none above most times its size; the excess goes
-    to the others by weight. Each pass over the table closes the sources that are full; few passes close any."""
-    caps = F.col("size") * float(most)
-    sums = sources.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), F.coalesce(F.sum(caps), F.lit(0.0)).alias("c")).first()
-    left, open_ = min(total, sums["c"]), sums["w"]
-    level, full = left / open_ if open_ else 0.0, F.lit(False)
-    while True:  # the level rises with each pass, so a source that is full stays so
-        full = caps <= F.col("weight") * level
-        now = sources.agg(F.coalesce(F.sum(F.when(full, caps)), F.lit(0.0)).alias("c"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("w"), F.count_if(~full).alias("n")).first()
-        new = (left - now["c"]) / now["w"] if now["n"] else level
-        if new <= level * (1 + 1e-12):
-            return sources.withColumn("target", F.when(full, caps).otherwise(F.col("weight") * level))
-        level = new
+def water_fill(sources: DataFrame, share: float, most: float) -> DataFrame:
+    """sources (s, weight, size, ...) with target: share times all sizes, by weight, none above most times its size; the excess
+    goes to the others by weight.
+
+    In ascending order of cap / weight a source is full if its level, with all sources before it full, asks no more than
+    there is; what the full ones leave is the others' level."""
+    cap = F.col("size") * float(most)
+    by = Window.orderBy(cap / F.col("weight"), "s")  # a slim row a source
+    all_ = Window.partitionBy()
+    before = F.coalesce(F.sum(cap).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
+    left = F.least(F.sum("size").over(all_) * float(share), F.sum(cap).over(all_))
+    told = sources.withColumn("left_", left).withColumn("full_", before + cap / F.col("weight") * rest <= F.col("left_") * (1 + 1e-15))
+    spare = F.col("left_") - F.sum(F.when(F.col("full_"), cap).otherwise(0.0)).over(all_)
+    level = spare / F.sum(F.when(F.col("full_"), 0.0).otherwise(F.col("weight"))).over(all_)
+    return told.withColumn("target", F.when(F.col("full_"), cap).otherwise(F.col("weight") * level)).drop("left_", "full_")
 
 
 def bits_for(total: float, smallest: float) -> int:
@@ -57,9 +59,7 @@ def bits_for(total: float, smallest: float) -> int:
 
 def corput(i: Column, k: int) -> Column:
     """The k bits of i in reverse: its van der Corput point in units of 2^-k."""
-    for shift, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
-        i = F.shiftrightunsigned(i, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(i.bitwiseAND(F.lit(mask)), shift))
-    return F.shiftrightunsigned(F.shiftrightunsigned(i, 32).bitwiseOR(F.shiftleft(i, 32)), 64 - k) if k else F.lit(0).cast("long")
+    return F.conv(F.reverse(F.lpad(F.bin(i), k, "0")), 2, 10).cast("long") if k else F.lit(0).cast("long")
 
 
 def schedule(targets: DataFrame, k: int, chunk: int = CHUNK, point: str = "corput") -> DataFrame:
@@ -93,9 +93,8 @@ class Mix:
         named = sums.withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long") - 1)  # a slim row a source
         weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights)).cast("int"))
         bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / bucket_docs))).cast("int")
-        sources = stored(named.select("s", F.col("source").alias("name"), "size", weight.alias("weight"), bits.alias("bits")), "sources")
-        size = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-        told = stored(water_fill(sources, share * size, max_epochs), "targets")
+        sources = named.select("s", F.col("source").alias("name"), "size", weight.alias("weight"), bits.alias("bits"))
+        told = stored(water_fill(sources, share, max_epochs), "targets")
         ask = told.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("all"), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0)).alias("least")).first()
         self.bits = bits_for(ask["all"], ask["least"])
         self.block_words = w = ask["all"] / (1 << self.bits) or 1.0

@@ -184,7 +184,7 @@ def filled(sizes, weights, total, most):
 def test_water_fill(spark, sizes):
     weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
     df = spark.createDataFrame(list(zip(range(len(sizes)), weights, sizes)), "s long, weight double, size long")
-    got = [r["target"] for r in mixing.water_fill(df, 1.5 * sum(sizes), 2).orderBy("s").collect()]
+    got = [r["target"] for r in mixing.water_fill(df, 1.5, 2).orderBy("s").collect()]
     assert got == pytest.approx(filled(sizes, weights, 1.5 * sum(sizes), 2))
 
 
