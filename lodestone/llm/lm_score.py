@@ -1,33 +1,32 @@
 """Language-model scores by logistic context mixing over bits.
 
-The text is its lower-cased words (A-Z alone are folded) and one end, read in order as a stream of bytes: each word and a
-blank, and a blank more for the end. A byte is the bits of a Huffman code. Each bit is predicted from several hashed
-contexts: the last one, two, three, four and six bytes, which reach into the words before, the word's bytes so far, and
-these with the whole word before. Their counts come from all training documents, those whose crc32(doc_id) mod 5 is not
-1; the count of a word's bytes so far is the word's share, as an input to the mix. The predictions are stretched, weighted
-by weights that the context's count gates, added and squashed; weights are learned online by gradient descent on the
-coding cost over the training documents in every task, each bit's own occurrence left out of its counts, and averaged. A
-last adaptive map from the mixed prediction and the depth in the code to the frequency that was seen refines it.
-
-The tables are hashed, so exact shares are mixed in beside them. A word that occurs has its discounted share of the tokens
-of a language of the training documents (column lang, the KINDS - 1 commonest and a rest), backing off to the shares over
-all, and what the discounts free goes to the mixer's prediction of the word where it stands. Per language there are two
-models of the next word, these shares and their BLEND with the mixer, and the mixer alone is one more. A text's prediction
-is the mixture of the models', whose weights follow from what was read so far (as a product over the text that is the sum
-over models of prior times likelihood; a scored text's own lang is not used). All tables that grow with the corpus stay
-distributed, and what is collected (count tables of fixed size, weights, the most frequent words) is bounded.
+A text is its lower-cased words (A-Z alone are folded) and one end, read in order and coded bit by bit: a word of the
+vocabulary is a path in a Huffman tree over words; any other is the tree's escape and then its bytes and a blank, each a path
+in a Huffman tree over bytes. Each bit is predicted from several hashed contexts together with its node: nothing, the
+language that most words of the last WINDOW have, the word before, the two before, the one before that alone; for a spelled
+word its last one, two and three bytes, its bytes so far, and the language with the last byte. Their counts come from all
+training documents, those whose crc32(doc_id) mod 5 is not 1. One more input follows the text itself: what the
+node's bits were in it so far. Predictions are stretched, weighted by weights that the context's
+count gates, added and squashed. The weights are learned online by gradient descent on the coding cost over the training
+documents in every task, each bit's own occurrence left out of its counts, and averaged. A last adaptive map from the mixed
+prediction and the depth in the tree to the frequency that was seen refines it. A text's score is the sum over its bits.
+
+The vocabulary are the words of LEAST training occurrences or more, with a higher bound where there are more than FREQUENT of
+them. A word's language is the column lang (KINDS - 1 commonest and a rest) of half its occurrences or more; a scored text's
+own lang is not used. Word counts stay distributed; collected are count tables of fixed size, weights and the vocabulary.
 
 A null or empty text is an end alone. Rows that repeat a doc_id come back each; a null doc_id's remainder is that of the
-empty string. Without training documents all counts are zero and the base is one of an empty vocabulary.
+empty string. A very long text is read BULK bytes at a time, with the words before as context; what it follows of itself
+starts anew there. Without training documents all counts are zero and the base is one of an empty vocabulary; an empty table
+gives no row. Only doc_id, lang and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import count
+from collections.abc import Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,55 +36,79 @@ from pyspark.sql import types as T
 
 from .common import arrow_rows, documents, held_out_modulus, release, slim, stored
 
-CONTEXTS = 7
-SLOT_BITS = 20
-BLOCK_BITS = 14
-GATES = 8
-WEIGHT = 0.3  # of each prediction at first
-DISCOUNT = 0.75
-#: The shares' part in their mixture with the bit predictors, word by word.
-BLEND = 0.5
-#: The prior of the shares' models; what is left goes to their blends and to the mixer alone by halves.
-PRIOR = 0.9
-#: Bytes of the texts that are worked on at once, and words before a piece of a longer text that its contexts may need.
-BULK = 1 << 15
-LEAD = 6
-PAD = 8
-BASE = 0x9E3779B97F4A7C15
 FREQUENT = 1 << 16
+LEAST = 2
+LONGEST = 64  # bytes of a word of the vocabulary
 KINDS = 8
-LN10 = float(np.log(10))
+WINDOW = 16
+NODE_BITS = 17
+#: Slots, as powers of two, of the words' contexts and of the bytes'.
+WORD_BITS = (NODE_BITS, NODE_BITS + 3, 22, 22, 21)
+BYTE_BITS = (17, 18, 19, 19, 18)
+OFFSETS = np.cumsum([0, *(1 << b for b in WORD_BITS + BYTE_BITS)])
+SLOTS = int(OFFSETS[-1])
+FOLLOWED = 1
+INPUTS = (len(WORD_BITS) + FOLLOWED, len(BYTE_BITS))
+GATES = 8
+#: Weights at first: of the node alone or the byte before, and of each other prediction.
+FIRST, WEIGHT = 1.0, 0.0
+RATE = 0.15
+STEP = 1 << 15  # bits between two changes of the weights
+BLOCK = 1 << 16  # counts that travel together
+BULK = 1 << 16
+BASE = 0x9E3779B97F4A7C15
 
 WORDS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("c", T.LongType())])
 BYTES = T.StructType([T.StructField("counts", T.BinaryType())])
 TABLE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 LEARNED = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("seen", T.BinaryType()), T.StructField("n", T.LongType())])
-
-
 PARTS = T.StructType([
     T.StructField("row", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n", T.LongType()),
-    T.StructField("known", T.LongType()), T.StructField("mixer", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType())),
+    T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
 ])
 
 
-def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each byte its path of (node, bit); nodes are numbered below 256."""
-    tie = count()
-    heap: list[tuple] = [(int(c) + 1, next(tie), b, None, None) for b, c in enumerate(counts)]
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        x, y = heapq.heappop(heap), heapq.heappop(heap)
-        heapq.heappush(heap, (x[0] + y[0], next(tie), None, x, y))
-    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    todo, names = [(heap[0], [])], count()
-    while todo:
-        (_, _, b, x, y), path = todo.pop()
-        if b is not None:
-            paths[b] = path
-        else:
-            n = next(names)
-            todo += [(x, [*path, (n, 0)]), (y, [*path, (n, 1)])]
-    return paths
+class Code:
+    """A Huffman code: for symbol s the nodes and bits of its path are node[first[s] : first[s] + size[s]] and bit[...]."""
+
+    def __init__(self, counts: list[int]) -> None:
+        tie = count()
+        heap: list[tuple] = [(c + 1, next(tie), s, None, None) for s, c in enumerate(counts)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            x, y = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (x[0] + y[0], next(tie), None, x, y))
+        paths: list[tuple] = [()] * len(counts)
+        todo, names = [(heap[0], ())], count()
+        while todo:
+            (_, _, s, x, y), path = todo.pop()
+            if s is not None:
+                paths[s] = path
+            else:
+                n = next(names)
+                todo += [(x, (*path, (n, 0))), (y, (*path, (n, 1)))]
+        self.size = np.array([len(p) for p in paths])
+        self.first = np.cumsum(self.size) - self.size
+        self.node = np.array([n for p in paths for n, _ in p], np.uint32)
+        self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+
+    def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For the bits of some symbols: the symbol's place, node, depth, bit."""
+        n = self.size[symbols]
+        depth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(self.first[symbols], n) + depth
+        return np.repeat(np.arange(len(symbols)), n), self.node.take(at), depth, self.bit.take(at)
+
+
+class Model:
+    """The vocabulary (word -> symbol), the symbols' languages, and the codes of words and bytes."""
+
+    def __init__(self, words: list[tuple[bytes, int, int]], rest: int, letters: np.ndarray) -> None:
+        """words: (word, count, kind), the end, the empty word, among them; rest: training tokens that are none of them."""
+        self.symbol = {w: i for i, (w, _, _) in enumerate(words)}
+        self.end, self.escape = self.symbol[b""], len(words)
+        self.kind = np.array([k for _, _, k in words] + [KINDS - 1], np.int64)
+        self.words, self.bytes = Code([c for _, c, _ in words] + [rest]), Code(letters.tolist())
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -94,76 +117,98 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-POWERS = [_powers(b, 2 * BULK) for b in (BASE, pow(BASE, -1, 1 << 64))]
+POWERS = [_powers(b, 4 * BULK) for b in (BASE, pow(BASE, -1, 1 << 64))]
+
+
+def _slots(k: int, bits: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots of hashed contexts (uint32) with their nodes in table k."""
+    x = (context + node * np.uint32(0x85EBCA6B)) * np.uint32(0x27D4EB2F)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x165667B1)
+    return (x >> np.uint32(32 - bits)).astype(np.int64) + int(OFFSETS[k])
+
+
+def _so_far(keys: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits of the same key were 0 and 1 before each bit."""
+    size = len(keys)
+    sorted_ = np.sort(keys * size + np.arange(size))  # keys with their places: any sort is stable
+    order = sorted_ % max(1, size)
+    sorted_ //= max(1, size)
+    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[:size]
+    count = np.diff(np.append(begin, size))
+    ones = np.cumsum(bit.take(order), dtype=np.int64) - bit.take(order)
+    n = np.empty((2, size), np.int64)
+    n[1, order] = ones - np.repeat(ones.take(begin), count)
+    n[0, order] = np.arange(size) - np.repeat(begin, count)
+    n[0] -= n[1]
+    return n[0], n[1]
 
 
 class Bits:
-    """The bits of some pieces of texts, all at once: which coded word, the node's depth, the bit, and the slot in each table.
+    """The bits of pieces of texts, all at once, in two groups, words and spelled bytes: (slots of each context, bit, depth,
+    piece, counts of the text so far).
 
     A piece is (lead, words): the lead is context and isn't coded."""
 
-    def __init__(self, pieces: list[tuple[list[bytes], list[bytes]]], paths: list[list[tuple[int, int]]]) -> None:
-        size = np.array([len(p) for p in paths])
-        first = np.cumsum(size) - size
-        nodes = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x85EBCA6B)
-        bits = np.array([b for p in paths for _, b in p], np.uint8)
-        pad = b"\0" * PAD
-        data = np.frombuffer(b"".join([x for lead, words in pieces for x in (pad, b" ".join(lead + words), b" ")]), np.uint8)
-        leads = np.fromiter((len(x) for x, _ in pieces), np.int64, len(pieces))
-        counts = leads + np.fromiter((len(x) for _, x in pieces), np.int64, len(pieces))
-        opened = np.cumsum(counts) - counts  # each piece's first word
-        ends = np.flatnonzero(data == 32)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        of = np.repeat(np.arange(len(ends)), ends + 1 - starts)  # each byte's word
-        starts[opened] += PAD
-        coded = np.arange(len(ends)) - np.repeat(opened, counts) >= np.repeat(leads, counts)
-        pos = np.flatnonzero(coded[of] & (np.arange(len(data)) >= starts[of]))
-        up, down = POWERS if len(data) <= 2 * BULK else [_powers(b, len(data)) for b in (BASE, pow(BASE, -1, 1 << 64))]
-        sums = np.zeros(len(data) + 1, np.uint64)  # of the bytes before, each by its place's power
-        np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        prefix = (sums[:-1] - sums[starts][of]) * down[starts][of]
-        before = np.zeros(len(ends), np.uint64)
-        before[1:] = ((sums[ends] - sums[starts]) * down[starts])[:-1] + np.uint64(1)
-        before[opened] = 0
-        before = (before * np.uint64(0xC2B2AE3D27D4EB4F))[of]
-        h, contexts = np.zeros(len(pos), np.uint32), []
-        for k in range(1, 7):
-            h = (h ^ (data[pos - k].astype(np.uint32) + np.uint32(k << 10))) * np.uint32(0x9E3779B1)
+    def __init__(self, pieces: list[tuple[list[bytes], list[bytes]]], model: Model, follow: bool = True) -> None:
+        counts = np.array([len(a) + len(b) for a, b in pieces])
+        flat = [w for piece in pieces for some in piece for w in some]
+        symbols = np.array(list(map(model.symbol.get, flat, repeat(model.escape))), np.int64)
+        opened = np.cumsum(counts) - counts
+        piece = np.repeat(np.arange(len(pieces)), counts)
+        place = np.arange(len(symbols)) - opened[piece]
+        coded = np.flatnonzero(place >= np.array([len(a) for a, _ in pieces])[piece])
+        before = np.full((2, len(symbols)), model.end)
+        for k in (1, 2):
+            before[k - 1, k:] = np.where(place[k:] >= k, symbols[:-k], model.end)
+        sums = np.zeros((len(symbols) + 1, KINDS - 1), np.int32)
+        np.cumsum(model.kind[symbols][:, None] == np.arange(KINDS - 1), axis=0, out=sums[1:])
+        at = np.arange(len(symbols))
+        near = sums[at] - sums[np.maximum(at - WINDOW, opened[piece])]
+        kind = np.where(near.max(axis=1, initial=0) > 0, near.argmax(axis=1), KINDS - 1)
+        of, node, depth, bit = model.words.spell(symbols[coded])
+        word = coded[of]
+        one, two = before[0].astype(np.uint32), before[1].astype(np.uint32)
+        mix = np.uint32(0x9E3779B1)
+        contexts = (one + np.uint32(1)) * mix, ((one + np.uint32(7)) * mix ^ (two + np.uint32(3))) * np.uint32(0xC2B2AE35), (two + np.uint32(11)) * np.uint32(0xC2B2AE3D)
+        slots = [node.astype(np.int64), int(OFFSETS[1]) + (kind.take(word) << NODE_BITS) + node]
+        slots += [_slots(k, WORD_BITS[k], c.take(word), node) for k, c in enumerate(contexts, 2)]
+        own = piece[word]
+        seen = [_so_far((own << NODE_BITS) + node, bit)] if follow else []
+        rare = coded[symbols[coded] == model.escape]
+        self.groups = [(slots, bit, np.minimum(depth, 7), own, seen), self._spelled([flat[i] for i in rare.tolist()], model, rare, piece, kind)]
+
+    def _spelled(self, words: list[bytes], model: Model, rare: np.ndarray, piece: np.ndarray, kind: np.ndarray) -> tuple:
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        data = np.frombuffer(b"".join([x for w in words for x in (w, b" ")]), np.uint8)
+        start = np.repeat(np.cumsum(size) - size, size)
+        owner, at = np.repeat(rare, size), np.arange(len(data))
+        up, down = POWERS if len(data) <= 4 * BULK else [_powers(b, len(data)) for b in (BASE, pow(BASE, -1, 1 << 64))]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=sums[1:])
+        prefix = (sums[:-1] - sums[start]) * down[start]
+        h, contexts = np.zeros(len(data), np.uint32), []
+        for k in (1, 2, 3):
+            back = np.where(at - k >= start, data[np.maximum(at - k, 0)] if len(data) else data, 0).astype(np.uint32)
+            h = (h ^ (back + np.uint32(k << 10))) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-            if k != 5:
-                contexts.append(h)
-        for x in (prefix, prefix + before):
-            x = x[pos]
-            contexts.append(((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
-        n = size[data[pos]]
-        depth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        code = np.repeat(first[data[pos]], n) + depth
-        node = nodes[code]
-        self.bit, self.depth = bits[code], np.minimum(depth, 7)
-        self.words = int(coded.sum())
-        self.word = np.repeat((np.cumsum(coded) - 1)[of[pos]], n)
-        self.slots = []
-        for k, c in enumerate(contexts):
-            x = (np.repeat(c, n) + node) * np.uint32(0x27D4EB2F)
-            x ^= x >> np.uint32(13)
-            x *= np.uint32(0x165667B1)
-            self.slots.append((x >> np.uint32(32 - SLOT_BITS)).astype(np.int64) + (k << SLOT_BITS))
-
-
-def _of_texts(column: list[bytes]) -> Iterator[list[bytes]]:
-    """Each text's words in order, the end as the empty word."""
-    return ([*text.lower().split(), b""] for text in column)
+            contexts.append(h)
+        contexts.append(((prefix ^ (prefix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+        contexts.append((contexts[0] + kind[owner].astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA77))
+        of, node, depth, bit = model.bytes.spell(data.astype(np.int64))
+        slots = [_slots(len(WORD_BITS) + k, BYTE_BITS[k], c.take(of), node) for k, c in enumerate(contexts)]
+        return slots, bit, np.minimum(depth, 7), piece[owner[of]], []
 
 
-def _of_words(column: list[bytes]) -> Iterator[list[bytes]]:
-    """Each word as a text of its own, without an end."""
-    return ([word] for word in column)
+def _words(text: bytes) -> list[bytes]:
+    """A text's words in order and its end, the empty word."""
+    return [*text.lower().split(), b""]
 
 
-def _bulks(texts: Iterator[list[bytes]]) -> Iterator[list[tuple[list[bytes], list[bytes]]]]:
-    """Pieces of the texts in order, about BULK bytes at a time; a longer text is cut between words."""
-    held, size = [], 0
-    for words in texts:
+def _bulks(texts: Iterator[list[bytes]]) -> Iterator[tuple[list[int], list[tuple[list[bytes], list[bytes]]]]]:
+    """Pieces of the texts in order with their texts' places, about BULK bytes at a time; a longer text is cut between words."""
+    held, places, size = [], [], 0
+    for place, words in enumerate(texts):
         n = sum(map(len, words)) + len(words)
         if n <= BULK:
             cuts = [0, len(words)]
@@ -173,12 +218,13 @@ def _bulks(texts: Iterator[list[bytes]]) -> Iterator[list[tuple[list[bytes], lis
         for a, b in zip(cuts, cuts[1:]):
             mine = n if len(cuts) == 2 else sum(map(len, words[a:b])) + b - a
             if held and size + mine > BULK:
-                yield held
-                held, size = [], 0
-            held.append((words[max(0, a - LEAD) : a], words[a:b]))
+                yield places, held
+                held, places, size = [], [], 0
+            held.append((words[max(0, a - WINDOW) : a], words[a:b]))
+            places.append(place)
             size += mine
     if held:
-        yield held
+        yield places, held
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +242,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = held.setdefault(kind, Counter())
-            counts.update(text.lower().split())
-            counts[b""] += 1
+            held.setdefault(kind, Counter()).update(_words(text))
         if sum(map(len, held.values())) > 400_000:
             yield from flush()
     yield from flush()
@@ -210,31 +254,30 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column(0).to_pylist()
         times = np.repeat(batch.column(1).to_numpy(), [len(w) + 1 for w in words])
-        total += np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8), weights=times, minlength=256).astype(np.int64)
+        total += np.bincount(np.frombuffer(b"".join([x for w in words for x in (w, b" ")]), np.uint8), weights=times, minlength=256).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], BYTES.names)
 
 
 def _pack(table: np.ndarray) -> bytes:
-    return zlib.compress(table.astype("<i8").tobytes(), 1)
+    return pa.compress(table.astype("<i4").tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<i8")
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * BLOCK, codec="zstd", asbytes=True), "<i4")
 
 
-def _count_bits(paths: list, cut: Callable) -> object:
+def _count_bits(model: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        table, one = np.zeros(2 * CONTEXTS << SLOT_BITS, np.int32), np.int32(1)
-        for pieces in _bulks(w for batch in batches for w in cut(batch.column(0).to_pylist())):
-            bits = Bits(pieces, paths)
-            for s in bits.slots:
-                np.add.at(table, 2 * s + bits.bit, one)
-        step = 2 << BLOCK_BITS
-        for block in range(len(table) // step):
-            x = table[block * step : (block + 1) * step]
+        table, one = np.zeros(-(-2 * SLOTS // BLOCK) * BLOCK, np.int32), np.int32(1)
+        for _, pieces in _bulks(_words(t) for batch in batches for t in batch.column(0).to_pylist()):
+            for slots, bit, *_ in Bits(pieces, model.value, follow=False).groups:
+                for s in slots:
+                    np.add.at(table, 2 * s + bit, one)
+        for block in range(len(table) // BLOCK):
+            x = table[block * BLOCK : (block + 1) * BLOCK]
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([_pack(x)])], TABLE.names)
 
@@ -242,9 +285,10 @@ def _count_bits(paths: list, cut: Callable) -> object:
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(2 << BLOCK_BITS, np.int64)
+    total = np.zeros(BLOCK, np.int64)
     for x in table["counts"]:
         total += _unpack(x.as_py())
+    total = np.minimum(total, 1 << 30)  # beyond it a frequency doesn't change
     return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([_pack(total)])})
 
 
@@ -257,203 +301,221 @@ def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.log((one + 0.4) / (zero + 0.4))
 
 
+def _input(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Stretched predictions with their gates in the last three bits of the float, so that one look-up gives both."""
+    x = _stretch(zero, one).astype(np.float32).view(np.int32)
+    return (x & -GATES | _gate(zero + one).astype(np.int32)).view(np.float32)
+
+
+#: Inputs by small counts, which a text's own mostly are.
+_SMALL = _input(*np.divmod(np.arange(1 << 12), 64))
+
+
+def _followed(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Inputs of what a text showed so far."""
+    x = _SMALL.take(np.minimum(zero, 63) * 64 + np.minimum(one, 63))
+    if len(big := np.flatnonzero((zero | one) > 63)):
+        x[big] = _input(zero[big], one[big])
+    return x
+
+
+def _left_out(table: np.ndarray) -> np.ndarray:
+    """Inputs by slot and the bit whose own occurrence is left out of the counts; but not where the node is the whole context:
+    the tree balances those counts, so the lesser one would give the bit away."""
+    x = np.empty(len(table), np.float32)
+    for i in range(0, len(table), BLOCK):
+        zero, one = table[i : i + BLOCK][0::2].astype(np.float64), table[i : i + BLOCK][1::2].astype(np.float64)
+        x[i : i + BLOCK][0::2], x[i : i + BLOCK][1::2] = _input(np.maximum(zero - 1, 0), one), _input(zero, np.maximum(one - 1, 0))
+    plain = 2 << WORD_BITS[0]
+    x[:plain] = np.repeat(_input(table[0:plain:2].astype(np.float64), table[1:plain:2].astype(np.float64)), 2)
+    return x
+
+
 def _map(z: np.ndarray, depth: np.ndarray) -> np.ndarray:
     return depth * 64 + np.clip((z * 3 + 32).astype(np.int64), 0, 63)
 
 
-def _left_out(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions and gates by slot and the bit whose own occurrence is left out of the counts."""
-    x, g = np.empty(len(table), np.float32), np.empty(len(table), np.int8)
-    for i in range(0, len(table), 2 << BLOCK_BITS):
-        some = slice(i, i + (2 << BLOCK_BITS))
-        zero, one = table[some][0::2].astype(np.float64), table[some][1::2].astype(np.float64)
-        for bit, (a, b) in enumerate([(np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]):
-            x[some][bit::2], g[some][bit::2] = _stretch(a, b), _gate(a + b)
-    return x, g
+def _start() -> list[np.ndarray]:
+    return [np.vstack([np.full((1, GATES), FIRST), np.full((n - 1, GATES), WEIGHT)]) for n in INPUTS]
+
+
+def learn_step(w: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """Mixes one stretch of bits and moves the weights w (inputs x gates) along the coding cost's gradient, each by its own
+    curvature. Returns the mixed predictions, stretched."""
+    gates = [x.view(np.int32) & (GATES - 1) for x in inputs]
+    z, now = np.zeros(len(bit), np.float32), w.astype(np.float32)
+    for k, (g, x) in enumerate(zip(gates, inputs, strict=True)):
+        z += now[k].take(g) * x
+    p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+    error, bend = bit - p, p * (1 - p)
+    for k, (g, x) in enumerate(zip(gates, inputs, strict=True)):
+        w[k] += RATE * np.bincount(g, weights=error * x, minlength=GATES) / (np.bincount(g, weights=bend * x * x, minlength=GATES) + 20)
+    np.maximum(w, 0, out=w)  # what was left out of a count must not count against it
+    return z
 
 
-def _learn(paths: list, counts: object, cut: Callable, rate: float = 0.02):
+def _learn(model: object, counts: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretched, gates = counts.value
-        w = np.full((CONTEXTS, GATES), WEIGHT)
-        seen, n_bits = np.zeros((2, 8 * 64)), 0
-        for pieces in _bulks(x for batch in batches for x in cut(batch.column(0).to_pylist())):
-            bits = Bits(pieces, paths)
-            y, z, inputs = bits.bit.astype(np.float64), 0.0, []
-            for k, s in enumerate(bits.slots):
-                at = 2 * s + bits.bit
-                g, x = gates[at].astype(np.int64), stretched[at]
-                inputs.append((k, g, x))
-                z = z + w[k][g] * x
-            p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-            at = _map(z, bits.depth)
-            seen += [np.bincount(at, minlength=512), np.bincount(at, weights=y, minlength=512)]
-            for k, g, x in inputs:
-                n = np.bincount(g, minlength=GATES) + 100
-                w[k] += rate * 64 * np.bincount(g, weights=(y - p) * x, minlength=GATES) / n / 8
-            n_bits += len(y)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([seen.tobytes()]), pa.array([n_bits], pa.int64())], LEARNED.names)
+        inputs = counts.value
+        w, seen, n = _start(), np.zeros((2, 2, 512)), 0
+        for _, pieces in _bulks(_words(t) for batch in batches for t in batch.column(0).to_pylist()):
+            for group, (slots, bit, depth, _, follow) in enumerate(Bits(pieces, model.value).groups):
+                own = [_followed(*f) for f in follow]
+                for i in range(0, len(bit), STEP):
+                    some = slice(i, i + STEP)
+                    z = learn_step(w[group], [*[inputs.take(2 * s[some] + bit[some]) for s in slots], *[x[some] for x in own]], bit[some])
+                    m = _map(z, depth[some])
+                    seen[group] += [np.bincount(m, minlength=512), np.bincount(m, weights=bit[some], minlength=512)]
+                n += len(bit)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(w).tobytes()]), pa.array([seen.tobytes()]), pa.array([n], pa.int64())], LEARNED.names)
 
     return run
 
 
-def _costs(texts: Iterator[list[bytes]], paths: list, weighted: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """The natural log-probability of each word of the texts where it stands."""
-    out = [np.zeros(0)]
-    for pieces in _bulks(texts):
-        bits = Bits(pieces, paths)
-        z = weighted[bits.slots[0]]
-        for s in bits.slots[1:]:
-            z = z + weighted[s]
-        # the adaptive map, read between its two nearest entries, and the mix itself have half each
-        at, u = bits.depth * 64, np.clip(z * 3 + 31.5, 0, 62.999)
-        i = u.astype(np.int64)
-        q = refined[at + i] * (1 - (u - i)) + refined[at + i + 1] * (u - i)
-        p = 0.5 * q + 0.5 / (1 + np.exp(-np.clip(z, -12, 12)))
-        out.append(np.bincount(bits.word, weights=np.log(np.where(bits.bit == 1, p, 1 - p)), minlength=bits.words))
-    return np.concatenate(out)
-
-
-def _mixer(words: DataFrame, texts: DataFrame, cut: Callable = _of_texts) -> tuple[list, object]:
-    """The code's paths and the broadcast tables (weighted predictions, adaptive map). words: (word, c), for the code alone;
-    texts: one column, the training texts that cut makes words of."""
-    spark = words.sparkSession
-    counts = sum((np.frombuffer(r["counts"], np.int64) for r in words.filter("c > 0").select("word", "c").mapInArrow(_count_bytes, BYTES).collect()), np.zeros(256, np.int64))
-    paths = huffman(counts)
-    texts = texts.coalesce(2 * spark.sparkContext.defaultParallelism)  # a task's table is large however little it reads
-    sums = texts.mapInArrow(_count_bits(paths, cut), TABLE)
-    sums = sums.groupBy(F.pmod("part", F.lit(64)).alias("p"), "block").applyInArrow(_add, TABLE).groupBy("block").applyInArrow(_add, TABLE)
-    table = np.zeros(2 * CONTEXTS << SLOT_BITS, np.int64)
+def _costs(texts: list[list[bytes]], model: Model, weighted: np.ndarray, w: list[np.ndarray], refined: np.ndarray) -> np.ndarray:
+    """The natural log-probability of each text."""
+    out = np.zeros(len(texts))
+    for places, pieces in _bulks(iter(texts)):
+        for group, (slots, bit, depth, piece, follow) in enumerate(Bits(pieces, model).groups):
+            z = np.zeros(len(bit), np.float32)
+            for s in slots:
+                z += weighted.take(s)
+            for k, f in enumerate(follow, len(slots)):
+                x = _followed(*f)
+                z += w[group][k].astype(np.float32).take(x.view(np.int32) & (GATES - 1)) * x
+            # the adaptive map, read between its two nearest entries, and the mix itself have half each
+            u = np.clip(z * np.float32(3) + np.float32(31.5), 0, np.float32(62.99))
+            i = u.astype(np.int64)
+            u -= i.astype(np.float32)
+            i += depth * 64
+            q = refined[group].take(i) * (1 - u) + refined[group].take(i + 1) * u
+            p = np.float32(0.5) * (q + 1 / (1 + np.exp(-np.clip(z, -12, 12))))
+            out += np.bincount(np.array(places).take(piece), weights=np.log(np.where(bit == 1, p, 1 - p)), minlength=len(texts))
+    return out
+
+
+def fit(model: Model, texts: DataFrame) -> tuple[object, object]:
+    """Broadcast model and tables (weighted predictions by slot, weights, adaptive maps). texts: one column, binary."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    texts = texts.coalesce(max(1, spark.sparkContext.defaultParallelism))  # a task's table is large however little it reads
+    sums = texts.mapInArrow(_count_bits(shared), TABLE)
+    if spark.sparkContext.defaultParallelism > 64:  # many tables are added in two steps
+        sums = sums.groupBy(F.pmod("part", F.lit(64)).alias("p"), "block").applyInArrow(_add, TABLE)
+    sums = sums.groupBy("block").applyInArrow(_add, TABLE)
+    table = np.zeros(-(-2 * SLOTS // BLOCK) * BLOCK, np.int32)
     with arrow_rows(spark):
         for r in sums.toLocalIterator():  # a fixed number of blocks
-            table[r["block"] * (2 << BLOCK_BITS) : (r["block"] + 1) * (2 << BLOCK_BITS)] = _unpack(r["counts"])
-    table = np.minimum(table, 1 << 30).astype("<i4")
-    w, seen, n = np.full((CONTEXTS, GATES), WEIGHT), np.zeros((2, 8 * 64)), 0
-    total = np.zeros_like(w)
-    with arrow_rows(spark):
-        learned = texts.mapInArrow(_learn(paths, spark.sparkContext.broadcast(_left_out(table)), cut), LEARNED).filter("n > 0").collect()  # one small row a task
-    for r in learned:
-        total += np.frombuffer(r["w"]).reshape(w.shape) * r["n"]
-        seen, n = seen + np.frombuffer(r["seen"]).reshape(seen.shape), n + r["n"]
-    w = total / n if n else w
-    weighted = np.empty(CONTEXTS << SLOT_BITS, np.float32)
-    for k in range(CONTEXTS):
-        mine = slice(k << SLOT_BITS, (k + 1) << SLOT_BITS)
-        zero, one = table[0::2][mine].astype(np.float64), table[1::2][mine].astype(np.float64)
-        weighted[mine] = w[k][_gate(zero + one)] * _stretch(zero, one)
+            table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = _unpack(r["counts"])
+        left = spark.sparkContext.broadcast(_left_out(table))
+        learned = texts.mapInArrow(_learn(shared, left), LEARNED).filter("n > 0").collect()  # one small row a task
+    left.unpersist()
+    seen, n, w = np.zeros((2, 2, 512)), sum(r["n"] for r in learned), np.concatenate(_start())
+    if learned:
+        w = sum(np.frombuffer(r["w"]).reshape(w.shape) * r["n"] for r in learned) / n
+        seen = sum(np.frombuffer(r["seen"]).reshape(seen.shape) for r in learned)
+    weighted = np.empty(SLOTS, np.float32)
+    rows = [*range(len(WORD_BITS)), *range(INPUTS[0], sum(INPUTS))]
+    for k, row in enumerate(rows):
+        for i in range(int(OFFSETS[k]), int(OFFSETS[k + 1]), BLOCK):
+            some = slice(i, min(i + BLOCK, int(OFFSETS[k + 1])))
+            zero, one = (table[2 * some.start + b : 2 * some.stop : 2].astype(np.float64) for b in (0, 1))
+            weighted[some] = w[row][_gate(zero + one)] * _stretch(zero, one)
     middle = np.tile(1 / (1 + np.exp(-(np.arange(64) - 31.5) / 3)), 8)
-    refined = (seen[1] + 20 * middle) / (seen[0] + 20)
-    return paths, spark.sparkContext.broadcast((weighted, refined))
-
+    refined = ((seen[:, 1] + 20 * middle) / (seen[:, 0] + 20)).astype(np.float32)
+    return shared, spark.sparkContext.broadcast((weighted, [w[: INPUTS[0]], w[INPUTS[0] :]], refined))
 
-def _spelling(words: DataFrame) -> DataFrame:
-    """words (word, c, ...) with spell: the mixer's natural log-probability of each word as a text without an end, learned
-    from the words that occur, each once."""
-    paths, tables = _mixer(words, words.filter("c > 0").select("word"), _of_words)
-    names = words.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_costs(_of_words(batch.column(0).to_pylist()), paths, *tables.value))], [*names, "spell"])
-
-    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("spell", T.DoubleType())]))
-
-
-def _documents(frequent: object, left: list[float], paths: list, tables: object):
-    """Per document a row with the sums over frequent words, and one for each other word with the mixer's cost.
-    left: per language what the discounts free."""
+def _documents(model: object, tables: object, bases: object):
+    """Per document a row with its score and the sums over the vocabulary's words, and one for each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, (known, shares) = TaskContext.get().partitionId() << 33, frequent.value
-        free = np.array(left)
+        row, symbol, base = TaskContext.get().partitionId() << 33, model.value.symbol, bases.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            split = list(_of_texts(texts))
-            costs = _costs(iter(split), paths, *tables.value)
-            rows, words, ids, size, n, hits, mixer, sums, at = [], [], [], [], [], [], [], [], 0
-            for doc_id, text, mine in zip(batch.column(0).to_pylist(), texts, split, strict=True):
-                cost = costs[at : at + len(mine)]
-                at += len(mine)
-                place = np.fromiter((known.get(w, -1) for w in mine), np.int64, len(mine))
-                rest = np.flatnonzero(place < 0)
-                words += [mine[i] for i in rest.tolist()]
-                mixer += cost[rest].tolist()
-                old = place >= 0
-                share, x = shares[place[old]], cost[old]
-                p, a = np.exp(x)[:, None], share[:, 1:]
-                logs = [share[:, :1], np.log10(a + free * p), np.log10(BLEND * a + (BLEND * free + 1 - BLEND) * p), x[:, None] / LN10]
-                sums += [None] * len(rest) + [np.hstack(logs).sum(axis=0).tolist()]
-                words.append(b"\n%d" % row)  # no word; a key of its own keeps these rows spread
-                mixer.append(0.0)
+            split = list(map(_words, texts))
+            costs = (_costs(split, model.value, *tables.value) / np.log(10)).tolist()
+            rows, words, ids, size, n, hits, told, score = [], [], [], [], [], [], [], []
+            for doc_id, text, mine, cost in zip(batch.column(0).to_pylist(), texts, split, costs, strict=True):
+                place = np.fromiter((symbol.get(w, -1) for w in mine), np.int64, len(mine))
+                rest = [mine[i] for i in np.flatnonzero(place < 0).tolist()]
+                old = base[place[place >= 0]]
+                words += [*rest, b"\n%d" % row]  # no word; a key of its own keeps these rows spread
                 rows += [row] * (len(rest) + 1)
                 ids += [doc_id] * (len(rest) + 1)
-                size += [0] * len(rest) + [len(text)]
-                n += [1] * len(rest) + [len(x)]
-                hits += [0] * len(rest) + [len(x)]
+                for out, x, y in ((size, 0, len(text)), (n, 1, len(old)), (hits, 0, int((old[:, 0] > 0).sum())), (told, 0.0, float(old[:, 1].sum())), (score, 0.0, cost)):
+                    out += [x] * len(rest) + [y]
                 row += 1
-            longs = [pa.array(v, pa.int64()) for v in (size, n, hits)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(ids, pa.int64()), *longs, pa.array(mixer, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], PARTS.names)
+            longs, doubles = [pa.array(v, pa.int64()) for v in (size, n, hits)], [pa.array(v, pa.float64()) for v in (told, score)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(ids, pa.int64()), *longs, *doubles], PARTS.names)
 
     return run
 
 
 def _kind(langs: list[str]) -> F.Column:
-    """A training document's language by its place in langs, or the place after the last."""
+    """A training document's language by its place in langs, or the place after the last; -1 for held-out ones."""
     out = F.lit(len(langs))
     for i, x in enumerate(langs):
         out = F.when(F.col("lang") == x, i).otherwise(out)
     return F.when(held_out_modulus() == 1, -1).otherwise(out).cast("int")
 
 
+def vocabulary(words: DataFrame, kinds: int, most: int = FREQUENT, least: int = LEAST) -> list[tuple[bytes, int, int]]:
+    """(word, count, kind) of the words that occur often enough, by count and word; the end is always one of them. Their number
+    is bounded by a threshold that comes from how many words have each count."""
+    usable = words.filter((F.col("c") >= least) & (F.length("word") <= LONGEST) & (F.col("word") != F.lit(b"")))
+    level = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + 1024)  # a bounded number of levels
+    held, threshold = 0, None
+    for r in usable.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("c")).collect():
+        held += r["n"]
+        if held >= most:
+            break
+        threshold = r["c"]
+    end = words.filter(F.col("word") == F.lit(b""))
+    chosen = end if threshold is None else end.unionByName(usable.filter(F.col("c") >= threshold))
+    main = F.coalesce(*[F.when(F.col(f"c{k}") * 2 >= F.col("c"), k) for k in range(kinds)], F.lit(KINDS - 1))
+    got = chosen.select("word", "c", main.alias("kind")).collect()
+    found = sorted(((bytes(r["word"]), r["c"], r["kind"]) for r in got), key=lambda x: (-x[1], x[0]))
+    return found if got and any(not w for w, *_ in found) else [*found, (b"", 0, KINDS - 1)]
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     d = slim(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     common = d.filter((held_out_modulus() != 1) & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(KINDS - 1).collect()
     langs = [r["lang"] for r in common]
-    kinds = len(langs) + 1
+    kinds = len(langs)
     counted = d.select("text", _kind(langs).alias("kind")).mapInArrow(_count_words, WORDS)
     own = [F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(kinds)]
     words = stored(counted.groupBy("word").agg(F.sum("c").alias("c"), *own), "words")
     release(spark)
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), *[x for k in range(kinds) for x in (F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}"), F.count_if(F.col(f"c{k}") > 0).alias(f"v{k}"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col(f"c{k}"))), F.lit(0)).alias(f"d{k}"))]).first()
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens, distinct = sums["n"], sums["v"]
-    free = DISCOUNT * distinct / tokens if tokens else 1.0
-    back = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / max(1, tokens)
-    used = [k for k in range(kinds) if sums[f"n{k}"]] or [0]
-    shares, left = [F.log10((F.col("c") + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("base_")], []
-    for k in used:
-        n, v = max(1, sums[f"n{k}"]), sums[f"v{k}"]
-        freed = DISCOUNT * v / n if v else 1.0
-        shares.append((F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / n + freed * back).alias(f"a{k}_"))
-        left.append(freed * free)
-    both = words.select("word", "c", *shares)
-    priors = [float(np.log10(max(1, sums[f"d{k}"]) / max(1, sum(sums[f"d{j}"] for j in used)))) for k in used]
-    priors = [*[p + float(np.log10(PRIOR)) for p in priors], *[p + float(np.log10((1 - PRIOR) / 2)) for p in priors], float(np.log10((1 - PRIOR) / 2))]
-    top = list(both.filter("c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).toLocalIterator())
-    table = np.array([[*r[2:]] for r in top]).reshape(len(top), 1 + len(used))
-    frequent = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, table))
-    paths, tables = _mixer(words, d.filter(held_out_modulus() != 1).select("text"))
+    known = vocabulary(words, kinds)
+    rare = words.filter("c > 0").join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w, *_ in known], "word binary")), "word", "left_anti")
+    spelled = np.zeros(256, np.int64)
+    for r in rare.select("word", "c").mapInArrow(_count_bytes, BYTES).collect():
+        spelled += np.frombuffer(r["counts"], np.int64)
+    model = Model(known, tokens - sum(c for _, c, _ in known), spelled)
+    shared, tables = fit(model, d.filter(held_out_modulus() != 1).select("text"))
     release(spark)
+
+    def base(c: object) -> object:
+        return (c + 0.5) / (tokens + 0.5 * (distinct + 1))
+
+    counts = np.array([c for _, c, _ in known], np.float64)
+    bases = spark.sparkContext.broadcast(np.column_stack([counts, np.log10(base(counts))]))
     with arrow_rows(spark):
-        parts = stored(d.select("doc_id", "text").mapInArrow(_documents(frequent, left, paths, tables), PARTS), "parts")
+        parts = stored(d.select("doc_id", "text").mapInArrow(_documents(shared, tables, bases), PARTS), "parts")
     release(spark)
-
-    def price(a: F.Column, some: float) -> F.Column:
-        """log10(a + some * what the mixer says), also where that is below the smallest double."""
-        return F.when(a > 0, F.log10(a + some * F.exp("mixer"))).otherwise(float(np.log10(some)) + F.col("mixer") / LN10)
-
-    a = [F.coalesce(F.col(f"a{k}_"), F.lit(0.0)) for k in used]
-    priced = [F.col("base_"), *[price(x, f) for x, f in zip(a, left, strict=True)], *[price(BLEND * x, BLEND * f + 1 - BLEND) for x, f in zip(a, left, strict=True)], F.col("mixer") / LN10]
-    names = ["base", *[f"m{i}" for i in range(len(priors))]]
-    told = parts.join(both, "word", "left").select("row", "doc_id", "n_bytes", "n", F.when(F.col("c") > 0, F.col("n")).otherwise(F.col("known")).alias("known"), *[F.coalesce(F.col("sums")[i], x).alias(m) for i, (m, x) in enumerate(zip(names, priced, strict=True))])
-    out = told.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n", "known", *names)])
-    most = F.greatest(*[F.col(f"m{i}") + p for i, p in enumerate(priors)], F.lit(-1e308))
-    mixed = most + F.log10(sum((F.pow(F.lit(10.0), F.col(f"m{i}") + p - most) for i, p in enumerate(priors)), F.lit(0.0)))
-    out = out.withColumn("model", mixed)
-    return out.select("doc_id", (held_out_modulus() == 1).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"), "n_bytes", (-F.col("model") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+    told = parts.join(words.select("word", "c"), "word", "left")
+    mark = F.startswith("word", F.lit(b"\n"))
+    told = told.select("row", "doc_id", "n_bytes", "n", "score", F.when(mark, F.col("known")).otherwise((F.col("c") > 0).cast("long")).alias("known"), F.when(mark, F.col("base")).otherwise(F.log10(base(F.col("c")))).alias("base"))
+    out = told.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n", "known", "base", "score")])
+    return out.select("doc_id", (held_out_modulus() == 1).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

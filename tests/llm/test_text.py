@@ -138,11 +138,105 @@ def test_language_model(spark, nasty, nothing):
     assert lm_score.scores(nothing).count() == 0
 
 
-def test_spellings_are_a_distribution(spark):
-    """All strings of up to two letters and the rest of the code share a probability of one at most."""
-    words = spark.createDataFrame([(bytearray(w.encode()), 3) for w in ("ab", "ba", "aa", "b")] + [(bytearray(a.encode()), 0) for a in ("", "a", "bb")], "word binary, c long")
-    total = sum(math.exp(r["spell"]) for r in lm_score._spelling(words).collect())
-    assert 0.3 < total < 1
+def small_model():
+    return lm_score.Model([(b"ab", 9, 0), (b"", 7, 1), (b"c", 4, 0), (b"b", 2, 1)], 3, np.bincount(np.frombuffer(b"ba ab aa ", np.uint8), minlength=256))
+
+
+def plain_bits(words, model):
+    """The bits of a text by the book, one at a time: (group, contexts, node, bit)."""
+    done, out, nodes = [], [], {}
+
+    def path(code, s):
+        at = int(code.first[s])
+        return [(int(code.node[i]), int(code.bit[i])) for i in range(at, at + int(code.size[s]))]
+
+    for w in words:
+        s = model.symbol.get(w, model.escape)
+        one, two = ([model.end, model.end, *done])[-1], ([model.end, model.end, *done])[-2]
+        near = Counter(int(model.kind[x]) for x in done[-lm_score.WINDOW :] if model.kind[x] < lm_score.KINDS - 1)
+        kind = min((k for k in near if near[k] == max(near.values())), default=lm_score.KINDS - 1)
+        for node, bit in path(model.words, s):
+            seen = nodes.setdefault(node, [0, 0])
+            out.append((0, ((), (kind,), (one,), (one, two), (two,)), node, bit, tuple(seen)))
+            seen[bit] += 1
+        if s == model.escape:
+            for i, byte in enumerate(w + b" "):
+                back = [w[i - k] if i >= k else 0 for k in (1, 2, 3)]
+                for node, bit in path(model.bytes, byte):
+                    out.append((1, ((back[0],), tuple(back[:2]), tuple(back), (w[:i],), (kind, back[0])), node, bit, None))
+        done.append(s)
+    return out
+
+
+def test_mixing_equals_the_plain_way(monkeypatch):
+    """Counts by context and node, the mix of stretched predictions by gated weights, the map and the sum, bit by bit."""
+    model = small_model()
+    texts = [b"ab c AB zz b ab", b"", b"ba ba c c zz q ab b", b"b " * 20]
+    table = np.zeros(2 * lm_score.SLOTS, np.int64)
+    plain = Counter()
+    for text in texts:
+        words = lm_score._words(text)
+        for slots, bit, *_ in lm_score.Bits([([], words)], model, follow=False).groups:
+            for s in slots:
+                np.add.at(table, 2 * s + bit, 1)
+        plain.update((g, k, c, node, bit) for g, contexts, node, bit, _ in plain_bits(words, model) for k, c in enumerate(contexts))
+    r = np.random.default_rng(4)
+    w = [r.random((n, lm_score.GATES)) for n in lm_score.INPUTS]
+    refined = r.random((2, 512)) * 0.8 + 0.1
+    gate = lambda n: min(math.ceil(math.log2(n + 1)), lm_score.GATES - 1)
+    stretch = lambda a, b: math.log((b + 0.4) / (a + 0.4))
+    weighted = np.zeros(lm_score.SLOTS, np.float32)
+    for k in range(10):
+        a, b = int(lm_score.OFFSETS[k]), int(lm_score.OFFSETS[k + 1])
+        zero, one = table[2 * a : 2 * b : 2], table[2 * a + 1 : 2 * b : 2]
+        weighted[a:b] = w[k // 5][k % 5][lm_score._gate(zero + one)] * lm_score._stretch(zero, one)
+    got = lm_score._costs([lm_score._words(t) for t in texts], model, weighted, w, refined.astype(np.float32))
+    for text, cost in zip(texts, got, strict=True):
+        want, depth, last = 0.0, 0, None
+        for at, (g, contexts, node, bit, seen) in enumerate(bits := plain_bits(lm_score._words(text), model)):
+            starts = at == 0 or bits[at - 1][0] != g or node == (model.words, model.bytes)[g].node[0]
+            depth = 0 if starts else depth + 1
+            z = 0.0
+            for k, c in enumerate(contexts):
+                n = [plain[g, k, c, node, b] for b in (0, 1)]
+                z += w[g][k][gate(sum(n))] * stretch(*n)
+            if seen:
+                z += w[g][5][gate(sum(seen))] * stretch(*seen)
+            u = min(max(z * 3 + 31.5, 0), 62.99)
+            i = min(depth, 7) * 64 + int(u)
+            p = 0.5 * (refined[g][i] * (1 - u % 1) + refined[g][i + 1] * (u % 1)) + 0.5 / (1 + math.exp(-min(max(z, -12), 12)))
+            want += math.log(p if bit else 1 - p)
+        assert cost == pytest.approx(want, rel=1e-4)
+
+
+def test_learning_follows_the_gradient():
+    """The weights' first step is the coding cost's slope by the curvature, as finite differences find it."""
+    r = np.random.default_rng(2)
+    inputs = [lm_score._input(r.integers(0, 9, 400), r.integers(0, 9, 400)) for _ in range(3)]
+    gates = [x.view(np.int32) & 7 for x in inputs]
+    bit = r.integers(0, 2, 400)
+
+    def cost(w):
+        z = sum(w[k][g] * x for k, (g, x) in enumerate(zip(gates, inputs, strict=True)))
+        return -np.where(bit == 1, -np.log1p(np.exp(-z)), -np.log1p(np.exp(z))).sum()
+
+    before = np.full((3, lm_score.GATES), 0.3)
+    after = before.copy()
+    lm_score.learn_step(after, inputs, bit)
+    for k in range(3):
+        for g in range(lm_score.GATES):
+            d = np.zeros_like(before)
+            d[k, g] = 1e-3
+            slope, bend = (cost(before - d) - cost(before + d)) / 2e-3, (cost(before + d) + cost(before - d) - 2 * cost(before)) / 1e-6
+            assert after[k, g] == pytest.approx(max(0, before[k, g] + lm_score.RATE * slope / (bend + 20)), abs=1e-3)
+    assert cost(after) < cost(before)
+
+
+def test_codes_are_complete():
+    code = lm_score.Code([5, 0, 9, 1, 1, 30])
+    assert sum(0.5 ** int(n) for n in code.size) == 1.0
+    paths = {tuple(code.bit[f : f + n].tolist()) for f, n in zip(code.first.tolist(), code.size.tolist(), strict=True)}
+    assert len(paths) == 6 and code.size[5] == 1
 
 
 def test_the_score_reads_words_in_order(spark):
@@ -160,14 +254,24 @@ def test_the_score_reads_words_in_order(spark):
 
 
 def test_pieces_of_a_long_text(monkeypatch):
+    """Contexts from the training counts reach back over a piece's start; only what follows the text itself starts anew."""
     words = [*prose(3, 700).lower().encode().split(), b"x" * 300, *prose(4, 300).lower().encode().split(), b""]
-    paths = lm_score.huffman(np.ones(256, np.int64))
-    whole = [s for p in lm_score._bulks(iter([words])) for s in lm_score.Bits(p, paths).slots]
+    model = lm_score.Model([(w, 5, i % 3) for i, w in enumerate(dict.fromkeys([*words[::3], b""]))], 9, np.ones(256, np.int64))
+    whole = [g for _, p in lm_score._bulks(iter([words])) for g in lm_score.Bits(p, model).groups]
     monkeypatch.setattr(lm_score, "BULK", 200)
-    pieces = [lm_score.Bits(p, paths).slots for p in lm_score._bulks(iter([words]))]
-    assert len(pieces) > 10 and sum(len(w) for p in lm_score._bulks(iter([words])) for _, w in p) == len(words)
-    for k, s in enumerate(whole):
-        assert np.array_equal(np.concatenate([p[k] for p in pieces]), s)
+    pieces = [lm_score.Bits(p, model).groups for _, p in lm_score._bulks(iter([words]))]
+    assert len(pieces) > 10 and sum(len(w) for _, p in lm_score._bulks(iter([words])) for _, w in p) == len(words)
+    for g in (0, 1):
+        for k, s in enumerate(whole[g][0]):
+            assert np.array_equal(np.concatenate([p[g][0][k] for p in pieces]), s)
+
+
+def test_vocabulary_is_bounded_by_a_threshold(spark):
+    rows = [(bytearray(f"w{i}".encode()), c, c) for i, c in enumerate([9, 9, 7, 7, 7, 5, 2, 2, 1, 0])] + [(bytearray(b""), 3, 3)]
+    words = spark.createDataFrame(rows, "word binary, c long, c0 long")
+    assert [(w, c) for w, c, _ in lm_score.vocabulary(words, 1, most=100)] == [(b"w0", 9), (b"w1", 9), (b"w2", 7), (b"w3", 7), (b"w4", 7), (b"w5", 5), (b"", 3), (b"w6", 2), (b"w7", 2)]
+    assert [c for _, c, _ in lm_score.vocabulary(words, 1, most=6)] == [9, 9, 7, 7, 7, 3]
+    assert lm_score.vocabulary(words.limit(0), 0) == [(b"", 0, lm_score.KINDS - 1)]
 
 
 def filled(sizes, weights, total, most):
