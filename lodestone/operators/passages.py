@@ -1,145 +1,165 @@
-"""Passages: blocks packed into bounded, citable pieces with exact spans back to their blocks.
+"""Passages: bounded, citable pieces of a document's blocks, with exact spans back to them.
 
-Packing is greedy and sequential, so it runs per document in an Arrow group; documents are independent. Token counts come
-from a TokenCounter whose name is part of the passages' identity.
+Two steps. Every block falls into parts by itself: a block's token ends are computed once, so how much fits from any place is
+one look-up, and a long block costs what its length is. Then the parts of one run (the same kind, group and section, in
+order) are gathered into passages by their prefix sums, as many as fit. A heading opens a group; tables and code stand alone.
+
+Token counts come from a counter, text -> ends of its tokens, whose name is part of a passage's identity. A part's count is
+that of the tokens it touches, which is never below the count of the part alone.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
+from lodestone.functions import text as tx
 from lodestone.sources.parsers import render_table
 
-VERSION = "1"
-TARGET, MOST, THREAD_TARGET, OVERLAP = 450, 650, 250, 40
-_sentence = re.compile(r"[.!?][\"')\]]*(?:\s+|$)|\n\s*\n")
-_unit = re.compile(r"\w{1,4}|[^\w\s]|\s{2,}")
+VERSION = "2"
+# Tokens that a passage aims at, that it may have at most, and that parts of a long text share.
+TARGET, MOST, OVERLAP = 450, 650, 40
+#: Room for the blank lines between parts.
+ROOM = 4
 
 SCHEMA = "id string, passage_id string, ordinal int, kind string, grp string, section string, content string, tokens int, spans array<struct<block_id:string,start:int,end:int,unit:string>>, warnings array<string>, error string"
 _SPAN = pa.struct([("block_id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("unit", pa.string())])
 _ARROW = pa.schema([("id", pa.string()), ("passage_id", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("grp", pa.string()), ("section", pa.string()), ("content", pa.string()), ("tokens", pa.int32()), ("spans", pa.list_(_SPAN)), ("warnings", pa.list_(pa.string())), ("error", pa.string())])
 
+Counter = Callable[[str], np.ndarray]
+_token = re.compile(r"\w{1,4}|[^\w\s]|\s{2,}")
+
+
+def approximate(text: str) -> np.ndarray:
+    """Up to four letters or digits, a mark, or a run of blanks each are one token."""
+    return np.fromiter((m.end() for m in _token.finditer(text)), np.int64)
+
 
-def approximate_tokens(text: str) -> int:
-    """Up to four letters or digits, a mark, or a run of blanks each count one."""
-    return len(_unit.findall(text))
+def marks(text: str, pattern: str) -> np.ndarray:
+    """Where a text may be cut: after each match."""
+    return np.fromiter((m.end() for m in re.finditer(pattern, text)), np.int64)
+
+
+#: Cut points by kind, the better ones first: paragraphs' and sentences' ends; lines before an unindented one, and any line.
+POINTS = {"prose": (r"\n[ \t]*\n\s*", r"[.!?…][\"'”’)\]]*\s+"), "code": (r"\n(?=[^\s)\]}])", r"\n")}
 
 
 class TooLarge(ValueError):
     """A unit that can't be cut any further exceeds the budget."""
 
 
-def fitting_end(text: str, start: int, end: int, budget: int, count: Callable[[str], int]) -> int:
-    """The last end at which the piece from start still fits; at least one character."""
-    lo, hi = start + 1, end
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if count(text[start:mid]) <= budget else (lo, mid - 1)
-    return lo
-
-
-def cuts(text: str, start: int, end: int, budget: int, points: list[int], overlap: int, count: Callable[[str], int]) -> Iterator[tuple[int, int]]:
-    """Ranges that fit, cut at the last point that does, or else at a character; later ones begin up to `overlap` tokens back,
-    at a point."""
-    at = start
-    while at < end:
-        to = fitting_end(text, at, end, budget, count)
-        if to < end:
-            k = bisect.bisect_right(points, to) - 1
-            to = points[k] if k >= 0 and points[k] > at else to
-        yield at, to
-        if to >= end:
-            return
-        back = to
-        for p in reversed(points[: bisect.bisect_left(points, to)]):
-            if p <= at or count(text[p:to]) > overlap:
+@dataclass
+class Part:
+    kind: str
+    group: str
+    section: str
+    span: tuple[str, int, int, str]
+    tokens: int
+    warning: str | None = None
+
+
+def cut(text: str, kind: str, budget: int, overlap: int, count: Counter = approximate) -> list[tuple[int, int, int, bool]]:
+    """(start, end, tokens, whole) of a text's parts. A part ends at the last of the best cut points in the second half of what
+    fits, else at the last of the others, else at a token's end, which is not whole. With overlap a part begins at the first
+    point in the last so many tokens of the one before."""
+    ends = count(text)
+    levels = [marks(text, p) for p in POINTS[kind]]
+    points = np.unique(np.concatenate([*levels, [0, len(text)]]))
+    out, at, done, overlap = [], 0, 0, min(overlap, budget // 2)
+    while at < len(text):
+        first = int(np.searchsorted(ends, at, side="right"))
+        last = first + max(1, budget)
+        if last >= len(ends):
+            out.append((at, len(text), len(ends) - first, True))
+            break
+        reach, to, whole = int(ends[last - 1]), 0, True
+        for level in levels:
+            i = int(np.searchsorted(level, reach, side="right")) - 1
+            if i >= 0 and level[i] > max(done, at + (reach - at) // 2 if level is levels[0] else at):
+                to = int(level[i])
                 break
-            back = p
-        at = back
+        if not to:
+            to, whole = reach, False
+        done = to
+        out.append((at, to, int(np.searchsorted(ends, to, side="left")) + 1 - first, whole))
+        again = int(ends[max(0, int(np.searchsorted(ends, to, side="right")) - overlap)])
+        i = int(np.searchsorted(points, max(again, at + 1))) if overlap else len(points)
+        at = int(points[i]) if i < len(points) and points[i] < to else to
+    return out
 
 
-def slice_block(block: dict, start: int, end: int, unit: str) -> str:
-    """What a span denotes: characters of the content, or rows of a table under its header."""
-    if unit == "characters":
-        return block["content"][start:end]
-    s = json.loads(block["structured"])
-    return render_table(s["headers"], s["rows"][start:end])
+def fill(sizes: list[int], budget: int) -> list[tuple[int, int]]:
+    """Ranges of neighbours, each as long as fits the budget; a single larger one stays alone."""
+    sums = np.cumsum([0, *sizes])
+    out, at = [], 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + budget, side="right")) - 1)
+        out.append((at, to))
+        at = to
+    return out
 
 
-def pack(source: str, blocks: list[dict], count: Callable[[str], int] = approximate_tokens, counter: str = "approximate") -> list[dict]:
-    out: list[dict] = []
-    by_id = {b["block_id"]: b for b in blocks}
-    group = "root"
-    pending: list[tuple[str, int, int, str]] = []
-    place: tuple[str, str] = ("prose", "Document")
-    warned: list[str] = []
-
-    def emit(kind: str, section: str, spans: list[tuple[str, int, int, str]], warnings: list[str]) -> None:
-        content = "\n\n".join(slice_block(by_id[b], s, e, u) for b, s, e, u in spans)
-        if not content.strip():
-            return
-        n = count(section) + count(content)
-        if n > MOST:
-            raise TooLarge("an indivisible unit exceeds the passage budget")
-        named = [dict(zip(("block_id", "start", "end", "unit"), s, strict=True)) for s in spans]
-        pid = hashing.passage_id(VERSION, counter, source, len(out), kind, group, section, content, named, warnings)
-        out.append({"id": source, "passage_id": pid, "ordinal": len(out), "kind": kind, "grp": group, "section": section, "content": content, "tokens": n, "spans": named, "warnings": list(warnings)})
-
-    def flush() -> None:
-        if pending:
-            emit(*place, list(pending), list(warned))
-            pending.clear()
-            warned.clear()
+def parts(block: dict, group: str, count: Counter = approximate) -> list[Part]:
+    section = " / ".join(block["section_path"] or []) or "Document"
+    budget = TARGET - len(count(section)) - ROOM
+    bid, text = block["block_id"], block["content"]
+    if block["type"] == "table":
+        table = json.loads(block["structured"])
+        head = len(count(render_table(table["headers"], [])))
+        rows = [len(count(render_table([], [r])[len(render_table([], [])) :])) + 1 for r in table["rows"]]
+        ranges = fill(rows, budget - head) or [(0, 0)]
+        return [Part("table", group, section, (bid, a, b, "rows"), head + sum(rows[a:b])) for a, b in ranges]
+    kind = "code" if block["type"] == "code" else "prose"
+    size = len(count(text))
+    if size + len(count(section)) <= (MOST if kind == "code" else TARGET) - ROOM:
+        return [Part(kind, group, section, (bid, 0, len(text), "characters"), size)]
+    told = {"code": "Large code unit split", "prose": None}[kind]
+    found = cut(text, kind, budget, OVERLAP if kind == "prose" and size > MOST else 0, count)
+    return [Part(kind, group, section, (bid, a, b, "characters"), n, told if kind == "code" else None if whole else "Oversized sentence split at a character") for a, b, n, whole in found]
+
+
+def denoted(block: dict, start: int, end: int, unit: str) -> str:
+    """What a span denotes: characters of the content, or rows of a table under its header."""
+    if unit == "rows":
+        table = json.loads(block["structured"])
+        return render_table(table["headers"], table["rows"][start:end])
+    return block["content"][start:end]
+
 
+def pack(source: str, blocks: list[dict], count: Counter = approximate, counter: str = "approximate") -> list[dict]:
+    by_id, group, every = {b["block_id"]: b for b in blocks}, "root", []
     for b in blocks:
-        section = " / ".join(b["section_path"] or []) or "Document"
-        bid, text, kind = b["block_id"], b["content"], b["type"]
-        if kind == "heading":
-            flush()
-            group = bid
-        elif kind == "table":
-            flush()
-            s = json.loads(b["structured"])
-            first = 0
-            for end in range(1, len(s["rows"]) + 1):
-                if end - 1 > first and count(section) + count(render_table(s["headers"], s["rows"][first:end])) > TARGET:
-                    emit("table", section, [(bid, first, end - 1, "rows")], [])
-                    first = end - 1
-            emit("table", section, [(bid, first, len(s["rows"]), "rows")], [])
-        elif kind == "code":
-            flush()
-            if count(section) + count(text) <= MOST:
-                emit("code", section, [(bid, 0, len(text), "characters")], [])
-            else:
-                ends = [m.end() for m in re.finditer("\n", text)]
-                for s, e in cuts(text, 0, len(text), TARGET - count(section) - 4, ends, 0, count):
-                    emit("code", section, [(bid, s, e, "characters")], ["Large code unit split"])
+        if b["type"] == "heading":
+            group = b["block_id"]
         else:
-            if pending and place != ("prose", section):
-                flush()
-            place = ("prose", section)
-            budget = TARGET - count(section) - 4
-            points = [m.end() for m in _sentence.finditer(text)]
-            inside = {0, len(text), *points}
-            for s, e in cuts(text, 0, len(text), budget, points, OVERLAP if count(text) > MOST else 0, count):
-                joined = "\n\n".join([*(slice_block(by_id[p[0]], *p[1:]) for p in pending), text[s:e]])
-                if pending and count(joined) > budget:
-                    flush()
-                pending.append((bid, s, e, "characters"))
-                if s not in inside or e not in inside:
-                    warned.append("Oversized sentence split at a character")
-    flush()
-    if not out:  # headings alone are evidence, too
-        for b in blocks:
-            emit("prose", " / ".join(b["section_path"] or []), [(b["block_id"], 0, len(b["content"]), "characters")], [])
+            every += parts(b, group, count)
+    if not every:  # headings alone are evidence, too
+        every = [Part("prose", b["block_id"], " / ".join(b["section_path"] or []), (b["block_id"], 0, len(b["content"]), "characters"), len(count(b["content"]))) for b in blocks]
+    out: list[dict] = []
+    for (kind, grp, section), run in groupby(every, lambda p: (p.kind, p.group, p.section)):
+        run = list(run)
+        alone = kind != "prose"
+        for a, b in [(i, i + 1) for i in range(len(run))] if alone else fill([p.tokens + 1 for p in run], TARGET - len(count(section))):
+            spans = [p.span for p in run[a:b]]
+            content = "\n\n".join(denoted(by_id[s[0]], *s[1:]) for s in spans)
+            if not content.strip():
+                continue
+            tokens = len(count(section)) + len(count(content))
+            if tokens > MOST:
+                raise TooLarge("an indivisible unit exceeds the passage budget")
+            named = [dict(zip(("block_id", "start", "end", "unit"), s, strict=True)) for s in spans]
+            warnings = sorted({p.warning for p in run[a:b] if p.warning})
+            pid = hashing.passage_id(VERSION, counter, source, len(out), kind, grp, section, content, named, warnings)
+            out.append({"id": source, "passage_id": pid, "ordinal": len(out), "kind": kind, "grp": grp, "section": section, "content": content, "tokens": tokens, "spans": named, "warnings": warnings})
     return out
 
 
@@ -157,13 +177,20 @@ def packed(blocks: DataFrame) -> DataFrame:
     return blocks.filter("error IS NULL").groupBy("id").applyInArrow(run, SCHEMA)
 
 
+def _rendered(headers: Column, rows: Column) -> Column:
+    def line(cells: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(F.transform(cells, tx.table_cell), " | "), F.lit(" |"))
+
+    return F.array_join(F.concat(F.array(line(headers), line(F.transform(headers, lambda _: F.lit("---")))), F.transform(rows, line)), "\n")
+
+
 def unreconstructed(passages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Passages whose content isn't what their spans denote: (id, passage_id). Character spans are cut and compared in the
-    JVM; table spans are checked by their rows' bounds."""
+    """Passages whose content isn't what their spans denote: (id, passage_id). Characters are cut, table rows rendered anew,
+    all in the JVM."""
     spans = passages.filter("error IS NULL").select("id", "passage_id", "content", F.posexplode("spans").alias("k", "s"))
-    b = blocks.select("id", F.col("block_id").alias("b"), F.col("content").alias("text"), F.col("structured").alias("struct"))
-    joined = spans.join(b, (spans["id"] == b["id"]) & (F.col("s.block_id") == F.col("b")), "left").select(spans["id"], "passage_id", "content", "k", "s", "text", "struct")
-    cut = F.when(F.col("s.unit") == "characters", F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
-    rows_ok = (F.col("s.unit") == "rows") & (F.size(F.from_json(F.get_json_object("struct", "$.rows"), "array<string>")) >= F.col("s.end"))
-    parts = joined.groupBy("id", "passage_id", "content").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", cut.alias("c")))), lambda x: x["c"]), "\n\n").alias("made"), F.bool_and(F.coalesce(rows_ok, F.lit(False))).alias("rows_ok"))
-    return parts.filter(~F.col("rows_ok") & ~(F.col("made") == F.col("content"))).select("id", "passage_id")
+    b = blocks.select("id", F.col("block_id").alias("b"), F.col("content").alias("text"), F.from_json("structured", "headers array<string>, rows array<array<string>>").alias("table"))
+    joined = spans.join(b, (spans["id"] == b["id"]) & (F.col("s.block_id") == F.col("b")), "left").select(spans["id"], "passage_id", "content", "k", "s", "text", "table")
+    size = F.col("s.end") - F.col("s.start")
+    made = F.when(F.col("s.unit") == "characters", F.substr("text", F.col("s.start") + 1, size)).otherwise(_rendered(F.col("table.headers"), F.slice("table.rows", F.col("s.start") + 1, size)))
+    whole = joined.groupBy("id", "passage_id", "content").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce(made, F.lit("")).alias("c")))), lambda x: x["c"]), "\n\n").alias("made"))
+    return whole.filter(F.col("made") != F.col("content")).select("id", "passage_id")

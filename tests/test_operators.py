@@ -13,10 +13,28 @@ def test_stemmer():
     assert {w: stem.stem(w) for w in pairs} == pairs
 
 
-def test_policy():
-    secret = "sk-" + "a1" * 15
-    assert policy.redact({"a": [f"x {secret} y", "password = 'abcdefghijklmnop'"], "b": 'api_key: "your_api_key_here"'}) == {"a": ["x [REDACTED] y", "password = '[REDACTED]'"], "b": 'api_key: "your_api_key_here"'}
-    assert policy.normal("ﬁ\u200bx") == "fix" and not policy.acceptable("a\0") and policy.acceptable("a\n")
+def test_secrets_are_replaced_at_any_depth(spark):
+    import json
+
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc+/=\n-----END RSA PRIVATE KEY-----"
+    secrets = ["sk-" + "a1" * 15, "ghp_" + "Ab3" * 12, "AKIA" + "Q" * 16, "AIza" + "x" * 35, "xoxb-" + "1" * 20, pem, pem[:50], "xai-" + "k" * 24, "sk_live_" + "z9" * 10, "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12]
+    nested = json.dumps({"a": [f"x {s} y" for s in secrets], "b": {"c": {"d": secrets}}})
+    texts = [*[f"before {s} after" for s in secrets], nested, "password = 'abcdefghijklmnop'", 'api_key: "your_api_key_here"', '{"client-secret": "abcdefghijklmnop"}', "Authorization: Bearer " + "t" * 30, "sk-short, ghp_x and a password = short", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["t"] for r in df.select("i", policy.secret_free(F.col("t")).alias("t")).collect()}
+    n = len(secrets)
+    assert all("[REDACTED]" in got[i] and secrets[i] not in got[i] and got[i].startswith("before ") for i in range(n))
+    assert all(got[i].endswith(" after") for i in range(n) if i != 6)
+    told = json.loads(got[n])
+    assert [x for x in told["b"]["c"]["d"]] == ["[REDACTED]"] * n and len(told["a"]) == n
+    assert [got[n + k] for k in range(1, 6)] == ["password = '[REDACTED]'", 'api_key: "your_api_key_here"', '{"client-secret": "[REDACTED]"}', "Authorization: Bearer [REDACTED]", texts[-2]] and got[n + 6] is None
+
+
+def test_normal_form_and_accepted_texts(spark):
+    texts = ["\ufb01\u200bx", "plain", None, "a\0", "a\n", "  ", "x" * 4001, "\u00e9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", policy.normalised(F.col("t")).alias("n"), policy.acceptable(F.col("t")).alias("ok"))
+    rows = sorted(df.collect())
+    assert [r["n"] for r in rows[:3]] == ["fix", "plain", None] and [r["ok"] for r in rows] == [True, True, False, False, True, False, False, True]
 
 
 def test_digest_is_canonical():
@@ -109,6 +127,17 @@ def test_redundancy_keeps_differing_numbers():
 
     hits = [hit(1, "3 failures"), hit(2, "3  Failures"), hit(3, "7 failures"), hit(4, "not approved"), hit(5, "approved")]
     assert [h["id"] for h in answers.chosen(hits, Request("q"))] == ["1", "3", "4", "5"]
+    dated = [hit(1, "3 failures") | {"date": "2024-01-01"}, hit(2, "3 failures") | {"date": "2024-01-02"}, hit(3, "3 failures") | {"date": "2024-01-01"}]
+    assert [h["id"] for h in answers.chosen(dated, Request("q"))] == ["1", "2"]
+
+
+def test_overlapping_spans_are_taken_once():
+    def hit(i, start, end):
+        return {"passage_id": str(i), "id": "s", "spans": [{"block_id": "b", "start": start, "end": end, "unit": "characters"}], "content": str(i), "tokens": 5, "ordinal": i}
+
+    assert [h["ordinal"] for h in answers.chosen([hit(1, 0, 100), hit(2, 10, 90), hit(3, 50, 150), hit(4, 140, 240), hit(5, 19, 219)], Request("q"))] == [1, 3, 4]
+    assert len(answers.chosen([hit(i, 100 * i, 100 * i + 90) for i in range(9)], Request("q", most_passages=4))) == 4
+    assert len(answers.chosen([hit(i, 100 * i, 100 * i + 90) for i in range(9)], Request("q", most_tokens=14))) == 2
 
 
 def test_registering_twice_keeps_the_first(spark, workspace):

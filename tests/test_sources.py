@@ -109,13 +109,42 @@ def test_files_to_passages(spark, tmp_path):
     assert table[0][0] == 0 and table[-1][1] == 400 and all(a[1] == b[0] for a, b in zip(table, table[1:], strict=False))
     assert sorted(map(str, made.collect())) == sorted(map(str, rows))
     broken = made.withColumn("content", F.concat("content", F.lit("!")))
-    assert passages.unreconstructed(broken, found).count() == sum(r["kind"] != "table" for r in rows)
+    assert passages.unreconstructed(broken, found).count() == len(rows)
     assert canonical.violations(found, canonical.relations(found)).count() == 0
     failed = {tuple(r["failures"]) for r in canonical.quality(found).filter("NOT passed").collect()}
     assert ("no_extractable_text", "parse_error") in {tuple(f for f in x if f != "excessive_repeated_content") for x in failed} and len(failed) == 1
     assert canonical.sections(found).filter("depth = 1").count() == 2
 
 
+def test_parts_fit_and_cover():
+    text = " ".join(f"Word{i} " * (i % 23) + f"end{i}." for i in range(400)) + "x" * 9000
+    for overlap in (0, 40):
+        got = passages.cut(text, "prose", 120, overlap)
+        assert got[0][0] == 0 and got[-1][1] == len(text)
+        for (a, b, n, _), (c, d, *_) in zip(got, got[1:]):
+            assert a < c <= b < d and n <= 121 and len(passages.approximate(text[a:b])) <= n and len(passages.approximate(text[c:b])) <= overlap
+        assert all(text[b - 1].isspace() for _, b, _, whole in got[:-1] if whole) and not got[-2][3]
+    code = "".join(f"def f{i}():\n    x = {i}\n    return x\n\n" for i in range(200))
+    assert all(code[a:].startswith("def") for a, *_ in passages.cut(code, "code", 200, 0))
+
+
+def test_long_blocks_take_linear_time():
+    counted = []
+
+    def count(text):
+        counted.append(len(text))
+        return passages.approximate(text)
+
+    text = "One two three. " * 20_000
+    block = {"block_id": "b", "content": text, "type": "paragraph", "section_path": [], "structured": None}
+    assert len(passages.pack("s", [block], count)) > 100
+    assert sum(counted) < 5 * len(text)
+
+
+def test_runs_are_filled_in_order():
+    assert passages.fill([3, 3, 3, 9, 1], 6) == [(0, 2), (2, 3), (3, 4), (4, 5)] and passages.fill([], 5) == []
+
+
 def test_violations_are_found(spark):
     rows = blocks.parsed(spark.createDataFrame([("x", "markdown", "# A\n\none\n\ntwo")], "id string, modality string, text string"))
     bad = rows.withColumn("content", F.when(F.col("ordinal") == 1, "changed").otherwise(F.col("content"))).filter("ordinal <> 0")
