@@ -7,23 +7,28 @@ first, so that only they are sorted:
 1. A string's anchor is the place of the least hash among its `gram`-byte grams (polynomial prefix hashes). Equal strings
    have equal anchors at equal places, so strings with anchors of different hashes never meet. Neighbouring strings
    mostly share their anchor; such a run is one row, named by the anchor's hash and a hash of the run's bytes.
-2. Rows of the same name are the same strings: all but the earliest go. Each task settles its own rows first, so a string
-   that a third of all documents hold costs a row per task. What is left are anchors with runs of several names.
+2. Rows of the same name are taken for the same strings: all but the earliest go. Each task settles its own rows first and
+   compares their bytes; what tasks settle between them, a row per task and string, is verified by digests of the bytes,
+   and an anchor whose names collided is settled by its strings' bytes. What is left are anchors with runs of several names.
+   An anchor that shows more than HOT names to one task is dealt by name instead, and all its runs are told.
 3. Their bytes are fetched and met again by the half beside the anchor that a string must contain. In each such group a
    bottom-up mergesort orders the suffixes at the strings' starts: two suffixes are compared by a binary search over
    prefix polynomial hashes for their common extension, then by the byte after it. Equal neighbours are one string. The
    order is verified byte by byte; where a collision misled it, the group is sorted by its bytes.
-   Groups above group_rows runs are settled a string at a time by a distributed aggregation over the bytes instead.
+   Groups above group_rows runs, which only dealt anchors can have, are not brought together but settled a string at a
+   time by a distributed aggregation over the bytes.
 
 A null text is empty. Rows with equal doc_id and text are one document, and each gets its result; rows that share only the
-doc_id are documents in the order of their texts' hashes. A null doc_id comes first.
+doc_id are documents in the order of their texts' hashes. A null doc_id comes first. A very long text is read in pieces of
+2^21 bytes that overlap by a string. An empty table gives no row. Only doc_id and text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +43,20 @@ GRAM = 32
 CHUNK = 1 << 21
 _B = 0x9E3779B97F4A7C15 | 1
 _LOW = 24
+#: Names that an anchor shows to one task at most before it is dealt by them, and the parts that it is dealt to.
+HOT, SALTS = 64, 251
+NO_DOC = -(1 << 63)
 
 
 def _long(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
-RUNS = _long("g", "c", "doc", "pos")
-FOUND = _long("kind", "g", "doc", "a", "q", "b")
-CONTEXTS = T.StructType([*_long("sub", "doc", "q", "a", "b"), T.StructField("bytes", T.BinaryType())])
+RUNS = _long("g", "c", "doc", "pos", "salt")
+FOUND = _long("kind", "g", "c", "doc", "a", "q", "b")
+#: Kinds of found rows: removed intervals, runs to compare, runs of names to verify, runs of dealt anchors to compare.
+GONE, RUN, NAMED, DEALT = range(4)
+CONTEXTS = T.StructType([*_long("kind", "sub", "doc", "q", "a", "b"), T.StructField("bytes", T.BinaryType())])
 SETTLED = T.StructType([*_long("kind", "doc", "a", "b", "q"), T.StructField("bytes", T.BinaryType())])
 DIGESTS = T.StructType([*_long("doc", "n_bytes", "n_removed", "n_spans"), T.StructField("kept_sha256", T.StringType())])
 
@@ -83,10 +93,15 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def anchor_runs(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """piece, first start, anchor and last start (in the piece), gram hash and content hash of each run of strings."""
-    from xxhash import xxh3_64_intdigest as digest
+def _name(data: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
 
+    return xxh3_64_intdigest(data)
+
+
+def anchor_runs(pieces: list[bytes], length: int, gram: int, name: Callable[[bytes], int] = _name) -> tuple[np.ndarray, ...]:
+    """piece, first start, anchor and last start (in the piece), gram hash, content hash and place in the joined pieces of
+    each run of strings."""
     sizes = np.array([len(p) for p in pieces])
     joined = b"".join(pieces)
     data = np.frombuffer(joined, np.uint8)
@@ -104,11 +119,11 @@ def anchor_runs(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray
     first = s[new]
     last = s[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])]
     q = at[first]
-    c = np.array([digest(joined[i:j]) for i, j in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+    c = np.array([name(joined[i:j]) for i, j in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
     c ^= _mix(((q - first) << 32 | (last - first)).astype(np.uint64))
     piece = piece[first]
     base = (stop - sizes)[piece]
-    return piece, first - base, q - base, last - base, h[q].view(np.int64), c.view(np.int64)
+    return piece, first - base, q - base, last - base, h[q].view(np.int64), c.view(np.int64), first
 
 
 def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,22 +140,45 @@ def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[first], a[first], np.maximum.reduceat(b, first)
 
 
-def _scan(length: int, gram: int, held: int = 1 << 20):
+def _scan(length: int, gram: int, name: Callable[[bytes], int], held: int = 1 << 20, every: bool = False):
+    """The runs of each text. Runs of the same name in one task are compared byte by byte: the first one stands for all, the
+    others' intervals are told at once (pos < 0), and one with other bytes gets another name. every: all runs as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        buffers: list[bytes] = []
+        rows = base = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            g, c, doc, a, q, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            nonlocal base
+            g, c, doc, a, q, b, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
-            order = np.lexsort((a, doc, c, g))
-            g, c, doc, a, q, b = (x[order] for x in (g, c, doc, a, q, b))
-            first = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
-            gone = _merge(doc[~first], a[~first], b[~first] + length)
             pos = a << 16 | (q - a) << 8 | (b - a)
-            out = [np.concatenate(x) for x in ((g[first], gone[0]), (c[first], gone[1]), (doc[first], gone[0]), (pos[first], -gone[2]))]
+            none = np.zeros(0, np.int64)
+            gone, salt, hot = (none, none, none), np.zeros(len(g), np.int64), none
+            if not every:
+                order = np.lexsort((a, doc, c, g))
+                g, c, doc, a, b, at, pos = (x[order] for x in (g, c, doc, a, b, at, pos))
+                data = b"".join(buffers)
+                first = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+                rep = np.flatnonzero(first)[np.cumsum(first) - 1]
+                copy, end = np.flatnonzero(~first), at + b - a + length
+                same = np.fromiter((data[i:j] == data[k:m] for i, j, k, m in zip(at[copy].tolist(), end[copy].tolist(), at[rep[copy]].tolist(), end[rep[copy]].tolist(), strict=True)), bool, len(copy))
+                for i in copy[~same].tolist():
+                    c[i] = int.from_bytes(hashlib.sha256(data[at[i] : end[i]]).digest()[:8], "little", signed=True)
+                gone = _merge(doc[copy[same]], a[copy[same]], b[copy[same]] + length)
+                keep = np.ones(len(g), bool)
+                keep[copy[same]] = False
+                names, many = np.unique(g[keep], return_counts=True)
+                hot = names[many > HOT]
+                g, c, doc, pos = (x[keep] for x in (g, c, doc, pos))
+                salt = np.where(np.isin(g, hot), 1 + (c.view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
+            buffers.clear()
+            base = 0
+            k = len(hot)
+            out = [np.concatenate(x) for x in ((g, gone[0], hot), (c, gone[1], np.full(k, NO_DOC)), (doc, gone[0], np.full(k, NO_DOC)), (pos, -gone[2], np.zeros(k, np.int64)), (salt, np.zeros(len(gone[0]) + k, np.int64)))]
             for i in range(0, len(out[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], RUNS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[i : i + 100_000], np.int64)) for x in out], RUNS.names)
 
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(), batch.column(1)
@@ -151,9 +189,11 @@ def _scan(length: int, gram: int, held: int = 1 << 20):
                 while len(data) - at >= length or i == batch.num_rows:
                     part = data[at : at + CHUNK]
                     if pieces and (size + len(part) > CHUNK or i == batch.num_rows):
-                        piece, a, q, b, g, c = anchor_runs(pieces, length, gram)
+                        piece, a, q, b, g, c, place = anchor_runs(pieces, length, gram, name)
                         move = np.array(offset)[piece]
-                        parts.append((g, c, np.array(owner)[piece], a + move, q + move, b + move))
+                        parts.append((g, c, np.array(owner)[piece], a + move, q + move, b + move, place + base))
+                        buffers.extend(pieces)
+                        base += size
                         rows += len(a)
                         pieces, owner, offset, size = [], [], [], 0
                     if i == batch.num_rows:
@@ -173,40 +213,51 @@ def _scan(length: int, gram: int, held: int = 1 << 20):
 
 
 def _settle(length: int):
-    """Rows sorted by g, c, doc, pos: kind 0 are removed intervals [a, b), kind 1 the earliest runs of anchors with several."""
+    """Rows sorted by g, salt, c, doc, pos: the later runs of each name as removed intervals, every run of a name that has
+    several, and the earliest runs of anchors that have several names or are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row that began a class; whether it is still to be told
-        waiting = False
+        last, dealt = None, False  # the last row's anchor and part, and whether all of its runs are told
+        held: list[int] | None = None  # the last name's earliest run; it stands before the next batch's rows
+        alone = told = named = False  # is it its anchor's first; has it been told as a run to compare, to verify
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, c, doc, pos = (x.to_numpy() for x in batch.columns)
+            g, c, doc, pos, salt = (x.to_numpy() for x in batch.columns)
             own = pos < 0
-            out = [(np.zeros(own.sum(), np.int64), g[own], doc[own], c[own], c[own], -pos[own])]
-            g, c, doc, pos = (x[~own] for x in (g, c, doc, pos))
-            a = pos >> 16
-            q, b = a + (pos >> 8 & 255), a + (pos & 255)
-            if len(g):
-                class_, group = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]), np.concatenate([[True], g[1:] != g[:-1]])
-                if held and held[1] == g[0]:
-                    group[0] = False
-                    class_[0] = held[6] != c[0]
-                gone = ~class_
-                out.append((np.zeros(gone.sum(), np.int64), g[gone], doc[gone], a[gone], a[gone], b[gone] + length))
-                reps = np.flatnonzero(class_)
-                row = lambda i: (1, g[i], doc[i], a[i], q[i], b[i], c[i])
-                goes_on = held is not None and held[1] == g[0]
-                if len(reps):
-                    starts = group[reps]
-                    if goes_on and not starts[0] and waiting:
-                        out.append(tuple(np.array([x]) for x in held[:6]))
-                        waiting = False
-                    more = np.concatenate([~starts[1:], [False]])  # another class of the same anchor follows
-                    told = ~starts | more
-                    tell = reps[told]
-                    out.append((np.ones(len(tell), np.int64), g[tell], doc[tell], a[tell], q[tell], b[tell]))
-                    held, waiting = row(reps[-1]), bool(starts[-1])
+            out = [(np.full(own.sum(), GONE), g[own], c[own], doc[own], c[own], c[own], -pos[own])]
+            rows = [x[~own] for x in (g, c, doc, pos, salt)]
+            if len(rows[0]):
+                opens = np.concatenate([[(rows[0][0], rows[4][0]) != last], (rows[0][1:] != rows[0][:-1]) | (rows[4][1:] != rows[4][:-1])])
+                mark = (rows[1] == NO_DOC) & (rows[2] == NO_DOC)
+                group = np.cumsum(opens)
+                all_ = np.concatenate([[dealt], (mark | (rows[4] > 0))[opens]])[group]
+                last, dealt = (rows[0][-1], rows[4][-1]), bool(all_[-1])
+                if opens[0]:
+                    held = None
+                rows, group, all_ = [x[~mark] for x in rows], group[~mark], all_[~mark]
+            if len(rows[0]):
+                before = held is not None
+                if before:
+                    rows = [np.concatenate([[x], y]) for x, y in zip(held, rows, strict=True)]
+                    group, all_ = np.concatenate([[0], group]), np.concatenate([all_[:1], all_])
+                g, c, doc, pos, _ = rows
+                a = pos >> 16
+                q, b = a + (pos >> 8 & 255), a + (pos & 255)
+                first = np.concatenate([[True], (group[1:] != group[:-1]) | (c[1:] != c[:-1])])
+                late, reps = np.flatnonzero(~first), np.flatnonzero(first)
+                heads = np.concatenate([[alone if before else True], group[reps[1:]] != group[reps[:-1]]])
+                tell = ~heads | np.concatenate([~heads[1:], [False]]) | all_[reps]
+                shared = np.concatenate([~first[1:], [False]])[reps]
+                new = np.ones((2, len(reps)), bool)
+                new[:, 0] = (not told, not named) if before else True
+                for kind, i in ((NAMED, np.concatenate([late, reps[shared & new[1]]])), (RUN, reps[tell & new[0]])):
+                    out.append((np.where(all_[i] & (kind == RUN), DEALT, kind), g[i], c[i], doc[i], a[i], q[i], b[i]))
+                out.append((np.full(len(late), GONE), g[late], c[late], doc[late], a[late], a[late], b[late] + length))
+                i = reps[-1]
+                old = before and len(reps) == 1
+                held, alone = [int(x[i]) for x in rows], bool(heads[-1])
+                told, named = bool(tell[-1] or old and told), bool(shared[-1] or old and named)
             cols = [np.concatenate(x) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64)) for x in cols], FOUND.names)
 
@@ -214,13 +265,14 @@ def _settle(length: int):
 
 
 def _contexts(length: int, gram: int):
-    """Cuts the runs' bytes out of their documents; half of them meet by the bytes right of the anchor, half by those left."""
+    """Cuts the runs' bytes out of their documents; half of them meet by the bytes right of the anchor, half by those left.
+    Of a named run it tells a digest, with the name's two halves in sub and q."""
     half = (length - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
-        types = [pa.int64()] * 5 + [pa.binary()]
+        types = [pa.int64()] * 6 + [pa.binary()]
         for batch in batches:
             out: list[tuple] = []
 
@@ -232,13 +284,16 @@ def _contexts(length: int, gram: int):
             for k in range(batch.num_rows):
                 doc, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 for r in batch.column(2)[k].as_py():
-                    a, q, b = r["a"], r["q"], r["b"]
+                    kind, a, q, b = r["kind"], r["a"], r["q"], r["b"]
+                    if kind == NAMED:
+                        out.append((kind, r["g"], doc, r["c"], a, b, hashlib.sha256(data[a : b + length]).digest()[:16]))
+                        continue
                     if b >= q - half:
                         s = max(a, q - half)
-                        out.append((digest(data[q : q + gram + half], 1) - (1 << 63), doc, q, s, b, data[s : b + length]))
+                        out.append((kind, digest(data[q : q + gram + half], 1) - (1 << 63), doc, q, s, b, data[s : b + length]))
                     if a < q - half:
                         e = min(b, q - half - 1)
-                        out.append((digest(data[q - half - 1 : q + gram], 2) - (1 << 63), doc, q, a, e, data[a : e + length]))
+                        out.append((kind, digest(data[q - half - 1 : q + gram], 2) - (1 << 63), doc, q, a, e, data[a : e + length]))
                 if len(out) > 20_000:
                     yield from flush()
             yield from flush()
@@ -360,7 +415,7 @@ def _compare(length: int, group_rows: int, most: int = 60_000):
             small = np.isin(sub, count[0][(count[1] > 1) & (count[1] <= group_rows)])
             if small.any():
                 t = table.filter(pa.array(small))
-                doc, a, b = repeated({c: t[c].to_pylist() if c == "bytes" else t[c].to_numpy() for c in CONTEXTS.names}, length)
+                doc, a, b = repeated({c: t[c].to_pylist() if c == "bytes" else t[c].to_numpy() for c in CONTEXTS.names[1:]}, length)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip((np.zeros(len(doc), np.int64), doc, a, b, a, [None] * len(doc)), types, strict=True)], SETTLED.names)
             if (wide := np.isin(sub, count[0][count[1] > group_rows])).any():
@@ -431,21 +486,44 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], DIGESTS.names)
 
 
-def removed(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group_rows: int = 4096) -> DataFrame:
-    """Intervals (doc, a, b), half open, in bytes, that go from the texts of docs (doc: unique, ascending; data: binary)."""
-    runs = docs.filter(F.length("data") >= length).mapInArrow(_scan(length, gram), RUNS)
-    sorted_ = runs.repartition("g").sortWithinPartitions("g", "c", "doc", "pos")
+def _anchored(docs: DataFrame, bad: DataFrame, length: int, gram: int, name: Callable[[bytes], int]) -> DataFrame:
+    """All runs of some anchors (g), with their bytes: (doc, a, b, bytes)."""
+    runs = docs.filter(F.length("data") >= length).mapInArrow(_scan(length, gram, name, every=True), RUNS).join(bad, "g", "left_semi")
+    a = F.shiftright("pos", 16)
+    runs = runs.select("doc", a.alias("a"), (a + F.col("pos").bitwiseAND(F.lit(255))).alias("b"))
+    return runs.join(docs, "doc").select("doc", "a", "b", F.substring("data", F.col("a").cast("int") + 1, (F.col("b") - F.col("a") + length).cast("int")).alias("bytes"))
+
+
+def removed(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group_rows: int = 4096, name: Callable[[bytes], int] = _name) -> DataFrame:
+    """Intervals (doc, a, b), half open, in bytes, that go from the texts of docs (doc: unique, ascending; data: binary).
+    name: hashes a run's bytes; it may collide."""
+    spark = docs.sparkSession
+    runs = docs.filter(F.length("data") >= length).mapInArrow(_scan(length, gram, name), RUNS)
+    sorted_ = runs.repartition("g", "salt").sortWithinPartitions("g", "salt", "c", "doc", "pos")
     found = Stored(sorted_.mapInArrow(_settle(length), FOUND), "runs").df
-    release(docs.sparkSession)
-    asked = found.filter("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("a", "q", "b")).alias("runs"))
-    cut = docs.join(asked, "doc").select("doc", "data", "runs").mapInArrow(_contexts(length, gram), CONTEXTS)
-    met = cut.repartition("sub").sortWithinPartitions("sub", "doc", "q")
+    release(spark)
+    asked = found.filter(F.col("kind") != GONE).groupBy("doc").agg(F.collect_list(F.struct("kind", "g", "c", "a", "q", "b")).alias("runs"))
+    cut = Stored(docs.join(asked, "doc").select("doc", "data", "runs").mapInArrow(_contexts(length, gram), CONTEXTS), "contexts").df
+    release(spark)
+    gone, wide = found.filter(F.col("kind") == GONE), []
+    named = cut.filter(F.col("kind") == NAMED).groupBy(F.col("sub").alias("g"), F.col("q").alias("c")).agg(F.min("bytes").alias("x"), F.max("bytes").alias("y"))
+    bad = stored(named.filter("x <> y").select("g", "c"), "collisions")
+    if bad.limit(1).count():
+        gone = gone.join(bad, ["g", "c"], "left_anti")
+        wide.append(_anchored(docs, bad.select("g").distinct(), length, gram, name))
+    meet = cut.filter(F.col("kind").isin(RUN, DEALT))
+    large = stored(cut.filter(F.col("kind") == DEALT).groupBy("sub").count().filter(F.col("count") > group_rows).select("sub"), "large")
+    if large.limit(1).count():
+        wide.append(meet.join(large, "sub", "left_semi").select("doc", "a", "b", "bytes"))
+        meet = meet.join(large, "sub", "left_anti")
+    met = meet.drop("kind").repartition("sub").sortWithinPartitions("sub", "doc", "q")
     settled = Stored(met.mapInArrow(_compare(length, group_rows), SETTLED), "strings").df
-    release(docs.sparkSession)
-    gone = found.filter("kind = 0").select("doc", "a", "b").union(settled.filter("kind = 0").select("doc", "a", "b"))
-    wide = settled.filter("kind = 1")
-    if wide.limit(1).count():
-        gone = gone.union(stored(_wide(wide, length), "wide"))
+    release(spark)
+    gone = gone.select("doc", "a", "b").union(settled.filter("kind = 0").select("doc", "a", "b"))
+    if settled.filter("kind = 1").limit(1).count():
+        wide.append(settled.filter("kind = 1").select("doc", "a", "b", "bytes"))
+    if wide:
+        gone = gone.union(stored(_wide(reduce(DataFrame.unionByName, wide), length), "wide"))
     return gone
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -152,6 +153,63 @@ def test_suffix_dedup_equals_brute_force(spark, alphabet, group_rows):
     assert got == suffix_brute([(d, t.encode()) for d, t in docs], 12)
 
 
+@pytest.mark.parametrize("bits", [1, 3, 64])
+def test_suffix_dedup_survives_colliding_names(spark, bits):
+    """Names that collide in a task, between tasks or always: distinct bytes stay, repeats go."""
+    r = random.Random(6)
+    parts = ["".join(r.choice("abcd") for _ in range(r.randrange(5, 40))) for _ in range(12)]
+    docs = [(i, "".join(r.choice(parts) for _ in range(r.randrange(7)))) for i in range(50)]
+    mine, _ = suffix_dedup.keyed(frame(spark, docs).repartition(5))
+    gone = suffix_dedup.removed(mine, length=12, gram=5, name=lambda x: xxhash.xxh3_64_intdigest(x) & ((1 << bits) - 1)).collect()
+    want = suffix_brute([(d, t.encode()) for d, t in docs], 12)
+    for d, t in docs:
+        flags = bytearray(len(t))
+        for x in gone:
+            if x["doc"] == d:
+                flags[x["a"] : x["b"]] = b"\1" * (x["b"] - x["a"])
+        assert sum(flags) == want[d][1], (d, bits)
+
+
+@pytest.mark.parametrize(("hot", "group_rows"), [(2, 4096), (2, 5), (64, 4096)])
+def test_suffix_dedup_deals_anchors_that_all_documents_hold(spark, monkeypatch, hot, group_rows):
+    """A phrase shorter than a string stands in every document with other words around it."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(9)
+    phrase = "".join(r.choice("abcdefgh") for _ in range(14))
+    docs = [(i, "".join(r.choice("abcdefgh") for _ in range(r.randrange(30))) + phrase + r.choice(["", "xyzxyz", "uvwuvwuvw"]) + "".join(r.choice("abcdefgh") for _ in range(r.randrange(12)))) for i in range(80)]
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.suffix_dedup(frame(spark, docs).repartition(6), length=18, gram=5, group_rows=group_rows).collect()}
+    assert got == suffix_brute([(d, t.encode()) for d, t in docs], 18)
+
+
+def test_suffix_settle_is_the_same_in_batches_of_any_size():
+    r = np.random.default_rng(3)
+    rows = sorted((int(g), int(salt), int(c), int(d), int(p) << 16 | 5 << 8 | 7) for g, salt, c, d, p in zip(r.integers(0, 6, 300), np.where(r.random(300) < 0.2, 1, 0), r.integers(0, 9, 300), r.integers(0, 40, 300), r.integers(0, 3, 300), strict=True))
+    rows = sorted([*rows, (2, 0, suffix_dedup.NO_DOC, suffix_dedup.NO_DOC, 0), (2, 0, suffix_dedup.NO_DOC, suffix_dedup.NO_DOC, 0), (9, 0, suffix_dedup.NO_DOC, suffix_dedup.NO_DOC, 0), (11, 0, 5, 1, 0)])
+
+    def run(step):
+        cols = [np.array(x, np.int64) for x in zip(*[(g, c, d, p, s) for g, s, c, d, p in rows], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in cols], suffix_dedup.RUNS.names) for i in range(0, len(rows), step)]
+        return sorted(tuple(x.values()) for b in suffix_dedup._settle(20)(iter(batches)) for x in b.to_pylist())
+
+    want, groups = [], {}
+    for g, s, c, d, p in rows:
+        groups.setdefault((g, s), []).append((c, d, p))
+    for (g, s), mine in groups.items():
+        dealt = s > 0 or any(d == suffix_dedup.NO_DOC for _, d, _ in mine)
+        names = {}
+        for c, d, p in mine:
+            if d != suffix_dedup.NO_DOC:
+                names.setdefault(c, []).append((d, p >> 16, (p >> 16) + 5, (p >> 16) + 7))
+        for c, runs in names.items():
+            d, a, q, b = runs[0]
+            if dealt or len(names) > 1:
+                want.append((3 if dealt else 1, g, c, d, a, q, b))
+            want += [(2, g, c, *x) for x in runs] if len(runs) > 1 else []
+            want += [(0, g, c, d, a, a, b + 20) for d, a, _, b in runs[1:]]
+    for step in (1, 2, 7, 50, 1000):
+        assert run(step) == sorted(want), step
+
+
 def test_suffix_dedup_hard_rows(nasty, nothing):
     got = suffix_dedup.suffix_dedup(nasty).collect()
     assert len(got) == len(NASTY)
