@@ -4,11 +4,13 @@ Every source is a queue of its documents' ids in one fixed order. Its stream of
 floor(p * T_s / P): block p of every source goes to packing partition p, so that each partition holds the target mixture
 and what rounding leaves, the fraction of p * T_s / P, is the deficit with which a source enters partition p. Inside a
 partition each round adds to every source its share of a window as credit; a source is served once its credit reaches
-MIN_PIECE ids, so pieces are that long unless a document or a window ends, and what it is still owed is carried on. Windows are full; what is left at the end of a partition is cut into sequences whose lengths
-are powers of two, so nothing is padded.
+MIN_PIECE ids, so pieces are that long unless a document or a window ends, and what it is still owed is carried on. Windows
+are full; what is left at the end of a partition is cut into sequences whose lengths are powers of two, so nothing is padded.
 
-A null text is empty and gives its end id alone. A null source is a queue of its own. Rows that repeat a doc_id are
-documents of their own.
+A null text is empty and gives its end id alone; an empty table gives no piece. A null source is a queue of its own. Rows
+that repeat a doc_id, or doc_id and text, are documents of their own, in the order in which their tasks read them. A very long
+text is encoded whole and cut at the partitions' borders. Only doc_id, source and text are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, documents, slim, stored
+from .common import Stored, bounded, documents, slim, stored
 from .tokens import encoder, vocabulary_path
 
 MIN_PIECE = 32
@@ -47,8 +49,7 @@ def _encode(path: str, end: int, wide: int):
 
         part, enc, tail, ends = TaskContext.get().partitionId(), encoder(path), np.array([end], "<u4").tobytes(), {}
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
+            for batch in bounded(whole, 2, 512):
                 found = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in enc.encode(batch.column(2).to_pylist())]
                 local = []
                 for s, x in zip(batch.column(1).to_pylist(), found, strict=True):
@@ -98,14 +99,16 @@ def round_robin(queues: list[list[int]], shares: list[float], credit: list[float
     for s, (queue, share, owed) in enumerate(zip(queues, shares, credit, strict=True)):
         ends = np.cumsum(np.array(queue, np.int64))
         every = max(1, math.ceil(least / max(share * window, 1e-9))) if share * window < least else 1
-        turn = np.arange(1, rounds + 1)
-        served = np.maximum(0, (turn + s % every) // every * every - s % every)  # the rounds that a source has been paid for
-        got = np.minimum(ends[-1], np.floor(share * window * served + owed).astype(np.int64))
+        # the rounds in which a source is served, no more than its ids can fill, and the last one
+        most = int((ends[-1] - owed) // max(share * window * every, 1e-9)) + 2
+        turn = np.arange(every - s % every, rounds, every)[:most]
+        turn = np.append(turn, rounds)
+        got = np.maximum(0, np.minimum(ends[-1], np.floor(share * window * turn + owed).astype(np.int64)))
         got[-1] = ends[-1]
         cuts = np.unique(np.concatenate([ends, got[got > 0]]))
         begin = np.concatenate([[0], cuts[:-1]])
         item = np.searchsorted(ends, begin, side="right")
-        parts.append((np.searchsorted(got, begin, side="right"), np.full(len(cuts), s), item, begin - np.concatenate([[0], ends])[item], cuts - begin))
+        parts.append((turn[np.searchsorted(got, begin, side="right")], np.full(len(cuts), s), item, begin - np.concatenate([[0], ends])[item], cuts - begin))
     at, queue, item, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((start, item, queue, at))
     queue, item, start, n = queue[order], item[order], start[order], n[order]
@@ -123,10 +126,10 @@ def _pack(window: int, per_block: int, least: int, wide: int):
         ids = table["ids"].combine_chunks() if table.num_rows else table["ids"]
         block = rows["block"][0]
         order = sorted(range(table.num_rows), key=lambda i: (rows["source"][i] is None, rows["source"][i] or "", rows["at"][i]))
-        names = list(dict.fromkeys(rows["source"][i] for i in order))
-        items: list[list[int]] = [[] for _ in names]
+        by_source: dict[str | None, list[int]] = {}
         for i in order:
-            items[names.index(rows["source"][i])].append(i)
+            by_source.setdefault(rows["source"][i], []).append(i)
+        items = list(by_source.values())
         data = [np.frombuffer(ids[i].as_buffer(), f"<u{wide}").astype("<u4").view(np.uint8).data for i in range(table.num_rows)]
         queues = [[len(data[i]) // 4 for i in q] for q in items]
         first = [q[0] for q in items]
