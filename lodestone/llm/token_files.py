@@ -5,7 +5,9 @@ file's place in that order), local_start (ids before the document in its part),
 by dictionary (encoding="dictionary") or by delta binary packing ("delta"); row groups and pages are bounded, and the page
 indexes let a reader of a few doc_ids skip whole pages. A reader of metadata never touches the id pages.
 
-A null text is empty: only the end id. Null doc_ids sort first; rows that share a doc_id come in the order of their texts.
+A null text is empty: only the end id. Null doc_ids sort first; rows that share a doc_id come in the order of their texts, and
+equal ones stand beside each other. A very long text is encoded whole, with few beside it; an empty table gives no rows. Only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _live, arrow_rows, documents, shared_dir, slim
+from .common import _live, arrow_rows, bounded, documents, shared_dir, slim
 from .tokens import encoder, vocabulary_path
 
 FILES = T.StructType([
@@ -35,8 +37,7 @@ def _encode(path: str, end: int):
 
         part, at, enc, tail = TaskContext.get().partitionId(), 0, encoder(path), np.array([end], "<u4").tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
+            for batch in bounded(whole, 1, 512):
                 found = enc.encode(batch.column(1).to_pylist())
                 n = np.fromiter((len(x) // 4 + 1 for x in found), np.int64, len(found))
                 stops = np.cumsum(n)

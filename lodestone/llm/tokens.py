@@ -11,6 +11,7 @@ special tokens go to the library whole.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from functools import lru_cache
@@ -40,6 +41,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _splits_at_blanks(path: str) -> bool:
+    """Whether a vocabulary file is of the kind that the quick cut knows: byte-level pieces by the pattern of GPT-2 (the library's
+    own), no normalizer and no blank put in front. Any other is encoded by the library, text by text."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    pre = told.get("pre_tokenizer") or {}
+    return (told.get("model") or {}).get("type") == "BPE" and not told.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
 class Encoder:
     """cache: distinct pieces held at most when a batch begins, before starting anew."""
 
@@ -48,6 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.known = _splits_at_blanks(path)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else None
@@ -75,6 +86,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if not self.known:
+            return [self.whole(t) for t in texts]
         out, cache, on = [], self.cache, gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the cache is large
         try:
