@@ -6,7 +6,8 @@
    A sender sends each fingerprint once, however many copies it holds, so a hot text costs one code per sender.
 3. Rows whose bit is set are suspects. Only their texts are shuffled, and grouped by their bytes.
 
-Null text counts as empty. Rows that repeat both doc_id and text are copies of each other: each comes back, the first
+Very long texts are hashed and compared whole, an empty table gives no row, and only doc_id and text are read, so other
+columns may have any name. Null text counts as empty. Rows that repeat both doc_id and text are copies of each other: each comes back, the first
 as kept. Null doc_ids are ordinary rows; a null keep_id arises only where all copies have a null doc_id.
 """
 
@@ -22,6 +23,9 @@ from pyspark.sql import types as T
 
 from .common import WS, Stored, documents, slim, stored, unused
 
+#: Rows from which on owners and senders take more of them.
+WIDE = 1 << 31
+
 PACKS = T.StructType([
     T.StructField("sender", T.LongType()), T.StructField("owner", T.IntegerType()), T.StructField("n", T.IntegerType()),
     T.StructField("k", T.IntegerType()), T.StructField("unary", T.BinaryType()), T.StructField("rest", T.BinaryType()),
@@ -132,11 +136,13 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = lambda x:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     spare_bits: fingerprints have log2(rows) + spare_bits bits, so about one row in 2^spare_bits is a needless suspect.
-    owner_rows: rows per owner, which bounds its memory. digest: names a text in joins; texts that share a digest are told
+    owner_rows: rows per owner, which bounds its memory, and chunk_rows: rows per sender; above WIDE rows both grow with the
+    root of the rows, up to eightfold, so that messages, a sender's to each owner, don't grow with the square. digest: names a text in joins; texts that share a digest are told
     apart by their bytes.
     """
     d = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"))
     n = max(1, docs.count())
+    owner_rows, chunk_rows = (min(8 * x, int(x * max(1.0, (n / WIDE) ** 0.5))) for x in (owner_rows, chunk_rows))
     bits = min(62, max(16, n.bit_length() + spare_bits))
     owners = -(-n // owner_rows)
     hashed = d.select("doc_id", digest(F.col("norm")).alias("sha"), F.xxhash64("norm").alias("fp"))
