@@ -8,7 +8,8 @@ spanning forest of their links. Larger buckets take another exact way: two finge
 and only if some word is within one bit of both, so each fingerprint emits itself and its one-bit neighbours (over the
 bits that its table drops) as keys, and the at most 65 fingerprints of a key, all linked, form a star.
 
-Null or wordless texts have the fingerprint zero, linked like any other. Rows repeating a doc_id come back each, with a
+Very long texts are read whole, their hashes counted in pieces; an empty table gives no row; only doc_id and text are read, so
+other columns may have any name. Null or wordless texts have the fingerprint zero, linked like any other. Rows repeating a doc_id come back each, with a
 fingerprint of their own and the component that it lies in. A null doc_id comes back; it is never the smallest.
 """
 

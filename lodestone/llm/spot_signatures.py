@@ -6,7 +6,8 @@ with few has its word pairs, too, and a text without any of these its whole word
 similar documents: sets are partitioned by length so that only neighbouring partitions can reach the threshold, each set is
 looked up by its rarest signatures alone, and a candidate is dropped where its lengths bound the similarity below it.
 
-A null text is empty; two empty texts are alike (1.0). Documents stand in ascending doc_id order, nulls first, those that
+A null text is empty; two empty texts are alike (1.0), and an empty table gives no row. Texts of any length are read whole; only
+doc_id and text are read, so other columns may have any name. Documents stand in ascending doc_id order, nulls first, those that
 share a doc_id by their texts; the last one's next is the first. Of a single document the next is itself.
 """
 
@@ -101,35 +102,39 @@ def near_pairs(spotted: DataFrame, threshold: float = 0.8) -> DataFrame:
     return both.filter(F.col("likeness") >= threshold - 1e-12)
 
 
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below doc_id; looked up in two levels, so that many bounds cost their root."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+def _bucket(doc_id: Column, bounds: Column, step: int) -> Column:
+    """How many of the ascending bounds, in rows of `step`, are at or below doc_id; looked up in two levels, so that many
+    bounds cost their root."""
 
     def below(a: Column) -> Column:
         return F.size(F.filter(a, lambda x: x <= doc_id))
 
-    longs = "array<bigint>"
-    row = below(F.array(*[F.lit(r[0]) for r in rows]).cast(longs))
-    inner = below(F.get(F.array(*[F.array(*[F.lit(x) for x in r]).cast(longs) for r in rows]), row - 1))
+    row = below(F.transform(bounds, lambda r: r[0]))
+    inner = below(F.get(bounds, row - 1))
     return F.when(doc_id.isNull() | (row == 0), 0).otherwise((row - 1) * step + inner)
 
 
 def with_next(docs: DataFrame, bucket_docs: int = 4000, most_buckets: int = 50_000) -> tuple[DataFrame, Window]:
     """doc_id, text, next_text, last, bucket: each document and the text after it. Ranges of doc_id, cut at quantiles, are
-    the partitions; each gets the first text of the range after it. Returns the window that later columns can use, too."""
+    the partitions; each gets the first text of the range after it. The bounds, at most most_buckets numbers, travel as one
+    broadcast row, and only (bucket, next bucket) is put in one order. Returns the window that later columns can use, too."""
     d = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     k = min(max(1, -(-n // bucket_docs)), most_buckets)  # beyond that, ranges grow and their windows spill
-    bounds = d.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], min(20 * k, 1_000_000))).first()[0] if k > 1 else []
-    d = d.withColumn("bucket", _bucket(F.col("doc_id"), sorted(set(bounds or []))))
+    found = d.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], min(20 * k, 1_000_000))).first()[0] if k > 1 else []
+    bounds = sorted(set(found or []))
+    step = max(1, math.isqrt(len(bounds)))
+    if bounds:
+        row = docs.sparkSession.createDataFrame([([bounds[i : i + step] for i in range(0, len(bounds), step)],)], "bounds array<array<bigint>>")
+        d = d.crossJoin(F.broadcast(row)).select("doc_id", "text", _bucket(F.col("doc_id"), F.col("bounds"), step).alias("bucket"))
+    else:
+        d = d.withColumn("bucket", F.lit(0))
     least = d.groupBy("bucket").agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select(F.col("bucket").alias("k"), F.col("m.doc_id").alias("m"))
     firsts = d.join(F.broadcast(least), (F.col("bucket") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("m"))).groupBy("bucket").agg(F.min("text").alias("first"))
     firsts = stored(firsts, "firsts")
-    over = Window.orderBy("bucket")  # a row per bucket
-    after = firsts.select(F.col("bucket"), F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("first_after"))
+    over = Window.orderBy("bucket")  # two numbers a bucket
+    after = firsts.select("bucket", F.coalesce(F.lead("bucket").over(over), F.first("bucket").over(over)).alias("then"))
+    after = after.join(firsts.select(F.col("bucket").alias("then"), F.col("first").alias("first_after")), "then").select("bucket", "first_after")
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     led = d.withColumn("led", F.lead("text").over(w)).join(after, "bucket")
     return led.select("bucket", "doc_id", "text", F.coalesce("led", "first_after").alias("next_text"), F.col("led").isNull().alias("last")), w

@@ -514,3 +514,21 @@ def test_pipeline(spark, tmp_path):
     assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     out = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert out.agg(F.sum("length")).first()[0] > 60 * 120
+
+
+def test_other_vocabularies_are_encoded_by_the_library():
+    """A vocabulary with another pre-tokenizer or normalizer doesn't go through the quick cut."""
+    other = Encoder(vocabulary_path("word_bpe_49k.json"))
+    texts = ["Hello, world. It's  fine", " a b\nc", "", "Zürich 123"]
+    assert not other.known and Encoder(vocabulary_path()).known
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_queue_of_many_sources_takes_little_room():
+    """Thousands of tiny sources beside a hot one: every id once, in its queue's order."""
+    queues = [[3]] * 5000 + [[20_000]]
+    total = sum(map(sum, queues))
+    got = packing.round_robin(queues, [sum(q) / total for q in queues], [0.0] * len(queues), 1024)
+    assert got[:, 4].sum() == total and {(int(s), int(i)) for _, s, i, *_ in got} == {(s, 0) for s in range(5001)}
+    hot = got[got[:, 1] == 5000]
+    assert np.array_equal(hot[:, 3], np.cumsum(hot[:, 4]) - hot[:, 4]) and max(hot[:, 4]) <= 1024
