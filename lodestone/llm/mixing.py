@@ -78,7 +78,7 @@ def schedule(targets: DataFrame, k: int, chunk: int = CHUNK, point: str = "corpu
     counts = slots.groupBy("s", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("s", "chunk", (F.sum("n").over(Window.partitionBy("s").orderBy("chunk")) - F.col("n")).alias("before"))
     local = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
-    return slots.withColumn("local", local).join(before, ["s", "chunk"]).select("slot", "s", (F.col("before") + F.col("local")).alias("rank"))
+    return slots.withColumn("local", local).join(before.hint("merge"), ["s", "chunk"]).select("slot", "s", (F.col("before") + F.col("local")).alias("rank"))
 
 
 class Mix:
@@ -103,7 +103,7 @@ class Mix:
         buckets = mine.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
         before = buckets.select("s", "bucket", (F.sum("n").over(Window.partitionBy("s").orderBy("bucket")) - F.col("n")).alias("before"))
         running = F.sum("size").over(Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0))
-        placed = mine.withColumn("running", running).join(before, ["s", "bucket"]).withColumn("at", F.col("before") + F.col("running") - F.col("size"))
+        placed = mine.withColumn("running", running).join(before.hint("merge"), ["s", "bucket"]).withColumn("at", F.col("before") + F.col("running") - F.col("size"))
         self.docs = stored(placed.select("doc_id", "source", "size", "key", "s", "source_size", "target", "at"), "placed")
         walks = self.docs.filter("size > 0 AND target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("from", F.col("at") + F.col("epoch") * F.col("source_size"))
         # block r holds the words from floor(r w) on; a word past the last slot's end meets no slot
@@ -114,19 +114,19 @@ class Mix:
         blocks = cut.withColumn("start", start).withColumn("stop", stop).filter("start < stop")
         blocks = blocks.select("s", "rank", "doc_id", "source", "key", "at", "epoch", (F.col("start") - F.col("from")).alias("first_word"), (F.col("stop") - F.col("start")).alias("words"))
         self.slots = schedule(told.select("s", "target"), self.bits, point=point)
-        self.plan = self.slots.join(blocks, ["s", "rank"]).drop("rank")
+        self.plan = self.slots.join(blocks.hint("merge"), ["s", "rank"]).drop("rank")  # both sides grow: never broadcast
 
     def taken(self) -> DataFrame:
         """Per document: doc_id, source, size, source_size, target, taken, key."""
         words = self.plan.groupBy(F.col("s").alias("s_"), F.col("at").alias("at_")).agg(F.sum("words").alias("words"))
         on = (F.col("s") == F.col("s_")) & (F.col("at") == F.col("at_")) & (F.col("size") > 0)
-        return self.docs.join(words, on, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "key")
+        return self.docs.join(words.hint("merge"), on, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "key")
 
     def turns(self) -> DataFrame:
         """(doc_id, key, copies, slot): each turn of a document that the mix takes, at the slot of its first word there. A turn
         that ends with its source's last slot counts as a whole one if half of its words or more are in the mix."""
         went = self.plan.groupBy("s", "at", "epoch").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"), F.any_value("doc_id").alias("doc_id"), F.any_value("key").alias("key"))
-        whole = went.join(self.docs.filter("size > 0").select("s", "at", "size"), ["s", "at"]).filter("2 * words >= size")
+        whole = went.join(self.docs.filter("size > 0").select("s", "at", "size").hint("merge"), ["s", "at"]).filter("2 * words >= size")
         return whole.groupBy("doc_id", "key", "epoch").agg(F.min("slot").alias("slot"), F.count("*").alias("copies"))
 
 
@@ -138,7 +138,7 @@ def mixed(docs: DataFrame, **options: object) -> DataFrame:
     mine = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows share their turns
         mine = mine.dropDuplicates(["doc_id", key])
-    out = mine.join(turns, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)))
+    out = mine.join(turns.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)))
     out = out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return out.repartitionByRange(slot).sortWithinPartitions(slot, "doc_id", turn).select(*[F.col(f"`{c}`") for c in docs.columns])
 
