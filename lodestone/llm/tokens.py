@@ -63,7 +63,7 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else None
         self.cache, self.most = {}, cache
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.known else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
