@@ -106,3 +106,26 @@ def retry_after(value: Column) -> Column:
 
 def backoff(attempt: Column, base: int = 2, most: int = 3600) -> Column:
     return F.least(F.pow(F.lit(float(base)), attempt), F.lit(float(most))).cast("long")
+
+
+ADDRESS = r"[^@\s]+@[^@\s.]+(\.[^@\s.]+)+"
+
+
+def is_address(text: Column) -> Column:
+    """One name, one "@", and a host of two labels or more."""
+    return text.rlike(r"\A" + ADDRESS + r"\z")
+
+
+def address_domain(text: Column) -> Column:
+    return F.lower(F.regexp_extract(text, r"@([^@\s]+)$", 1))
+
+
+def brief(text: Column, most: int) -> Column:
+    """One line of at most `most` bytes whole, otherwise its first characters and an ellipsis."""
+    line = F.regexp_replace(text, r"\s+", " ")
+    return F.when(F.octet_length(text) > most, F.concat(F.rtrim(F.substr(line, F.lit(1), F.lit(most - 1))), F.lit("…"))).otherwise(line)
+
+
+def labelled(**values: Column) -> Column:
+    """A line "Label: value" for each value that isn't null."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in values.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,13 @@ def renewed(table: DataFrame, scanned: DataFrame, keys: list[str], until: str) -
 
 def expired(table: DataFrame, as_of: str, column: str = "valid_until") -> DataFrame:
     return table.filter(F.col(column) <= F.lit(as_of).cast("timestamp"))
+
+
+def appended(trail: DataFrame | None, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """An append-only trail with seq from 1 on within keys: new rows go on from the last number; old ones never change."""
+    numbered = new.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    if trail is None:
+        return numbered
+    last = trail.groupBy(*keys).agg(F.max("seq").alias("last_"))
+    later = numbered.join(last, keys, "left").withColumn("seq", F.col("seq") + F.coalesce("last_", F.lit(0))).drop("last_")
+    return trail.unionByName(later)

@@ -67,3 +67,14 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, id_: str
     both = mine.unionByName(right.withColumn("side", F.lit(1)))
     w = Window.partitionBy(*keys).orderBy(time, "side", id_).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("before", F.last(F.when(F.col("side") == 1, F.col(id_)), ignorenulls=True).over(w)).filter("side = 0").drop("side")
+
+
+def not_in(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """SQL's NOT IN without a broadcast of the list: one look tells whether it holds a null (nothing passes) or nothing (all
+    pass); otherwise an anti join, which a null key doesn't pass."""
+    seen = listed.agg(F.count("*").alias("n"), F.count(key).alias("known")).first()
+    if not seen["n"]:
+        return rows
+    if seen["known"] < seen["n"]:
+        return rows.filter(F.lit(False))
+    return rows.filter(F.col(key).isNotNull()).join(listed.select(key), key, "left_anti").select(*rows.columns)

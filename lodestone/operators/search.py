@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.stem import stemmed
 
-LIVE = r"(^|[^a-z])(latest|current|how many|count of|timestamp)([^a-z]|$)"
+LIVE = r"(^|[^a-z])(latest|newest|most recent|current|right now|how many|count of|timestamp)([^a-z]|$)"
 
 
 def needs_live_answer(question: Column) -> Column:
@@ -106,20 +106,20 @@ def _search(block: object):
     return run
 
 
-def log_records(df: DataFrame, text: str) -> DataFrame:
-    """A record begins at a date at a line's start; continuation lines stay with it."""
+def log_records(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """keys, ordinal, record, stamp, request, lines: a record begins at a date at a line's start; further lines stay with it."""
     parts = F.filter(F.split(text, r"(?m)(?=^\d{4}-\d\d-\d\d[T ])"), lambda x: F.trim(x) != "")
-    rows = df.select(F.posexplode(parts).alias("ordinal", "record"))
-    return rows.select("ordinal", "record", F.regexp_extract("record", r"^(\S+(?: \d\d:\d\d:\d\d)?)", 1).alias("stamp"), F.regexp_extract("record", r"(?:request|trace)_id=(\w+)", 1).alias("request"), F.size(F.filter(F.split("record", "\n"), lambda x: x != "")).alias("lines"))
+    rows = df.select(*keys, F.posexplode(parts).alias("ordinal", "record"))
+    return rows.select(*keys, "ordinal", "record", F.regexp_extract("record", r"^(\S+(?: \d\d:\d\d:\d\d)?)", 1).alias("stamp"), F.regexp_extract("record", r"(?:request|trace)_id=(\w+)", 1).alias("request"), F.size(F.filter(F.split("record", "\n"), lambda x: x != "")).alias("lines"))
 
 
-def cues(df: DataFrame, text: str) -> DataFrame:
-    """Transcript cues: times in seconds, the speaker tag, what was said."""
+def cues(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Transcript cues with the keys of their rows: times in seconds, the speaker tag, what was said."""
     blocks = F.filter(F.split(text, r"\r?\n\s*\r?\n"), lambda b: b.contains("-->"))
-    rows = df.select(F.posexplode(blocks).alias("ordinal", "cue"))
+    rows = df.select(*keys, F.posexplode(blocks).alias("ordinal", "cue"))
     times = r"(\S+)\s+-->\s+(\S+)"
     said = F.regexp_replace(F.regexp_replace("cue", r"(?s)^.*?-->[^\n]*\n", ""), r"<[^>]*>", "")
-    return rows.select("ordinal", tx.cue_seconds(F.regexp_extract("cue", times, 1)).alias("starts"), tx.cue_seconds(F.regexp_extract("cue", times, 2)).alias("ends"), F.regexp_extract("cue", r"<v ([^>]+)>", 1).alias("speaker"), F.trim(F.translate(said, "\n", " ")).alias("said"))
+    return rows.select(*keys, "ordinal", tx.cue_seconds(F.regexp_extract("cue", times, 1)).alias("starts"), tx.cue_seconds(F.regexp_extract("cue", times, 2)).alias("ends"), F.regexp_extract("cue", r"<v ([^>]+)>", 1).alias("speaker"), F.trim(F.translate(said, "\n", " ")).alias("said"))
 
 
 def reauthorised(hits: DataFrame, allowed: DataFrame, key: str) -> DataFrame:

@@ -48,3 +48,18 @@ def redundant(hits: DataFrame, share: float = 0.8) -> DataFrame:
     overlap = F.least("a.end", "b.end") - F.greatest("a.start", "b.start")
     shorter = F.least(F.col("a.end") - F.col("a.start"), F.col("b.end") - F.col("b.start"))
     return a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("b.rank") < F.col("a.rank")) & (overlap >= shorter * share), "left_semi").select("a.*")
+
+
+_TESTS = {"=": lambda c, v: c == v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "in": lambda c, v: c.isin(*v) if v else F.lit(False), "contains": lambda c, v: c.contains(v)}
+
+
+def structured(rows: DataFrame, tests: list[tuple[str, str, object]], order: list[str], limit: int) -> DataFrame:
+    """The first rows that pass every (column, test, value), in an order ("-" descends), with `truncated`: whether more would.
+    The tests reach the scan; one row more than the limit is taken, never the whole answer."""
+    for column, test, value in tests:
+        rows = rows.filter(_TESTS[test](F.col(column), value))
+    by = [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]
+    taken = rows.orderBy(*by).limit(limit + 1)
+    n = Window.orderBy(*by)  # limit + 1 rows
+    told = taken.withColumn("place_", F.row_number().over(n)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit)
+    return told.filter(F.col("place_") <= limit).drop("place_")

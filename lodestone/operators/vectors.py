@@ -53,7 +53,7 @@ def top_k(embeddings: DataFrame, q: list[float], k: int) -> DataFrame:
 
 
 def neighbours(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(q, hit, rk): for each row of a bounded query set its k nearest others; hit: the labels are equal.
+    """(q, hit, rk, vec_id, s): for each row of a bounded query set its k nearest others; hit: the labels are equal.
 
     Each task keeps k candidates per query and batch; only those are ranked."""
     rows = queries.select("vec_id", "label", "embedding").collect()
@@ -79,7 +79,7 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
     near = corpus.select("vec_id", "label", "embedding").mapInArrow(run, "q long, vec_id long, s double, hit boolean")
     w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
-    return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("q", "hit", "rk")
+    return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("q", "hit", "rk", "vec_id", "s")
 
 
 def neighbours_in_blocks(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024) -> DataFrame:

@@ -8,6 +8,7 @@ change feed, and region > nation > customer > orders the folder tree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,15 +66,21 @@ def token_frequency_topk(spark: SparkSession, d: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
-@query("WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:_[\\p{L}\\p{N}]+)*') AS l FROM documents WHERE n_chars < 2000) SELECT doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 32), ' ') AS terms FROM l")
+QUERY_TERMS = r"""WITH l AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*') AS l FROM documents),
+w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l), f AS (SELECT doc_id, t, min(i) AS i FROM w GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f), g AS (SELECT doc_id, string_agg(t, ' ' ORDER BY k) AS terms FROM r WHERE k <= 32 GROUP BY 1)
+SELECT doc_id, coalesce(terms, '') AS terms FROM l LEFT JOIN g USING (doc_id)"""
+
+
+@query(QUERY_TERMS)
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("n_chars < 2000").select("doc_id", F.concat_ws(" ", tx.query_terms(F.col("text"))).alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", tx.query_terms(F.col("text"))).alias("terms"))
 
 
-@query()
+@query(QUERY_TERMS)
 def query_terms_all(spark: SparkSession, d: str) -> DataFrame:
-    """query_terms of every document, however long; DuckDB's list_filter is quadratic there, so there is no SQL."""
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", tx.query_terms(F.col("text"))).alias("terms"))
+    """The former name of query_terms over every document."""
+    return query_terms(spark, d)
 
 
 LEX = f"""WITH {P}, s AS (SELECT doc_id, ordinal, source, len(list_intersect({T}, {LIST})) AS hits FROM p)
@@ -97,7 +104,7 @@ def weighted_rank(spark: SparkSession, d: str) -> DataFrame:
     return search.density_rank(postings, TERMS, ["doc_id", "ordinal"]).orderBy(F.desc("raw"), "doc_id", "ordinal").limit(50).select("doc_id", big("ordinal").alias("ordinal"), F.round("score", 6).alias("score"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^a-z])(latest|current|how many|count of|timestamp)([^a-z]|$)') AS gated FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^a-z])(latest|newest|most recent|current|right now|how many|count of|timestamp)([^a-z]|$)') AS gated FROM conversations WHERE role = 'user'")
 def gate_exact_question(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", search.needs_live_answer(F.col("text")).alias("gated"))
 
@@ -113,10 +120,14 @@ def best_block(spark: SparkSession, d: str) -> DataFrame:
 COS = "(SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0)"
 
 
-@query(f"SELECT vec_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY round(s, 6) DESC, vec_id) AS rank FROM {COS} ORDER BY rank LIMIT 24")
+ALL_COS = "(SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS s FROM embeddings e, embeddings q WHERE e.vec_id <> q.vec_id AND q.vec_id % 50 = 0)"
+
+
+@query(f"SELECT q, vec_id, s AS similarity, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM {ALL_COS} QUALIFY rank <= 24")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 24 nearest vectors of every vector whose id is divisible by 50."""
     e = table(spark, d, "embeddings")
-    return vectors.top_k(e.filter("vec_id <> 0"), vectors.vector(e, 0), 24).select("vec_id", "similarity", big("rank").alias("rank"))
+    return vectors.neighbours_in_blocks(e.filter("vec_id % 50 = 0"), e, 24).select("q", "vec_id", F.col("s").alias("similarity"), big("rk").alias("rank"))
 
 
 @query(f"SELECT vec_id, round(s, 6) AS similarity FROM {COS} WHERE 1 - s <= 1 - 0.15")
@@ -164,9 +175,9 @@ def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id").orderBy("doc_id").limit(16)
 
 
-@query("SELECT lang, source FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL HAVING count(*) FILTER (e.vec_id IS NULL) <= 5")
+@query("SELECT lang, source FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL HAVING count(*) FILTER (e.vec_id IS NULL) = 0")
 def activation_ready(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.coverage(table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), ["lang", "source"]).filter("total - ready <= 5").select("lang", "source")
+    return vectors.coverage(table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), ["lang", "source"]).filter("total = ready").select("lang", "source")
 
 
 @query("SELECT sha, CAST(ceil(n / 16.0) AS BIGINT) AS batch FROM (SELECT sha, row_number() OVER (ORDER BY sha) AS n FROM (SELECT DISTINCT sha256(text) AS sha FROM documents d ANTI JOIN (SELECT vec_id AS doc_id FROM embeddings) e USING (doc_id)))")
@@ -175,10 +186,10 @@ def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
     return vectors.batches(docs.select(F.sha2("text", 256).alias("sha")), "sha", 16)
 
 
-@query(f"WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20), k AS (SELECT q, max(CASE WHEN hit THEN 1.0 ELSE 0 END) AS recall, max(CASE WHEN hit THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN hit THEN 1 / log2(rk + 1.0) ELSE 0 END) AS dcg FROM r WHERE rk <= 10 GROUP BY q) SELECT CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr, round(avg(dcg), 6) AS dcg FROM k")
+@query(f"WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT q, max(CASE WHEN hit THEN 1.0 ELSE 0 END) AS recall, max(CASE WHEN hit THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN hit THEN 1 / log2(rk + 1.0) ELSE 0 END) AS dcg FROM r WHERE rk <= 10 GROUP BY q) SELECT CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr, round(avg(dcg), 6) AS dcg FROM k")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return search.metrics(vectors.neighbours(e.filter("vec_id < 20"), e, 10), 10)
+    return search.metrics(vectors.neighbours_in_blocks(e.filter("vec_id % 50 = 0"), e, 10), 10)
 
 
 @query(f"WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT q, max(CASE WHEN hit THEN 1.0 ELSE 0 END) AS recall, max(CASE WHEN hit THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN hit THEN 1 / log2(rk + 1.0) ELSE 0 END) AS dcg FROM r WHERE rk <= 10 GROUP BY q) SELECT CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr, round(avg(dcg), 6) AS dcg FROM k")
@@ -276,7 +287,22 @@ def unindexed_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT CASE WHEN quality = 0 THEN NULL ELSE doc_id END FROM labels)")
 def null_aware_not_in(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql("SELECT doc_id FROM {d} WHERE doc_id NOT IN (SELECT CASE WHEN quality = 0 THEN NULL ELSE doc_id END FROM {l})", d=table(spark, d, "documents"), l=table(spark, d, "labels"))
+    """Empty, since the list holds nulls; null_aware_not_in_rows has a list of each kind."""
+    listed = table(spark, d, "labels").select(F.when(F.col("quality") != 0, F.col("doc_id")).alias("doc_id"))
+    return relational.not_in(table(spark, d, "documents").select("doc_id"), listed, "doc_id")
+
+
+@query("SELECT 'plain' AS list, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0) UNION ALL SELECT 'null', doc_id FROM documents WHERE doc_id NOT IN (SELECT CASE WHEN quality = 0 THEN NULL ELSE doc_id END FROM labels) UNION ALL SELECT 'empty', doc_id FROM documents WHERE (CASE WHEN doc_id % 2 = 0 THEN doc_id END) NOT IN (SELECT doc_id FROM labels WHERE quality = 7) UNION ALL SELECT 'null value', doc_id FROM documents WHERE (CASE WHEN doc_id % 2 = 0 THEN doc_id END) NOT IN (SELECT doc_id FROM labels)")
+def null_aware_not_in_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels")
+    half = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("key"))
+    lists = {
+        "plain": relational.not_in(docs, labels.filter("toxic = 0").select("doc_id"), "doc_id"),
+        "null": relational.not_in(docs, labels.select(F.when(F.col("quality") != 0, F.col("doc_id")).alias("doc_id")), "doc_id"),
+        "empty": relational.not_in(half, labels.filter("quality = 7").select(F.col("doc_id").alias("key")), "key").select("doc_id"),
+        "null value": relational.not_in(half, labels.select(F.col("doc_id").alias("key")), "key").select("doc_id"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("list"), "doc_id") for k, df in lists.items()])
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F' AND p_size < 25 GROUP BY 1")
@@ -481,20 +507,95 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", big(F.get_json_object("props", "$.k")).alias("k")).filter("k < 50")
 
 
-LOG = "2024-01-02T03:04:05Z start request_id=alpha\n  more\n2024-01-02 03:04:06 stop request_id=beta\n"
+LOG = """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events), o AS (SELECT user_id, event_id, stamp, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal, event_type FROM e)
+SELECT user_id, CAST(ordinal AS BIGINT) AS ordinal, stamp, 'e' || event_id AS request, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS lines FROM o"""
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), '2024-01-02T03:04:05Z', 'alpha', CAST(2 AS BIGINT)), (1, '2024-01-02 03:04:06', 'beta', 1)) t(ordinal, stamp, request, lines)")
+@query(LOG)
 def log_records(spark: SparkSession, d: str) -> DataFrame:
-    return search.log_records(spark.range(1).select(F.lit(LOG).alias("text")), "text").select(big("ordinal").alias("ordinal"), "stamp", "request", big("lines").alias("lines"))
+    """Each user's events written as a log, a third of them with a second line, and read back record by record."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    line = F.concat(stamp, F.lit(" "), F.col("event_type"), F.lit(" request_id=e"), F.col("event_id"), F.when(F.col("event_id") % 3 == 0, "\n  more").otherwise(""))
+    logs = table(spark, d, "events").select("user_id", F.struct("event_id", line.alias("line")).alias("l")).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+    return search.log_records(logs, "text", "user_id").select("user_id", big("ordinal").alias("ordinal"), "stamp", "request", big("lines").alias("lines"))
 
 
-VTT = "WEBVTT\n\n00:01.000 --> 00:05.500\n<v Ann>Hello there\n\n01:00:06.000 --> 01:00:10.000\nBye\n"
+VTT = r"""WITH t AS (SELECT conv_id, role, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), '-->', '', 'g')) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)
+SELECT conv_id, CAST(i AS BIGINT) AS ordinal, CAST(i * 2 AS DOUBLE) AS starts, i * 2 + 1.5::DOUBLE AS ends, role AS speaker, said FROM t WHERE role IS NOT NULL"""
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 1.0::DOUBLE, 5.5::DOUBLE, 'Ann', 'Hello there'), (1, 3606.0, 3610.0, '', 'Bye')) t(ordinal, starts, ends, speaker, said)")
+@query(VTT)
 def transcript_cues(spark: SparkSession, d: str) -> DataFrame:
-    return search.cues(spark.range(1).select(F.lit(VTT).alias("text")), "text").select(big("ordinal").alias("ordinal"), "starts", "ends", "speaker", "said")
+    """Conversations written as transcripts, two seconds a turn, and read back cue by cue."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    said = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "<[^>]*>", ""), r"\s+", " "), "-->", "")
+    turns = table(spark, d, "conversations").select("conv_id", "role", F.trim(said).alias("said"), (F.row_number().over(w) - 1).alias("i")).filter("role IS NOT NULL")
+
+    def clock(seconds: Column, rest: str) -> Column:
+        return F.format_string(f"%02d:%02d:%02d.{rest}", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+
+    cue = F.concat(clock(F.col("i") * 2, "000"), F.lit(" --> "), clock(F.col("i") * 2 + 1, "500"), F.lit("\n<v "), F.col("role"), F.lit(">"), F.col("said"))
+    texts = turns.select("conv_id", F.struct("i", cue.alias("cue")).alias("c")).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["cue"]), "\n\n")).alias("text"))
+    return search.cues(texts, "text", "conv_id").select("conv_id", big("ordinal").alias("ordinal"), "starts", "ends", "speaker", "said")
+
+
+# --- headers, addresses, labels, audit, structured queries --------------------------------------------------------------
+
+HEADERS = "array<struct<name:string,value:string>>"
+
+
+@query("SELECT conv_id, lower(role) AS name, arg_min(text, (turn, text)) AS value FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY ALL")
+def first_header_wins(spark: SparkSession, d: str) -> DataFrame:
+    """A map whose first entry of a name, whatever its case, wins."""
+    c = table(spark, d, "conversations").filter("role IS NOT NULL AND text IS NOT NULL")
+    return c.groupBy("conv_id", F.lower("role").alias("name")).agg(F.min_by("text", F.struct("turn", "text")).alias("value"))
+
+
+@query("SELECT c_custkey, regexp_full_match(a, '[^@\\s]+@[^@\\s.]+(\\.[^@\\s.]+)+') AS valid, lower(regexp_extract(a, '@([^@\\s]+)$', 1)) AS domain FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(replace(c_name, '#', '.')) || '@Example.org' WHEN 1 THEN c_name WHEN 2 THEN c_name || '@x@y.org' ELSE c_name || '@host' END AS a FROM customer)")
+def address_check(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_name")
+    a = F.when(k % 4 == 0, F.concat(F.lower(F.replace(n, F.lit("#"), F.lit("."))), F.lit("@Example.org"))).when(k % 4 == 1, n).when(k % 4 == 2, F.concat(n, F.lit("@x@y.org"))).otherwise(F.concat(n, F.lit("@host")))
+    return table(spark, d, "customer").select("c_custkey", tx.is_address(a).alias("valid"), tx.address_domain(a).alias("domain"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) > 120 THEN rtrim(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 119)) || '…' ELSE regexp_replace(text, '\\s+', ' ', 'g') END AS brief FROM documents WHERE text IS NOT NULL")
+def bounded_brief(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", tx.brief(F.col("text"), 120).alias("brief"))
+
+
+@query("SELECT doc_id, concat_ws(chr(10), 'Project: ' || source, 'Language: ' || lang, CASE WHEN l.doc_id IS NOT NULL THEN 'Quality: ' || quality END) AS prefix FROM documents LEFT JOIN labels l USING (doc_id)")
+def labelled_prefix(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.select("doc_id", tx.labelled(Project=F.col("source"), Language=F.col("lang"), Quality=F.col("quality")).alias("prefix"))
+
+
+@query("SELECT o_orderkey, o_totalprice, n > 20 AS truncated FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k, least(count(*) OVER (), 21) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000) WHERE k <= 20")
+def structured_query(spark: SparkSession, d: str) -> DataFrame:
+    """Filters and an order over a recorded table; one row more than the limit tells whether the answer is whole."""
+    found = select.structured(table(spark, d, "orders"), [("o_orderstatus", "=", "O"), ("o_totalprice", ">=", 1000)], ["-o_totalprice", "o_orderkey"], 20)
+    return found.select("o_orderkey", "o_totalprice", "truncated")
+
+
+@query("SELECT o_orderkey FROM orders WHERE false")
+def empty_scope(spark: SparkSession, d: str) -> DataFrame:
+    """A request without any allowed source reads nothing: the plan is an empty relation."""
+    return select.structured(table(spark, d, "orders"), [("o_orderkey", "in", [])], ["o_orderkey"], 20).select("o_orderkey")
+
+
+@query("SELECT event_type AS action, user_id AS actor, event_id AS target, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events WHERE event_type <> 'view'")
+def audit_append(spark: SparkSession, d: str) -> DataFrame:
+    """An audit trail grows only: entries of a first batch keep their numbers when a later one is appended."""
+    e = table(spark, d, "events").filter("event_type <> 'view'").select(F.col("event_type").alias("action"), F.col("user_id").alias("actor"), F.col("event_id").alias("target"), "ts")
+    cut = F.lit("2024-01-01").cast("timestamp_ntz")
+    trail = incremental.appended(None, e.filter(F.col("ts") < cut), ["actor"], ["ts", "target"])
+    return incremental.appended(trail, e.filter(F.col("ts") >= cut), ["actor"], ["ts", "target"]).select("action", "actor", "target", big("seq").alias("seq"))
+
+
+@query("SELECT doc_id, source AS project, 'pending' AS status, CAST(0 AS INTEGER) AS attempts FROM documents ANTI JOIN labels USING (doc_id)")
+def insert_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs for what isn't indexed: a select with literal columns, inserted where no job is."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("project"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
+    return docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 # --- pages: headings, blocks, sections ----------------------------------------------------------------------------------
