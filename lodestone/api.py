@@ -54,5 +54,6 @@ class Workspace:
     def search(self, request: Request) -> list[dict]:
         return answers.chosen(answers.retrieve(self._open(), request)[0], request)
 
-    def answer(self, request: Request, claims: list[dict] | None = None) -> Answer:
-        return answers.answer(self._open(), request, claims)
+    def answer(self, request: Request, claims: list[dict] | None = None, **vectors: object) -> Answer:
+        """vectors: embeddings (passage_id, embedding) and query_vector, for hybrid retrieval."""
+        return answers.answer(self._open(), request, claims, self._open, **vectors)

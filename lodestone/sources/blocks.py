@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
+from pyspark.sql.types import Row, StructType
 
 from . import modality as md
 from . import parsers
@@ -16,6 +16,10 @@ SCHEMA = "id string, ordinal int, block_id string, type string, content string,
 _ARROW = pa.schema([("id", pa.string()), ("ordinal", pa.int32()), *[(c, pa.string()) for c in ("block_id", "type", "content", "structured")], ("section_path", pa.list_(pa.string())), *[(c, pa.string()) for c in ("content_hash", "location", "error")]])
 
 
+def _parse_schema(text: str) -> StructType:
+    return StructType.fromDDL(text)
+
+
 def _rows(source: str, kind: str | None, text: str | None, language: str = "") -> list[dict]:
     try:
         found = parsers.parse(source, kind or "text", text or "", language)
@@ -42,8 +46,13 @@ def parsed(texts: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file under a path to blocks: bounded reads, sniffed by content, Office files included."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length").between(1, md.MOST_BYTES))
+    """Every file under a path to blocks: bounded reads, sniffed by content, Office files included. A too large file
+    isn't read; it gives a row with its error. Spark's reader doesn't list empty ones."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    fits = F.col("length").between(1, md.MOST_BYTES)
+    files = every.filter(fits)
+    reason = F.when(F.col("length") < 1, "Unreadable: the file is empty").otherwise(f"Unreadable: the file has more than {md.MOST_BYTES} bytes")
+    refused = every.filter(~fits).select(*[(F.col("path") if f.name == "id" else reason if f.name == "error" else F.lit(None)).cast(f.dataType).alias(f.name) for f in _parse_schema(SCHEMA)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .office import OFFICE
@@ -63,7 +72,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     rows = [{"id": name, "error": f"{type(e).__name__}: {e}"}]
                 yield _yield(rows)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA).unionByName(refused)
 
 
 class ParseBlocks:

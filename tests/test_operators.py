@@ -121,6 +121,36 @@ def test_answer_states(workspace):
     assert hybrid.warnings and hybrid.hits
 
 
+def test_the_fence_reads_the_tables_again(workspace):
+    request = Request("which failures", project="p")
+    whole = workspace._open()
+    assert answers.answer(whole, request, current=lambda: whole).state == "evidence_only"
+    lost = answers.answer(whole, request, current=lambda: whole.filter("id <> 's2'"))
+    assert lost.state == "insufficient" and not lost.hits and lost.warnings
+
+
+def test_nearest_rank_equals_sorting(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    rows = [(k, r.choice([r.gauss(0, 1), float(r.randrange(5))])) for k in (1, 2) for _ in range(3000)] + [(3, 7.0), (4, None)]
+    wanted = {"a": 0.5, "b": 0.999, "c": 0.0001}
+    got = {x["k"]: (x["a"], x["b"], x["c"]) for x in relational.nearest_rank(spark.createDataFrame(rows, "k int, v double"), "k", "v", wanted).collect()}
+    for k in (1, 2, 3):
+        mine = sorted(v for i, v in rows if i == k)
+        assert got[k] == tuple(mine[max(1, math.ceil(q * len(mine))) - 1] for q in wanted.values())
+
+
+def test_not_in(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+
+    def left(values):
+        return sorted(str(r["k"]) for r in relational.not_in(df, spark.createDataFrame([(v,) for v in values], "k int"), "k").collect())
+
+    assert left([1]) == ["2"] and left([1, None]) == [] and left([]) == ["1", "2", "None"]
+
+
 def test_redundancy_keeps_differing_numbers():
     def hit(i, text):
         return {"passage_id": str(i), "id": str(i), "spans": [], "content": text, "tokens": 5, "ordinal": 0}

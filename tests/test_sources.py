@@ -116,6 +116,14 @@ def test_files_to_passages(spark, tmp_path):
     assert canonical.sections(found).filter("depth = 1").count() == 2
 
 
+def test_too_large_files_give_an_error_row(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes(b"short text")
+    (tmp_path / "b.txt").write_bytes(b"long text " * 20)
+    monkeypatch.setattr(modality, "MOST_BYTES", 50)
+    got = {r["id"].rpartition("/")[2]: r["error"] for r in blocks.read_files(spark, f"file://{tmp_path}").collect()}
+    assert got["a.txt"] is None and "more than 50 bytes" in got["b.txt"]
+
+
 def test_parts_fit_and_cover():
     text = " ".join(f"Word{i} " * (i % 23) + f"end{i}." for i in range(400)) + "x" * 9000
     for overlap in (0, 40):
