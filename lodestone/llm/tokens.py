@@ -14,11 +14,14 @@ import gc
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 CACHE = 900_000
 _split = re.compile(r"(?<=\S) ").split
 _marked = re.compile(r"[\W_][.,]").search
+_runs = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+").findall
 _PLAIN = bytes(c < 128 and chr(c).isalnum() for c in range(256))
 
 
@@ -50,24 +53,33 @@ def _splits_at_blanks(path: str) -> bool:
     return (told.get("model") or {}).get("type") == "BPE" and not told.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
+class Pieces(dict):
+    """ids by piece; a piece that is looked up for the first time is learned."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.learn(piece)
+        return ids
+
+
 class Encoder:
-    """cache: distinct pieces held at most when a batch begins, before starting anew."""
+    """cache: distinct pieces held at most when a text begins, half of them those met last, the others from before."""
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.known = _splits_at_blanks(path)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.known = self.tokenizer.model, _splits_at_blanks(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else None
-        self.cache, self.most = {}, cache
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.known else None
+        self.cache, self.old, self.most = Pieces(self.learn), {}, cache
+        self.line = self.whole("\n")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.alphabet[10] = f" {self.alphabet[10]} "
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -79,50 +91,45 @@ class Encoder:
         if not text or self.special and self.special(text):
             return [text]
         if not _hard(text):
-            found = text.replace("\n", " \0\n").replace(".", " \0.").replace(",", " \0,").split(" ")
-            if "" not in found and "\0\n" not in found:
-                return found
+            cut = text.replace("\n", " \0\n").replace(".", " \0.").replace(",", " \0,")
+            if "  " not in cut and "\0\n " not in cut and cut[0] != " " and cut[-1] not in " \n":
+                return cut.split(" ")
         return [text] if "\0" in text else _split(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.known:
             return [self.whole(t) for t in texts]
-        out, cache, on = [], self.cache, gc.isenabled()
+        out, on = [], gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the cache is large
         try:
-            for i in range(0, len(texts), 16):
-                cut = list(map(self.pieces, texts[i : i + 16]))
-                firsts = [p.pop(0) for p in cut]
-                if missing := set().union(*cut).difference(cache):
-                    if len(cache) > self.most:
-                        cache.clear()
-                        missing = set().union(*cut)
-                    self.learn(list(missing))
-                look = cache.__getitem__
-                out += [(self.whole(a) if a else b"") + b"".join(map(look, pieces)) for a, pieces in zip(firsts, cut, strict=True)]
+            for text in texts:
+                if len(self.cache) > self.most // 2:
+                    self.old, self.cache = self.cache, Pieces(self.learn)
+                first, *rest = self.pieces(text)
+                start = self.cache["\0" + first] if rest and 0 < len(first) < 32 else self.whole(first) if first else b""
+                out.append(start + b"".join(map(self.cache.__getitem__, rest)))
         finally:
             if on:
                 gc.enable()
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Caches pieces: letters go to the model in one go, a line each, other pieces to the tokenizer."""
-        import numpy as np
-
-        cache, words = self.cache, []
-        for p in pieces:
-            if p.isalpha() or p[:2] == "\0\n" and p[2:].isalpha():
-                words.append(p)
-            else:
-                cache[p] = self.whole(p[1:] if p[:1] == "\0" else " " + p)
-        for i in range(0, len(words), 200):
-            some = words[i : i + 200]
-            text = "".join([w[1:] if w[0] == "\0" else f"\n {w}" for w in some]).encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.append(np.flatnonzero(ids == self.line), len(ids))).tolist()
-            flat = ids.tobytes()
-            cache.update((w, flat[a if w[0] == "\0" else a + 4 : b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
+    def learn(self, piece: str) -> bytes:
+        """A piece's ids: by the library's model for runs of letters, digits and marks, otherwise by the tokenizer."""
+        if (ids := self.old.get(piece)) is not None:
+            return ids
+        bare, after_line = piece[:1] == "\0", piece[:2] == "\0\n"
+        word = piece[1 + after_line :] if bare else piece
+        if word.isalpha():
+            runs = [word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)]
+        elif word and word.isascii() and word.isprintable() and " " not in word and "'" not in word:
+            runs = _runs(word)
+        else:
+            return self.whole(piece[1:] if bare else " " + piece)
+        if not bare:
+            runs[0] = self.alphabet[32] + runs[0]
+        ids = array("I", [t.id for run in runs for t in self.model.tokenize(run)]).tobytes()
+        return self.line + ids if after_line else ids
 
 
 @lru_cache(maxsize=2)

@@ -532,3 +532,13 @@ def test_a_queue_of_many_sources_takes_little_room():
     assert got[:, 4].sum() == total and {(int(s), int(i)) for _, s, i, *_ in got} == {(s, 0) for s in range(5001)}
     hot = got[got[:, 1] == 5000]
     assert np.array_equal(hot[:, 3], np.cumsum(hot[:, 4]) - hot[:, 4]) and max(hot[:, 4]) <= 1024
+
+
+def test_ids_equal_encode_on_random_marks_and_blanks_with_a_small_cache():
+    r = random.Random(1)
+    bits = ["a", "Zz", " ", "  ", "\n", "\n\n", ".", ",", "'s", "'", "%%", "\t", "9", "12", "é", "ß", "_", "x1", "<|endoftext|>", "\xa0", "你好", "\0", "!", "?.", "\r\n", "é", "don't", "²", "~"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(4000)]
+    enc = Encoder(vocabulary_path(), cache=300)
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+    assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(enc.cache) + len(enc.old) < 500 and enc.old
