@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, lm_score, mixing, packing, quality_crf, simhash_dedup, spot_signatures, suffix_dedup, token_files
+from . import byte_bpe, chat_format, exact_dedup, filter_audit, lm_score, mixing, packing, quality_crf, simhash_dedup, spot_signatures, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spot_signatures": spot_signatures.query,
@@ -19,9 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.query,
     "op9_quality_crf": quality_crf.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_byte_bpe": byte_bpe.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
