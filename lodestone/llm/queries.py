@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, exact_dedup, filter_audit, lm_score, mixing, packing, quality_crf, simhash_dedup, spot_signatures, suffix_dedup, token_files
+from . import byte_bpe, chat_format, collocations, exact_dedup, filter_audit, lm_score, mixing, packing, quality_crf, simhash_dedup, spot_signatures, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spot_signatures": spot_signatures.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": exact_dedup.query,
     "op11_filter_audit": filter_audit.query,
     "op12_byte_bpe": byte_bpe.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLES: dict[str, str] = {
