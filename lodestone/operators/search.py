@@ -59,6 +59,12 @@ def fuse(*lists: DataFrame, k: int = 60) -> DataFrame:
     return every.groupBy("doc_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.count("*").alias("lists"))
 
 
+def fuse_each(*lists: DataFrame, k: int = 60) -> DataFrame:
+    """fuse() for many questions at once: (q, doc_id, rank) lists to q, doc_id, score, lists."""
+    every = reduce(DataFrame.unionByName, [x.groupBy("q", "doc_id").agg(F.min("rank").alias("rank")) for x in lists])
+    return every.groupBy("q", "doc_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.count("*").alias("lists"))
+
+
 def metrics(found: DataFrame, k: int) -> DataFrame:
     """Recall@k (any hit), MRR@k and DCG@k of (q, hit, rk)."""
     hit = F.col("hit")

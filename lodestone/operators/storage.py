@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_made: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, path: str, name: str, make: Callable[[], Any]) -> Any:
+    """make(), or what it gave before in this session for the same name and the same files, by their lengths and times, at path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +20,10 @@ def _double(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector at length one; null where it isn't valid."""
+    """The vector at length one; null where it isn't valid. The length is taken once, not for each element."""
     d = _double(v)
-    return F.when(_norm(d) > 0, F.transform(d, lambda x: x / _norm(d)))
+    length = F.array(_norm(d))
+    return F.element_at(F.transform(length, lambda n: F.when(n > 0, F.transform(d, lambda x: x / n))), 1)
 
 
 def valid(v: Column, dims: int) -> Column:
@@ -52,47 +54,134 @@ def top_k(embeddings: DataFrame, q: list[float], k: int) -> DataFrame:
     return near.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def neighbours(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(q, hit, rk, vec_id, s): for each row of a bounded query set its k nearest others; hit: the labels are equal.
-
-    Each task keeps k candidates per query and batch; only those are ranked."""
-    rows = queries.select("vec_id", "label", "embedding").collect()
-    ids, labels = np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows])
-    m = np.array([r["embedding"] for r in rows], np.float64)
-    told = corpus.sparkSession.sparkContext.broadcast((ids, labels, m / np.linalg.norm(m, axis=1, keepdims=True)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, m = told.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            mine, label = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            v = batch.column(2).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            s = np.round(m @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-            s[ids[:, None] == mine[None, :]] = -np.inf
-            best = np.lexsort((np.broadcast_to(mine, s.shape), -s), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), best.shape[1])
-            b = best.ravel()
-            keep = np.isfinite(s[q, b])
-            q, b = q[keep], b[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(mine[b]), pa.array(s[q, b]), pa.array(labels[q] == label[b])], ["q", "vec_id", "s", "hit"])
-
-    near = corpus.select("vec_id", "label", "embedding").mapInArrow(run, "q long, vec_id long, s double, hit boolean")
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels and unit vectors in ascending order of id; vectors of length zero are left out."""
+    ids, labels = t["vec_id"].to_numpy(), t["label"].to_numpy()
+    flat = pc.list_flatten(t["embedding"]).to_numpy().astype(np.float64).reshape(len(ids), -1)
+    length = np.linalg.norm(flat, axis=1)
+    order = np.argsort(ids, kind="stable")
+    order = order[length[order] > 0]
+    return ids[order], labels[order], flat[order] / length[order, None]
+
+
+def block_pairs(queries: DataFrame, corpus: DataFrame, choose: Callable[[np.ndarray], np.ndarray], *, decimals: int | None = 6, query_block: int = 8192, corpus_block: int = 1 << 16) -> DataFrame:
+    """(q, vec_id, s, hit) for pairs of a query and another vector, as far as `choose` takes them of each query's similarities with
+    a block in ascending order of vec_id (it returns places). hit: the labels are equal.
+
+    Both sides are dealt to blocks of bounded size, and each pair of blocks meets in one task: queries are sent once for each block of the
+    corpus, the corpus once for each block of queries; nothing passes the driver."""
+    nq, nc = (max(1, -(-x.count() // n)) for x, n in ((queries, query_block), (corpus, corpus_block)))
+    columns = "vec_id", "label", "embedding"
+    q = queries.select(*columns, F.pmod(F.xxhash64("vec_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).cast("long").alias("cb"))
+    c = corpus.select(*columns, F.pmod(F.xxhash64("vec_id"), F.lit(nc)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = [], [], [], []
+        if a.num_rows and b.num_rows:
+            (qi, ql, m), (ci, cl, v) = _matrix(a), _matrix(b)
+            for at in range(0, len(qi), 64):
+                s = m[at : at + 64] @ v.T
+                s = s if decimals is None else np.round(s, decimals)
+                for row, i, label in zip(s, qi[at : at + 64], ql[at : at + 64], strict=True):
+                    row[ci == i] = -np.inf
+                    found = choose(row)
+                    found = found[np.isfinite(row[found])]
+                    for o, x in zip(out, (np.full(len(found), i), ci[found], row[found], cl[found] == label), strict=True):
+                        o.append(x)
+        empty = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)
+        return pa.table({n: pa.array(np.concatenate([e, *o])) for n, o, e in zip(("q", "vec_id", "s", "hit"), out, empty, strict=True)})
+
+    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(run, "q long, vec_id long, s double, hit boolean")
+
+
+def _best(k: int) -> Callable[[np.ndarray], np.ndarray]:
+    def choose(row: np.ndarray) -> np.ndarray:
+        """The k largest; of equal ones those that come first."""
+        if len(row) <= k:
+            return np.arange(len(row))
+        least = np.partition(row, len(row) - k)[len(row) - k]
+        above = np.flatnonzero(row > least)
+        return np.concatenate([above, np.flatnonzero(row == least)[: k - len(above)]])
+
+    return choose
+
+
+def neighbours(queries: DataFrame, corpus: DataFrame, k: int, **blocks: int) -> DataFrame:
+    """(q, hit, rk, vec_id, s): for each query its k nearest other vectors, ties by vec_id. Each pair of blocks keeps k of a query."""
+    near = block_pairs(queries, corpus, _best(k), **blocks)
     w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
     return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("q", "hit", "rk", "vec_id", "s")
 
 
-def neighbours_in_blocks(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """neighbours for any number of queries: the corpus is read once for each block of as many as are held at once."""
-    ids = queries.select("vec_id").distinct()
-    n = max(1, -(-ids.count() // block))
-    found = None
-    for i in range(n):
-        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i)
-        if mine.limit(1).count():
-            near = neighbours(mine, corpus, k)
-            found = near if found is None else found.unionByName(near)
-    return neighbours(queries.limit(0), corpus.limit(0), k) if found is None else found
+def within(queries: DataFrame, corpus: DataFrame, least: float, **blocks: int) -> DataFrame:
+    """(q, vec_id, s): for each query every other vector whose cosine distance is at most 1 - least."""
+    return block_pairs(queries, corpus, lambda row: np.flatnonzero(1 - row <= 1 - least), decimals=None, **blocks).select("q", "vec_id", "s")
+
+
+# --- approximate search -------------------------------------------------------------------------------------------------
+
+
+class InvertedLists:
+    """Vectors in lists by their nearest of `lists` centroids, which a bounded sample trains; every vector is indexed.
+
+    A search probes the lists whose centroids are nearest to a query and ranks what they hold exactly. Lists larger than `split` vectors
+    are dealt to parts, each of which meets the query apart, so a hot list is no hot task."""
+
+    def __init__(self, corpus: DataFrame, *, lists: int = 64, sample: int = 20_000, rounds: int = 8, split: int = 1 << 16, seed: int = 1) -> None:
+        held = corpus.select("embedding").orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(sample).toArrow()
+        flat = pc.list_flatten(held["embedding"]).to_numpy().astype(np.float64).reshape(held.num_rows, -1)
+        length = np.linalg.norm(flat, axis=1)
+        x = flat[length > 0] / length[length > 0, None]
+        rng = np.random.default_rng(seed)
+        c = x[rng.choice(len(x), min(lists, len(x)), replace=False)] if len(x) else x
+        for _ in range(rounds if len(c) else 0):
+            near = np.argmax(x @ c.T, axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, near, x)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+        self.centroids, self.spark, self.split = c, corpus.sparkSession, split
+        self.rows = self._dealt(corpus, 1)
+
+    def _dealt(self, rows: DataFrame, probes: int) -> DataFrame:
+        """rows with `list`, once for each of the probes nearest centroids."""
+        c = self.centroids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows or not len(c):
+                    continue
+                v = b.column(2).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+                near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :probes]
+                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([*[x.take(at) for x in b.columns], pa.array(near.ravel().astype(np.int32))], [*b.schema.names, "list"])
+
+        kind = rows.schema["vec_id"].dataType.simpleString(), rows.schema["label"].dataType.simpleString(), rows.schema["embedding"].dataType.simpleString()
+        return rows.select("vec_id", "label", "embedding").mapInArrow(run, f"vec_id {kind[0]}, label {kind[1]}, embedding {kind[2]}, list int")
+
+    def neighbours(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+        """(q, vec_id, s, rk) of what the probed lists hold."""
+        sizes = self.rows.groupBy("list").agg(F.ceil(F.count("*") / self.split).cast("int").alias("parts"))
+        q = self._dealt(queries, probes).join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        c = self.rows.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        choose = _best(k)
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            out: tuple[list, ...] = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+            if a.num_rows and b.num_rows:
+                (qi, _, m), (ci, _, v) = _matrix(a), _matrix(b)
+                for at in range(0, len(qi), 64):
+                    for row, i in zip(np.round(m[at : at + 64] @ v.T, 6), qi[at : at + 64], strict=True):
+                        row[ci == i] = -np.inf
+                        found = choose(row)
+                        found = found[np.isfinite(row[found])]
+                        for o, x in zip(out, (np.full(len(found), i), ci[found], row[found]), strict=True):
+                            o.append(x)
+            return pa.table({n: pa.array(np.concatenate(o)) for n, o in zip(("q", "vec_id", "s"), out, strict=True)})
+
+        near = q.groupBy("list", "part").cogroup(c.groupBy("list", "part")).applyInArrow(run, "q long, vec_id long, s double")
+        w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
+        return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
 
 
 def coverage(passages: DataFrame, vectors: DataFrame, keys: list[str], on: str = "doc_id") -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import incremental, relational, search, select, vectors
+from lodestone.operators import incremental, relational, search, select, storage, vectors
+from lodestone.operators.index import Field, Index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,10 +78,21 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", tx.query_terms(F.col("text"))).alias("terms"))
 
 
-@query(QUERY_TERMS)
-def query_terms_all(spark: SparkSession, d: str) -> DataFrame:
-    """The former name of query_terms over every document."""
-    return query_terms(spark, d)
+#: A line's own words, and the labels in front of it at half their weight (a binary fraction: sums don't depend on their order).
+LINE_FIELDS = Field("line"), Field("prefix", 0.5, body=False)
+
+
+def _labelled(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("prefix", F.concat_ws(" ", F.lit("project"), "source", F.lit("language"), "lang"))
+
+
+def line_index(spark: SparkSession, d: str) -> Index:
+    """The index over all lines of documents; stored once a session for the same files, as its users would keep it."""
+    return storage.once(spark, f"{d}/documents.parquet", "line-index", lambda: Index.build(_labelled(passages(spark, d)), storage.fresh_path(spark, "line-index"), LINE_FIELDS))
+
+
+def _place(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ordinal", big("ordinal"))
 
 
 LEX = f"""WITH {P}, s AS (SELECT doc_id, ordinal, source, len(list_intersect({T}, {LIST})) AS hits FROM p)
@@ -89,19 +101,69 @@ SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(hits / 5.0, 6) AS cover
 
 @query(LEX + " ORDER BY rank LIMIT 24")
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.lexical(passages(spark, d), TERMS, 24).select("doc_id", big("ordinal").alias("ordinal"), F.round("coverage", 6).alias("coverage"), big("rank").alias("rank"))
+    """Reads the postings of the question's terms alone."""
+    return _coverage(line_index(spark, d).top(TERMS, 24, "hits"))
+
+
+def _coverage(found: DataFrame) -> DataFrame:
+    best = search.ranked(found, F.desc("hits"), F.asc("doc_id"), F.asc("ordinal"))
+    return _place(best.select("doc_id", "ordinal", F.round(F.col("hits") / F.lit(float(len(TERMS))), 6).alias("coverage"), big("rank").alias("rank")))
 
 
 @query(LEX.replace("FROM s WHERE", "FROM s SEMI JOIN labels USING (doc_id) WHERE source IN ('src0', 'src1') AND") + " ORDER BY rank LIMIT 24")
 def lexical_search_scoped(spark: SparkSession, d: str) -> DataFrame:
-    mine = passages(spark, d).filter(F.col("source").isin("src0", "src1")).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    return search.lexical(mine, TERMS, 24).select("doc_id", big("ordinal").alias("ordinal"), F.round("coverage", 6).alias("coverage"), big("rank").alias("rank"))
+    mine = table(spark, d, "documents").filter(F.col("source").isin("src0", "src1")).select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return _coverage(line_index(spark, d).top(TERMS, 24, "hits", mine))
 
 
 @query(f"WITH {P}, h AS (SELECT doc_id, ordinal, unnest(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM p), r AS (SELECT doc_id, ordinal, CAST(count(*) AS DOUBLE) AS r FROM h WHERE list_contains({LIST}, term) GROUP BY ALL) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(r / (r + 1), 6) AS score FROM r ORDER BY r DESC, doc_id, ordinal LIMIT 50")
 def weighted_rank(spark: SparkSession, d: str) -> DataFrame:
-    postings = search.postings(passages(spark, d), ["doc_id", "ordinal"], "line")
-    return search.density_rank(postings, TERMS, ["doc_id", "ordinal"]).orderBy(F.desc("raw"), "doc_id", "ordinal").limit(50).select("doc_id", big("ordinal").alias("ordinal"), F.round("score", 6).alias("score"))
+    found = line_index(spark, d).top(TERMS, 50)
+    return _place(found.select("doc_id", "ordinal", F.round(F.col("raw") / (F.col("raw") + 1), 6).alias("score")))
+
+
+W = "regexp_extract_all(lower(line), '[\\p{L}\\p{N}_]+')"
+POSTED = f"WITH {P}, w AS (SELECT doc_id, ordinal, unnest({W}) AS term, generate_subscripts({W}, 1) AS pos FROM p)"
+
+
+@query(f"{POSTED} SELECT term, count(*) AS passages, sum(n)::BIGINT AS positions, max(n) AS most FROM (SELECT term, doc_id, ordinal, count(*) AS n FROM w GROUP BY ALL) GROUP BY term")
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every term's passages and positions, from the stored postings."""
+    n = F.size("positions")
+    rows = line_index(spark, d).postings().filter("field = 0")
+    return rows.groupBy("term").agg(F.count("*").alias("passages"), big(F.sum(n)).alias("positions"), big(F.max(n)).alias("most"))
+
+
+CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' the lodestar' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1)"
+
+
+@query(f"WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM {CHANGED}), w AS (SELECT doc_id, ordinal, unnest({W}) AS term FROM p) SELECT term, count(DISTINCT (doc_id, ordinal)) AS passages, count(*) AS positions, sum(doc_id)::BIGINT AS ids FROM w GROUP BY term")
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the documents changed and a tenth gone: a delta segment over the stored index, then all merged, gives what an index over the
+    changed documents would."""
+    docs = table(spark, d, "documents")
+    new = docs.filter("doc_id % 10 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" the lodestar")))
+    lines = new.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    base = Index.build(_labelled(passages(spark, d)), storage.fresh_path(spark, "updated-index"), LINE_FIELDS)
+    rows = base.update(_labelled(lines), docs.filter("doc_id % 10 = 1").select("doc_id")).merge().postings().filter("field = 0")
+    return rows.groupBy("term").agg(F.count("*").alias("passages"), big(F.sum(F.size("positions"))).alias("positions"), big(F.sum(F.col("doc_id") * F.size("positions"))).alias("ids"))
+
+
+@query(f"{POSTED}, h AS (SELECT doc_id, ordinal, pos, term, lag(pos) OVER o AS before, lag(term) OVER o AS other FROM w WHERE term IN ('the', 'of') WINDOW o AS (PARTITION BY doc_id, ordinal ORDER BY pos)), s AS (SELECT doc_id, ordinal, sum(1.0::DOUBLE / (pos - before)) FILTER (other <> term) AS raw FROM h GROUP BY ALL) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(raw / (raw + 1), 6) AS score FROM s WHERE raw IS NOT NULL")
+def cover_density(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that hold both words, by how close they stand: of two words, every change from one to the other bounds a minimal cover."""
+    found = line_index(spark, d).covers(["the", "of"])
+    return _place(found.select("doc_id", "ordinal", F.round(F.col("raw") / (F.col("raw") + 1), 6).alias("score")))
+
+
+ASKED = "['the', 'license', 'of', 'src0', 'house']"
+
+
+@query(f"WITH {P}, q AS (SELECT doc_id, ordinal, list_filter({W}, x -> list_contains({ASKED}, x)) AS b, list_filter(regexp_extract_all(lower(concat_ws(' ', 'project', source, 'language', lang)), '[\p{{L}}\p{{N}}_]+'), x -> list_contains({ASKED}, x)) AS f FROM p), t AS (SELECT doc_id, ordinal, b, len(b) + 0.5::DOUBLE * len(f) AS raw FROM q WHERE len(b) + len(f) > 0 ORDER BY raw DESC, doc_id, ordinal LIMIT 24), s AS (SELECT doc_id, ordinal, len(list_distinct(b)) / 5.0::DOUBLE AS coverage, raw / (raw + 1) AS r FROM t WHERE len(b) > 0) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(coverage, 6) AS coverage, round(r, 6) AS index_rank, row_number() OVER (ORDER BY coverage + r DESC, doc_id, ordinal) AS rank FROM s")
+def rescored_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 24 best by the index's rank over text and labels, then by coverage and rank; what only the labels match goes."""
+    found = line_index(spark, d).rescored(["the", "license", "of", "src0", "house"], 24)
+    return _place(found.select("doc_id", "ordinal", F.round("coverage", 6).alias("coverage"), F.round("index_rank", 6).alias("index_rank"), big("rank").alias("rank")))
 
 
 @query("SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^a-z])(latest|newest|most recent|current|right now|how many|count of|timestamp)([^a-z]|$)') AS gated FROM conversations WHERE role = 'user'")
@@ -111,15 +173,15 @@ def gate_exact_question(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {P}, n AS (SELECT doc_id, count(*) AS lines, arg_max(ordinal, (len(list_intersect({T}, {LIST})), -ordinal)) AS best FROM p GROUP BY doc_id) SELECT doc_id, lines, CAST(best AS BIGINT) AS best FROM n")
 def best_block(spark: SparkSession, d: str) -> DataFrame:
-    hits = F.size(F.array_intersect(tx.body_words(F.col("line")), F.array(*map(F.lit, TERMS))))
-    return passages(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), big(F.max_by("ordinal", F.struct(hits.alias("h"), (-F.col("ordinal")).alias("o")))).alias("best"))
+    """Each document's line with the most of the terms, its first where none has any; the lines are counted from the index's own table."""
+    index = line_index(spark, d)
+    found = index.scored(TERMS).filter("hits > 0").groupBy("doc_id").agg(F.max_by("ordinal", F.struct("hits", (-F.col("ordinal")).alias("o"))).alias("best"))
+    lines = index.passages().groupBy("doc_id").agg(F.count("*").alias("lines"))
+    return lines.join(found, "doc_id", "left").select("doc_id", "lines", big(F.coalesce("best", F.lit(0))).alias("best"))
 
 
 # --- vectors and fusion -------------------------------------------------------------------------------------------------
 
-COS = "(SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0)"
-
-
 ALL_COS = "(SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS s FROM embeddings e, embeddings q WHERE e.vec_id <> q.vec_id AND q.vec_id % 50 = 0)"
 
 
@@ -127,13 +189,27 @@ ALL_COS = "(SELECT q.vec_id AS q, e.vec_id, round(list_cosine_similarity(CAST(e.
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 24 nearest vectors of every vector whose id is divisible by 50."""
     e = table(spark, d, "embeddings")
-    return vectors.neighbours_in_blocks(e.filter("vec_id % 50 = 0"), e, 24).select("q", "vec_id", F.col("s").alias("similarity"), big("rk").alias("rank"))
+    return vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 24).select("q", "vec_id", F.col("s").alias("similarity"), big("rk").alias("rank"))
+
 
+PAIR_COS = "(SELECT q.vec_id AS q, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE e.vec_id <> q.vec_id AND q.vec_id % 50 = 0)"
 
-@query(f"SELECT vec_id, round(s, 6) AS similarity FROM {COS} WHERE 1 - s <= 1 - 0.15")
+
+@query(f"SELECT q, vec_id, round(s, 6) AS similarity FROM {PAIR_COS} WHERE 1 - s <= 1 - 0.15")
 def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Everything near enough to any vector whose id is divisible by 50."""
+    e = table(spark, d, "embeddings")
+    return vectors.within(e.filter("vec_id % 50 = 0"), e, 0.15).select("q", "vec_id", F.round("s", 6).alias("similarity"))
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def approximate_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Inverted lists against exact search: whether the 24 nearest of all queries are found to nine tenths at least."""
     e = table(spark, d, "embeddings")
-    return vectors.similarity(e.filter("vec_id <> 0"), vectors.vector(e, 0)).filter(1 - F.col("s") <= 1 - 0.15).select("vec_id", F.round("s", 6).alias("similarity"))
+    q = e.filter("vec_id % 50 = 0")
+    near = vectors.InvertedLists(e, lists=32).neighbours(q, 24, probes=16).select("q", "vec_id", F.lit(1).alias("found"))
+    exact = vectors.neighbours(q, e, 24).select("q", "vec_id")
+    return exact.join(near, ["q", "vec_id"], "left").agg(F.count_distinct("q").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query("SELECT count(*) AS vectors, count(*) FILTER (len(embedding) = 64) AS right_size, count(*) FILTER (list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0) AS non_zero FROM embeddings")
@@ -142,27 +218,35 @@ def vector_norm_validity(spark: SparkSession, d: str) -> DataFrame:
 
 
 RRF = f"""WITH {P}, l AS (SELECT doc_id, row_number() OVER (ORDER BY max(len(list_intersect({T}, {LIST}))) DESC, doc_id) AS rk FROM p GROUP BY doc_id QUALIFY rk <= 24),
-v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(s, 6) DESC, vec_id) AS rk FROM {COS} QUALIFY rk <= 24),
-u AS (SELECT * FROM l UNION ALL SELECT * FROM v)"""
+v AS (SELECT q, vec_id AS doc_id, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rk FROM {ALL_COS} QUALIFY rk <= 24),
+u AS (SELECT q.vec_id AS q, l.doc_id, rk FROM l, (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q UNION ALL SELECT * FROM v)"""
 
 
-@query(RRF + " SELECT doc_id, round(sum(1.0 / (60 + rk)), 8) AS score, count(*) AS lists FROM u GROUP BY doc_id")
+@query(RRF + " SELECT q, doc_id, round(sum(1.0 / (60 + rk)), 8) AS score, count(*) AS lists FROM u GROUP BY ALL")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return search.fuse(*_lists(spark, d)).select("doc_id", F.round("score", 8).alias("score"), "lists")
+    """For every vector whose id is divisible by 50: its nearest ones and the lexical list, fused."""
+    return search.fuse_each(*_lists(spark, d)).select("q", "doc_id", F.round("score", 8).alias("score"), "lists")
 
 
 def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
+    """(q, doc_id, rank): the 24 best documents by a line's terms, the same for every q, and each q's 24 nearest vectors."""
     e = table(spark, d, "embeddings")
-    lexical = search.coverage(passages(spark, d), TERMS).groupBy("doc_id").agg(F.max("hits").alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(24)
-    near = vectors.top_k(e.filter("vec_id <> 0"), vectors.vector(e, 0), 24)
-    return [search.ranked(lexical, F.desc("hits"), "doc_id").select("doc_id", "rank"), near.select(F.col("vec_id").alias("doc_id"), "rank")]
+    q = e.filter("vec_id % 50 = 0")
+    order = F.desc("hits"), F.asc("doc_id")
+    best = line_index(spark, d).scored(TERMS).groupBy("doc_id").agg(F.max("hits").alias("hits")).orderBy(*order).limit(24)
+    short = search.ranked(best, *order).select("doc_id", "rank").collect()  # 24 rows
+    listed = F.array(*[F.struct(F.lit(r["doc_id"]).alias("doc_id"), F.lit(r["rank"]).alias("rank")) for r in short]).cast("array<struct<doc_id:bigint,rank:int>>")
+    lexical = q.select(F.col("vec_id").alias("q"), F.explode(listed).alias("l")).select("q", "l.doc_id", "l.rank")
+    near = vectors.neighbours(q, e, 24)
+    return [lexical, near.select("q", F.col("vec_id").alias("doc_id"), F.col("rk").alias("rank"))]
 
 
-@query(RRF + " SELECT doc_id, CAST(row_number() OVER (ORDER BY round(sum(1.0 / (60 + rk)), 8) DESC, doc_id) AS BIGINT) AS rank, CAST(max(CASE WHEN has THEN 1 ELSE 0 END) AS BIGINT) AS vector_ready FROM (SELECT u.*, e.vec_id IS NOT NULL AS has FROM u LEFT JOIN embeddings e ON e.vec_id = u.doc_id) GROUP BY doc_id ORDER BY rank LIMIT 24")
+@query(RRF + ", f AS (SELECT q, doc_id, round(sum(1.0 / (60 + rk)), 8) AS score FROM u GROUP BY ALL), r AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 24) SELECT q, doc_id, rank, CAST(e.vec_id IS NOT NULL AS BIGINT) AS vector_ready FROM r LEFT JOIN embeddings e ON e.vec_id = r.doc_id")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    fused = search.fuse(*_lists(spark, d)).withColumn("score", F.round("score", 8)).orderBy(F.desc("score"), "doc_id").limit(24)
+    fused = search.fuse_each(*_lists(spark, d)).withColumn("score", F.round("score", 8))
+    best = relational.first_n(fused, ["q"], [F.desc("score"), F.asc("doc_id")], 24, "rank")
     ready = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has"))
-    return search.ranked(fused, F.desc("score"), "doc_id").join(ready, "doc_id", "left").select("doc_id", big("rank").alias("rank"), big(F.coalesce("has", F.lit(0))).alias("vector_ready"))
+    return best.join(ready, "doc_id", "left").select("q", "doc_id", big("rank").alias("rank"), big(F.coalesce("has", F.lit(0))).alias("vector_ready"))
 
 
 @query("SELECT source, count(*) AS total, count(e.vec_id) AS ready, count(*) = count(e.vec_id) AS active FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY source")
@@ -189,14 +273,7 @@ def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT q, max(CASE WHEN hit THEN 1.0 ELSE 0 END) AS recall, max(CASE WHEN hit THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN hit THEN 1 / log2(rk + 1.0) ELSE 0 END) AS dcg FROM r WHERE rk <= 10 GROUP BY q) SELECT CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr, round(avg(dcg), 6) AS dcg FROM k")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return search.metrics(vectors.neighbours_in_blocks(e.filter("vec_id % 50 = 0"), e, 10), 10)
-
-
-@query(f"WITH r AS (SELECT a.vec_id AS q, b.label = a.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT q, max(CASE WHEN hit THEN 1.0 ELSE 0 END) AS recall, max(CASE WHEN hit THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN hit THEN 1 / log2(rk + 1.0) ELSE 0 END) AS dcg FROM r WHERE rk <= 10 GROUP BY q) SELECT CAST(round(avg(recall), 6) AS DOUBLE) AS recall, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr, round(avg(dcg), 6) AS dcg FROM k")
-def retrieval_metrics_all(spark: SparkSession, d: str) -> DataFrame:
-    """retrieval_metrics over the rule's queries, the vectors whose id is divisible by 50, as many as the table has."""
-    e = table(spark, d, "embeddings")
-    return search.metrics(vectors.neighbours_in_blocks(e.filter("vec_id % 50 = 0"), e, 10), 10)
+    return search.metrics(vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10), 10)
 
 
 # --- duplicates, neighbours, threads, selection -------------------------------------------------------------------------
