@@ -20,9 +20,14 @@ class Workspace:
         self.passages: DataFrame | None = None
 
     def register(self, new: DataFrame) -> DataFrame:
-        """Sources (id, project, modality, text, is_active); one whose content's hash is known already isn't taken again."""
-        rows = new.withColumn("file_hash", F.sha2("text", 256))
-        self.sources = rows.dropDuplicates(["file_hash"]) if self.sources is None else incremental.insert_missing(self.sources, rows, ["file_hash"])
+        """Sources (id, project, modality, text, is_active; if there is one, owner). Of an owner's sources of one project with equal content the one with the smallest
+        id is kept, and none where one is known already; others' sources with the same content are theirs. A null text is like no other."""
+        rows = new if "owner" in new.columns else new.withColumn("owner", F.lit("local"))
+        rows = rows.withColumn("file_hash", F.coalesce(F.sha2("text", 256), F.sha2(F.concat(F.lit("null:"), F.col("id")), 256)))
+        key = ["owner", "project", "file_hash"]
+        rest = [c for c in rows.columns if c not in (*key, "id")]
+        first = rows.groupBy(*key).agg(F.min_by(F.struct("id", *rest), "id").alias("r")).select(*key, "r.*").select(*rows.columns)
+        self.sources = first if self.sources is None else self.sources.unionByName(first.join(self.sources.select(*key), (first["owner"].eqNullSafe(self.sources["owner"])) & (first["project"].eqNullSafe(self.sources["project"])) & (first["file_hash"] == self.sources["file_hash"]), "left_anti"))
         return self.sources
 
     def index(self) -> DataFrame:

@@ -46,6 +46,11 @@ def _assignment() -> str:
     return rf"(?i)((?:{names})\\?[\"']? *[:=] *\\?[\"']?)(?!(?:{held})(?:[.?!]|[^\w\[\]]|\z))([^\s\"'\\,;<>]{{12,}})"
 
 
+def issued_free(text: Column) -> Column:
+    """The text without credentials whose looks give their issuer away, in one pass."""
+    return F.regexp_replace(text, F.lit("|".join(ISSUERS.values())), F.lit(REDACTED))
+
+
 def secret_free(text: Column) -> Column:
     """The text with every known secret replaced."""
     keys = [(PEM, REDACTED), *[(p, REDACTED) for p in ISSUERS.values()], (BEARER, "$1" + REDACTED), (_assignment(), "$1" + REDACTED)]

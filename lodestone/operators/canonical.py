@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
@@ -43,16 +43,49 @@ def best_parse(parses: DataFrame) -> DataFrame:
     return parses.withColumn("k", F.row_number().over(w)).filter("k = 1 AND passed").drop("k")
 
 
+def _structured(name: str, kind: str) -> Column:
+    return F.from_json(F.get_json_object("structured", f"$.{name}"), kind)
+
+
+def _row_rules() -> dict[str, Column]:
+    """Rules that a block keeps or breaks by itself; null counts as broken."""
+    pair = F.to_json(F.array("type", "content"))
+    digest = hashing.json_digest(F.concat(F.lit("["), pair.substr(F.lit(2), F.length(pair) - 2), F.lit(","), F.col("structured"), F.lit("]")))
+    rows, headers = _structured("rows", "array<array<string>>"), _structured("headers", "array<string>")
+    return {
+        "content_is_text": (F.trim("content") != "") & ~F.contains("content", F.lit("\0")),
+        "content_hash": digest == F.col("content_hash"),
+        "rectangular_table": (F.col("type") != "table") | ((F.size(headers) > 0) & (F.size(rows) > 0) & ~F.exists(rows, lambda r: F.size(r) != F.size(headers))),
+        "code_has_language": (F.col("type") != "code") | (F.get_json_object("structured", "$.language") != ""),
+        "figure_has_asset": (F.col("type") != "figure") | (F.length(F.get_json_object("structured", "$.asset_id")) > 0) | (F.length(F.get_json_object("structured", "$.reference")) > 0),
+    }
+
+
+def broken(rows: DataFrame, rules: dict[str, Column]) -> Column:
+    """The names of the rules that a row breaks, all in one pass; a rule that can't be decided is broken."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(keeps, F.lit(False)), F.lit(name)) for name, keeps in rules.items()]))
+
+
 def violations(blocks: DataFrame, relations_: DataFrame) -> DataFrame:
-    """rule, id: what breaks the canonical contract."""
+    """rule, id: what breaks the canonical contract. Rules of single blocks are checked in one pass, those of a document's blocks by one grouping."""
     good = blocks.filter("error IS NULL")
-    twice = good.groupBy("id", "block_id").count().filter("count > 1").select(F.lit("unique_block_id").alias("rule"), "id")
-    w = Window.partitionBy("id").orderBy("ordinal")
-    gaps = good.select("id", "ordinal", (F.row_number().over(w) - 1).alias("k")).filter("ordinal <> k").select(F.lit("ordinals_without_gaps").alias("rule"), "id")
-    known = good.select("id", F.col("block_id").alias("target"))
-    loose = relations_.join(known, ["id", "target"], "left_anti").select(F.lit("relation_resolves").alias("rule"), "id")
-    rows = F.from_json(F.get_json_object("structured", "$.rows"), "array<array<string>>")
-    width = F.size(F.from_json(F.get_json_object("structured", "$.headers"), "array<string>"))
-    ragged = good.filter((F.col("type") == "table") & F.exists(rows, lambda r: F.size(r) != width)).select(F.lit("rectangular_table").alias("rule"), "id")
-    hashed = good.filter(hashing.json_digest(F.concat(F.lit("["), F.to_json(F.array("type", "content")).substr(F.lit(2), F.length(F.to_json(F.array("type", "content"))) - 2), F.lit(","), F.col("structured"), F.lit("]"))) != F.col("content_hash")).select(F.lit("content_hash").alias("rule"), "id")
-    return twice.union(gaps).union(loose).union(ragged).union(hashed).distinct()
+    single = good.select("id", F.explode(broken(good, _row_rules())).alias("rule"))
+    per = good.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("block_id").alias("ids"), F.count_distinct("ordinal").alias("places"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    group = {"unique_block_id": F.col("n") == F.col("ids"), "ordinals_without_gaps": (F.col("places") == F.col("n")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)}
+    grouped = per.select("id", F.explode(broken(per, group)).alias("rule"))
+    ends = relations_.select("id", F.explode(F.array("source", "target")).alias("block_id"))
+    loose = ends.join(good.select("id", "block_id"), ["id", "block_id"], "left_anti").select("id", F.lit("relation_resolves").alias("rule"))
+    return single.unionByName(grouped).unionByName(loose).select("rule", "id").distinct()
+
+
+def served(rows: DataFrame, key: str, rules: dict[str, Column], fingerprints: DataFrame | None = None, fingerprint: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
+    """(what may be served, what is quarantined with `broken`: its rules' names). A key is served if none of its rows breaks a rule and, where
+    fingerprints (key, fingerprint) are given, the rows were made from the stored one: a stale or unknown fingerprint fails closed."""
+    told = rows.withColumn("__broken", broken(rows, rules))
+    if fingerprints is not None:
+        now = fingerprints.select(key, F.col(fingerprint).alias("__now"))
+        told = told.join(now, key, "left")
+        stale = F.when(F.coalesce(F.col(fingerprint) == F.col("__now"), F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("stale_fingerprint")))
+        told = told.withColumn("__broken", F.concat("__broken", stale)).drop("__now")
+    bad = told.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("__broken")))).alias("broken")).filter(F.size("broken") > 0)
+    return rows.join(bad.select(key), key, "left_anti"), rows.join(bad, key)

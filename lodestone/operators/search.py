@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.stem import stemmed
 
+from .storage import materialised
+
 LIVE = r"(^|[^a-z])(latest|newest|most recent|current|right now|how many|count of|timestamp)([^a-z]|$)"
 
 
@@ -74,42 +75,65 @@ def metrics(found: DataFrame, k: int) -> DataFrame:
     return per.agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("dcg"), 6).alias("dcg"))
 
 
-def quotes(docs: DataFrame, items: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
-    """(item_id, doc_id) where a document contains a quote, byte for byte. Quotes are searched all at once by an automaton,
-    in blocks of bounded size, so documents are never joined with quotes."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
-        size += len(r["text"])
-        if size > block_bytes:
-            blocks.append([])
-            size = len(r["text"])
-        blocks[-1].append((r["item_id"], r["text"]))
-    return reduce(DataFrame.union, [docs.select("doc_id", "text").mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(b)), "item_id long, doc_id long") for b in blocks])
-
-
-def _search(block: object):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Words of a gram, and the least of them that a quote needs for one: its first and its last word may be parts of a document's.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The hashes of a text's runs of GRAM parts between blanks."""
+    parts = F.split(text, " ")
+    at = F.sequence(F.lit(1), F.size(parts) - GRAM + 1)
+    return F.when(F.size(parts) >= GRAM, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(GRAM)), " "))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def quotes(docs: DataFrame, items: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+    """(item_id, doc_id) where a document (doc_id, text) contains a quote (item_id, text), byte for byte.
+
+    Of each quote the gram that the fewest documents hold picks the candidates, which are then searched for the whole quote; a gram
+    is a run of words between blanks, so whoever holds the quote holds its grams. Quotes too short for a gram go through automata
+    in blocks of bounded size that meet the documents part by part. No quote passes the driver. Null texts contain and are contained in nothing."""
+    d = docs.select(F.col("doc_id"), "text").filter("text IS NOT NULL")
+    q = items.select("item_id", F.col("text").alias("quote")).filter("quote IS NOT NULL")
+    inner = F.regexp_replace("quote", r"^[^ ]*(?: |$)|(?: |^)[^ ]*$", "")
+    keyed = q.withColumn("grams", _grams(inner))
+    long_, short = keyed.filter(F.size("grams") > 0).drop("grams"), keyed.filter(F.size("grams") == 0).drop("grams")
+    asked = keyed.select("item_id", F.explode("grams").alias("gram"))
+    held = d.select("doc_id", F.explode(_grams(F.col("text"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = materialised(held, "quote-grams")
+    spread = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = asked.join(spread, "gram").groupBy("item_id").agg(F.count("*").alias("grams"), F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    whole = asked.groupBy("item_id").agg(F.count("*").alias("asked"))
+    rare = rare.join(whole, "item_id").filter("grams = asked").select("item_id", "gram")  # a gram that no document holds ends the search
+    pairs = rare.join(held, "gram").select("item_id", "doc_id")
+    found = pairs.join(long_, "item_id").join(d, "doc_id").filter(F.contains("text", "quote")).select("item_id", "doc_id")
+    return found.unionByName(_by_automata(d, short, block_bytes)).distinct()
+
+
+def _by_automata(docs: DataFrame, short: DataFrame, block_bytes: int) -> DataFrame:
+    size = short.agg(F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("b")).first()["b"]
+    blocks = int(size // block_bytes) + 1
+    parts = max(1, int(docs.count() // 2000))
+    q = short.select("item_id", "quote", F.pmod(F.xxhash64("quote"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    d = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def run(quotes_: pa.Table, texts: pa.Table) -> pa.Table:
         import ahocorasick
 
-        find, names, always = ahocorasick.Automaton(), {}, []
-        for i, text in block.value:
-            if text:
-                names.setdefault(text, []).append(i)
-            else:
-                always.append(i)
-        for text in names:
-            find.add_word(text, text)
+        names: dict[str, list] = {}
+        for i, quote in zip(quotes_["item_id"].to_pylist(), quotes_["quote"].to_pylist(), strict=True):
+            names.setdefault(quote, []).append(i)
+        always = names.pop("", [])
+        find = ahocorasick.Automaton()
+        for quote in names:
+            find.add_word(quote, quote)
         find.make_automaton()
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is not None:
-                    found = {t for _, t in find.iter(text)} if names else set()
-                    out += [(i, doc) for t in found for i in names[t]] + [(i, doc) for i in always]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["item_id", "doc_id"])
-
-    return run
+        out: list[tuple] = []
+        for doc, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), strict=True):
+            found = {quote for _, quote in find.iter(text)} if names else set()
+            out += [(i, doc) for quote in found for i in names[quote]] + [(i, doc) for i in always]
+        return pa.table({n: pa.array([x[j] for x in out], pa.int64()) for j, n in enumerate(("item_id", "doc_id"))})
+
+    return q.groupBy("block", "part").cogroup(d.groupBy("block", "part")).applyInArrow(run, "item_id long, doc_id long")
 
 
 def log_records(df: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -71,9 +71,9 @@ def block_pairs(queries: DataFrame, corpus: DataFrame, choose: Callable[[np.ndar
     Both sides are dealt to blocks of bounded size, and each pair of blocks meets in one task: queries are sent once for each block of the
     corpus, the corpus once for each block of queries; nothing passes the driver."""
     nq, nc = (max(1, -(-x.count() // n)) for x, n in ((queries, query_block), (corpus, corpus_block)))
-    columns = "vec_id", "label", "embedding"
-    q = queries.select(*columns, F.pmod(F.xxhash64("vec_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).cast("long").alias("cb"))
-    c = corpus.select(*columns, F.pmod(F.xxhash64("vec_id"), F.lit(nc)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"))
+    columns = [F.col(c).alias(c) for c in ("vec_id", "label", "embedding")]  # of their own, even where both sides come from one table
+    q = queries.select(*columns, F.pmod(F.xxhash64("vec_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("cb"))
+    c = corpus.select(*columns, F.pmod(F.xxhash64("vec_id"), F.lit(nc)).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, ...] = [], [], [], []
@@ -159,11 +159,23 @@ class InvertedLists:
         kind = rows.schema["vec_id"].dataType.simpleString(), rows.schema["label"].dataType.simpleString(), rows.schema["embedding"].dataType.simpleString()
         return rows.select("vec_id", "label", "embedding").mapInArrow(run, f"vec_id {kind[0]}, label {kind[1]}, embedding {kind[2]}, list int")
 
+    def probes_for(self, k: int, target: float = 0.95, sample: int = 64) -> int:
+        """The fewest probes by which at least `target` of the k nearest of some vectors are found: these are searched exactly, and the
+        place is taken of each neighbour's list among its query's lists."""
+        q = self.rows.select("vec_id", "label", "embedding").orderBy(F.xxhash64("vec_id", F.lit(7))).limit(sample)
+        c = self.centroids
+        told = {r["vec_id"]: np.argsort(-(np.asarray(r["embedding"], np.float64) @ c.T), kind="stable") for r in q.collect()}  # `sample` vectors
+        found = neighbours(q, self.rows, k).join(self.rows.select("vec_id", "list"), "vec_id").select("q", "list").collect()  # `sample` * k rows
+        places = sorted(int(np.flatnonzero(told[r["q"]] == r["list"])[0]) + 1 for r in found)
+        return places[min(len(places) - 1, int(target * len(places)))] if places else 1
+
     def neighbours(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
         """(q, vec_id, s, rk) of what the probed lists hold."""
         sizes = self.rows.groupBy("list").agg(F.ceil(F.count("*") / self.split).cast("int").alias("parts"))
-        q = self._dealt(queries, probes).join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        c = self.rows.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        told = self.rows.join(sizes, "list").select("vec_id", "label", "embedding", F.col("list"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+        c = told.select(*[F.col(x).alias(x) for x in told.columns])
+        asked = self._dealt(queries, probes).join(sizes.select(F.col("list").alias("of"), F.col("parts").alias("n")), F.col("list") == F.col("of"))
+        q = asked.select("vec_id", "label", "embedding", "list", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
         choose = _best(k)
 
         def run(a: pa.Table, b: pa.Table) -> pa.Table:

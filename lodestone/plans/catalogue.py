@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import policy
 from lodestone.functions import text as tx
 from lodestone.operators import incremental, relational, search, select, storage, vectors
 from lodestone.operators.index import Field, Index
@@ -159,7 +160,7 @@ def cover_density(spark: SparkSession, d: str) -> DataFrame:
 ASKED = "['the', 'license', 'of', 'src0', 'house']"
 
 
-@query(f"WITH {P}, q AS (SELECT doc_id, ordinal, list_filter({W}, x -> list_contains({ASKED}, x)) AS b, list_filter(regexp_extract_all(lower(concat_ws(' ', 'project', source, 'language', lang)), '[\p{{L}}\p{{N}}_]+'), x -> list_contains({ASKED}, x)) AS f FROM p), t AS (SELECT doc_id, ordinal, b, len(b) + 0.5::DOUBLE * len(f) AS raw FROM q WHERE len(b) + len(f) > 0 ORDER BY raw DESC, doc_id, ordinal LIMIT 24), s AS (SELECT doc_id, ordinal, len(list_distinct(b)) / 5.0::DOUBLE AS coverage, raw / (raw + 1) AS r FROM t WHERE len(b) > 0) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(coverage, 6) AS coverage, round(r, 6) AS index_rank, row_number() OVER (ORDER BY coverage + r DESC, doc_id, ordinal) AS rank FROM s")
+@query(f"WITH {P}, q AS (SELECT doc_id, ordinal, [x for x in {W} if list_contains({ASKED}, x)] AS b, [x for x in regexp_extract_all(lower(concat_ws(' ', 'project', source, 'language', lang)), '[\\p{{L}}\\p{{N}}_]+') if list_contains({ASKED}, x)] AS f FROM p), t AS (SELECT doc_id, ordinal, b, len(b) + 0.5::DOUBLE * len(f) AS raw FROM q WHERE len(b) + len(f) > 0 ORDER BY raw DESC, doc_id, ordinal LIMIT 24), s AS (SELECT doc_id, ordinal, len(list_distinct(b)) / 5.0::DOUBLE AS coverage, raw / (raw + 1) AS r FROM t WHERE len(b) > 0) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, round(coverage, 6) AS coverage, round(r, 6) AS index_rank, row_number() OVER (ORDER BY coverage + r DESC, doc_id, ordinal) AS rank FROM s")
 def rescored_search(spark: SparkSession, d: str) -> DataFrame:
     """The 24 best by the index's rank over text and labels, then by coverage and rank; what only the labels match goes."""
     found = line_index(spark, d).rescored(["the", "license", "of", "src0", "house"], 24)
@@ -204,10 +205,11 @@ def cosine_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 def approximate_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Inverted lists against exact search: whether the 24 nearest of all queries are found to nine tenths at least."""
+    """Inverted lists against exact search: whether of the 24 nearest of all queries nine tenths are found at least."""
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0")
-    near = vectors.InvertedLists(e, lists=32).neighbours(q, 24, probes=16).select("q", "vec_id", F.lit(1).alias("found"))
+    index = vectors.InvertedLists(e, lists=32)
+    near = index.neighbours(q, 24, probes=index.probes_for(24)).select("q", "vec_id", F.lit(1).alias("found"))
     exact = vectors.neighbours(q, e, 24).select("q", "vec_id")
     return exact.join(near, ["q", "vec_id"], "left").agg(F.count_distinct("q").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
 
@@ -411,6 +413,114 @@ def ancestor_chain(spark: SparkSession, d: str) -> DataFrame:
     return up.select("c_custkey", F.concat_ws(" < ", "n_name", "r_name").alias("path"), big(F.lit(2)).alias("depth"))
 
 
+TREE = """SELECT 'o' || o_orderkey AS child, 'c' || o_custkey AS parent FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 50 <> 0
+UNION SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 6 = 5 THEN 'n' || n_nationkey || 'x' ELSE 'r' || n_regionkey END FROM nation
+UNION SELECT 'n' || n_nationkey || 'x', 'n' || n_nationkey FROM nation WHERE n_nationkey % 6 = 5 UNION SELECT 'r1', 'w1' UNION SELECT 'w' || i, 'w' || (i + 1) FROM range(1, 9) t(i)"""
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """Orders below customers below nations below regions; with customers that have no nation, nations below themselves, and a region
+    far below the top."""
+    o, c, n = (table(spark, d, x) for x in ("orders", "customer", "nation"))
+
+    def edge(rows: DataFrame, child: Column, parent: Column) -> DataFrame:
+        return rows.select(child.alias("child"), parent.alias("parent"))
+
+    def name(letter: str, key: Column | str) -> Column:
+        return F.concat(F.lit(letter), (F.col(key) if isinstance(key, str) else key).cast("string"))
+
+    own, looped = name("n", "n_nationkey"), F.col("n_nationkey") % 6 == 5
+    beside = F.concat(own, F.lit("x"))
+    above = edge(spark.range(1, 9), name("w", "id"), name("w", F.col("id") + 1)).union(spark.createDataFrame([("r1", "w1")], "child string, parent string"))
+    parts = [edge(o, name("o", "o_orderkey"), name("c", "o_custkey")), edge(c.filter("c_custkey % 50 <> 0"), name("c", "c_custkey"), name("n", "c_nationkey")), edge(n, own, F.when(looped, beside).otherwise(name("r", "n_regionkey"))), edge(n.filter(looped), beside, own), above]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"WITH RECURSIVE e AS ({TREE}), w AS (SELECT 'o' || o_orderkey AS start, 'o' || o_orderkey AS node, 0 AS depth, ['o' || o_orderkey] AS path, false AS cycle FROM orders UNION ALL SELECT w.start, e.parent, w.depth + 1, list_append(w.path, e.parent), list_contains(w.path, e.parent) FROM w JOIN e ON e.child = w.node WHERE NOT w.cycle AND w.depth < 8), l AS (SELECT start, max(depth) AS depth, arg_max(node, depth) AS node, arg_max(array_to_string(path, '<'), depth) AS path, bool_or(cycle) AS cycle FROM w GROUP BY start) SELECT start, node, CAST(depth AS BIGINT) AS depth, path, CASE WHEN cycle THEN 'cycle' WHEN node IN (SELECT child FROM e) THEN 'bound' WHEN node LIKE 'r%' THEN 'root' ELSE 'orphan' END AS ended FROM l")
+def ancestor_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's ancestors, eight at most, with the path and how the walk ended."""
+    from lodestone.operators import walks
+
+    starts = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("node"))
+    roots = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"))
+    found = walks.ancestors(_tree(spark, d), starts, roots, 8)
+    return found.select("start", "node", big("depth").alias("depth"), F.array_join("path", "<").alias("path"), "ended")
+
+
+REACH = "SELECT DISTINCT 'c' || o_custkey AS child, 's' || l_suppkey AS parent FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
+
+
+@query(f"WITH RECURSIVE e AS ({REACH}), w AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS depth FROM customer UNION SELECT w.start, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.node WHERE w.depth < 8), f AS (SELECT start, node, row_number() OVER (PARTITION BY start ORDER BY min(depth), node) AS place FROM w GROUP BY start, node) SELECT start, count(*) AS visited, bool_or(node = 'r3') AS found FROM f WHERE place <= 64 GROUP BY start")
+def search_upwards(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a region is among the first 64 places above a customer, by suppliers, nations and regions."""
+    from lodestone.operators import walks
+
+    def edge(rows: DataFrame, a: str, child: str, b: str, parent: str) -> DataFrame:
+        return rows.select(F.concat(F.lit(a), F.col(child)).alias("child"), F.concat(F.lit(b), F.col(parent)).alias("parent"))
+
+    bought = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = edge(bought, "c", "o_custkey", "s", "l_suppkey").union(edge(table(spark, d, "supplier"), "s", "s_suppkey", "n", "s_nationkey")).union(edge(table(spark, d, "nation"), "n", "n_nationkey", "r", "n_regionkey"))
+    starts = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
+    wanted = table(spark, d, "region").filter("r_regionkey = 3").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"))
+    return walks.search_upwards(edges, starts, wanted)
+
+
+# --- semi-structured trees ----------------------------------------------------------------------------------------------
+
+NESTED = """SELECT e.event_id, CASE event_id % 5 WHEN 0 THEN '{"user":{"id":' || user_id || ',"a/b~":[' || props || ',[],null,true]},"type":"' || event_type || '"}' WHEN 1 THEN '[' || props || ',1.5]'
+WHEN 2 THEN '{"n":1e5,"t":"1e5"}' WHEN 3 THEN '{"k":1,"k":2}' ELSE props END AS j FROM events e"""
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON: nested, in a list, with a number that isn't exact, with a key that repeats, and as they are."""
+    text = F.expr("""CASE event_id % 5 WHEN 0 THEN '{"user":{"id":' || user_id || ',"a/b~":[' || props || ',[],null,true]},"type":"' || event_type || '"}' WHEN 1 THEN '[' || props || ',1.5]'
+      WHEN 2 THEN '{"n":1e5,"t":"1e5"}' WHEN 3 THEN '{"k":1,"k":2}' ELSE props END""")
+    return table(spark, d, "events").select("event_id", text.alias("j"))
+
+
+@query(f"SELECT event_id, CASE event_id % 5 WHEN 2 THEN 'inexact' WHEN 3 THEN 'malformed' ELSE 'exact' END AS state FROM ({NESTED})")
+def json_states(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators import walks
+
+    return _nested(spark, d).select("event_id", walks.json_state("j").alias("state"))
+
+
+@query(f"SELECT n.event_id, replace(replace(replace(replace(substr(t.fullkey, 2), '.\"a/b~\"', '/a~1b~0'), '[', '/'), ']', ''), '.', '/') AS path, CASE t.type WHEN 'OBJECT' THEN 'OBJECT' WHEN 'ARRAY' THEN 'ARRAY' WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' WHEN 'BOOLEAN' THEN 'BOOLEAN' WHEN 'DOUBLE' THEN 'DECIMAL' ELSE 'BIGINT' END AS kind, CASE WHEN t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('[]', '{{}}') THEN t.value::VARCHAR END AS leaf FROM ({NESTED}) n, json_tree(n.j::JSON) t WHERE n.event_id % 5 NOT IN (2, 3)")
+def json_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The paths, kinds and leaves of all nodes of the events' JSON that may be read."""
+    from lodestone.operators import walks
+
+    good = _nested(spark, d).filter(walks.json_state("j") == "exact")
+    return walks.json_nodes(good, "event_id", "j").select("event_id", "path", "kind", "leaf")
+
+
+# --- authorization and integrity ----------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents d WHERE source = 'src1' AND doc_id % 7 <> 0 AND (doc_id % 5 <> 1 OR doc_id % 10 = 1) AND doc_id % 11 <> 3 AND (doc_id % 3 = 0 OR EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = d.doc_id % 100 AND 'src' || (c.c_nationkey % 3) = d.source AND c.c_acctbal > 0 AND c.c_mktsegment <> 'BUILDING'))")
+def authorised_sources(spark: SparkSession, d: str) -> DataFrame:
+    """What a viewer may read: their own parsed, active sources whose lease runs, uploaded or of an account of theirs that is connected and valid."""
+    from lodestone.operators import answers
+
+    k = F.col("doc_id")
+    lease = F.when((k % 5 == 1) & (k % 10 != 1), "2024-01-01").when(k % 10 == 1, "2026-01-01").cast("timestamp")
+    sources = table(spark, d, "documents").select("doc_id", F.col("source").alias("owner"), F.when(k % 11 == 3, "failed").otherwise("parsed").alias("status"), (k % 7 != 0).alias("is_active"), lease.alias("access_expires_at"), F.when(k % 3 != 0, k % 100).alias("account"))
+    accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("account"), F.concat(F.lit("src"), F.col("c_nationkey") % 3).alias("owner"), F.when(F.col("c_acctbal") > 0, "connected").otherwise("revoked").alias("status"), F.when(F.col("c_mktsegment") != "BUILDING", "valid").otherwise("expired").alias("authentication"))
+    return answers.readable(sources, accounts, answers.Viewer("src1", "2025-01-01")).select("doc_id")
+
+
+@query("WITH b AS (SELECT doc_id, n_chars IS NOT NULL AND length(text) = n_chars + (CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END) AS sized, trim(coalesce(text, '')) <> '' AS filled, doc_id % 13 <> 0 AS fresh FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN NOT filled THEN 'has_content' END, CASE WHEN NOT coalesce(sized, false) THEN 'size' END, CASE WHEN NOT fresh THEN 'stale_fingerprint' END) AS broken FROM b WHERE NOT (filled AND coalesce(sized, false) AND fresh)")
+def integrity_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that may not be served, with the rules that they break; a stale fingerprint fails closed."""
+    from lodestone.operators import canonical
+
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("n_chars") + F.when(k % 17 == 0, 1).otherwise(0)).alias("size"), F.sha2("text", 256).alias("fingerprint"))
+    stored = docs.select("doc_id", F.when(k % 13 == 0, "another").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    rules = {"has_content": F.trim("text") != "", "size": F.length("text") == F.col("size")}
+    return canonical.served(docs, "doc_id", rules, stored)[1].select("doc_id", F.concat_ws(",", "broken").alias("broken"))
+
+
 @query("SELECT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def set_union(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sets(spark, d)
@@ -476,11 +586,12 @@ def date_window(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT event_id FROM {e} WHERE to_date(ts) BETWEEN (SELECT date_add(min(to_date(ts)), 2) FROM {e}) AND (SELECT date_add(min(to_date(ts)), 4) FROM {e})", e=e)
 
 
-@query("SELECT a.c_custkey AS account, b.s_suppkey AS companion FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey AND a.c_custkey % 10 = b.s_suppkey % 10 WHERE a.c_mktsegment = 'BUILDING'")
+@query("SELECT a.c_custkey AS account, count(*) AS companions, min(b.s_suppkey) AS first FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey AND a.c_custkey % 10 = b.s_suppkey % 10 WHERE a.c_mktsegment = 'BUILDING' GROUP BY a.c_custkey")
 def companion_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts of one owner with one external id, as their class: how many, and the first. Pairs aren't written out."""
     a = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("account"), F.col("c_nationkey").alias("owner"), (F.col("c_custkey") % 10).alias("external"))
-    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("companion"), F.col("s_nationkey").alias("owner"), (F.col("s_suppkey") % 10).alias("external"))
-    return a.join(b, ["owner", "external"]).select("account", "companion")
+    b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("owner"), (F.col("s_suppkey") % 10).alias("external")).agg(F.count("*").alias("companions"), F.min("s_suppkey").alias("first"))
+    return a.join(b, ["owner", "external"]).select("account", "companions", "first")
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders QUALIFY place <= 3")
@@ -535,6 +646,7 @@ def non_ascii_ratio(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.round(F.sum(tx.non_ascii_count(F.col("text"))) / F.sum(F.length("text")), 6).alias("ratio"))
 
 
+POLICY_SQL = "'" + "|".join(policy.ISSUERS.values()).replace("'", "''") + "'"
 ASSIGN = "'((?:token|secret|password|api_key)\\s*[=:]\\s*)(\"[^\"<$]+\"|[^\\s\"<$]+)'"
 
 
@@ -548,6 +660,15 @@ def secret_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.has_secret(F.col("text")).alias("secret"))
 
 
+@query(f"SELECT doc_id, sha256(regexp_replace(text, {POLICY_SQL}, '[REDACTED]', 'g')) AS redacted FROM (SELECT doc_id, text || ' ' || CASE doc_id % 4 WHEN 0 THEN 'AKIA' || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) WHEN 1 THEN 'ghp_' || sha256(doc_id::VARCHAR) WHEN 2 THEN 'xoxb-' || sha256(doc_id::VARCHAR) ELSE 'sk_live_' || sha256(doc_id::VARCHAR) END || ' end' AS text FROM documents)")
+def secret_free(spark: SparkSession, d: str) -> DataFrame:
+    """Credentials by issuer, planted into every document beside those that it holds, and replaced."""
+    k = F.sha2(F.col("doc_id").cast("string"), 256)
+    planted = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(k, 1, 16)))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("ghp_"), k)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("xoxb-"), k)).otherwise(F.concat(F.lit("sk_live_"), k))
+    text = F.concat("text", F.lit(" "), planted, F.lit(" end"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(policy.issued_free(text), 256).alias("redacted"))
+
+
 @query("SELECT doc_id, array_to_string(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), ',') AS numbers FROM documents")
 def number_sequences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.concat_ws(",", tx.numbers(F.col("text"))).alias("numbers"))
@@ -573,9 +694,10 @@ def table_render(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", tx.table_row(F.col("n_nationkey"), F.col("n_name")).alias("line"))
 
 
-@query("SELECT n, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INT)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 27) // 26) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INT)) AS letters, n AS back FROM range(1, 2001) t(n)")
+@query("SELECT p_partkey, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INT)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 27) // 26) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INT)) AS letters, n AS back FROM (SELECT p_partkey, p_partkey % 2000 + 1 AS n FROM part)")
 def base26_columns(spark: SparkSession, d: str) -> DataFrame:
-    letters = spark.range(1, 2001).withColumnRenamed("id", "n").withColumn("letters", tx.column_letters(F.col("n")))
+    """A spreadsheet's column letters for every part, and the number that they stand for."""
+    letters = table(spark, d, "part").select("p_partkey", tx.column_letters(F.col("p_partkey") % 2000 + 1).alias("letters"))
     return letters.withColumn("back", tx.column_number(F.col("letters")))
 
 
@@ -584,17 +706,18 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", big(F.get_json_object("props", "$.k")).alias("k")).filter("k < 50")
 
 
-LOG = """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events), o AS (SELECT user_id, event_id, stamp, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal, event_type FROM e)
-SELECT user_id, CAST(ordinal AS BIGINT) AS ordinal, stamp, 'e' || event_id AS request, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS lines FROM o"""
+LOG = """WITH e AS (SELECT *, CAST(ts AS DATE) AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events)
+SELECT user_id, day, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) - 1 AS ordinal, stamp, 'e' || event_id AS request, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS lines FROM e"""
 
 
 @query(LOG)
 def log_records(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's events written as a log, a third of them with a second line, and read back record by record."""
+    """Each user's events of a day written as a log file, a third of them with a second line, and read back record by record."""
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     line = F.concat(stamp, F.lit(" "), F.col("event_type"), F.lit(" request_id=e"), F.col("event_id"), F.when(F.col("event_id") % 3 == 0, "\n  more").otherwise(""))
-    logs = table(spark, d, "events").select("user_id", F.struct("event_id", line.alias("line")).alias("l")).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
-    return search.log_records(logs, "text", "user_id").select("user_id", big("ordinal").alias("ordinal"), "stamp", "request", big("lines").alias("lines"))
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("day"), F.struct("event_id", line.alias("line")).alias("l"))
+    logs = rows.groupBy("user_id", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+    return search.log_records(logs, "text", "user_id", "day").select("user_id", "day", big("ordinal").alias("ordinal"), "stamp", "request", big("lines").alias("lines"))
 
 
 VTT = r"""WITH t AS (SELECT conv_id, role, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), '-->', '', 'g')) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)
@@ -792,10 +915,11 @@ def coalesced_jobs(spark: SparkSession, d: str) -> DataFrame:
     return incremental.coalesce_jobs(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase")
 
 
-@query("SELECT attempt, least(CAST(pow(2, attempt) AS BIGINT), 3600) AS wait, CASE WHEN attempt >= 8 THEN 'failed' ELSE 'queued' END AS state FROM range(0, 16) t(attempt)")
+@query("SELECT o_orderkey, attempt, least(CAST(pow(2, attempt) AS BIGINT), 3600) AS wait, CASE WHEN attempt >= 8 THEN 'failed' ELSE 'queued' END AS state FROM (SELECT l_orderkey AS o_orderkey, count(*) * 2 AS attempt FROM lineitem GROUP BY 1)")
 def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
-    a = F.col("attempt")
-    return spark.range(16).withColumnRenamed("id", "attempt").select("attempt", tx.backoff(a).alias("wait"), F.when(a >= 8, "failed").otherwise("queued").alias("state"))
+    """How long each job waits after its attempts, here two for each line of an order, and whether it is tried again."""
+    a = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") * 2).alias("attempt"))
+    return a.select("o_orderkey", "attempt", tx.backoff(F.col("attempt")).alias("wait"), F.when(F.col("attempt") >= 8, "failed").otherwise("queued").alias("state"))
 
 
 @query("SELECT CAST(('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 4))::BIGINT % 64 AS BIGINT) AS bucket, date_trunc('hour', ts) AS hour, count(*) AS hits, count(*) > 20 AS limited FROM events GROUP BY 1, 2")
@@ -828,20 +952,40 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("at", "30 minutes").alias("s")).agg(F.min("ts").alias("started"), F.count("*").alias("n")).drop("s")
 
 
-@query()
-def job_state_machine(spark: SparkSession, d: str) -> DataFrame:
-    """Stateful: retries, leases and terminal states per key follow the order of arrival."""
-    from lodestone.streaming import jobs
-
-    return jobs.run_once(jobs.job_states(jobs.events(spark, d)), "job_states")
+FIRST_HIT = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS k FROM events WHERE (epoch_us(ts) // 1000) <= (SELECT max((epoch_us(ts) // 1000)) - 3600000 FROM events)),
+w AS (SELECT user_id, event_id, event_type, ms, k, ms AS start, 1 AS n FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.event_type, e.ms, e.k, CASE WHEN e.ms >= w.start + {width} THEN e.ms ELSE w.start END, CASE WHEN e.ms >= w.start + {width} THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+"""
 
 
-@query()
+@query(FIRST_HIT.format(width=86_400_000) + "SELECT user_id, event_id, n <= 2 AS allowed, CASE WHEN n <= 2 THEN 0 ELSE start + 86400000 - ms END::BIGINT AS wait_ms FROM w")
 def first_hit_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Stateful: rate windows that begin at a key's first hit."""
+    """Rate windows of a day that begin at a user's first hit: two hits pass, the others are told to wait."""
+    from lodestone.streaming import jobs, keyed
+
+    return jobs.run_once(keyed.rate_limited(jobs.events(spark, d), 86_400, 2), "first_hit")
+
+
+@query(FIRST_HIT.format(width=86_400_000) + "SELECT user_id, start AS started_ms, count(*) AS requests, bool_or(event_type = 'purchase') AS full FROM w WHERE start + 86400000 <= (SELECT max((epoch_us(ts) // 1000)) - 3600000 FROM events) GROUP BY user_id, start")
+def coalesced_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A user's requests within a day of the first one become one job; a purchase among them makes it a full one."""
+    from lodestone.streaming import jobs, keyed
+
+    return jobs.run_once(keyed.coalesced(jobs.events(spark, d), 86_400, "event_type = 'purchase'"), "coalesced")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def exactly_once_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last event, upserted batch by batch from the stream into a versioned table; then all batches once more by a stream that has
+    lost its checkpoint, which changes nothing."""
+    from lodestone.operators.manifest import KeyedTable, upsert_stream
     from lodestone.streaming import jobs
 
-    return jobs.run_once(jobs.rate_limited(jobs.events(spark, d), 3600, 2), "first_hit")
+    table_ = KeyedTable.create(spark, storage.fresh_path(spark, "user-states"), "user_id long, state string, ts timestamp, event_id long", ["user_id"], buckets=8)
+    stream = jobs.events(spark, d).select("user_id", F.col("event_type").alias("state"), F.col("at").alias("ts"), "event_id")
+    for _ in range(2):
+        upsert_stream(stream, table_, ["ts", "event_id"], "events", storage.fresh_path(spark, "user-states-checkpoint"), newer=True).awaitTermination()
+    return table_.read().drop("ts")
 
 
 # --- extensions that Spark adds -----------------------------------------------------------------------------------------

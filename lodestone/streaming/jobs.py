@@ -1,16 +1,14 @@
-"""Structured Streaming: dedup, tumbling counts, first-hit rate windows, job states."""
+"""Structured Streaming: dedup and tumbling counts; what needs a state of its own is in keyed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.operators.storage import fresh_path
 
+from .keyed import rocks
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -24,7 +22,8 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is available now, through the exactly-once file sink, read back as a table."""
     spark = stream.sparkSession
     out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    with rocks(spark):
+        q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -38,48 +37,3 @@ def tumbling(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     """Closed windows' counts: start, event_type, n."""
     counts = stream.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("start"), "event_type", "n")
-
-
-def rate_limited(stream: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """user_id, event_id, allowed, wait: windows begin at a key's first hit and let `limit` hits pass."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (0.0, 0)
-        out = []
-        rows = pd.concat(frames).sort_values(["at", "event_id"])
-        for event, at in zip(rows["event_id"], rows["at"].map(pd.Timestamp.timestamp), strict=True):
-            if not count or at >= start + seconds:
-                start, count = at, 0
-            count += 1
-            out.append((key[0], event, count <= limit, 0.0 if count <= limit else start + seconds - at))
-        state.update((float(start), int(count)))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "wait"])
-
-    return stream.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean, wait double", "start double, n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def job_states(stream: DataFrame, attempts: int = 3) -> DataFrame:
-    """user_id, event_id, state, attempt, token: a view queues, a click takes the lease with a new run token, a purchase
-    completes, anything else fails the run; after `attempts` failures the job has failed for good."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, attempt, token = state.get if state.exists else ("idle", 0, 0)
-        out = []
-        rows = pd.concat(frames).sort_values(["at", "event_id"])
-        for event, kind in zip(rows["event_id"], rows["event_type"], strict=True):
-            if kind == "view" and name in ("idle", "complete"):
-                name, attempt = "queued", 0
-            elif kind == "click" and name == "queued":
-                name, token = "running", token + 1
-            elif kind == "purchase" and name == "running":
-                name = "complete"
-            elif name == "running":
-                attempt += 1
-                name = "failed" if attempt >= attempts else "queued"
-            else:
-                continue
-            out.append((key[0], event, name, attempt, token))
-        state.update((name, attempt, token))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "state", "attempt", "token"])
-
-    return stream.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, state string, attempt long, token long", "name string, attempt long, token long", "append", GroupStateTimeout.NoTimeout)
