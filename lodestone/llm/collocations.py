@@ -31,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, arrow_rows, bounded, documents, release, slim
+from .common import Stored, arrow_bytes, bounded, documents, release, slim
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a chunk, occurrences of a block, chunks whose arrays one mapper sums, arrays summed at once.
-CHUNK_WORDS, BLOCK_KEYS, SHARE, FAN = 1 << 17, 1 << 20, 1 << 20, 16
+CHUNK_WORDS, BLOCK_KEYS, SHARE, FAN = 1 << 18, 1 << 18, 1 << 18, 16
+#: Rows of chunks are some MB each: few of them in a row group, which a reader holds at once.
+CHUNK_FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.row.count.limit": "8"}
 
 #: A-Z to a-z, every mark or line end that ends a piece to ".", tab to blank.
 _FOLD = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -183,7 +185,7 @@ def _renamed(chunks: pa.Table, numbers: pa.Table) -> pa.Table:
 def frequent_words(docs: DataFrame, least: int, chunk_words: int) -> tuple[DataFrame, DataFrame, Stored]:
     """n per lang; the frequent words (id from 1, f, lang, phrase); the chunks with their words' ids."""
     d = slim(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    chunks = Stored(d.mapInArrow(_chunks(chunk_words), VOCAB), "phrase-chunks", compression="zstd")
+    chunks = Stored(d.mapInArrow(_chunks(chunk_words), VOCAB), "phrase-chunks", **CHUNK_FILES)
     words = chunks.df.select("chunk", F.posexplode("vocab").alias("at", "v")).select("chunk", (F.col("at") + 1).alias("at"), "v.lang", "v.word", "v.n")
     totals = Stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals").df
     own = Window.partitionBy("lang", "word")
@@ -193,9 +195,9 @@ def frequent_words(docs: DataFrame, least: int, chunk_words: int) -> tuple[DataF
     before = sums.select("part", (F.sum("most").over(Window.orderBy("part")) - F.col("most")).alias("before"))
     named = rows.df.join(before, "part").withColumn("id", F.col("before") + F.col("no"))
     level = Stored(named.filter("new").select("id", "f", "lang", F.col("word").cast("string").alias("phrase")), "phrases-1").df
-    with arrow_rows(docs.sparkSession, 32):
+    with arrow_bytes(docs.sparkSession):
         sides = chunks.df.select("chunk", "local").groupBy("chunk"), named.select("chunk", "at", "id").groupBy("chunk")
-        out = Stored(sides[0].cogroup(sides[1]).applyInArrow(_renamed, CHUNK), "phrase-chunks", compression="zstd")
+        out = Stored(sides[0].cogroup(sides[1]).applyInArrow(_renamed, CHUNK), "phrase-chunks", **CHUNK_FILES)
     chunks.drop()
     rows.drop()
     return totals, level, out
@@ -368,7 +370,7 @@ def next_level(chunks: Stored, span: int, k: int, least: int, block_keys: int, s
     spark = chunks.spark
     size = chunks.df.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()
     blocks, shares = -(-size["pairs"] // block_keys) or 1, -(-size["chunks"] // share_chunks) or 1
-    with arrow_rows(spark, 32):
+    with arrow_bytes(spark):
         sent = Stored(chunks.df.select("chunk", "g").mapInArrow(_send(span, blocks, shares), SENT), f"phrase-keys-{k}")
         seen = _tree(sent.df.groupBy("block", "share").applyInArrow(_seen(least), SEEN), _seen_more, SEEN, shares)
         hashes = Stored(seen.mapInArrow(_hashes, HASH), f"phrase-hashes-{k}")
@@ -385,7 +387,7 @@ def next_level(chunks: Stored, span: int, k: int, least: int, block_keys: int, s
         if k < LONGEST:
             each = found.select("block", "before", "keys").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
             back = sent.df.select("block", "share", "chunk", "keys").groupBy("block", "share").cogroup(each.groupBy("block", "share")).applyInArrow(_give_back, BACK)
-            out = Stored(chunks.df.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_next(span), CHUNK), "phrase-chunks", compression="zstd")
+            out = Stored(chunks.df.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_next(span), CHUNK), "phrase-chunks", **CHUNK_FILES)
     sent.drop()
     hashes.drop()
     hits.drop()

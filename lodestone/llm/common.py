@@ -61,6 +61,18 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Bounds an Arrow batch by bytes, for rows that are large or small, for what runs inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bounded(batch: pa.RecordBatch, column: int, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most `rows` rows and about `size` bytes of a text or binary column each; at least a row."""
     ends = np.cumsum(pc.binary_length(batch.column(column).fill_null("" if pa.types.is_string(batch.column(column).type) else b"")).to_numpy(zero_copy_only=False).astype(np.int64))
