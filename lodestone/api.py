@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers, incremental, passages
-from lodestone.operators.answers import Answer, Request
+from lodestone.operators.answers import Answer, Request, Viewer
 from lodestone.sources import blocks
 
 
 class Workspace:
     """Tables (sources, blocks, passages) as immutable snapshots: every change writes a new one and returns it."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, accounts: DataFrame | None = None) -> None:
+        """accounts: account, owner, status, authentication of the connected services that sources may come from."""
+        self.spark, self.accounts = spark, accounts
         self.sources: DataFrame | None = None
         self.blocks: DataFrame | None = None
         self.passages: DataFrame | None = None
@@ -53,12 +54,18 @@ class Workspace:
         self.passages = self.passages.filter(F.col("id") != source)
         return self.passages
 
-    def _open(self) -> DataFrame:
-        return self.passages.join(self.sources.filter("is_active").select("id", "file_hash"), ["id", "file_hash"], "left_semi")
+    def _open(self, viewer: Viewer) -> DataFrame:
+        """The passages of what the viewer may read, made from its present content. A source without columns for status, lease or account is
+        parsed, never ends and was uploaded."""
+        missing = {"status": F.lit("parsed"), "access_expires_at": F.lit(None).cast("timestamp"), "account": F.lit(None).cast("string")}
+        sources = self.sources.withColumns({c: v for c, v in missing.items() if c not in self.sources.columns})
+        accounts = self.spark.createDataFrame([], "account string, owner string, status string, authentication string") if self.accounts is None else self.accounts
+        return self.passages.join(answers.readable(sources, accounts, viewer).select("id", "file_hash"), ["id", "file_hash"], "left_semi")
 
-    def search(self, request: Request) -> list[dict]:
-        return answers.chosen(answers.retrieve(self._open(), request)[0], request)
+    def search(self, request: Request, viewer: Viewer = Viewer("local")) -> list[dict]:
+        return answers.chosen(answers.retrieve(self._open(viewer), request)[0], request)
 
-    def answer(self, request: Request, claims: list[dict] | None = None, **vectors: object) -> Answer:
-        """vectors: embeddings (passage_id, embedding) and query_vector, for hybrid retrieval."""
-        return answers.answer(self._open(), request, claims, self._open, **vectors)
+    def answer(self, request: Request, claims: list[dict] | None = None, viewer: Viewer = Viewer("local"), **vectors: object) -> Answer:
+        """vectors: embeddings (passage_id, embedding) and query_vector, for hybrid retrieval. What may be read is decided before
+        retrieval and once more before the answer."""
+        return answers.answer(self._open(viewer), request, claims, lambda: self._open(viewer), **vectors)

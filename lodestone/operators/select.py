@@ -53,13 +53,24 @@ def redundant(hits: DataFrame, share: float = 0.8) -> DataFrame:
 _TESTS = {"=": lambda c, v: c == v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "in": lambda c, v: c.isin(*v) if v else F.lit(False), "contains": lambda c, v: c.contains(v)}
 
 
-def structured(rows: DataFrame, tests: list[tuple[str, str, object]], order: list[str], limit: int) -> DataFrame:
-    """The first rows that pass every (column, test, value), in an order ("-" descends), with `truncated`: whether more would.
-    The tests reach the scan; one row more than the limit is taken, never the whole answer."""
+def structured(rows: DataFrame, tests: list[tuple[str, str, object]], order: list[str], limit: int, *, after: list[object] | None = None, count: bool = False) -> DataFrame:
+    """The first rows that pass every (column, test, value), in an order ("-" descends), with `truncated`: whether more would. The tests
+    reach the scan; one row more than the limit is taken, never the whole answer.
+
+    after: a cursor, the order's values of the last row of the page before; the order has to tell all rows apart. count: also `total`, of all
+    pages' rows, which is a pass of its own."""
     for column, test, value in tests:
         rows = rows.filter(_TESTS[test](F.col(column), value))
-    by = [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]
-    taken = rows.orderBy(*by).limit(limit + 1)
-    n = Window.orderBy(*by)  # limit + 1 rows
-    told = taken.withColumn("place_", F.row_number().over(n)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit)
-    return told.filter(F.col("place_") <= limit).drop("place_")
+    names = [o.removeprefix("-") for o in order]
+    by = [F.desc(n) if o.startswith("-") else F.asc(n) for o, n in zip(order, names, strict=True)]
+    page_ = rows
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for o, n, v in zip(order, names, after, strict=True):
+            beyond = beyond | (same & (F.col(n) < F.lit(v) if o.startswith("-") else F.col(n) > F.lit(v)))
+            same = same & (F.col(n) == F.lit(v))
+        page_ = rows.filter(beyond)
+    taken = page_.orderBy(*by).limit(limit + 1)
+    told = taken.withColumn("place_", F.row_number().over(Window.orderBy(*by))).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit)  # limit + 1 rows
+    out = told.filter(F.col("place_") <= limit).drop("place_")
+    return out.withColumn("total", F.lit(rows.count())) if count else out

@@ -203,6 +203,23 @@ def coverage(passages: DataFrame, vectors: DataFrame, keys: list[str], on: str =
     return out.withColumn("active", F.col("total") == F.col("ready"))
 
 
+def profile_key(model: Column, revision: Column, dims: Column, form: Column) -> Column:
+    """What tells vectors of one kind from all others: vectors of two profiles are never compared, counted or published together."""
+    return F.sha2(F.to_json(F.array(model, revision, dims.cast("string"), form)), 256)
+
+
+def profile_coverage(passages: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """profile, keys, total, ready, active: for each profile that `stored` (passage, profile, input_hash, embedding) knows, and each group of
+    passages (passage, input_hash, keys), how many have a vector of that profile that was made from what they say now. A group is active under a
+    profile when all of it has; one that has no vector at all under it counts with none."""
+    named = [r[0] for r in stored.select("profile").distinct().orderBy("profile").collect()]  # a few kinds of vectors
+    totals = passages.groupBy(*keys).agg(F.count("*").alias("total"))
+    good = stored.filter(F.col("embedding").isNotNull()).select("passage", "input_hash", "profile").distinct()
+    ready = passages.join(good, ["passage", "input_hash"]).groupBy("profile", *keys).agg(F.count("*").alias("ready"))
+    every = totals.withColumn("profile", F.explode(F.array(*map(F.lit, named)).cast("array<string>")))
+    return every.join(ready, ["profile", *keys], "left").select("profile", *keys, "total", F.coalesce("ready", F.lit(0)).alias("ready"), (F.coalesce("ready", F.lit(0)) == F.col("total")).alias("active"))
+
+
 def batches(rows: DataFrame, digest: str, size: int) -> DataFrame:
     """Distinct digests, numbered in their order, in batches. Ranked within the digests' leading digits and shifted by the
     counts before, so nothing is ordered in one task."""

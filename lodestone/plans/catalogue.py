@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import policy
 from lodestone.functions import text as tx
-from lodestone.operators import incremental, relational, search, select, storage, vectors
+from lodestone.operators import incremental, layout, relational, search, select, storage, vectors
 from lodestone.operators.index import Field, Index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,25 @@ def activation_ready(spark: SparkSession, d: str) -> DataFrame:
     return vectors.coverage(table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), ["lang", "source"]).filter("total = ready").select("lang", "source")
 
 
+PROFILED = "(SELECT doc_id AS passage, sha256(text) AS input_hash, sha256('[\"m\",\"1\",\"64\",\"plain\"]') AS profile FROM documents JOIN embeddings ON vec_id = doc_id UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(text || '!') ELSE sha256(text) END, sha256('[\"m\",\"2\",\"64\",\"plain\"]') FROM documents JOIN embeddings ON vec_id = doc_id WHERE source <> 'src2')"
+
+
+@query(f"WITH v AS {PROFILED}, p AS (SELECT doc_id AS passage, source, sha256(text) AS input_hash FROM documents), t AS (SELECT source, count(*) AS total FROM p GROUP BY 1), r AS (SELECT profile, source, count(*) AS ready FROM p JOIN (SELECT DISTINCT * FROM v) v USING (passage, input_hash) GROUP BY ALL) SELECT k.profile, t.source, total, coalesce(ready, 0) AS ready, coalesce(ready, 0) = total AS active FROM t, (SELECT DISTINCT profile FROM v) k LEFT JOIN r ON r.profile = k.profile AND r.source = t.source")
+def profile_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Two kinds of vectors at once, one of them partly made from texts that have changed: neither lends the other its coverage."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    both = docs.join(e, F.col("vec_id") == F.col("doc_id")).select(F.col("doc_id").alias("passage"), "source", "text", "embedding")
+
+    def kind(revision: str) -> Column:
+        return vectors.profile_key(F.lit("m"), F.lit(revision), F.lit(64), F.lit("plain"))
+
+    first = both.select("passage", F.sha2("text", 256).alias("input_hash"), kind("1").alias("profile"), "embedding")
+    then = F.when(F.col("passage") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    second = both.filter("source <> 'src2'").select("passage", F.sha2(then, 256).alias("input_hash"), kind("2").alias("profile"), "embedding")
+    mine = docs.select(F.col("doc_id").alias("passage"), "source", F.sha2("text", 256).alias("input_hash"))
+    return vectors.profile_coverage(mine, first.unionByName(second), ["source"])
+
+
 @query("SELECT sha, CAST(ceil(n / 16.0) AS BIGINT) AS batch FROM (SELECT sha, row_number() OVER (ORDER BY sha) AS n FROM (SELECT DISTINCT sha256(text) AS sha FROM documents d ANTI JOIN (SELECT vec_id AS doc_id FROM embeddings) e USING (doc_id)))")
 def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
@@ -632,6 +651,25 @@ def page_read(spark: SparkSession, d: str) -> DataFrame:
     return select.page(passages(spark, d).withColumn("cost", F.length("line")), ["doc_id"], "ordinal", 7800, 5)
 
 
+#: Lines set in two columns: what the first thirty characters hold, and six blanks further what the next thirty hold.
+SET = "rpad(substr(line, 1, 30), 36, ' ') || substr(line, 31, 30)"
+PLACED = f"{P}, w AS (SELECT doc_id, ordinal, unnest(string_split({SET}, ' ')) AS word, generate_subscripts(string_split({SET}, ' '), 1) AS i FROM p), x AS (SELECT doc_id, length(word) AS n, sum(length(word) + 1) OVER (PARTITION BY doc_id, ordinal ORDER BY i) - 1 AS x1 FROM w), b AS (SELECT doc_id, x1 - n AS x0, x1 FROM x WHERE n > 0)"
+
+
+@query(f"WITH {PLACED}, e AS (SELECT doc_id, x, sum(d) AS d FROM (SELECT doc_id, x0 AS x, 1 AS d FROM b UNION ALL SELECT doc_id, x1, -1 FROM b) GROUP BY ALL), s AS (SELECT doc_id, x AS x0, lead(x) OVER o AS x1, sum(d) OVER o AS open FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY x)), g AS (SELECT doc_id, x0, x1 FROM s WHERE open = 0 AND x1 - x0 >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY x1 - x0 DESC, x0) = 1) SELECT g.doc_id, g.x0::BIGINT AS x0, g.x1::BIGINT AS x1, count(*) FILTER (b.x0 < g.x0) AS \"left\", count(*) FILTER (b.x0 >= g.x1) AS \"right\" FROM g JOIN b ON b.doc_id = g.doc_id GROUP BY ALL")
+def column_split(spark: SparkSession, d: str) -> DataFrame:
+    """Documents set as pages of two columns, and where their words leave the widest gap."""
+    pages = passages(spark, d).select("doc_id", "ordinal", F.expr(SET).alias("line"))
+    return layout.column_split(layout.words(pages, "doc_id"), "doc_id")
+
+
+@query(f"WITH {P}, l AS (SELECT doc_id, ordinal, line, lag(line) OVER (PARTITION BY doc_id ORDER BY ordinal) AS before FROM p), k AS (SELECT doc_id, ordinal, line, sum(CASE WHEN coalesce(length(before) >= 60 AND NOT regexp_matches(before, '[.!?:;]\\s*$') AND regexp_matches(line, '^\\p{{Ll}}'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ordinal) AS island FROM l) SELECT doc_id, CAST(min(ordinal) AS BIGINT) AS first, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM k GROUP BY doc_id, island")
+def soft_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    """Lines joined to paragraphs where they only look wrapped."""
+    rows = layout.wrapped(passages(spark, d), "doc_id")
+    return rows.groupBy("doc_id", "island").agg(big(F.min("ordinal")).alias("first"), F.count("*").alias("lines"), big(F.sum(F.length("line"))).alias("chars")).drop("island")
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------------
 
 
@@ -776,6 +814,24 @@ def structured_query(spark: SparkSession, d: str) -> DataFrame:
     return found.select("o_orderkey", "o_totalprice", "truncated")
 
 
+@query("WITH q AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000) SELECT o_orderkey, o_totalprice, total > 60 AS truncated, total FROM q WHERE k > 40 AND k <= 60")
+def structured_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of a structured query, by the cursor of the second, with the number of all rows."""
+    rows, tests, order = table(spark, d, "orders"), [("o_orderstatus", "=", "O"), ("o_totalprice", ">=", 1000)], ["-o_totalprice", "o_orderkey"]
+    cursor = None
+    for _ in range(2):
+        last = select.structured(rows, tests, order, 20, after=cursor).orderBy(F.asc("o_totalprice"), F.desc("o_orderkey")).first()
+        cursor = [last["o_totalprice"], last["o_orderkey"]]
+    return select.structured(rows, tests, order, 20, after=cursor, count=True).select("o_orderkey", "o_totalprice", "truncated", big("total").alias("total"))
+
+
+@query("SELECT doc_id FROM documents WHERE (lang IN ('de', 'fr') OR source IN ('src1', 'de')) AND n_chars > 100")
+def label_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry one of the wanted labels at least."""
+    held = F.array_compact(F.array("lang", "source"))
+    return table(spark, d, "documents").filter(F.arrays_overlap(held, F.array(*map(F.lit, ("de", "fr", "src1")))) & (F.col("n_chars") > 100)).select("doc_id")
+
+
 @query("SELECT o_orderkey FROM orders WHERE false")
 def empty_scope(spark: SparkSession, d: str) -> DataFrame:
     """A request without any allowed source reads nothing: the plan is an empty relation."""

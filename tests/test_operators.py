@@ -123,7 +123,7 @@ def test_answer_states(workspace):
 
 def test_the_fence_reads_the_tables_again(workspace):
     request = Request("which failures", project="p")
-    whole = workspace._open()
+    whole = workspace._open(answers.Viewer("local"))
     assert answers.answer(whole, request, current=lambda: whole).state == "evidence_only"
     lost = answers.answer(whole, request, current=lambda: whole.filter("id <> 's2'"))
     assert lost.state == "insufficient" and not lost.hits and lost.warnings
@@ -170,20 +170,50 @@ def test_overlapping_spans_are_taken_once():
     assert len(answers.chosen([hit(i, 100 * i, 100 * i + 90) for i in range(9)], Request("q", most_tokens=14))) == 2
 
 
-def test_registering_twice_keeps_the_first(spark, workspace):
-    again = spark.createDataFrame([("s9", "p", "text", "It had 3 failures in another project.", True)], "id string, project string, modality string, text string, is_active boolean")
-    before = workspace.sources.count()
-    assert workspace.register(again).count() == before
-
+def test_sources_are_known_by_owner_project_and_content(spark):
+    columns = "id string, project string, modality string, text string, is_active boolean"
+    w = Workspace(spark)
+    first = spark.createDataFrame([("b", "p", "text", "It had 3 failures.", True), ("a", "p", "text", "It had 3 failures.", True), ("c", "q", "text", "It had 3 failures.", True), ("d", "p", "text", None, True), ("e", "p", "text", None, True)], columns)
+    assert sorted(r["id"] for r in w.register(first).collect()) == ["a", "c", "d", "e"]  # in each project once, the smallest id; null texts are each their own
+    again = spark.createDataFrame([("z", "p", "text", "It had 3 failures.", True), ("y", "r", "text", "It had 3 failures.", True)], columns)
+    assert sorted(r["id"] for r in w.register(again).collect()) == ["a", "c", "d", "e", "y"]
+    assert sorted(r["id"] for r in w.register(again.withColumn("owner", F.lit("other"))).collect()) == ["a", "c", "d", "e", "y", "y", "z"]
+    w.sources = w.sources.filter("text IS NOT NULL")
+    w.index()
+    for project in ("p", "q", "r"):
+        assert len(w.search(Request("failures", project=project))) == 1
 
-def test_streams_allow_a_limit_a_window(spark, tmp_path):
-    from lodestone.streaming import jobs
 
-    rows = [(i, i * 10, 1) for i in range(5)] + [(9, 200, 1)]
-    spark.createDataFrame(rows, "event_id long, s long, user_id long").select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props")).write.parquet(f"file://{tmp_path}/t")
-    stream = spark.readStream.schema(jobs.EVENTS).parquet(f"file://{tmp_path}/t").withColumn("at", F.col("ts").cast("timestamp"))
-    got = {r["event_id"]: r["allowed"] for r in jobs.run_once(jobs.rate_limited(stream, 60, 2), "limit").collect()}
-    assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 9: True}
+def test_only_what_the_viewer_may_read_is_searched(spark):
+    rows = [("mine", "me", "parsed", True, None, None), ("ended", "me", "parsed", True, "2020-01-01", None), ("runs", "me", "parsed", True, "2999-01-01", None), ("failed", "me", "failed", True, None, None), ("off", "me", "parsed", False, None, None), ("theirs", "you", "parsed", True, None, None), ("account", "me", "parsed", True, None, "a1"), ("revoked", "me", "parsed", True, None, "a2"), ("expired", "me", "parsed", True, None, "a3"), ("others account", "me", "parsed", True, None, "a4")]
+    sources = spark.createDataFrame([(i, "p", "text", f"The failures of {i}.", *rest) for i, *rest in rows], "id string, project string, modality string, text string, owner string, status string, is_active boolean, until string, account string")
+    accounts = spark.createDataFrame([("a1", "me", "syncing", "valid"), ("a2", "me", "revoked", "valid"), ("a3", "me", "connected", "expired"), ("a4", "you", "connected", "valid")], "account string, owner string, status string, authentication string")
+    w = Workspace(spark, accounts)
+    w.register(sources.withColumn("access_expires_at", F.col("until").cast("timestamp")).drop("until"))
+    w.index()
+    me = answers.Viewer("me")
+    assert {h["id"] for h in w.search(Request("failures", most_passages=20), me)} == {"mine", "runs", "account"}
+    assert {h["id"] for h in w.search(Request("failures"), answers.Viewer("you"))} == {"theirs"}
+    assert not w.search(Request("failures"))
+    assert w.answer(Request("failures"), viewer=me).state == "evidence_only"
+    w.sources = w.sources.withColumn("access_expires_at", F.lit("2020-01-01").cast("timestamp"))
+    assert w.answer(Request("failures"), viewer=me).state == "insufficient"
+
+
+def test_neighbours_are_asked_for_at_a_hits_edges():
+    def hit(content, kind="prose", grp="g", section="s", warnings=(), block="b", tokens=10):
+        return {"content": content, "kind": kind, "grp": grp, "section": section, "warnings": list(warnings), "spans": [{"block_id": block}], "tokens": tokens}
+
+    middle = " ".join(["x"] * 30 + ["timeout"] + ["y"] * 30)
+    assert not answers.touches_edge(hit(middle), "the timeout") and answers.touches_edge(hit("timeout " + middle), "the timeout")
+    assert answers.touches_edge(hit(middle, warnings=["cut"]), "other") and not answers.touches_edge(hit("the of", "table"), "of the") and not answers.touches_edge(hit("the why"), "why the")
+    assert answers.touches_edge(hit("", "slack"), "x")
+    a = hit("timeout")
+    assert answers.fits_beside(a, hit("no word", block="b"), "timeout", []) and not answers.fits_beside(a, hit("no word", block="c"), "timeout", [])
+    assert answers.fits_beside(a, hit("a Timeout", block="c"), "timeout", [])
+    assert not answers.fits_beside(hit("f", "code"), hit("f", "code", section="other"), "f", [])
+    thread = hit("t", "slack", tokens=700)
+    assert answers.fits_beside(thread, hit("u", "slack", tokens=400), "q", [thread]) and not answers.fits_beside(thread, hit("u", "slack", tokens=600), "q", [thread])
 
 
 def test_query_terms_of_every_document(spark, tmp_path):
@@ -194,7 +224,7 @@ def test_query_terms_of_every_document(spark, tmp_path):
     texts = {1: "One two one", 2: " ".join(f"W{i % 50}_x" for i in range(3000)), 3: "no length", 4: "", 5: None}
     rows = [(k, t, None if k == 3 or t is None else len(t)) for k, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["terms"] for r in catalogue.QUERIES["query_terms_all"](spark, f"file://{tmp_path}").collect()}
+    got = {r["doc_id"]: r["terms"] for r in catalogue.QUERIES["query_terms"](spark, f"file://{tmp_path}").collect()}
     assert got == {k: " ".join(list(dict.fromkeys(re.findall(r"[a-z0-9]+(?:_[a-z0-9]+)*", (t or "").lower())))[:32]) for k, t in texts.items()}
 
 
@@ -204,7 +234,95 @@ def test_neighbours_in_blocks_lose_no_query(spark):
     from lodestone.operators import vectors
 
     r = random.Random(5)
-    e = spark.createDataFrame([(i, i % 3, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id long, label long, embedding array<float>")
+    rows = [(i, i % 3, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60 + i, 0, [1.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(99, 0, [0.0] * 4)]  # equal ones and one without length
+    e = spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>")
     q = e.filter("vec_id % 5 = 0")
-    got = sorted(map(tuple, vectors.neighbours_in_blocks(q, e, 4, block=3).collect()))
-    assert got == sorted(map(tuple, vectors.neighbours(q, e, 4).collect())) and len(got) == 48
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+    by = {i: v for i, _, v in rows if i != 99}
+    near = {i: sorted(((-round(cosine(v, w), 6), j) for j, w in by.items() if j != i))[:4] for i, v in by.items() if i % 5 == 0}
+    for sizes in ({}, {"query_block": 3, "corpus_block": 7}):
+        got = vectors.neighbours(q, e, 4, **sizes).collect()
+        assert {(x["q"], x["vec_id"]) for x in got} == {(i, j) for i, f in near.items() for _, j in f}
+        far = {(x["q"], x["vec_id"]) for x in vectors.within(q, e, 0.5, **sizes).collect()}
+        assert {p for p in far if abs(cosine(by[p[0]], by[p[1]]) - 0.5) > 1e-6} == {(i, j) for i in near for j in by if i != j and cosine(by[i], by[j]) > 0.5 + 1e-6}
+    index = vectors.InvertedLists(e.filter("vec_id <> 99"), lists=8, split=5)
+    all_ = index.neighbours(q, 4, probes=8).collect()  # all lists: the exact answer
+    assert {(x["q"], x["vec_id"]) for x in all_} == {(i, j) for i, f in near.items() for _, j in f}
+    some = {(x["q"], x["vec_id"]) for x in index.neighbours(q, 4, probes=index.probes_for(4, target=0.99)).collect()}
+    assert len(some & {(i, j) for i, f in near.items() for _, j in f}) >= 0.9 * 4 * len(near)
+
+
+def test_quotes_by_grams_and_by_automata(spark):
+    import random
+
+    from lodestone.operators import search
+
+    r = random.Random(6)
+    words = "the of a house river, stone. é\nline x-y  two".split(" ")
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(30)))) for i in range(40)] + [(50, None), (51, "")]
+    quotes = [(i, t[a : a + n]) for i, (t, a, n) in enumerate((r.choice(docs[:40])[1], r.randrange(20), r.choice([0, 3, 9, 30, 60])) for _ in range(60))] + [(90, None), (91, "not to be found anywhere at all"), (92, "")]
+    got = search.quotes(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, text string"), block_bytes=50)
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, q in quotes if q is not None for d, t in docs if t is not None and q in t)
+
+
+def test_walks_end_at_roots_orphans_cycles_and_the_bound(spark):
+    from lodestone.operators import walks
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "r"), ("c", "d"), ("d", "c"), ("o", "p"), *[(f"k{i}", f"k{i + 1}") for i in range(12)], ("self", "self"), (None, "x")], "child string, parent string")
+    starts = spark.createDataFrame([(x,) for x in ("a", "c", "o", "k0", "k9", "r", "self", "alone", None)], "node string")
+    roots = spark.createDataFrame([("r",), ("k12",)], "node string")
+    got = {r["start"]: (r["node"], r["depth"], r["ended"]) for r in walks.ancestors(edges, starts, roots, 8).collect()}
+    assert got == {"a": ("r", 2, "root"), "c": ("c", 2, "cycle"), "o": ("p", 1, "orphan"), "k0": ("k8", 8, "bound"), "k9": ("k12", 3, "root"), "r": ("r", 0, "root"), "self": ("self", 1, "cycle"), "alone": ("alone", 0, "orphan")}
+    up = {r["start"]: (r["visited"], r["found"]) for r in walks.search_upwards(edges, starts, roots, most_nodes=3, most_depth=8).collect()}
+    assert up["a"] == (3, True) and up["k0"] == (3, False) and up["c"] == (2, False) and up["k9"] == (3, False)
+
+
+def test_json_is_read_as_it_is_written(spark):
+    import json
+
+    from lodestone.operators import walks
+
+    deep = "[" * 40 + "1" + "]" * 40
+    texts = ['{"a":{"b":[1,{"c/d~":null}]},"e":[],"f":{}}', '{"a":1,"a":2}', "nope", None, '{"x":' + "9" * 39 + "}", '{"x":"1e5 ' + "9" * 50 + '"}', "1e3", deep, '"s"']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    assert [r["s"] for r in df.select("i", walks.json_state("j").alias("s")).orderBy("i").collect()] == ["exact", "malformed", "malformed", "missing", "inexact", "exact", "inexact", "exact", "exact"]
+    rows = walks.json_nodes(df, "i", "j", deepest=30).collect()
+    first = {r["path"]: r["leaf"] for r in rows if r["i"] == 0}
+    assert first == {"": None, "/a": None, "/a/b": None, "/a/b/0": "1", "/a/b/1": None, "/a/b/1/c~1d~0": "null", "/e": "[]", "/f": "{}"}
+    last = max((r for r in rows if r["i"] == 7), key=lambda r: r["depth"])
+    assert last["depth"] == 30 and json.loads(last["leaf"]) is not None
+    assert {r["i"] for r in rows} == {0, 4, 5, 6, 7, 8}
+
+
+def test_quarantine_fails_closed(spark):
+    from lodestone.operators import canonical
+
+    rows = spark.createDataFrame([("good", "x", "h1"), ("empty", "", "h2"), ("null", None, "h3"), ("stale", "x", "old"), ("unknown", "x", "h5"), ("half", "x", "h6"), ("half", "", "h6")], "id string, text string, fingerprint string")
+    now = spark.createDataFrame([("good", "h1"), ("empty", "h2"), ("null", "h3"), ("stale", "new"), ("half", "h6")], "id string, fingerprint string")
+    served, kept = canonical.served(rows, "id", {"text": F.col("text") != ""}, now)
+    assert [r["id"] for r in served.collect()] == ["good"]
+    assert {r["id"]: r["broken"] for r in kept.collect()} == {"empty": ["text"], "null": ["text"], "stale": ["stale_fingerprint"], "unknown": ["stale_fingerprint"], "half": ["text"]}
+
+
+def test_each_planted_violation_is_found(spark):
+    from lodestone.operators import canonical
+    from lodestone.sources import blocks
+
+    made = blocks.parsed(spark.createDataFrame([(i, "markdown", "# H\n\nSome text.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\nx = 1\n```\n") for i in ("ok", "hash", "blank", "twice", "gap", "ragged", "bare", "loose")], "id string, modality string, text string"))
+    rel = canonical.relations(made)
+    assert canonical.violations(made, rel).count() == 0
+    i, t = F.col("id"), F.col("type")
+    broken = made.withColumn("content_hash", F.when((i == "hash") & (t == "paragraph"), "0").otherwise(F.col("content_hash")))
+    broken = broken.withColumn("content", F.when((i == "blank") & (t == "paragraph"), " ").otherwise(F.col("content")))
+    broken = broken.withColumn("block_id", F.when((i == "twice"), "same").otherwise(F.col("block_id")))
+    broken = broken.filter(~((i == "gap") & (F.col("ordinal") == 1)))
+    broken = broken.withColumn("structured", F.when((i == "ragged") & (t == "table"), '{"headers":["a","b"],"rows":[["1"]]}').when((i == "bare") & (t == "code"), "{}").otherwise(F.col("structured")))
+    loose = rel.withColumn("target", F.when(i == "loose", "nowhere").otherwise(F.col("target")))
+    got = {}
+    for r in canonical.violations(broken, loose).collect():
+        got.setdefault(r["id"], set()).add(r["rule"])
+    assert "ok" not in got and got["hash"] == {"content_hash"} and "content_is_text" in got["blank"] and "unique_block_id" in got["twice"] and "ordinals_without_gaps" in got["gap"]
+    assert "rectangular_table" in got["ragged"] and "code_has_language" in got["bare"] and got["loose"] == {"relation_resolves"}
