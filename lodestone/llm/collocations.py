@@ -142,10 +142,26 @@ def _chunks(size: int):
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers a partition's words, whose rows stand together."""
+    """Numbers a partition's words, whose rows stand together: a row for each word, and for each chunk (and some of the rows) its
+    places and their numbers, packed."""
     from pyspark import TaskContext
 
     part, no, last = TaskContext.get().partitionId(), 0, None
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def row(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _NUMBERED], schema=_NUMBERED)
+
+    def flush() -> pa.RecordBatch:
+        chunk, at, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(chunk, kind="stable")
+        chunk, at, numbers = chunk[order], at[order].astype("<i4"), numbers[order].astype("<i4")
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        pairs = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(chunk)], strict=True))
+        return row(chunk=pa.array(chunk[cuts]), part=pa.array(np.full(len(cuts), part, np.int32)), ats=pa.array([at[a:b].tobytes() for a, b in pairs], pa.binary()), nos=pa.array([numbers[a:b].tobytes() for a, b in pairs], pa.binary()))
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -158,10 +174,18 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = lang[-1].as_py(), word[-1].as_py()
         numbers = no + np.cumsum(new)
         no = int(numbers[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(numbers), pa.array(new)], ["chunk", "at", "lang", "word", "f", "part", "no", "new"])
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), numbers))
+        if new.any():
+            fresh = pa.array(np.flatnonzero(new))
+            yield row(part=pa.array(np.full(len(fresh), part, np.int32)), no=pa.array(numbers[new]), **{c: batch.column(k).take(fresh) for k, c in ((2, "lang"), (3, "word"), (4, "f"))})
+        if sum(len(x[0]) for x in held) >= 1 << 20:
+            yield flush()
+    if held:
+        yield flush()
 
 
-NUMBERED = "chunk long, at int, lang string, word binary, f long, part int, no long, new boolean"
+NUMBERED = "chunk long, part int, ats binary, nos binary, no long, lang string, word binary, f long"
+_NUMBERED = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("ats", pa.binary()), ("nos", pa.binary()), ("no", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("f", pa.int64())])
 CHUNK = "chunk long, g binary, pairs long"
 
 
@@ -178,7 +202,8 @@ def _renamed(chunks: pa.Table, numbers: pa.Table) -> pa.Table:
         return _row(0, np.zeros(2, np.int64))
     local = np.frombuffer(chunks["local"][0].as_py(), np.int32)
     to = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-    to[numbers["at"].to_numpy()] = numbers["id"].to_numpy()
+    for before, ats, nos in zip(numbers["before"].to_pylist(), numbers["ats"], numbers["nos"], strict=True):
+        to[_ints(ats, np.int32)] = before + _ints(nos, np.int32)
     return _row(chunks["chunk"][0].as_py(), to[local])
 
 
@@ -194,9 +219,9 @@ def frequent_words(docs: DataFrame, least: int, chunk_words: int) -> tuple[DataF
     sums = rows.df.groupBy("part").agg(F.max("no").alias("most"))  # a row for each partition
     before = sums.select("part", (F.sum("most").over(Window.orderBy("part")) - F.col("most")).alias("before"))
     named = rows.df.join(before, "part").withColumn("id", F.col("before") + F.col("no"))
-    level = Stored(named.filter("new").select("id", "f", "lang", F.col("word").cast("string").alias("phrase")), "phrases-1").df
+    level = Stored(named.filter("chunk IS NULL").select("id", "f", "lang", F.col("word").cast("string").alias("phrase")), "phrases-1").df
     with arrow_bytes(docs.sparkSession):
-        sides = chunks.df.select("chunk", "local").groupBy("chunk"), named.select("chunk", "at", "id").groupBy("chunk")
+        sides = chunks.df.select("chunk", "local").groupBy("chunk"), named.filter("chunk IS NOT NULL").select("chunk", "before", "ats", "nos").groupBy("chunk")
         out = Stored(sides[0].cogroup(sides[1]).applyInArrow(_renamed, CHUNK), "phrase-chunks", **CHUNK_FILES)
     chunks.drop()
     rows.drop()
@@ -205,7 +230,7 @@ def frequent_words(docs: DataFrame, least: int, chunk_words: int) -> tuple[DataF
 
 # --- longer phrases -----------------------------------------------------------------------------------------------------
 
-SENT = "block int, share int, chunk long, keys binary, counts binary"
+SENT = "block int, share int, chunk long, keys binary, counts binary, often binary"
 SEEN = "block int, share int, keys binary, often binary"
 HASH = "block int, sizes array<int>, bits binary, keys binary"
 SUMS = "block int, share int, counts binary"
@@ -228,19 +253,44 @@ def _table(schema: str, **columns: list) -> pa.Table:
     return pa.table({name: pa.array(columns[name], types[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))})
 
 
-def _send(span: int, blocks: int, shares: int):
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first and the gaps in 32 bits, where they fit."""
+    gaps = np.diff(keys)
+    if len(gaps) and gaps.max() >= 1 << 32:
+        return b"\0" + keys.astype("<i8").tobytes()
+    return b"\1" + keys[:1].astype("<i8").tobytes() + gaps.astype("<u4").tobytes()
+
+
+def _unpacked(data: object) -> np.ndarray:
+    data = data.as_py() if hasattr(data, "as_py") else data
+    if data[:1] == b"\0":
+        return np.frombuffer(data, "<i8", offset=1)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<i8", 1, 1), np.frombuffer(data, "<u4", offset=9).astype(np.int64)]))
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in 8 bits where they fit, otherwise in 32."""
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"\0" + counts.astype("<i4").tobytes()
+
+
+def _counts(data: object) -> np.ndarray:
+    data = data.as_py()
+    return np.frombuffer(data, np.uint8 if data[:1] == b"\1" else "<i4", offset=1)
+
+
+def _send(span: int, blocks: int, shares: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys, n = np.unique(_keys(_ints(g), span)[1], return_counts=True)
                 block = (mix(keys, 99) % np.uint64(blocks)).astype(np.int32)
                 order = np.argsort(block, kind="stable")
-                keys, n, block = keys[order], n[order].astype(np.int32), block[order]
+                keys, n, block = keys[order], n[order], block[order]
                 cuts = np.flatnonzero(np.diff(block, prepend=-1))
-                ends = [*cuts[1:].tolist(), len(keys)]
                 share = int(mix(np.array([chunk]), 98)[0] % np.uint64(shares))
-                pairs = list(zip(cuts.tolist(), ends, strict=True))
-                yield from _table(SENT, block=block[cuts].tolist(), share=[share] * len(pairs), chunk=[chunk] * len(pairs), keys=[keys[a:b].tobytes() for a, b in pairs], counts=[n[a:b].tobytes() for a, b in pairs]).to_batches()
+                pairs = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True))
+                often = [np.packbits(n[a:b] >= least).tobytes() if n[a:b].max() >= least else b"" for a, b in pairs]
+                yield from _table(SENT, block=block[cuts].tolist(), share=[share] * len(pairs), chunk=[chunk] * len(pairs), keys=[_packed(keys[a:b]) for a, b in pairs], counts=[_small(n[a:b]) for a, b in pairs], often=often).to_batches()
 
     return run
 
@@ -254,12 +304,11 @@ def _merged(keys: list[np.ndarray], often: list[np.ndarray]) -> tuple[np.ndarray
     return out, sure
 
 
-def _seen(least: int):
-    def run(t: pa.Table) -> pa.Table:
-        keys, sure = _merged([_ints(k) for k in t["keys"]], [_ints(c, np.int32) >= least for c in t["counts"]])
-        return _table(SEEN, block=[t["block"][0].as_py()], share=[t["share"][0].as_py()], keys=[keys.tobytes()], often=[sure.tobytes()])
-
-    return run
+def _seen(t: pa.Table) -> pa.Table:
+    keys = [_unpacked(k) for k in t["keys"]]
+    often = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(k)).astype(bool) if o else np.zeros(len(k), bool) for k, o in zip(keys, t["often"].to_pylist(), strict=True)]
+    found, sure = _merged(keys, often)
+    return _table(SEEN, block=[t["block"][0].as_py()], share=[t["share"][0].as_py()], keys=[found.tobytes()], often=[sure.tobytes()])
 
 
 def _seen_more(t: pa.Table) -> pa.Table:
@@ -286,8 +335,8 @@ def _count(sent: pa.Table, hashes: pa.Table) -> pa.Table:
         return _table(SUMS, block=[], share=[], counts=[])
     h = _hash(hashes)
     total = np.zeros(len(h.keys), np.int64)
-    slots = h.slots(np.concatenate([_ints(k) for k in sent["keys"]]))
-    n = np.concatenate([_ints(c, np.int32) for c in sent["counts"]])
+    slots = h.slots(np.concatenate([_unpacked(k) for k in sent["keys"]]))
+    n = np.concatenate([_counts(c) for c in sent["counts"]])
     total += np.bincount(slots[slots >= 0], weights=n[slots >= 0], minlength=len(total)).astype(np.int64)
     return _table(SUMS, block=[sent["block"][0].as_py()], share=[sent["share"][0].as_py()], counts=[total.tobytes()])
 
@@ -336,7 +385,7 @@ def _give_back(sent: pa.Table, found: pa.Table) -> pa.Table:
     if sent.num_rows and found.num_rows:
         known, first = _ints(found["keys"][0]), found["before"][0].as_py() + 1
         for chunk, keys in zip(sent["chunk"].to_pylist(), sent["keys"], strict=True):
-            keys = _ints(keys)
+            keys = _unpacked(keys)
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             hit = known[at] == keys
             if hit.any():
@@ -371,11 +420,11 @@ def next_level(chunks: Stored, span: int, k: int, least: int, block_keys: int, s
     size = chunks.df.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()
     blocks, shares = -(-size["pairs"] // block_keys) or 1, -(-size["chunks"] // share_chunks) or 1
     with arrow_bytes(spark):
-        sent = Stored(chunks.df.select("chunk", "g").mapInArrow(_send(span, blocks, shares), SENT), f"phrase-keys-{k}")
-        seen = _tree(sent.df.groupBy("block", "share").applyInArrow(_seen(least), SEEN), _seen_more, SEEN, shares)
+        sent = Stored(chunks.df.select("chunk", "g").mapInArrow(_send(span, blocks, shares, least), SENT), f"phrase-keys-{k}")
+        seen = _tree(sent.df.select("block", "share", "keys", "often").groupBy("block", "share").applyInArrow(_seen, SEEN), _seen_more, SEEN, shares)
         hashes = Stored(seen.mapInArrow(_hashes, HASH), f"phrase-hashes-{k}")
         each = hashes.df.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        sums = _tree(sent.df.groupBy("block", "share").cogroup(each.groupBy("block", "share")).applyInArrow(_count, SUMS), _add, SUMS, shares)
+        sums = _tree(sent.df.select("block", "share", "keys", "counts").groupBy("block", "share").cogroup(each.groupBy("block", "share")).applyInArrow(_count, SUMS), _add, SUMS, shares)
         hits = sums.select("block", "counts").join(hashes.df.select("block", "keys"), "block")
         hits = Stored(hits.mapInArrow(_frequent(least), HITS), f"phrase-hits-{k}")
         before = F.sum("n").over(Window.orderBy("block")) - F.col("n")  # a slim row for each block
