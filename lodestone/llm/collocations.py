@@ -121,7 +121,7 @@ def _chunks(size: int):
                 text[at] = list(own)
             n_of = np.bincount(local, minlength=m + 1)[1:].astype(np.int32)
             vocab = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(text, pa.binary()), pa.array(n_of)], fields=list(_VOCAB))
-            row = pa.RecordBatch.from_arrays([pa.array([(part << 32) + turn], pa.int64()), pa.array([local.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), vocab)], ["chunk", "local", "vocab"])
+            row = pa.RecordBatch.from_arrays([pa.array([(part << 32) + turn], pa.int64()), pa.array([_squeezed(local)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), vocab)], ["chunk", "local", "vocab"])
             turn, words, n = turn + 1, fresh(), 0
             parts.clear()
             return row
@@ -189,18 +189,30 @@ _NUMBERED = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("ats", pa.b
 CHUNK = "chunk long, g binary, pairs long"
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """Non-negative integers, in 32 bits where they fit, compressed."""
+    kind = "<i4" if a.max(initial=0) < 1 << 31 else "<i8"
+    return kind.encode() + len(a).to_bytes(8, "little") + pa.compress(a.astype(kind).tobytes(), codec="zstd", asbytes=True)
+
+
+def _loose(data: object) -> np.ndarray:
+    data = data.as_py() if hasattr(data, "as_py") else data
+    kind, n = data[:3].decode(), int.from_bytes(data[3:11], "little")
+    return np.frombuffer(pa.decompress(data[11:], decompressed_size=n * int(kind[2]), codec="zstd", asbytes=True), kind).astype(np.int64)
+
+
 def _row(chunk: int, g: np.ndarray) -> pa.Table:
     """A chunk with the number of the frequent phrase that begins at each place, 0 where none does."""
     pairs = int(np.count_nonzero(g[:-1].astype(bool) & g[1:].astype(bool)))
     if not pairs:
         return pa.table({"chunk": pa.array([], pa.int64()), "g": pa.array([], pa.binary()), "pairs": pa.array([], pa.int64())})
-    return pa.table({"chunk": pa.array([chunk], pa.int64()), "g": pa.array([g.tobytes()], pa.binary()), "pairs": pa.array([pairs], pa.int64())})
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "g": pa.array([_squeezed(g)], pa.binary()), "pairs": pa.array([pairs], pa.int64())})
 
 
 def _renamed(chunks: pa.Table, numbers: pa.Table) -> pa.Table:
     if not chunks.num_rows:
         return _row(0, np.zeros(2, np.int64))
-    local = np.frombuffer(chunks["local"][0].as_py(), np.int32)
+    local = _loose(chunks["local"][0])
     to = np.zeros(int(local.max(initial=0)) + 1, np.int64)
     for before, ats, nos in zip(numbers["before"].to_pylist(), numbers["ats"], numbers["nos"], strict=True):
         to[_ints(ats, np.int32)] = before + _ints(nos, np.int32)
@@ -282,7 +294,7 @@ def _send(span: int, blocks: int, shares: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, n = np.unique(_keys(_ints(g), span)[1], return_counts=True)
+                keys, n = np.unique(_keys(_loose(g), span)[1], return_counts=True)
                 block = (mix(keys, 99) % np.uint64(blocks)).astype(np.int32)
                 order = np.argsort(block, kind="stable")
                 keys, n, block = keys[order], n[order], block[order]
@@ -399,7 +411,7 @@ def _next(span: int):
     def run(chunks: pa.Table, back: pa.Table) -> pa.Table:
         if not chunks.num_rows or not back.num_rows:
             return _row(0, np.zeros(2, np.int64))
-        g = _ints(chunks["g"][0])
+        g = _loose(chunks["g"][0])
         known, ids = np.concatenate([_ints(k) for k in back["keys"]]), np.concatenate([_ints(k) for k in back["ids"]])
         order = np.argsort(known)
         known, ids = known[order], ids[order]
