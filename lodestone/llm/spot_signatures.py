@@ -50,7 +50,8 @@ def _chains(words_: Column, anchors: list[str], chain: int) -> Column:
     """The signatures' hashes, in order of appearance."""
     any_ = one_of(anchors)
     # common words go, but the first of a run stays as a mark on the content word after it
-    marked = F.regexp_replace(words_, rf"(?<![^ ])({any_})(?: {any_})*+ (?!{any_}(?![^ ]))(?=[^ ])", "$1>")
+    ended = F.regexp_replace(words_, rf"(?<![^ ]){any_}(?: {any_}(?![^ ]))*+$", "")  # nothing follows the last run
+    marked = F.regexp_replace(ended, rf"(?<![^ ])({any_})(?: {any_}(?![^ ]))*+ (?!{any_}(?![^ ]))(?=[^ ])", "$1>")
     found = F.regexp_extract_all(marked, F.lit(rf"(?<![^ ])(?=([^ >]++>[^ ]++(?: [^ ]++){{{chain - 1}}}))"))
     return F.transform(found, lambda s: F.hash(F.regexp_replace(s, " [^ >]+>", " ")))
 
@@ -84,21 +85,38 @@ def length_partition(size: Column, threshold: float) -> Column:
     return F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
 
 
-def near_pairs(spotted: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness) for a < b of representatives (id, spots) with distinct sets whose likeness reaches the threshold.
+def near_pairs(spotted: DataFrame, threshold: float = 0.8, hot: int = 1000) -> DataFrame:
+    """(a, b, likeness) for a < b whose likeness reaches the threshold, between representatives of equal sets: (id, spots) rows with equal spots
+    count as the one with the smallest id.
 
-    A pair at the threshold shares one of the rarest |A| - ceil(t |A|) + 1 signatures of each; those key the join, with the
-    length partition. Collapse equal sets first: a key then holds few of them."""
-    seen = spotted.select("id", F.explode("spots").alias("x"))
+    A pair at the threshold shares one of the rarest |A| - ceil(t |A|) + 1 signatures of each; those key the join, with the length partition.
+    Distinct sets at the threshold share t / (1 - t) signatures or more, and as many as k of the rarest |A| - ceil(t |A|) + k. So a key
+    that more than `hot` sets have is split by a further signature of the longer prefix, again and again while that holds."""
+    one = spotted.groupBy("spots").agg(F.min("id").alias("id"))
+    seen = one.select("id", F.explode("spots").alias("x"))
     rarity = seen.groupBy("x").agg(F.count("*").alias("n"))
     ordered = seen.join(rarity, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+    deepest = max(1, math.ceil(threshold / (1 - threshold) - 1e-9)) if threshold < 1 else 1
     n = F.size("o")
-    prefix = ordered.select("id", n.alias("n"), length_partition(n, threshold).alias("p"), F.explode(F.slice("o.x", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))).alias("x"))
-    left = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "x", "p")
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "x", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
-    pruned = left.join(right, ["x", "p"]).filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("a", "b").distinct()
-    sets = spotted.select("id", "spots")
-    both = pruned.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    spare = (n - F.ceil(n * threshold - 1e-9)).cast("int")
+    ordered = stored(ordered.select("id", n.alias("n"), length_partition(n, threshold).alias("p"), spare.alias("spare"), F.slice("o.x", F.lit(1), spare + deepest).alias("x")), "spot-prefixes")
+    rows = ordered.select("id", "n", "p", "spare", "x", F.explode(F.transform(F.slice("x", F.lit(1), F.col("spare") + 1), lambda y: F.array(y))).alias("key"))
+    met = None
+    for level in range(1, deepest + 1):
+        rows = stored(rows.distinct(), "spot-keys") if level > 1 else rows
+        many = rows.groupBy("key").agg((F.count("*") > hot).alias("hot"))
+        told = rows.join(many, "key")
+        mine = told if level == deepest else told.filter("NOT hot")
+        left = mine.select(F.col("id").alias("a"), F.col("n").alias("na"), "key", "p")
+        right = mine.select(F.col("id").alias("b"), F.col("n").alias("nb"), "key", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
+        pruned = left.join(right, ["key", "p"]).filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("a", "b")
+        met = pruned if met is None else met.unionByName(pruned)
+        if level == deepest or not told.filter("hot").limit(1).count():
+            break
+        longer = F.filter(F.slice("x", F.lit(1), F.col("spare") + level + 1), lambda y: ~F.array_contains("key", y))
+        rows = told.filter("hot").select("id", "n", "p", "spare", "x", F.explode(F.transform(longer, lambda y: F.array_sort(F.array_append("key", y)))).alias("key"))
+    sets = one.select("id", "spots")
+    both = met.distinct().join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
     return both.filter(F.col("likeness") >= threshold - 1e-12)
 
 
