@@ -63,7 +63,8 @@ def corput(i: Column, k: int) -> Column:
 
 
 def schedule(targets: DataFrame, k: int, chunk: int = CHUNK, point: str = "corput") -> DataFrame:
-    """(slot, s, rank): which block of which source fills each of the 2^k slots. targets: (s, target), in the order of s.
+    """(slot, s, rank, ideal): which block of which source fills each of the 2^k slots, and the place where the block would stand if its
+    source's blocks were spread evenly. targets: (s, target), in the order of s.
 
     point: "corput", or "ordered" for one source after another, which is what a schedule without spreading would do."""
     order = Window.orderBy("s")  # a slim row a source
@@ -71,18 +72,20 @@ def schedule(targets: DataFrame, k: int, chunk: int = CHUNK, point: str = "corpu
     of = targets.select("s", ends.alias("end"), F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
     cut = of.select("s", F.round(F.col("end") / F.col("all") * float(1 << k)).cast("long").alias("to"))
     cut = cut.withColumn("from", F.coalesce(F.lag("to").over(order), F.lit(0).cast("long"))).filter("from < to")
-    pieces = cut.select("s", "to", F.explode(F.sequence("from", F.col("to") - 1, F.lit(chunk).cast("long"))).alias("from")).select("s", "from", F.least(F.col("from") + chunk, "to").alias("to"))
-    points = pieces.repartition("s", "from").select("s", F.explode(F.sequence("from", F.col("to") - 1)).alias("point"))
-    slots = points.select("s", (corput(F.col("point"), k) if point == "corput" else F.col("point")).alias("slot"))
+    cut = cut.withColumn("every", F.lit(float(1 << k)) / (F.col("to") - F.col("from")))  # slots from one block of the source to its next
+    pieces = cut.select("s", "every", "to", F.explode(F.sequence("from", F.col("to") - 1, F.lit(chunk).cast("long"))).alias("from")).select("s", "every", "from", F.least(F.col("from") + chunk, "to").alias("to"))
+    points = pieces.repartition("s", "from").select("s", "every", F.explode(F.sequence("from", F.col("to") - 1)).alias("point"))
+    slots = points.select("s", "every", (corput(F.col("point"), k) if point == "corput" else F.col("point")).alias("slot"))
     slots = slots.withColumn("chunk", F.floor(F.col("slot") / (chunk << 4)))
     counts = slots.groupBy("s", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("s", "chunk", (F.sum("n").over(Window.partitionBy("s").orderBy("chunk")) - F.col("n")).alias("before"))
     local = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
-    return slots.withColumn("local", local).join(before.hint("merge"), ["s", "chunk"]).select("slot", "s", (F.col("before") + F.col("local")).alias("rank"))
+    rank = F.col("before") + F.col("local")
+    return slots.withColumn("local", local).join(before.hint("merge"), ["s", "chunk"]).select("slot", "s", rank.alias("rank"), ((rank + 0.5) * F.col("every") - 0.5).alias("ideal"))
 
 
 class Mix:
-    """plan: (slot, s, doc_id, source, key, at, epoch, first_word, words), the mix's pieces by slot; docs: a row per document with
+    """plan: (slot, s, ideal, doc_id, source, key, at, epoch, first_word, words), the mix's pieces by slot; docs: a row per document with
     its source's target. block_words is the real number of words that each slot holds."""
 
     def __init__(self, docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, bucket_docs: int = 4096, seed: int = 0, point: str = "corput") -> None:
@@ -117,10 +120,12 @@ class Mix:
         self.plan = self.slots.join(blocks.hint("merge"), ["s", "rank"]).drop("rank")  # both sides grow: never broadcast
 
     def taken(self) -> DataFrame:
-        """Per document: doc_id, source, size, source_size, target, taken, key."""
-        words = self.plan.groupBy(F.col("s").alias("s_"), F.col("at").alias("at_")).agg(F.sum("words").alias("words"))
+        """Per document: doc_id, source, size, source_size, target, taken, key; of the slots that hold its words: first_slot, slots (how many),
+        off_place (the farthest that one stands from where an even spread of its source would put it)."""
+        off = F.max(F.abs(F.col("slot") - F.col("ideal")))
+        words = self.plan.groupBy(F.col("s").alias("s_"), F.col("at").alias("at_")).agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("slots"), off.alias("off_place"))
         on = (F.col("s") == F.col("s_")) & (F.col("at") == F.col("at_")) & (F.col("size") > 0)
-        return self.docs.join(words.hint("merge"), on, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "key")
+        return self.docs.join(words.hint("merge"), on, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "key", "first_slot", F.coalesce("slots", F.lit(0)).alias("slots"), "off_place")
 
     def turns(self) -> DataFrame:
         """(doc_id, key, copies, slot): each turn of a document that the mix takes, at the slot of its first word there. A turn
