@@ -28,7 +28,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their source's target asks, the last one of a source in part."""
+    """Documents come as often as their source's target asks, whole; the last turn of a source is taken if half of it is in the mix."""
     return mixed(docs)
 
 
@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_crf", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mix), ("packing", pack)]
 
-#: SQL can express neither the classifier nor the components; the tests hold the stages against brute-force versions.
+#: SQL can express neither the classifier nor the components; a test holds what each stage keeps, mixes and packs against plain Python.
 ORACLE_SQL = None
 
 
