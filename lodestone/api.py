@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, incremental, passages
+from lodestone.operators import answers, incremental, passages, storage
 from lodestone.operators.answers import Answer, Request, Viewer
+from lodestone.operators.index import Index
 from lodestone.sources import blocks
 
 
@@ -19,6 +20,7 @@ class Workspace:
         self.sources: DataFrame | None = None
         self.blocks: DataFrame | None = None
         self.passages: DataFrame | None = None
+        self.lexical: Index | None = None
 
     def register(self, new: DataFrame) -> DataFrame:
         """Sources (id, project, modality, text, is_active; if there is one, owner). Of an owner's sources of one project with equal content the one with the smallest
@@ -31,19 +33,25 @@ class Workspace:
         self.sources = first if self.sources is None else self.sources.unionByName(first.join(self.sources.select(*key), (first["owner"].eqNullSafe(self.sources["owner"])) & (first["project"].eqNullSafe(self.sources["project"])) & (first["file_hash"] == self.sources["file_hash"]), "left_anti"))
         return self.sources
 
-    def index(self) -> DataFrame:
-        """Parses and packs sources whose content isn't indexed yet, drops passages of sources that went."""
+    def index(self, path: str | None = None) -> DataFrame:
+        """Parses and packs sources whose content isn't indexed yet, drops passages of sources that went, and brings the stored index up to
+        date: built the first time, in a folder of the session if no path is given, by a delta segment later."""
         if self.sources is None:
             raise ValueError("nothing is registered")
         todo = self.sources.filter("is_active")
-        kept = None
+        kept = gone = None
         if self.passages is not None:
             kept = self.passages.join(todo.select("id", "file_hash"), ["id", "file_hash"], "left_semi")
+            gone = self.passages.join(todo.select("id", "file_hash"), ["id", "file_hash"], "left_anti").select(answers.document_number().alias("doc_id")).distinct()
             todo = todo.join(self.passages.select("id", "file_hash").distinct(), ["id", "file_hash"], "left_anti")
-        made = blocks.parsed(todo)
+        made = storage.materialised(blocks.parsed(todo), "blocks")
         self.blocks = made if self.blocks is None else incremental.replace_group(self.blocks, made, "id")
-        new = passages.packed(made).filter("error IS NULL").join(todo.select("id", "project", "file_hash"), "id")
+        new = storage.materialised(passages.packed(made).filter("error IS NULL").join(todo.select("id", "project", "file_hash"), "id"), "passages")
         self.passages = new if kept is None else kept.unionByName(new)
+        if self.lexical is None:
+            self.lexical = answers.indexed(self.passages, path or storage.fresh_path(self.spark, "passage-index"))
+        else:
+            self.lexical = self.lexical.update(answers.for_index(new), gone)
         return self.passages
 
     def set_active(self, source: str, active: bool) -> DataFrame:
@@ -52,6 +60,9 @@ class Workspace:
 
     def remove_index(self, source: str) -> DataFrame:
         self.passages = self.passages.filter(F.col("id") != source)
+        if self.lexical is not None:
+            gone = self.spark.createDataFrame([(source,)], "id string").select(answers.document_number().alias("doc_id"))
+            self.lexical = self.lexical.update(answers.for_index(self.passages.limit(0)), gone)
         return self.passages
 
     def _open(self, viewer: Viewer) -> DataFrame:
@@ -63,9 +74,9 @@ class Workspace:
         return self.passages.join(answers.readable(sources, accounts, viewer).select("id", "file_hash"), ["id", "file_hash"], "left_semi")
 
     def search(self, request: Request, viewer: Viewer = Viewer("local")) -> list[dict]:
-        return answers.chosen(answers.retrieve(self._open(viewer), request)[0], request)
+        return answers.chosen(answers.retrieve(self._open(viewer), request, index=self.lexical)[0], request)
 
     def answer(self, request: Request, claims: list[dict] | None = None, viewer: Viewer = Viewer("local"), **vectors: object) -> Answer:
         """vectors: embeddings (passage_id, embedding) and query_vector, for hybrid retrieval. What may be read is decided before
         retrieval and once more before the answer."""
-        return answers.answer(self._open(viewer), request, claims, lambda: self._open(viewer), **vectors)
+        return answers.answer(self._open(viewer), request, claims, lambda: self._open(viewer), index=self.lexical, **vectors)

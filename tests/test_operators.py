@@ -255,6 +255,30 @@ def test_neighbours_in_blocks_lose_no_query(spark):
     assert len(some & {(i, j) for i, f in near.items() for _, j in f}) >= 0.9 * 4 * len(near)
 
 
+def test_the_workspace_keeps_its_index_up_to_date(spark):
+    columns = "id string, project string, modality string, text string, is_active boolean"
+
+    def found(question):
+        return [h["id"] for h in w.search(Request(question))]
+
+    w = Workspace(spark)
+    w.register(spark.createDataFrame([("a", "p", "text", "The pumps were running.", True), ("b", "p", "text", "A pump, and another pump and pump.", True)], columns))
+    w.index()
+    assert found("pump") == ["b", "a"]  # stems match; the word itself and more of it comes first
+    assert found("run") == ["a"] and not found("p")  # what only the labels match isn't evidence
+    w.register(spark.createDataFrame([("c", "p", "text", "pump pump pump pump pump pump", True)], columns))
+    w.index()
+    assert found("pump") == ["c", "b", "a"] and len(w.lexical.segments) == 2
+    w.set_active("b", False)
+    assert found("pump") == ["c", "a"]
+    w.index()
+    assert found("pump") == ["c", "a"]
+    w.remove_index("c")
+    assert found("pump") == ["a"]
+    w.lexical = w.lexical.merge()
+    assert found("pump") == ["a"] and len(w.lexical.segments) == 1
+
+
 def test_quotes_by_grams_and_by_automata(spark):
     import random
 
