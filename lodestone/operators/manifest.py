@@ -99,7 +99,7 @@ class Manifest:
         return [s.getPath().toString() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
 
 
-BUCKET = "__bucket"
+BUCKET, GONE = "__bucket", "__gone"
 
 
 class KeyedTable:
@@ -124,11 +124,13 @@ class KeyedTable:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def _rows(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        """Stored rows, those of deleted keys included: their places in the order are needed when a late row comes."""
+        whole = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType())])
+        return self.spark.read.schema(whole).parquet(*paths) if paths else self.spark.createDataFrame([], whole)
 
     def read(self, version: int | None = None) -> DataFrame:
         content = self.manifest.read(version)[1]
-        return self._rows(sorted(content["data"].values()))
+        return self._rows(sorted(content["data"].values())).filter(f"NOT {GONE}").drop(GONE)
 
     def offset(self, stream: str) -> Any:
         """What the stream's last applied batch published as its place."""
@@ -136,13 +138,14 @@ class KeyedTable:
 
     def upsert(self, rows: DataFrame, order: list[str], *, gone: Column | None = None, newer: bool = False, stream: str = "", batch: int | None = None, offset: Any = None, token: int | None = None, before_publish: Callable[[], None] | None = None) -> int:
         """Rows replace those of their keys; of several rows of a key the last by `order` counts, and where `gone` holds the key
-        is deleted. newer: rows of the table take part in that order, so that a late row doesn't replace a later one.
+        is deleted. newer: rows of the table take part in that order, deleted ones, too, so that a late row replaces no later one and brings no
+        deleted key back.
         stream, batch: a batch that isn't after the stream's last one changes nothing. token: see StaleWriter.
         before_publish: called between writing and publishing, for tests of a crash there."""
         kept = [c for c in self.schema.names if c not in self.keys]
-        flagged = rows.withColumn("__gone", F.coalesce(gone, F.lit(False)) if gone is not None else F.lit(False))
-        flagged = flagged.select(*self.schema.names, "__gone", self._bucket().alias(BUCKET))
-        mine = last_rows(flagged, self.keys, order, [*kept, "__gone", BUCKET])
+        flagged = rows.withColumn(GONE, F.coalesce(gone, F.lit(False)) if gone is not None else F.lit(False))
+        flagged = flagged.select(*self.schema.names, GONE, self._bucket().alias(BUCKET))
+        mine = last_rows(flagged, self.keys, order, [*kept, GONE, BUCKET])
         touched = sorted(r[0] for r in flagged.select(BUCKET).distinct().collect())  # at most `buckets` numbers
 
         def make(content: dict) -> dict | None:
@@ -152,13 +155,13 @@ class KeyedTable:
                 raise StaleWriter(f"token {token} is older than {content['token']}")
             data = dict(content["data"])
             if touched:
-                old = self._rows([data[str(b)] for b in touched if str(b) in data]).withColumn("__gone", F.lit(False)).withColumn(BUCKET, self._bucket())
+                old = self._rows([data[str(b)] for b in touched if str(b) in data]).withColumn(BUCKET, self._bucket())
                 if newer:
-                    merged = last_rows(old.unionByName(flagged), self.keys, order, [*kept, "__gone", BUCKET])
+                    merged = last_rows(old.unionByName(flagged), self.keys, order, [*kept, GONE, BUCKET])
                 else:
                     merged = old.join(mine.select(*self.keys), self.keys, "left_anti").unionByName(mine)
                 out = f"{self.manifest.path}/data/{uuid.uuid4().hex}"
-                merged.filter("NOT __gone").select(*self.schema.names, BUCKET).repartition(BUCKET).write.partitionBy(BUCKET).parquet(out)
+                merged.select(*self.schema.names, GONE, BUCKET).repartition(BUCKET).write.partitionBy(BUCKET).parquet(out)
                 there = {p.rsplit("=", 1)[1]: p for p in self.manifest.folders(out.removeprefix(f"{self.manifest.path}/")) if f"{BUCKET}=" in p}
                 for b in map(str, touched):
                     data.pop(b, None)

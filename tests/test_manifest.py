@@ -46,6 +46,11 @@ def test_upsert_is_keyed_by_owner_and_hash(spark, table):
     assert state(table.read(before)) == [("a", "h1", 3, 2), ("b", "h1", 2, 1)]  # a snapshot stays
     table.upsert(rows(spark, ("a", "h1", 7, 1)), ["at"], newer=True)
     assert ("a", "h1", 3, 2) in state(table.read())  # a late row
+    table.upsert(rows(spark, ("b", "h1", 4, 5)), ["at"], newer=True)
+    assert not [r for r in state(table.read()) if r[0] == "b"]  # late, too: deleted at 9
+    table.upsert(rows(spark, ("b", "h1", 4, 10), ("b", "h1", 0, 9)), ["at"], gone=F.col("v") == 0, newer=True)
+    assert ("b", "h1", 4, 10) in state(table.read())
+    table.upsert(rows(spark, ("b", "h1", 0, 11)), ["at"], gone=F.col("v") == 0, newer=True)
     table.upsert(rows(spark), ["at"])
     assert table.vacuum() > 0 and len(state(table.read())) == 2
 

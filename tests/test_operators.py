@@ -259,7 +259,7 @@ def test_the_workspace_keeps_its_index_up_to_date(spark):
     columns = "id string, project string, modality string, text string, is_active boolean"
 
     def found(question):
-        return [h["id"] for h in w.search(Request(question))]
+        return [h["id"] for h in answers.retrieve(w._open(answers.Viewer("local")), Request(question), index=w.lexical)[0]]
 
     w = Workspace(spark)
     w.register(spark.createDataFrame([("a", "p", "text", "The pumps were running.", True), ("b", "p", "text", "A pump, and another pump and pump.", True)], columns))

@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -179,3 +180,28 @@ def test_change_feed(spark, tmp_path):
     assert run() == 6
     (tmp_path / "000003.json").write_text(json.dumps({"items": [{"id": "new", "at": "2024-01-02T00:00:00+00:00"}]}))
     assert run() == 7
+
+
+def test_pages_through_sparks_readers(spark, tmp_path):
+    from lodestone.operators.manifest import KeyedTable
+
+    (tmp_path / "feed").mkdir()
+    for n in range(3):
+        items = [{"id": f"r{i}", "version": str(n), "at": f"2024-01-0{n + 1}T00:00:00+00:00", "removed": n == 2 and i == 1} for i in range(3)]
+        (tmp_path / "feed" / f"{n:06}.json").write_text(json.dumps({"items": items, "cursor": n}))
+        os.utime(tmp_path / "feed" / f"{n:06}.json", (1_700_000_000 + 9 * n,) * 2)  # a file stream reads the oldest first
+    (tmp_path / "feed" / "other.txt").write_text("no page")
+    feeds.register(spark)
+    folder = f"file://{tmp_path}/feed"
+    plain = spark.read.format("change_feed").option("path", str(tmp_path / "feed")).load()
+    assert sorted(map(str, feeds.read_pages(spark, folder).collect())) == sorted(map(str, plain.collect()))
+    table = KeyedTable.create(spark, f"file://{tmp_path}/t", "id string, version string, at timestamp", ["id"], buckets=2)
+
+    def each(rows, batch):  # rows, tombstones and the place in the feed are published together
+        table.upsert(rows.select("id", "version", "at", "removed"), ["at"], gone=F.col("removed"), newer=True, stream="feed", batch=batch, offset={"page": rows.agg(F.max("page")).first()[0]})
+
+    feeds.stream_pages(spark, folder, 1).writeStream.foreachBatch(each).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["id"], r["version"]) for r in table.read().collect()) == [("r0", "2"), ("r2", "2")] and table.offset("feed") == {"page": 2}
+    (tmp_path / "feed" / "000009.json").write_text(json.dumps({"items": [{"id": "x", "at": "2024-01-01T00:00:00"}]}))
+    with pytest.raises(Exception, match="offset"):
+        feeds.read_pages(spark, folder).collect()
