@@ -345,10 +345,11 @@ def budget_select_running(spark: SparkSession, d: str) -> DataFrame:
     return select.prefix_budget(passages(spark, d).withColumn("cost", F.length("line")), ["doc_id"], "ordinal", 3000, 6)
 
 
-@query()
+@query(f"WITH RECURSIVE {P}, r AS (SELECT DISTINCT doc_id, -1::BIGINT AS k, ''::VARCHAR AS chosen, 0::BIGINT AS n, 0::BIGINT AS used FROM p UNION ALL SELECT r.doc_id, r.k + 1, CASE WHEN used + length(line) <= 3000 AND n < 6 THEN chosen || ',' || (r.k + 1) ELSE chosen END, CASE WHEN used + length(line) <= 3000 AND n < 6 THEN n + 1 ELSE n END, CASE WHEN used + length(line) <= 3000 AND n < 6 THEN used + length(line) ELSE used END FROM r JOIN p ON p.doc_id = r.doc_id AND p.ordinal = r.k + 1) SELECT doc_id, ltrim(arg_max(chosen, k), ',') AS chosen, arg_max(used, k) AS used FROM r GROUP BY doc_id")
 def budget_select_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy selection skips what doesn't fit, so it depends on the order: no SQL equals it."""
-    return select.greedy_budget(passages(spark, d).withColumn("cost", F.length("line")), "doc_id", "ordinal", 3000, 6)
+    """Lines in order as far as they fit, skipping those that don't."""
+    found = select.greedy_budget(passages(spark, d).withColumn("cost", F.length("line")), "doc_id", "ordinal", 3000, 6)
+    return found.select("doc_id", F.array_join("chosen", ",").alias("chosen"), "used")
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
