@@ -80,10 +80,14 @@ GRAM = 3
 
 
 def _grams(text: Column) -> Column:
-    """The hashes of a text's runs of GRAM parts between blanks."""
-    parts = F.split(text, " ")
-    at = F.sequence(F.lit(1), F.size(parts) - GRAM + 1)
-    return F.when(F.size(parts) >= GRAM, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(GRAM)), " "))))).otherwise(F.array().cast("array<bigint>"))
+    """The hashes of a text's runs of GRAM parts between blanks. The text is split once: a lambda would split it again for each gram."""
+
+    def hashes(parts: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(parts) - GRAM + 1)
+        runs = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(GRAM)), " ")))
+        return F.when(F.size(parts) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.element_at(F.transform(F.array(F.split(text, " ")), hashes), 1)
 
 
 def quotes(docs: DataFrame, items: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
