@@ -350,3 +350,15 @@ def test_each_planted_violation_is_found(spark):
         got.setdefault(r["id"], set()).add(r["rule"])
     assert "ok" not in got and got["hash"] == {"content_hash"} and "content_is_text" in got["blank"] and "unique_block_id" in got["twice"] and "ordinals_without_gaps" in got["gap"]
     assert "rectangular_table" in got["ragged"] and "code_has_language" in got["bare"] and got["loose"] == {"relation_resolves"}
+
+
+def test_quotes_in_a_long_text_split_it_once(spark):
+    """Grams of one long text take time in proportion to its words, not to their square."""
+    import time
+
+    words = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, words), (2, "w1 w2 w3")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(59_980, 60_000))), (8, "w5 w7 w6 w8 w9")], "item_id long, text string")
+    began = time.time()
+    assert [tuple(r) for r in search.quotes(docs, items).collect()] == [(7, 1)]
+    assert time.time() - began < 40
