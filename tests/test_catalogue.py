@@ -46,6 +46,15 @@ def test_query(spark, duck, name):
         assert bag(got, df.columns) == bag(want.fetchall(), want.columns)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables aren't here")
+def test_companions_are_all_pairs(spark):
+    """Every companion by its own key, not their number."""
+    found = {tuple(r) for r in catalogue.QUERIES["companion_accounts"](spark, DATA).select("account", "companion").collect()}
+    c, s = (spark.read.parquet(f"{DATA}/{t}.parquet").collect() for t in ("customer", "supplier"))
+    want = {(a["c_custkey"], b["s_suppkey"]) for a in c for b in s if a["c_mktsegment"] == "BUILDING" and a["c_nationkey"] == b["s_nationkey"] and a["c_custkey"] % 10 == b["s_suppkey"] % 10}
+    assert found == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
