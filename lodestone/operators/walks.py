@@ -62,12 +62,24 @@ def ancestors(edges: DataFrame, starts: DataFrame, roots: DataFrame, most: int =
 
 def search_upwards(edges: DataFrame, starts: DataFrame, wanted: DataFrame, most_nodes: int = 64, most_depth: int = 8) -> DataFrame:
     """start, visited, found: breadth-first along all parents, nearest nodes first and of equal depth by name, until most_nodes were
-    visited; found: whether one of wanted (node) was among them. A node counts once, where it is nearest."""
-    near = _walk(edges, starts, most_depth).groupBy("start", "node").agg(F.min("depth").alias("depth"))
+    visited; found: whether one of wanted (node) was among them. A node counts once, where it is nearest.
+
+    Each level is stored, its nodes once per start, without paths: what is nearer isn't entered again, and a start that has its most_nodes goes
+    no farther, since what comes later stands behind them."""
+    up = materialised(edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "search-edges")
+    seen = level = materialised(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).filter("node IS NOT NULL").distinct(), "search")
+    for depth in range(1, most_depth + 1):
+        full = seen.groupBy("start").agg(F.count("*").alias("n")).filter(F.col("n") >= most_nodes)
+        on = level.join(full, "start", "left_anti") if depth > 1 else level
+        next_ = on.join(up, on["node"] == up["child"]).select("start", F.col("parent").alias("node")).distinct()
+        level = materialised(next_.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "search")
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
     order = Window.partitionBy("start").orderBy("depth", "node")
-    seen = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most_nodes)
+    near = seen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most_nodes)
     hit = wanted.select("node").distinct().withColumn("hit", F.lit(True))
-    return seen.join(hit, "node", "left").groupBy("start").agg(F.count("*").alias("visited"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("found"))
+    return near.join(hit, "node", "left").groupBy("start").agg(F.count("*").alias("visited"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("found"))
 
 
 def json_nodes(rows: DataFrame, key: str, text: str, deepest: int = 30) -> DataFrame:

@@ -362,3 +362,15 @@ def test_quotes_in_a_long_text_split_it_once(spark):
     began = time.time()
     assert [tuple(r) for r in search.quotes(docs, items).collect()] == [(7, 1)]
     assert time.time() - began < 40
+
+
+def test_search_upwards_carries_no_paths(spark, monkeypatch):
+    """Levels of distinct places, not walks: two nodes joined by 2 ** 6 walks are met once; what has its most_nodes goes no farther."""
+    from lodestone.operators import walks
+
+    monkeypatch.delattr(walks, "_walk")
+    ladder = [(f"{x}{i}", f"{y}{i + 1}") for i in range(6) for x in "ab" for y in "ab"] + [("b6", "a0"), ("a3", None)]
+    edges, starts = spark.createDataFrame(ladder, "child string, parent string"), spark.createDataFrame([("a0",), ("b5",), ("z",), (None,)], "node string")
+    wanted = spark.createDataFrame([("a6",)], "node string")
+    got = {n: {r["start"]: (r["visited"], r["found"]) for r in walks.search_upwards(edges, starts, wanted, most_nodes=n).collect()} for n in (2, 64)}
+    assert got == {2: {"a0": (2, False), "b5": (2, True), "z": (1, False)}, 64: {"a0": (13, True), "b5": (13, True), "z": (1, False)}}
