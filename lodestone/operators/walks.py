@@ -50,14 +50,29 @@ def _walk(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
 
 def ancestors(edges: DataFrame, starts: DataFrame, roots: DataFrame, most: int = 8) -> DataFrame:
     """start, node (the last one reached), depth, path, ended for a tree's walks: at a `root`; at an `orphan`, which has no parent but isn't
-    among roots (node); at a `cycle`, whose node stands twice on the path; or at the `bound` of most steps."""
-    rows = _walk(edges, starts, most)
-    last = rows.groupBy("start").agg(F.max_by(F.struct("node", "depth", "path", "cycle"), F.struct("depth", "node")).alias("l")).select("start", "l.*")
-    up = edges.select(F.col("child").alias("node")).distinct().withColumn("more", F.lit(True))
+    among roots (node); at a `cycle`, whose node stands twice on the path; or at the `bound` of most steps.
+
+    A start that is nobody's parent is on no path but its own, so its walk is its parent's, one step longer: only parents walk, each once
+    however many children it has."""
+    up = edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct()
+    inner = up.select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    told = materialised(starts.select("node").filter("node IS NOT NULL").distinct().join(inner, "node", "left").select("node", F.coalesce("inner", F.lit(False)).alias("inner")), "walk-starts")
+    leaves = told.filter(~F.col("inner")).select(F.col("node").alias("start"))
+    stepped = leaves.join(up, leaves["start"] == up["child"], "left").select("start", F.col("parent").alias("over"))
+    own = told.filter("inner").select("node")
+    rows = _walk(up, stepped.select(F.col("over").alias("node")).union(own), most)
+    order = F.struct("depth", "node")
+    last = rows.groupBy("start").agg(F.max_by(F.struct("node", "depth", "path", "cycle"), order).alias("whole"), F.max_by(F.struct("node", "depth", "path", "cycle"), F.when(F.col("depth") < most, order)).alias("short"))
+    over = stepped.join(last.select(F.col("start").alias("over"), "short.*"), "over", "left")
+    alone = F.array("start")
+    risen = over.select("start", F.coalesce("node", "start").alias("node"), F.coalesce(F.col("depth") + 1, F.lit(0)).alias("depth"), F.coalesce(F.concat(alone, "path"), alone).alias("path"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
+    risen = risen.groupBy("start").agg(F.max_by(F.struct("node", "depth", "path", "cycle"), order).alias("l")).select("start", "l.*")
+    final = risen.union(last.join(own.select(F.col("node").alias("start")), "start", "left_semi").select("start", "whole.*"))
+    more = up.select(F.col("child").alias("node")).distinct().withColumn("more", F.lit(True))
     root = roots.select("node").distinct().withColumn("root", F.lit(True))
-    told = last.join(up, "node", "left").join(root, "node", "left")
+    seen = final.join(more, "node", "left").join(root, "node", "left")
     ended = F.when(F.col("cycle"), "cycle").when(F.col("more"), "bound").when(F.col("root"), "root").otherwise("orphan")
-    return told.select("start", "node", "depth", "path", ended.alias("ended"))
+    return seen.select("start", "node", "depth", "path", ended.alias("ended"))
 
 
 def search_upwards(edges: DataFrame, starts: DataFrame, wanted: DataFrame, most_nodes: int = 64, most_depth: int = 8) -> DataFrame:

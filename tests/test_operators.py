@@ -374,3 +374,24 @@ def test_search_upwards_carries_no_paths(spark, monkeypatch):
     wanted = spark.createDataFrame([("a6",)], "node string")
     got = {n: {r["start"]: (r["visited"], r["found"]) for r in walks.search_upwards(edges, starts, wanted, most_nodes=n).collect()} for n in (2, 64)}
     assert got == {2: {"a0": (2, False), "b5": (2, True), "z": (1, False)}, 64: {"a0": (13, True), "b5": (13, True), "z": (1, False)}}
+
+
+def test_only_parents_walk(spark, monkeypatch):
+    """Children of one parent share its walk, one step longer, with the same ends."""
+    from lodestone.operators import walks
+
+    walked, walk = [], walks._walk
+
+    def counted(edges, starts, most):
+        walked.append(starts.filter("node IS NOT NULL").distinct().count())
+        return walk(edges, starts, most)
+
+    monkeypatch.setattr(walks, "_walk", counted)
+    edges = [(f"leaf{i}", "p") for i in range(50)] + [("p", "q"), ("q", "r"), ("x", "y"), ("y", "x"), ("in", "x"), ("far", "w0")] + [(f"w{i}", f"w{i + 1}") for i in range(5)]
+    starts = [(f"leaf{i}",) for i in range(50)] + [("x",), ("in",), ("far",), ("alone",), ("q",), ("w3",), (None,)]
+    found = walks.ancestors(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame(starts, "node string"), spark.createDataFrame([("r",)], "node string"), most=4)
+    got = {r["start"]: ("<".join(r["path"]), r["depth"], r["node"], r["ended"]) for r in found.collect()}
+    assert walked == [5]  # p, x, w0, q, w3
+    assert got == {f"leaf{i}": (f"leaf{i}<p<q<r", 3, "r", "root") for i in range(50)} | {
+        "x": ("x<y<x", 2, "x", "cycle"), "in": ("in<x<y<x", 3, "x", "cycle"), "far": ("far<w0<w1<w2<w3", 4, "w3", "bound"), "alone": ("alone", 0, "alone", "orphan"), "q": ("q<r", 1, "r", "root"), "w3": ("w3<w4<w5", 2, "w5", "orphan"),
+    }
