@@ -113,9 +113,11 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, **blocks: int) ->
     return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("q", "hit", "rk", "vec_id", "s")
 
 
-def within(queries: DataFrame, corpus: DataFrame, least: float, **blocks: int) -> DataFrame:
-    """(q, vec_id, s): for each query every other vector whose cosine distance is at most 1 - least."""
-    return block_pairs(queries, corpus, lambda row: np.flatnonzero(1 - row <= 1 - least), decimals=None, **blocks).select("q", "vec_id", "s")
+def within(queries: DataFrame, corpus: DataFrame, least: float, *, query_block: int = 512, corpus_block: int = 4096) -> DataFrame:
+    """(q, vec_id, s): for each query every other vector whose cosine distance is at most 1 - least. All of a pair of blocks may be near enough, and
+    a task holds what it finds, so the blocks are small."""
+    near = block_pairs(queries, corpus, lambda row: np.flatnonzero(1 - row <= 1 - least), decimals=None, query_block=query_block, corpus_block=corpus_block)
+    return near.select("q", "vec_id", "s")
 
 
 # --- approximate search -------------------------------------------------------------------------------------------------

@@ -395,3 +395,17 @@ def test_only_parents_walk(spark, monkeypatch):
     assert got == {f"leaf{i}": (f"leaf{i}<p<q<r", 3, "r", "root") for i in range(50)} | {
         "x": ("x<y<x", 2, "x", "cycle"), "in": ("in<x<y<x", 3, "x", "cycle"), "far": ("far<w0<w1<w2<w3", 4, "w3", "bound"), "alone": ("alone", 0, "alone", "orphan"), "q": ("q<r", 1, "r", "root"), "w3": ("w3<w4<w5", 2, "w5", "orphan"),
     }
+
+
+def test_what_a_task_finds_within_a_distance_is_bounded(spark, monkeypatch):
+    """All vectors are near enough: no pair of blocks gives more than a few million rows, and small blocks give all of them."""
+    from lodestone.operators import vectors
+
+    asked, pairs = [], vectors.block_pairs
+    monkeypatch.setattr(vectors, "block_pairs", lambda *a, **k: asked.append(k["query_block"] * k["corpus_block"]) or pairs(*a, **k))
+    e = spark.createDataFrame([(i, 0, [1.0, i / 100]) for i in range(40)], "vec_id long, label int, embedding array<float>")
+    small = vectors.within(e.filter("vec_id % 10 = 0"), e, 0.15, query_block=2, corpus_block=7)
+    found = vectors.within(e.filter("vec_id % 10 = 0"), e, 0.15)
+    want = sorted((q, v) for q in range(0, 40, 10) for v in range(40) if q != v)
+    assert sorted((r["q"], r["vec_id"]) for r in small.collect()) == sorted((r["q"], r["vec_id"]) for r in found.collect()) == want
+    assert max(asked) <= 1 << 21
