@@ -8,7 +8,9 @@ word its last one, two and three bytes, its bytes so far, and the language with
 training documents, those whose crc32(doc_id) mod 5 is not 1. One more input follows the text itself: what the
 node's bits were in it so far. Predictions are stretched, weighted by weights that the context's
 count gates, added and squashed. The weights are learned online by gradient descent on the coding cost over the training
-documents in every task, each bit's own occurrence left out of its counts, and averaged. A last adaptive map from the mixed
+documents in every task, each bit's own occurrence left out of its counts, and averaged; the words' inputs come as codes then. A
+spelled word costs what its bytes and language say, so distinct ones are counted, learned from (in the order of a hash, as often as
+they occur) and scored once, and joined with the documents that hold them. A last adaptive map from the mixed
 prediction and the depth in the tree to the frequency that was seen refines it. A text's score is the sum over its bits.
 
 The vocabulary are the words of LEAST training occurrences or more, with a higher bound where there are more than FREQUENT of
@@ -25,16 +27,17 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, documents, held_out_modulus, release, slim, stored
+from .common import arrow_rows, bounded, documents, held_out_modulus, release, slim, stored
 
 FREQUENT = 1 << 16
 LEAST = 2
@@ -46,25 +49,31 @@ NODE_BITS = 17
 WORD_BITS = (NODE_BITS, NODE_BITS + 3, 22, 22, 21)
 BYTE_BITS = (17, 18, 19, 19, 18)
 OFFSETS = np.cumsum([0, *(1 << b for b in WORD_BITS + BYTE_BITS)])
-SLOTS = int(OFFSETS[-1])
+SLOTS, WORD_SLOTS = int(OFFSETS[-1]), int(OFFSETS[len(WORD_BITS)])
 FOLLOWED = 1
 INPUTS = (len(WORD_BITS) + FOLLOWED, len(BYTE_BITS))
 GATES = 8
 #: Weights at first: of the node alone or the byte before, and of each other prediction.
 FIRST, WEIGHT = 1.0, 0.0
 RATE = 0.15
-STEP = 1 << 15  # bits between two changes of the weights
+STEPS = 1 << 15, 1 << 12  # bits between two changes of the weights; those of a distinct spelled word stand for several
 BLOCK = 1 << 16  # counts that travel together
 BULK = 1 << 16
+HELD = 1 << 14  # bytes of distinct words that are spelled at once
+MANY = 300_000  # words that a task counts before it passes them on
+GATHERED = 1 << 20  # words that a task reads before it counts the distinct ones among them
+LEVELS = 4  # of a tree, whose nodes lie side by side
 BASE = 0x9E3779B97F4A7C15
 
 WORDS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("c", T.LongType())])
 BYTES = T.StructType([T.StructField("counts", T.BinaryType())])
 TABLE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+COUNTED = T.StructType([*TABLE.fields, T.StructField("word", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType())])
 LEARNED = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("seen", T.BinaryType()), T.StructField("n", T.LongType())])
+SPELLED = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("c", T.LongType()), T.StructField("cost", T.DoubleType())])
 PARTS = T.StructType([
-    T.StructField("row", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n", T.LongType()),
-    T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
+    T.StructField("row", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+    T.StructField("n", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
 ])
 
 
@@ -78,26 +87,40 @@ class Code:
         while len(heap) > 1:
             x, y = heapq.heappop(heap), heapq.heappop(heap)
             heapq.heappush(heap, (x[0] + y[0], next(tie), None, x, y))
+        names, at, tops = {}, 0, [heap[0]]
+        while tops:  # LEVELS levels of nodes have numbers side by side, so that a path meets few cache lines of a table
+            level, block = [tops.pop()], []
+            for _ in range(LEVELS):
+                level = [x for x in level if x[2] is None]
+                block += level
+                level = [x for _, _, _, *both in level for x in both]
+            tops += [x for x in level if x[2] is None]
+            line = 1 << LEVELS
+            at += -at % line if at % line + len(block) > line else 0
+            names |= {x[1]: at + i for i, x in enumerate(block)}
+            at += len(block)
         paths: list[tuple] = [()] * len(counts)
-        todo, names = [(heap[0], ())], count()
+        todo = [(heap[0], ())]
         while todo:
-            (_, _, s, x, y), path = todo.pop()
+            (_, tie_, s, x, y), path = todo.pop()
             if s is not None:
                 paths[s] = path
             else:
-                n = next(names)
-                todo += [(x, (*path, (n, 0))), (y, (*path, (n, 1)))]
+                todo += [(x, (*path, (names[tie_], 0))), (y, (*path, (names[tie_], 1)))]
         self.size = np.array([len(p) for p in paths])
         self.first = np.cumsum(self.size) - self.size
-        self.node = np.array([n for p in paths for n, _ in p], np.uint32)
+        self.node = np.array([n for p in paths for n, _ in p], np.int32)
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+        depth = np.array([min(i, 7) for p in paths for i in range(len(p))], np.int32)
+        self.step = self.node << 4 | depth << 1 | self.bit
 
     def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For the bits of some symbols: the symbol's place, node, depth, bit."""
+        """For the bits of some symbols: how many each has, and their nodes, depths (to 7), bits."""
         n = self.size[symbols]
-        depth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(self.first[symbols], n) + depth
-        return np.repeat(np.arange(len(symbols)), n), self.node.take(at), depth, self.bit.take(at)
+        at = np.repeat(self.first[symbols] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        step = self.step.take(at)
+        return n, step >> 4, step >> 1 & 7, (step & 1).astype(np.uint8)
 
 
 class Model:
@@ -107,6 +130,7 @@ class Model:
         """words: (word, count, kind), the end, the empty word, among them; rest: training tokens that are none of them."""
         self.symbol = {w: i for i, (w, _, _) in enumerate(words)}
         self.end, self.escape = self.symbol[b""], len(words)
+        self.words_ = pa.array([w for w, _, _ in words], pa.binary())
         self.kind = np.array([k for _, _, k in words] + [KINDS - 1], np.int64)
         self.words, self.bytes = Code([c for _, c, _ in words] + [rest]), Code(letters.tolist())
 
@@ -120,84 +144,139 @@ def _powers(base: int, n: int) -> np.ndarray:
 POWERS = [_powers(b, 4 * BULK) for b in (BASE, pow(BASE, -1, 1 << 64))]
 
 
-def _slots(k: int, bits: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slots of hashed contexts (uint32) with their nodes in table k."""
-    x = (context + node * np.uint32(0x85EBCA6B)) * np.uint32(0x27D4EB2F)
+def _slots(k: int, bits: int, context: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots in table k of hashed contexts (uint32), each with n nodes."""
+    x = context * np.uint32(0x27D4EB2F)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x165667B1)
-    return (x >> np.uint32(32 - bits)).astype(np.int64) + int(OFFSETS[k])
+    out = np.repeat((x >> np.uint32(32 - bits)).astype(np.int32), n)
+    out ^= node
+    out += np.int32(OFFSETS[k])
+    return out
+
 
+def _so_far(keys: np.ndarray, bit: np.ndarray, codes: bool = False) -> np.ndarray:
+    """The inputs from how many bits of the same key were 0 and 1 before each bit."""
+    shift = len(keys).bit_length()
+    sorted_ = keys << shift | np.arange(len(keys))  # keys with their places: any sort is stable
+    sorted_.sort()
+    order = sorted_ & ((1 << shift) - 1)
+    sorted_ >>= shift
+    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[: len(keys)]
+    count = np.diff(np.append(begin, len(keys)))
+    now = bit.take(order)
+    ones = np.cumsum(now, dtype=np.int32) - now
+    ones -= np.repeat(ones.take(begin), count)
+    zeros = np.arange(len(keys), dtype=np.int32) - np.repeat(begin.astype(np.int32), count) - ones
+    found = _followed(zeros, ones, codes)
+    out = np.empty_like(found)
+    out[order] = found
+    return out
 
-def _so_far(keys: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many bits of the same key were 0 and 1 before each bit."""
-    size = len(keys)
-    sorted_ = np.sort(keys * size + np.arange(size))  # keys with their places: any sort is stable
-    order = sorted_ % max(1, size)
-    sorted_ //= max(1, size)
-    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[:size]
-    count = np.diff(np.append(begin, size))
-    ones = np.cumsum(bit.take(order), dtype=np.int64) - bit.take(order)
-    n = np.empty((2, size), np.int64)
-    n[1, order] = ones - np.repeat(ones.take(begin), count)
-    n[0, order] = np.arange(size) - np.repeat(begin, count)
-    n[0] -= n[1]
-    return n[0], n[1]
 
+def _window(kind: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The kind that most of the WINDOW words before each have, words of no kind aside; the least of several."""
+    sums = np.zeros(len(kind) + 1, np.uint64)  # a byte for each kind
+    np.cumsum(_ONE.take(kind), out=sums[1:])
+    at = np.arange(len(kind))
+    near = sums[:-1] - sums[at - np.minimum(place, WINDOW)]
+    best = np.zeros(len(kind), np.uint8)
+    for k in range(KINDS - 1):
+        n = (near >> np.uint64(8 * k)).astype(np.uint8)  # WINDOW and less
+        np.maximum(best, np.where(n > 0, n * np.uint8(KINDS) + np.uint8(KINDS - 1 - k), 0), out=best)
+    return np.where(best > 0, KINDS - 1 - best % KINDS, KINDS - 1).astype(np.int32)
 
-class Bits:
-    """The bits of pieces of texts, all at once, in two groups, words and spelled bytes: (slots of each context, bit, depth,
-    piece, counts of the text so far).
 
-    A piece is (lead, words): the lead is context and isn't coded."""
+_ONE = np.array([*(1 << 8 * k for k in range(KINDS - 1)), 0], np.uint64)
+
+
+class Read:
+    """The words of pieces of texts, all at once: each coded word's symbol, piece and the language of the words before it; and
+    the same of those that are spelled.
+
+    A piece begins with a lead, which is context and isn't coded. counts and leads: words of each piece and of its lead."""
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray, leads: np.ndarray, model: Model, words: Callable[[np.ndarray], pa.Array]) -> None:
+        self.all, self.end = symbols, model.end
+        piece = np.repeat(np.arange(len(counts)), counts)
+        self.place = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.coded = np.flatnonzero(self.place >= np.repeat(leads, counts))
+        kind = _window(model.kind[symbols], self.place)
+        self.symbol, self.piece, self.kind = symbols[self.coded], piece[self.coded], kind[self.coded]
+        rare = self.coded[self.symbol == model.escape]
+        self.rare, self.rare_kind, self.rare_piece = words(rare), kind[rare], piece[rare]
 
-    def __init__(self, pieces: list[tuple[list[bytes], list[bytes]]], model: Model, follow: bool = True) -> None:
-        counts = np.array([len(a) + len(b) for a, b in pieces])
+    @classmethod
+    def lists(cls, pieces: list[tuple[list[bytes], list[bytes]]], model: Model) -> Read:
+        """pieces: (lead, words)."""
         flat = [w for piece in pieces for some in piece for w in some]
         symbols = np.array(list(map(model.symbol.get, flat, repeat(model.escape))), np.int64)
-        opened = np.cumsum(counts) - counts
-        piece = np.repeat(np.arange(len(pieces)), counts)
-        place = np.arange(len(symbols)) - opened[piece]
-        coded = np.flatnonzero(place >= np.array([len(a) for a, _ in pieces])[piece])
-        before = np.full((2, len(symbols)), model.end)
+        return cls(symbols, np.array([len(a) + len(b) for a, b in pieces]), np.array([len(a) for a, _ in pieces]), model, lambda at: pa.array([flat[i] for i in at.tolist()], pa.binary()))
+
+    def contexts(self) -> list[list[np.ndarray]]:
+        """For each of the words' tables what stands for its context."""
+        before = []
         for k in (1, 2):
-            before[k - 1, k:] = np.where(place[k:] >= k, symbols[:-k], model.end)
-        sums = np.zeros((len(symbols) + 1, KINDS - 1), np.int32)
-        np.cumsum(model.kind[symbols][:, None] == np.arange(KINDS - 1), axis=0, out=sums[1:])
-        at = np.arange(len(symbols))
-        near = sums[at] - sums[np.maximum(at - WINDOW, opened[piece])]
-        kind = np.where(near.max(axis=1, initial=0) > 0, near.argmax(axis=1), KINDS - 1)
-        of, node, depth, bit = model.words.spell(symbols[coded])
-        word = coded[of]
-        one, two = before[0].astype(np.uint32), before[1].astype(np.uint32)
-        mix = np.uint32(0x9E3779B1)
-        contexts = (one + np.uint32(1)) * mix, ((one + np.uint32(7)) * mix ^ (two + np.uint32(3))) * np.uint32(0xC2B2AE35), (two + np.uint32(11)) * np.uint32(0xC2B2AE3D)
-        slots = [node.astype(np.int64), int(OFFSETS[1]) + (kind.take(word) << NODE_BITS) + node]
-        slots += [_slots(k, WORD_BITS[k], c.take(word), node) for k, c in enumerate(contexts, 2)]
-        own = piece[word]
-        seen = [_so_far((own << NODE_BITS) + node, bit)] if follow else []
-        rare = coded[symbols[coded] == model.escape]
-        self.groups = [(slots, bit, np.minimum(depth, 7), own, seen), self._spelled([flat[i] for i in rare.tolist()], model, rare, piece, kind)]
-
-    def _spelled(self, words: list[bytes], model: Model, rare: np.ndarray, piece: np.ndarray, kind: np.ndarray) -> tuple:
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        data = np.frombuffer(b"".join([x for w in words for x in (w, b" ")]), np.uint8)
-        start = np.repeat(np.cumsum(size) - size, size)
-        owner, at = np.repeat(rare, size), np.arange(len(data))
-        up, down = POWERS if len(data) <= 4 * BULK else [_powers(b, len(data)) for b in (BASE, pow(BASE, -1, 1 << 64))]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=sums[1:])
-        prefix = (sums[:-1] - sums[start]) * down[start]
-        h, contexts = np.zeros(len(data), np.uint32), []
-        for k in (1, 2, 3):
-            back = np.where(at - k >= start, data[np.maximum(at - k, 0)] if len(data) else data, 0).astype(np.uint32)
-            h = (h ^ (back + np.uint32(k << 10))) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            contexts.append(h)
-        contexts.append(((prefix ^ (prefix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
-        contexts.append((contexts[0] + kind[owner].astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA77))
-        of, node, depth, bit = model.bytes.spell(data.astype(np.int64))
-        slots = [_slots(len(WORD_BITS) + k, BYTE_BITS[k], c.take(of), node) for k, c in enumerate(contexts)]
-        return slots, bit, np.minimum(depth, 7), piece[owner[of]], []
+            x = np.full(len(self.all), self.end)
+            x[k:] = np.where(self.place[k:] >= k, self.all[:-k], self.end)
+            before.append(x[self.coded])
+        one, two = before
+        return [[], [self.kind], [one], [one, two], [two]]
+
+
+def _table(k: int, context: list[np.ndarray], n: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots in the words' table k of the symbols or kinds that are its context, each with n nodes."""
+    mix = np.uint32(0x9E3779B1)
+    if k == 0:
+        return node
+    if k == 1:
+        return np.repeat((context[0].astype(np.int32) << NODE_BITS) + np.int32(OFFSETS[1]), n) + node
+    x = [c.astype(np.uint32) for c in context]
+    if k == 3:
+        h = ((x[0] + np.uint32(7)) * mix ^ (x[1] + np.uint32(3))) * np.uint32(0xC2B2AE35)
+    else:
+        h = (x[0] + np.uint32(1)) * mix if k == 2 else (x[0] + np.uint32(11)) * np.uint32(0xC2B2AE3D)
+    return _slots(k, WORD_BITS[k], h, n, node)
+
+
+class Bits:
+    """The bits of pieces of texts in two groups, words and spelled bytes: (slots of each context, bit, depth, piece, inputs
+    from the text so far). Without spell there is the first group alone; codes: as codes, not as inputs."""
+
+    def __init__(self, pieces: Read | list[tuple[list[bytes], list[bytes]]], model: Model, follow: bool = True, spell: bool = True, codes: bool = False) -> None:
+        read = pieces if isinstance(pieces, Read) else Read.lists(pieces, model)
+        n, node, depth, bit = model.words.spell(read.symbol)
+        slots = [_table(k, c, n, node) for k, c in enumerate(read.contexts())]
+        own = np.repeat(read.piece, n)
+        seen = [_so_far(own << NODE_BITS | node, bit, codes)] if follow else []
+        self.groups = [(slots, bit, depth, own, seen)]
+        if spell:
+            slots, bit, depth, word = spelled(read.rare.to_pylist(), read.rare_kind, model)
+            self.groups.append((slots, bit, depth, read.rare_piece[word], []))
+
+
+def spelled(words: list[bytes], kind: np.ndarray, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The bits of words and the blanks after them: slots of each context, bit, depth, the word's place. A word's bits depend on
+    its bytes and its kind alone."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    data = np.frombuffer(b"".join([x for w in words for x in (w, b" ")]), np.uint8)
+    start = np.repeat(np.cumsum(size) - size, size)
+    owner, at = np.repeat(np.arange(len(words)), size), np.arange(len(data))
+    up, down = POWERS if len(data) <= 4 * BULK else [_powers(b, len(data)) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    prefix = (sums[:-1] - sums[start]) * down[start]
+    h, contexts = np.zeros(len(data), np.uint32), []
+    for k in (1, 2, 3):
+        back = np.where(at - k >= start, data[np.maximum(at - k, 0)] if len(data) else data, 0).astype(np.uint32)
+        h = (h ^ (back + np.uint32(k << 10))) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        contexts.append(h)
+    contexts.append(((prefix ^ (prefix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+    contexts.append((contexts[0] + kind[owner].astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA77))
+    n, node, depth, bit = model.bytes.spell(data.astype(np.int64))
+    slots = [_slots(len(WORD_BITS) + k, BYTE_BITS[k], c, n, node) for k, c in enumerate(contexts)]
+    return slots, bit, depth, np.repeat(owner, n)
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -213,8 +292,7 @@ def _bulks(texts: Iterator[list[bytes]]) -> Iterator[tuple[list[int], list[tuple
         if n <= BULK:
             cuts = [0, len(words)]
         else:
-            block = np.cumsum([len(w) + 1 for w in words]) // BULK
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(words)]
+            cuts = _cuts(np.cumsum([len(w) + 1 for w in words]))
         for a, b in zip(cuts, cuts[1:]):
             mine = n if len(cuts) == 2 else sum(map(len, words[a:b])) + b - a
             if held and size + mine > BULK:
@@ -227,6 +305,50 @@ def _bulks(texts: Iterator[list[bytes]]) -> Iterator[tuple[list[int], list[tuple
         yield places, held
 
 
+def _cuts(ends: np.ndarray) -> list[int]:
+    """Where a text is cut into pieces, between its words with these ends in bytes, the blanks after them included."""
+    return [0, *(np.flatnonzero(np.diff(ends // BULK)) + 1).tolist(), len(ends)]
+
+
+def _reads(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, Read]]:
+    """_bulks of a batch's texts with their words read; the words never become Python objects."""
+    n = len(column)
+    found = pc.ascii_split_whitespace(pc.ascii_lower(column.view(pa.string())))
+    words, text = found.flatten().view(pa.binary()), np.repeat(np.arange(n), pc.list_value_length(found).to_numpy())
+    size = pc.binary_length(words).to_numpy()
+    if not (some := size > 0).all():  # blanks at a text's ends leave empty strings
+        words, text, size = words.filter(pa.array(some)), text[some], size[some]
+    count = np.bincount(text, minlength=n)
+    last = np.cumsum(count + 1) - 1
+    inner = np.ones(len(size) + n, bool)
+    inner[last] = False
+    symbols, told = np.full(len(inner), model.end, np.int64), np.ones(len(inner), np.int64)
+    symbols[inner] = pc.index_in(words, value_set=model.words_).fill_null(model.escape).to_numpy()
+    told[inner] += size
+    where, ends = np.cumsum(inner) - 1, np.cumsum(told)
+    begin, sizes = (last - count).tolist(), np.diff(ends[last], prepend=0).tolist()
+
+    def read(held: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, Read]:
+        places, leads, a, b = np.array(held, np.int64).T
+        at = np.arange(a[0], b[-1]) if not leads.any() else np.concatenate([np.arange(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        return places, Read(symbols[at], b - a, leads, model, lambda i: words.take(pa.array(where[at[i]])))
+
+    held, total = [], 0
+    for i, (first, end, mine) in enumerate(zip(begin, last.tolist(), sizes, strict=True)):
+        before = int(ends[first - 1]) if first else 0
+        cuts = [0, end + 1 - first] if mine <= BULK else _cuts(ends[first : end + 1] - before)
+        for x, y in zip(cuts, cuts[1:]):
+            bytes_ = mine if len(cuts) == 2 else int(ends[first + y - 1] - (ends[first + x - 1] if first + x else 0))
+            if held and total + bytes_ > BULK:
+                yield read(held)
+                held, total = [], 0
+            lead = min(x, WINDOW)
+            held.append((i, lead, first + x - lead, first + y))
+            total += bytes_
+    if held:
+        yield read(held)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, kind, count in training documents of that kind) of many documents at a time, kind -1 for other documents'
     words, with count 0; the end is the empty word."""
@@ -266,20 +388,97 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=4 * BLOCK, codec="zstd", asbytes=True), "<i4")
 
 
+def _blocks(table: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+    """A task's table in blocks, the first of which has a number of its own."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    for block in range(len(table) // BLOCK):
+        x = np.minimum(table[block * BLOCK : (block + 1) * BLOCK], 1 << 30)
+        if x.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first + block], pa.int32()), pa.array([_pack(x)])], TABLE.names)
+
+
+def _count_distinct(table: np.ndarray, gathered: list[tuple[np.ndarray, list[list[np.ndarray]]]], model: Model) -> None:
+    """Adds the bits of (symbols, contexts) to the words' table: each word in each of its contexts once, as often as it occurs."""
+    if not gathered:
+        return
+    symbols, base = np.concatenate([x for x, _ in gathered]), len(model.kind)
+    for k in range(len(WORD_BITS)):
+        keys = np.zeros(len(symbols), np.int64)
+        for j in range(len(gathered[0][1][k])):
+            keys = keys * base + np.concatenate([c[k][j] for _, c in gathered])
+        keys, times = np.unique(keys * base + symbols, return_counts=True)
+        keys, symbol = np.divmod(keys, base)
+        for i in range(0, len(keys), BULK):
+            some = slice(i, i + BULK)
+            n, node, _, bit = model.words.spell(symbol[some])
+            context = [*np.divmod(keys[some], base)] if k == 3 else [keys[some]]
+            np.add.at(table, (2 * _table(k, context, n, node) + bit).astype(np.int64), np.repeat(times[some].astype(np.int32), n))
+    gathered.clear()
+
+
 def _count_bits(model: object):
+    """Of (text, whether it is one to train on): the words' table in blocks, and (word, kind, count in training documents) of
+    spelled words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        table, m = np.zeros(2 * WORD_SLOTS, np.int32), model.value
+        gathered: list[tuple[np.ndarray, list[list[np.ndarray]]]] = []
+        held: tuple[Counter, Counter] = Counter(), Counter()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for train, counts in enumerate(held):
+                keys = list(counts)
+                n = [*counts.values()] if train else [0] * len(keys)
+                for i in range(0, len(keys), 50_000):
+                    some = keys[i : i + 50_000]
+                    given = [pa.array([w[:-1] for w in some], pa.binary()), pa.array([w[-1] for w in some], pa.int32()), pa.array(n[i : i + 50_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int32())] * 2, pa.nulls(len(some), pa.binary()), *given], COUNTED.names)
+                counts.clear()
+
+        for batch in batches:
+            for wanted in (False, True):
+                for texts in bounded(batch.filter(pc.equal(batch.column(1), wanted)), 0, 1000):
+                    for _, read in _reads(texts.column(0), m):
+                        if wanted:
+                            gathered.append((read.symbol, read.contexts()))
+                            if sum(len(x) for x, _ in gathered) > GATHERED:
+                                _count_distinct(table, gathered, m)
+                        held[wanted].update([w + _KIND[k] for w, k in zip(read.rare.to_pylist(), read.rare_kind.tolist(), strict=True)])
+            if sum(map(len, held)) > MANY:
+                yield from rows()
+        yield from rows()
+        _count_distinct(table, gathered, m)
+        for b in _blocks(table, 0):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], COUNTED.names)
+
+    return run
 
-        part = TaskContext.get().partitionId()
-        table, one = np.zeros(-(-2 * SLOTS // BLOCK) * BLOCK, np.int32), np.int32(1)
-        for _, pieces in _bulks(_words(t) for batch in batches for t in batch.column(0).to_pylist()):
-            for slots, bit, *_ in Bits(pieces, model.value, follow=False).groups:
-                for s in slots:
-                    np.add.at(table, 2 * s + bit, one)
-        for block in range(len(table) // BLOCK):
-            x = table[block * BLOCK : (block + 1) * BLOCK]
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([_pack(x)])], TABLE.names)
+
+_KIND = [bytes([k]) for k in range(KINDS)]
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, kinds, counts with that kind, counts) about HELD bytes at a time, of rows (word, c, n0, n1, ...), where a word
+    that never has a kind has a null."""
+    for batch in batches:
+        for b in bounded(batch, 0, 4096, HELD):
+            words = b.column(0).to_pylist()
+            n = np.column_stack([b.column(2 + k).fill_null(-1).to_numpy(zero_copy_only=False) for k in range(KINDS)])
+            row, kind = np.nonzero(n >= 0)
+            yield [words[i] for i in row.tolist()], kind, n[row, kind], b.column(1).to_numpy(zero_copy_only=False)[row]
+
+
+def _count_spelled(model: object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(-(-2 * (SLOTS - WORD_SLOTS) // BLOCK) * BLOCK, np.int64)
+        for words, kind, n, _ in _distinct(batches):
+            slots, bit, _, word = spelled(words, kind, model.value)
+            times = n[word]
+            for s in slots:
+                np.add.at(table, (2 * (s - WORD_SLOTS) + bit).astype(np.int64), times)
+        yield from _blocks(table, 2 * WORD_SLOTS // BLOCK)
 
     return run
 
@@ -311,11 +510,29 @@ def _input(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 _SMALL = _input(*np.divmod(np.arange(1 << 12), 64))
 
 
-def _followed(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+def _code(x: np.ndarray) -> np.ndarray:
+    """Inputs as codes: the gate and one of CODES steps of the prediction, which are finer near zero."""
+    level = np.rint(x / (np.abs(x) + 4) * (CODES // 2 - 1)).astype(np.int32) + CODES // 2
+    return (level * GATES + (x.view(np.int32) & (GATES - 1))).astype(np.uint16)
+
+
+CODES = 512
+_LEVEL = (np.arange(CODES) - CODES // 2).clip(1 - CODES // 2, CODES // 2 - 1) / (CODES // 2 - 1)
+#: The prediction that a code stands for; nothing is as far out as the ends.
+_CODED = np.repeat(4 * _LEVEL / (1 - np.abs(_LEVEL).clip(0, 0.99)), GATES)
+_SMALL_CODES = _code(_SMALL)
+
+
+def _followed(zero: np.ndarray, one: np.ndarray, codes: bool = False) -> np.ndarray:
     """Inputs of what a text showed so far."""
-    x = _SMALL.take(np.minimum(zero, 63) * 64 + np.minimum(one, 63))
-    if len(big := np.flatnonzero((zero | one) > 63)):
-        x[big] = _input(zero[big], one[big])
+    high = np.maximum(zero, one)
+    small = (_SMALL_CODES if codes else _SMALL)
+    if high.max(initial=0) < 64:
+        return small.take((zero << 6) + one)
+    x = small.take((np.minimum(zero, 63) << 6) + np.minimum(one, 63))
+    big = np.flatnonzero(high > 63)
+    far = _input(zero[big], one[big])
+    x[big] = _code(far) if codes else far
     return x
 
 
@@ -339,117 +556,197 @@ def _start() -> list[np.ndarray]:
     return [np.vstack([np.full((1, GATES), FIRST), np.full((n - 1, GATES), WEIGHT)]) for n in INPUTS]
 
 
-def learn_step(w: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+def learn_step(w: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
     """Mixes one stretch of bits and moves the weights w (inputs x gates) along the coding cost's gradient, each by its own
-    curvature. Returns the mixed predictions, stretched."""
-    gates = [x.view(np.int32) & (GATES - 1) for x in inputs]
+    curvature; a bit may count several times. Returns the mixed predictions, stretched."""
+    gates = [(x.view(np.int32) & (GATES - 1)).astype(np.intp) for x in inputs]
     z, now = np.zeros(len(bit), np.float32), w.astype(np.float32)
     for k, (g, x) in enumerate(zip(gates, inputs, strict=True)):
         z += now[k].take(g) * x
     p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
     error, bend = bit - p, p * (1 - p)
+    if times is not None:
+        error, bend = error * times, bend * times
     for k, (g, x) in enumerate(zip(gates, inputs, strict=True)):
-        w[k] += RATE * np.bincount(g, weights=error * x, minlength=GATES) / (np.bincount(g, weights=bend * x * x, minlength=GATES) + 20)
+        slope = error * x
+        x = x * x
+        x *= bend
+        w[k] += RATE * np.bincount(g, weights=slope, minlength=GATES) / (np.bincount(g, weights=x, minlength=GATES) + 20)
     np.maximum(w, 0, out=w)  # what was left out of a count must not count against it
     return z
 
 
-def _learn(model: object, counts: object):
+def code_step(w: np.ndarray, codes: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """learn_step for inputs as codes: sums by code instead of sums by gate of products."""
+    z, own = np.zeros(len(bit), np.float32), _CODED.reshape(CODES, GATES)
+    codes = [c.astype(np.intp) for c in codes]
+    for now, c in zip(w, codes, strict=True):
+        z += (own * now).astype(np.float32).ravel().take(c)
+    p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+    error, bend = (bit - p).astype(np.float64), (p * (1 - p)).astype(np.float64)
+    for now, c in zip(w, codes, strict=True):
+        slope, curve = (np.bincount(c, weights=x, minlength=CODES * GATES).reshape(CODES, GATES) for x in (error, bend))
+        now += RATE * (slope * own).sum(axis=0) / ((curve * own * own).sum(axis=0) + 20)
+    np.maximum(w, 0, out=w)
+    return z
+
+
+def _learn(group: int, counts: object, bits: object):
+    """Weights and the map of a group; bits gives a task's (slots, bit, depth, inputs from the text so far, times or None, how many
+    bits of the same texts are in the other group). A task's weights count by all its bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs = counts.value
-        w, seen, n = _start(), np.zeros((2, 2, 512)), 0
-        for _, pieces in _bulks(_words(t) for batch in batches for t in batch.column(0).to_pylist()):
-            for group, (slots, bit, depth, _, follow) in enumerate(Bits(pieces, model.value).groups):
-                own = [_followed(*f) for f in follow]
-                for i in range(0, len(bit), STEP):
-                    some = slice(i, i + STEP)
-                    z = learn_step(w[group], [*[inputs.take(2 * s[some] + bit[some]) for s in slots], *[x[some] for x in own]], bit[some])
-                    m = _map(z, depth[some])
-                    seen[group] += [np.bincount(m, minlength=512), np.bincount(m, weights=bit[some], minlength=512)]
-                n += len(bit)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(w).tobytes()]), pa.array([seen.tobytes()]), pa.array([n], pa.int64())], LEARNED.names)
+        w, seen, n = _start()[group], np.zeros((2, 512)), 0
+        for slots, bit, depth, own, times, more in bits(batches):
+            for i in range(0, len(bit), STEPS[group]):
+                some = slice(i, i + STEPS[group])
+                often = None if times is None else times[some]
+                seen_ = [*[inputs.take(2 * s[some] + bit[some]) for s in slots], *[x[some] for x in own]]
+                z = code_step(w, seen_, bit[some]) if group == 0 else learn_step(w, seen_, bit[some], often)
+                m = _map(z, depth[some])
+                seen += [np.bincount(m, weights=often, minlength=512), np.bincount(m, weights=bit[some] if often is None else bit[some] * often, minlength=512)]
+            n += more + (len(bit) if times is None else int(times.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([seen.tobytes()]), pa.array([n], pa.int64())], LEARNED.names)
+
+    return run
+
+
+def _word_bits(model: object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, read in (r for whole in batches for batch in bounded(whole, 0, 1000) for r in _reads(batch.column(0), model.value)):
+            slots, bit, depth, _, own = Bits(read, model.value, spell=False, codes=True).groups[0]
+            letters = np.frombuffer(b" ".join([*read.rare.to_pylist(), b""]), np.uint8)
+            yield slots, bit, depth, own, None, int(model.value.bytes.size[letters].sum())
+
+    return run
+
+
+def _spelled_bits(model: object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for words, kind, n, _ in _distinct(batches):
+            some = np.flatnonzero(n)
+            slots, bit, depth, word = spelled([words[i] for i in some.tolist()], kind[some], model.value)
+            yield [s - WORD_SLOTS for s in slots], bit, depth, [], n[some][word], 0
 
     return run
 
 
+def _logs(slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray, own: list[np.ndarray], weighted: np.ndarray, w: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """The natural log-probability of each bit."""
+    z = weighted.take(slots[0])
+    for s in slots[1:]:
+        z += weighted.take(s)
+    for k, x in enumerate(own, len(slots)):
+        z += w[k].astype(np.float32).take(x.view(np.int32) & (GATES - 1)) * x
+    # the adaptive map, read between its two nearest entries, and the mix itself have half each
+    u = z * np.float32(3)
+    u += np.float32(31.5)
+    np.clip(u, 0, np.float32(62.99), out=u)
+    i = u.astype(np.int32)
+    u -= i
+    i += depth << 6
+    low = refined.take(i)
+    q = refined[1:].take(i)
+    q -= low
+    q *= u
+    q += low
+    np.clip(z, -12, 12, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    np.reciprocal(z, out=z)
+    q += z
+    q *= np.float32(0.5)
+    q -= np.float32(1) - bit  # bit 0: of 1 - q
+    np.abs(q, out=q)
+    return np.log(q, out=q)
+
+
 def _costs(texts: list[list[bytes]], model: Model, weighted: np.ndarray, w: list[np.ndarray], refined: np.ndarray) -> np.ndarray:
     """The natural log-probability of each text."""
     out = np.zeros(len(texts))
     for places, pieces in _bulks(iter(texts)):
-        for group, (slots, bit, depth, piece, follow) in enumerate(Bits(pieces, model).groups):
-            z = np.zeros(len(bit), np.float32)
-            for s in slots:
-                z += weighted.take(s)
-            for k, f in enumerate(follow, len(slots)):
-                x = _followed(*f)
-                z += w[group][k].astype(np.float32).take(x.view(np.int32) & (GATES - 1)) * x
-            # the adaptive map, read between its two nearest entries, and the mix itself have half each
-            u = np.clip(z * np.float32(3) + np.float32(31.5), 0, np.float32(62.99))
-            i = u.astype(np.int64)
-            u -= i.astype(np.float32)
-            i += depth * 64
-            q = refined[group].take(i) * (1 - u) + refined[group].take(i + 1) * u
-            p = np.float32(0.5) * (q + 1 / (1 + np.exp(-np.clip(z, -12, 12))))
-            out += np.bincount(np.array(places).take(piece), weights=np.log(np.where(bit == 1, p, 1 - p)), minlength=len(texts))
+        for group, (slots, bit, depth, piece, own) in enumerate(Bits(pieces, model).groups):
+            out += np.bincount(np.array(places).take(piece), weights=_logs(slots, bit, depth, own, weighted, w[group], refined[group]), minlength=len(texts))
     return out
 
 
-def fit(model: Model, texts: DataFrame) -> tuple[object, object]:
-    """Broadcast model and tables (weighted predictions by slot, weights, adaptive maps). texts: one column, binary."""
+def _spelled_costs(model: object, tables: object):
+    """(word, kind, count, log10 of the spelling's probability) of distinct words and kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighted, w, refined = tables.value
+        for words, kind, _, c in _distinct(batches):
+            slots, bit, depth, word = spelled(words, kind, model.value)
+            cost = np.bincount(word, weights=_logs([s - WORD_SLOTS for s in slots], bit, depth, [], weighted, w, refined), minlength=len(words)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kind, pa.int32()), pa.array(c, pa.int64()), pa.array(cost)], SPELLED.names)
+
+    return run
+
+
+def fit(shared: object, counted: DataFrame, rare: DataFrame, texts: DataFrame) -> tuple[object, object]:
+    """Broadcast tables (weighted predictions by slot, weights, adaptive map) of words and of spelled bytes. shared: the model;
+    counted: COUNTED; rare: (word, c, n0, n1, ...); texts: one column, binary."""
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    texts = texts.coalesce(max(1, spark.sparkContext.defaultParallelism))  # a task's table is large however little it reads
-    sums = texts.mapInArrow(_count_bits(shared), TABLE)
-    if spark.sparkContext.defaultParallelism > 64:  # many tables are added in two steps
+    tasks = max(1, spark.sparkContext.defaultParallelism)  # a task's table is large however little it reads
+    texts, rare = texts.coalesce(tasks), rare.filter("c > 0").coalesce(tasks)
+    sums = counted.filter("block IS NOT NULL").select(*TABLE.names).unionByName(rare.mapInArrow(_count_spelled(shared), TABLE))
+    if tasks > 64:  # many tables are added in two steps
         sums = sums.groupBy(F.pmod("part", F.lit(64)).alias("p"), "block").applyInArrow(_add, TABLE)
     sums = sums.groupBy("block").applyInArrow(_add, TABLE)
     table = np.zeros(-(-2 * SLOTS // BLOCK) * BLOCK, np.int32)
     with arrow_rows(spark):
         for r in sums.toLocalIterator():  # a fixed number of blocks
             table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = _unpack(r["counts"])
-        left = spark.sparkContext.broadcast(_left_out(table))
-        learned = texts.mapInArrow(_learn(shared, left), LEARNED).filter("n > 0").collect()  # one small row a task
-    left.unpersist()
-    seen, n, w = np.zeros((2, 2, 512)), sum(r["n"] for r in learned), np.concatenate(_start())
-    if learned:
-        w = sum(np.frombuffer(r["w"]).reshape(w.shape) * r["n"] for r in learned) / n
-        seen = sum(np.frombuffer(r["seen"]).reshape(seen.shape) for r in learned)
-    weighted = np.empty(SLOTS, np.float32)
-    rows = [*range(len(WORD_BITS)), *range(INPUTS[0], sum(INPUTS))]
-    for k, row in enumerate(rows):
-        for i in range(int(OFFSETS[k]), int(OFFSETS[k + 1]), BLOCK):
-            some = slice(i, min(i + BLOCK, int(OFFSETS[k + 1])))
-            zero, one = (table[2 * some.start + b : 2 * some.stop : 2].astype(np.float64) for b in (0, 1))
-            weighted[some] = w[row][_gate(zero + one)] * _stretch(zero, one)
-    middle = np.tile(1 / (1 + np.exp(-(np.arange(64) - 31.5) / 3)), 8)
-    refined = ((seen[:, 1] + 20 * middle) / (seen[:, 0] + 20)).astype(np.float32)
-    return shared, spark.sparkContext.broadcast((weighted, [w[: INPUTS[0]], w[INPUTS[0] :]], refined))
+    inputs, ends, found = _left_out(table), (0, WORD_SLOTS, SLOTS), []
+    for group, (rows, bits) in enumerate(((texts, _word_bits(shared)), (rare, _spelled_bits(shared)))):
+        a, b = ends[group : group + 2]
+        mine = inputs[2 * a : 2 * b]
+        left = spark.sparkContext.broadcast(mine if group else np.concatenate([_code(mine[i : i + BLOCK]) for i in range(0, len(mine), BLOCK)]))
+        with arrow_rows(spark):
+            learned = rows.mapInArrow(_learn(group, left, bits), LEARNED).filter("n > 0").collect()  # one small row a task
+        left.destroy()
+        seen, n, w = np.zeros((2, 512)), sum(r["n"] for r in learned), _start()[group]
+        if learned:
+            w = sum(np.frombuffer(r["w"]).reshape(w.shape) * r["n"] for r in learned) / n
+            seen = sum(np.frombuffer(r["seen"]).reshape(seen.shape) for r in learned)
+        weighted = np.empty(b - a, np.float32)
+        first = (0, len(WORD_BITS))[group]
+        for k, bits_ in enumerate((WORD_BITS, BYTE_BITS)[group]):
+            start = int(OFFSETS[first + k])
+            for i in range(start, start + (1 << bits_), BLOCK):
+                zero, one = (table[2 * i + x : 2 * min(i + BLOCK, start + (1 << bits_)) : 2].astype(np.float64) for x in (0, 1))
+                weighted[i - a : i - a + len(zero)] = w[k][_gate(zero + one)] * _stretch(zero, one)
+        middle = np.tile(1 / (1 + np.exp(-(np.arange(64) - 31.5) / 3)), 8)
+        found.append(spark.sparkContext.broadcast((weighted, w, ((seen[1] + 20 * middle) / (seen[0] + 20)).astype(np.float32))))
+    return tuple(found)
 
 
 def _documents(model: object, tables: object, bases: object):
-    """Per document a row with its score and the sums over the vocabulary's words, and one for each other word."""
+    """Per document a row with the sums over the vocabulary's words and the escapes' cost, and one for each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, symbol, base = TaskContext.get().partitionId() << 33, model.value.symbol, bases.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            split = list(map(_words, texts))
-            costs = (_costs(split, model.value, *tables.value) / np.log(10)).tolist()
-            rows, words, ids, size, n, hits, told, score = [], [], [], [], [], [], [], []
-            for doc_id, text, mine, cost in zip(batch.column(0).to_pylist(), texts, split, costs, strict=True):
-                place = np.fromiter((symbol.get(w, -1) for w in mine), np.int64, len(mine))
-                rest = [mine[i] for i in np.flatnonzero(place < 0).tolist()]
-                old = base[place[place >= 0]]
-                words += [*rest, b"\n%d" % row]  # no word; a key of its own keeps these rows spread
-                rows += [row] * (len(rest) + 1)
-                ids += [doc_id] * (len(rest) + 1)
-                for out, x, y in ((size, 0, len(text)), (n, 1, len(old)), (hits, 0, int((old[:, 0] > 0).sum())), (told, 0.0, float(old[:, 1].sum())), (score, 0.0, cost)):
-                    out += [x] * len(rest) + [y]
-                row += 1
-            longs, doubles = [pa.array(v, pa.int64()) for v in (size, n, hits)], [pa.array(v, pa.float64()) for v in (told, score)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(ids, pa.int64()), *longs, *doubles], PARTS.names)
+        row, m, base, (weighted, w, refined) = TaskContext.get().partitionId() << 33, model.value, bases.value, tables.value
+        for whole in batches:
+            for batch in bounded(whole, 1, 1000):
+                size, sums = batch.num_rows, np.zeros((4, batch.num_rows))
+                for of, read in _reads(batch.column(1), m):
+                    slots, bit, depth, piece, own = Bits(read, m, spell=False).groups[0]
+                    in_ = read.symbol != m.escape
+                    place, old = of[read.piece[in_]], base[read.symbol[in_]]
+                    sums += [
+                        np.bincount(place, minlength=size), np.bincount(place, weights=old[:, 0] > 0, minlength=size), np.bincount(place, weights=old[:, 1], minlength=size),
+                        np.bincount(of[piece], weights=_logs(slots, bit, depth, own, weighted, w, refined), minlength=size),
+                    ]
+                    if n := len(read.rare):
+                        given = pa.array(row + of[read.rare_piece]), read.rare, pa.array(read.rare_kind)
+                        yield pa.RecordBatch.from_arrays([*given, *[pa.nulls(n, pa.int64())] * 4, *[pa.nulls(n, pa.float64())] * 2], PARTS.names)
+                longs, doubles = [pa.array(x.astype(np.int64)) for x in (pc.binary_length(batch.column(1)).to_numpy(), *sums[:2])], [pa.array(sums[2]), pa.array(sums[3] / np.log(10))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + size)), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int32()), batch.column(0), *longs, *doubles], PARTS.names)
+                row += size
 
     return run
 
@@ -495,12 +792,18 @@ def scores(docs: DataFrame) -> DataFrame:
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens, distinct = sums["n"], sums["v"]
     known = vocabulary(words, kinds)
-    rare = words.filter("c > 0").join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w, *_ in known], "word binary")), "word", "left_anti")
-    spelled = np.zeros(256, np.int64)
-    for r in rare.select("word", "c").mapInArrow(_count_bytes, BYTES).collect():
-        spelled += np.frombuffer(r["counts"], np.int64)
-    model = Model(known, tokens - sum(c for _, c, _ in known), spelled)
-    shared, tables = fit(model, d.filter(held_out_modulus() != 1).select("text"))
+    unknown = words.filter("c > 0").join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w, *_ in known], "word binary")), "word", "left_anti")
+    letters = np.zeros(256, np.int64)
+    for r in unknown.select("word", "c").mapInArrow(_count_bytes, BYTES).collect():
+        letters += np.frombuffer(r["counts"], np.int64)
+    train = held_out_modulus() != 1
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    shared = spark.sparkContext.broadcast(Model(known, tokens - sum(c for _, c, _ in known), letters))
+    counted = stored(d.select("text", train.alias("train")).coalesce(tasks).mapInArrow(_count_bits(shared), COUNTED), "counted")
+    release(spark)
+    each = [F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(f"n{k}") for k in range(KINDS)]
+    rare = stored(counted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"), *each).sortWithinPartitions(F.xxhash64(F.lit(1), "word"), "word"), "spelled")
+    whole, parts_of = fit(shared, counted, rare, d.filter(train).select("text"))
     release(spark)
 
     def base(c: object) -> object:
@@ -508,13 +811,14 @@ def scores(docs: DataFrame) -> DataFrame:
 
     counts = np.array([c for _, c, _ in known], np.float64)
     bases = spark.sparkContext.broadcast(np.column_stack([counts, np.log10(base(counts))]))
-    with arrow_rows(spark):
-        parts = stored(d.select("doc_id", "text").mapInArrow(_documents(shared, tables, bases), PARTS), "parts")
+    parts = stored(d.select("doc_id", "text").mapInArrow(_documents(shared, whole, bases), PARTS), "parts")
     release(spark)
-    told = parts.join(words.select("word", "c"), "word", "left")
-    mark = F.startswith("word", F.lit(b"\n"))
-    told = told.select("row", "doc_id", "n_bytes", "n", "score", F.when(mark, F.col("known")).otherwise((F.col("c") > 0).cast("long")).alias("known"), F.when(mark, F.col("base")).otherwise(F.log10(base(F.col("c")))).alias("base"))
-    out = told.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n", "known", "base", "score")])
+    costs = rare.mapInArrow(_spelled_costs(shared, parts_of), SPELLED)
+    told = parts.filter("word IS NOT NULL").select("row", "word", "kind").join(costs, ["word", "kind"])
+    nothing, c = F.lit(0).cast("long"), F.col("c")
+    told = told.select("row", F.lit(None).cast("long").alias("doc_id"), nothing.alias("n_bytes"), F.lit(1).cast("long").alias("n"), (c > 0).cast("long").alias("known"), F.log10(base(c)).alias("base"), F.col("cost").alias("score"))
+    every = told.unionByName(parts.filter("word IS NULL").drop("word", "kind"))
+    out = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n", "known", "base", "score")])
     return out.select("doc_id", (held_out_modulus() == 1).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 

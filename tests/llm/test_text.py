@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,52 @@ def test_pieces_of_a_long_text(monkeypatch):
             assert np.array_equal(np.concatenate([p[g][0][k] for p in pieces]), s)
 
 
+def test_texts_are_read_alike_as_lists_and_in_arrow():
+    """Symbols, contexts, languages and spelled words of texts, a cut one too, don't depend on the way they are read."""
+    words = prose(3, 400).lower().encode().split()
+    model = lm_score.Model([(w, 5, i % 3) for i, w in enumerate(dict.fromkeys([*words[::3], b""]))], 9, np.ones(256, np.int64))
+    texts = [b" ".join(words), b"", b" \t\n", b"  A\x0bTable\xc3\x89 a ", b"table zz " * 20_000, b"x"]
+
+    def told(places, r):
+        return [list(places), *[x.tolist() for x in (r.symbol, r.piece, r.kind, r.rare_kind, r.rare_piece)], r.rare.to_pylist(), [[c.tolist() for c in k] for k in r.contexts()]]
+
+    plain = [told(p, lm_score.Read.lists(x, model)) for p, x in lm_score._bulks(map(lm_score._words, texts))]
+    assert len(plain) > 3 and [told(p, r) for p, r in lm_score._reads(pa.array(texts, pa.binary()), model)] == plain
+
+
+def test_distinct_words_count_and_cost_what_each_occurrence_does():
+    """Counted once with how often they occur, words give the same tables as bit by bit; a repeated word is spelled once."""
+    model = small_model()
+    pieces = [([], lm_score._words(t)) for t in [b"ab c ab zz b zz ab", b"ba ba c c zz q ab b", b"b " * 20]]
+    groups, read = lm_score.Bits(pieces, model, follow=False).groups, lm_score.Read.lists(pieces, model)
+    want, got = np.zeros(2 * lm_score.SLOTS, np.int32), np.zeros(2 * lm_score.WORD_SLOTS, np.int32)
+    for slots, bit, *_ in groups:
+        for s in slots:
+            np.add.at(want, 2 * s + bit, 1)
+    lm_score._count_distinct(got, [(read.symbol, read.contexts())], model)
+    assert np.array_equal(got, want[: 2 * lm_score.WORD_SLOTS])
+    times = Counter(zip(read.rare.to_pylist(), read.rare_kind.tolist(), strict=True))
+    cols = {"word": sorted({w for w, _ in times}), "c": [0] * len({w for w, _ in times})}
+    cols |= {f"n{k}": pa.array([times.get((w, k)) for w in cols["word"]], pa.int64()) for k in range(lm_score.KINDS)}
+    batch = pa.RecordBatch.from_pydict(cols, pa.schema([("word", pa.binary()), *[(c, pa.int64()) for c in cols if c != "word"]]))
+    rest, n = np.zeros_like(want), 0
+    for words, kind, often, _ in lm_score._distinct(iter([batch])):
+        slots, bit, _, word = lm_score.spelled(words, kind, model)
+        n += len(words)
+        for s in slots:
+            np.add.at(rest, 2 * s + bit, often[word])
+    assert n == len(times) < sum(times.values()) and np.array_equal(rest[2 * lm_score.WORD_SLOTS :], want[2 * lm_score.WORD_SLOTS :])
+
+
+def test_learning_from_codes_follows_the_inputs():
+    r = np.random.default_rng(5)
+    inputs = [lm_score._input(r.integers(0, 90, 4000), r.integers(0, 9, 4000)) for _ in range(3)]
+    codes, bit = [lm_score._code(x) for x in inputs], r.integers(0, 2, 4000).astype(np.uint8)
+    assert all(np.allclose(lm_score._CODED[c], x, atol=0.02, rtol=0.02) and np.array_equal(c % lm_score.GATES, x.view(np.int32) & 7) for c, x in zip(codes, inputs, strict=True))
+    one, two = np.full((3, lm_score.GATES), 0.3), np.full((3, lm_score.GATES), 0.3)
+    assert np.allclose(lm_score.learn_step(one, inputs, bit), lm_score.code_step(two, codes, bit), atol=0.05) and np.allclose(one, two, atol=0.01)
+
+
 def test_vocabulary_is_bounded_by_a_threshold(spark):
     rows = [(bytearray(f"w{i}".encode()), c, c) for i, c in enumerate([9, 9, 7, 7, 7, 5, 2, 2, 1, 0])] + [(bytearray(b""), 3, 3)]
     words = spark.createDataFrame(rows, "word binary, c long, c0 long")
