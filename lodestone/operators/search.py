@@ -80,14 +80,15 @@ GRAM = 3
 
 
 def _grams(text: Column) -> Column:
-    """The hashes of a text's runs of GRAM parts between blanks. The text is split once: a lambda would split it again for each gram."""
+    """The hashes of a text's runs of GRAM parts between blanks. The text is split and its parts are hashed once; a lambda would do both
+    again for each gram, and a gram's hash comes from its parts' hashes, without strings of its own."""
 
     def hashes(parts: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(parts) - GRAM + 1)
-        runs = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, F.lit(GRAM)), " ")))
+        at = F.sequence(F.lit(0), F.size(parts) - GRAM)
+        runs = F.transform(at, lambda i: F.xxhash64(*[F.get(parts, i + k) for k in range(GRAM)]))
         return F.when(F.size(parts) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
-    return F.element_at(F.transform(F.array(F.split(text, " ")), hashes), 1)
+    return F.element_at(F.transform(F.array(F.transform(F.split(text, " "), lambda part: F.xxhash64(part))), hashes), 1)
 
 
 def quotes(docs: DataFrame, items: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
