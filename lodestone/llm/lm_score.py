@@ -8,7 +8,7 @@ word its last one, two and three bytes, its bytes so far, and the language with
 training documents, those whose crc32(doc_id) mod 5 is not 1. One more input follows the text itself: what the
 node's bits were in it so far. Predictions are stretched, weighted by weights that the context's
 count gates, added and squashed. The weights are learned online by gradient descent on the coding cost over the training
-documents in every task, each bit's own occurrence left out of its counts, and averaged; the words' inputs come as codes then. A
+documents in every task, each bit's own occurrence left out of its counts, and averaged; the inputs come as codes then. A
 spelled word costs what its bytes and language say, so distinct ones are counted, learned from (in the order of a hash, as often as
 they occur) and scored once, and joined with the documents that hold them. A last adaptive map from the mixed
 prediction and the depth in the tree to the frequency that was seen refines it. A text's score is the sum over its bits.
@@ -61,6 +61,7 @@ BLOCK = 1 << 16  # counts that travel together
 BULK = 1 << 16
 HELD = 1 << 14  # bytes of distinct words that are spelled at once
 MANY = 300_000  # words that a task counts before it passes them on
+MOST = 1_000_000  # words with counts of some texts each, before those of one word are added
 GATHERED = 1 << 20  # words that a task reads before it counts the distinct ones among them
 LEVELS = 4  # of a tree, whose nodes lie side by side
 BASE = 0x9E3779B97F4A7C15
@@ -113,13 +114,22 @@ class Code:
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
         depth = np.array([min(i, 7) for p in paths for i in range(len(p))], np.int32)
         self.step = self.node << 4 | depth << 1 | self.bit
+        self.turn = self.node << 1 | self.bit
+
+    def _at(self, n: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        at = np.repeat(self.first[symbols] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return at
+
+    def turns(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the bits of some symbols: how many each has, and 2 * node + bit."""
+        n = self.size[symbols]
+        return n, self.turn.take(self._at(n, symbols))
 
     def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
         """For the bits of some symbols: how many each has, and their nodes, depths (to 7), bits."""
         n = self.size[symbols]
-        at = np.repeat(self.first[symbols] - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
-        step = self.step.take(at)
+        step = self.step.take(self._at(n, symbols))
         return n, step >> 4, step >> 1 & 7, (step & 1).astype(np.uint8)
 
 
@@ -144,30 +154,48 @@ def _powers(base: int, n: int) -> np.ndarray:
 POWERS = [_powers(b, 4 * BULK) for b in (BASE, pow(BASE, -1, 1 << 64))]
 
 
-def _slots(k: int, bits: int, context: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slots in table k of hashed contexts (uint32), each with n nodes."""
+def _slots(k: int, bits: int, context: np.ndarray, n: np.ndarray, node: np.ndarray, turns: int = 0) -> np.ndarray:
+    """Slots in table k of hashed contexts (uint32), each with n nodes; with turns, of two entries a slot, node being 2 * node + bit."""
     x = context * np.uint32(0x27D4EB2F)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x165667B1)
-    out = np.repeat((x >> np.uint32(32 - bits)).astype(np.int32), n)
+    return _joined((x >> np.uint32(32 - bits)).astype(np.int32) + np.int32(OFFSETS[k]), n, node, turns)
+
+
+def _joined(first: np.ndarray, n: np.ndarray, node: np.ndarray, turns: int) -> np.ndarray:
+    """Tables begin at multiples of what a node may be, so that a node changes the lower bits of a slot alone."""
+    out = np.repeat(first << turns, n)
     out ^= node
-    out += np.int32(OFFSETS[k])
     return out
 
 
-def _so_far(keys: np.ndarray, bit: np.ndarray, codes: bool = False) -> np.ndarray:
-    """The inputs from how many bits of the same key were 0 and 1 before each bit."""
-    shift = len(keys).bit_length()
-    sorted_ = keys << shift | np.arange(len(keys))  # keys with their places: any sort is stable
-    sorted_.sort()
-    order = sorted_ & ((1 << shift) - 1)
-    sorted_ >>= shift
-    begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[: len(keys)]
-    count = np.diff(np.append(begin, len(keys)))
+def _so_far(node: np.ndarray, bit: np.ndarray, begin: np.ndarray, codes: bool = False) -> np.ndarray:
+    """The inputs from how many bits of the same node were 0 and 1 before each bit of its piece; begin: where pieces begin."""
+    size = np.diff(begin, append=len(node))
+    shift = int(size.max(initial=1)).bit_length()
+    number = np.uint32 if NODE_BITS + shift <= 32 else np.uint64
+    ahead = np.repeat(begin, size)
+    keys = node.astype(number)
+    keys <<= number(shift)
+    keys |= (np.arange(len(node)) - ahead).astype(number)  # nodes with their places: any sort is stable
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(node)]):
+        keys[a:b].sort()
+    order = (keys & number((1 << shift) - 1)).astype(np.intp)
+    order += ahead
+    keys >>= number(shift)
+    new = np.empty(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    new[begin] = True
+    start = np.flatnonzero(new)
     now = bit.take(order)
-    ones = np.cumsum(now, dtype=np.int32) - now
-    ones -= np.repeat(ones.take(begin), count)
-    zeros = np.arange(len(keys), dtype=np.int32) - np.repeat(begin.astype(np.int32), count) - ones
+    ones = np.cumsum(now, dtype=np.int32)
+    ones -= now
+    zeros = np.arange(len(keys), dtype=np.int32)
+    zeros -= ones
+    count = np.diff(start, append=len(keys))
+    before = ones.take(start)
+    ones -= np.repeat(before, count)
+    zeros -= np.repeat(start.astype(np.int32) - before, count)
     found = _followed(zeros, ones, codes)
     out = np.empty_like(found)
     out[order] = found
@@ -181,7 +209,7 @@ def _window(kind: np.ndarray, place: np.ndarray) -> np.ndarray:
     at = np.arange(len(kind))
     near = sums[:-1] - sums[at - np.minimum(place, WINDOW)]
     best = np.zeros(len(kind), np.uint8)
-    for k in range(KINDS - 1):
+    for k in np.flatnonzero(np.bincount(kind, minlength=KINDS)[: KINDS - 1]).tolist():
         n = (near >> np.uint64(8 * k)).astype(np.uint8)  # WINDOW and less
         np.maximum(best, np.where(n > 0, n * np.uint8(KINDS) + np.uint8(KINDS - 1 - k), 0), out=best)
     return np.where(best > 0, KINDS - 1 - best % KINDS, KINDS - 1).astype(np.int32)
@@ -200,10 +228,11 @@ class Read:
         self.all, self.end = symbols, model.end
         piece = np.repeat(np.arange(len(counts)), counts)
         self.place = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.coded = np.flatnonzero(self.place >= np.repeat(leads, counts))
+        self.coded = np.flatnonzero(self.place >= np.repeat(leads, counts)) if leads.any() else slice(None)
         kind = _window(model.kind[symbols], self.place)
         self.symbol, self.piece, self.kind = symbols[self.coded], piece[self.coded], kind[self.coded]
-        rare = self.coded[self.symbol == model.escape]
+        rare = np.flatnonzero(self.symbol == model.escape)
+        rare = self.coded[rare] if leads.any() else rare
         self.rare, self.rare_kind, self.rare_piece = words(rare), kind[rare], piece[rare]
 
     @classmethod
@@ -224,40 +253,44 @@ class Read:
         return [[], [self.kind], [one], [one, two], [two]]
 
 
-def _table(k: int, context: list[np.ndarray], n: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slots in the words' table k of the symbols or kinds that are its context, each with n nodes."""
+def _table(k: int, context: list[np.ndarray], n: np.ndarray, node: np.ndarray, turns: int = 0) -> np.ndarray:
+    """Slots in the words' table k of the symbols or kinds that are its context, each with n nodes; turns: see _slots."""
     mix = np.uint32(0x9E3779B1)
     if k == 0:
         return node
     if k == 1:
-        return np.repeat((context[0].astype(np.int32) << NODE_BITS) + np.int32(OFFSETS[1]), n) + node
+        return _joined((context[0].astype(np.int32) << NODE_BITS) + np.int32(OFFSETS[1]), n, node, turns)
     x = [c.astype(np.uint32) for c in context]
     if k == 3:
         h = ((x[0] + np.uint32(7)) * mix ^ (x[1] + np.uint32(3))) * np.uint32(0xC2B2AE35)
     else:
         h = (x[0] + np.uint32(1)) * mix if k == 2 else (x[0] + np.uint32(11)) * np.uint32(0xC2B2AE3D)
-    return _slots(k, WORD_BITS[k], h, n, node)
+    return _slots(k, WORD_BITS[k], h, n, node, turns)
 
 
 class Bits:
     """The bits of pieces of texts in two groups, words and spelled bytes: (slots of each context, bit, depth, piece, inputs
-    from the text so far). Without spell there is the first group alone; codes: as codes, not as inputs."""
+    from the text so far). Without spell there is the first group alone; codes: the inputs as codes, and slots of two entries, by bit.
+    begin and pieces: where the bits of each piece's words begin, and the piece."""
 
     def __init__(self, pieces: Read | list[tuple[list[bytes], list[bytes]]], model: Model, follow: bool = True, spell: bool = True, codes: bool = False) -> None:
         read = pieces if isinstance(pieces, Read) else Read.lists(pieces, model)
         n, node, depth, bit = model.words.spell(read.symbol)
-        slots = [_table(k, c, n, node) for k, c in enumerate(read.contexts())]
+        at = node << 1 | bit if codes else node
+        slots = [_table(k, c, n, at, int(codes)) for k, c in enumerate(read.contexts())]
         own = np.repeat(read.piece, n)
-        seen = [_so_far(own << NODE_BITS | node, bit, codes)] if follow else []
+        first = np.flatnonzero(np.diff(read.piece, prepend=-1))
+        self.begin, self.pieces = (np.cumsum(n) - n)[first], read.piece[first]
+        seen = [_so_far(node, bit, self.begin, codes)] if follow else []
         self.groups = [(slots, bit, depth, own, seen)]
         if spell:
             slots, bit, depth, word = spelled(read.rare.to_pylist(), read.rare_kind, model)
             self.groups.append((slots, bit, depth, read.rare_piece[word], []))
 
 
-def spelled(words: list[bytes], kind: np.ndarray, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def spelled(words: list[bytes], kind: np.ndarray, model: Model, turns: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The bits of words and the blanks after them: slots of each context, bit, depth, the word's place. A word's bits depend on
-    its bytes and its kind alone."""
+    its bytes and its kind alone; turns: see _slots."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     data = np.frombuffer(b"".join([x for w in words for x in (w, b" ")]), np.uint8)
     start = np.repeat(np.cumsum(size) - size, size)
@@ -275,7 +308,8 @@ def spelled(words: list[bytes], kind: np.ndarray, model: Model) -> tuple[list[np
     contexts.append(((prefix ^ (prefix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
     contexts.append((contexts[0] + kind[owner].astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA77))
     n, node, depth, bit = model.bytes.spell(data.astype(np.int64))
-    slots = [_slots(len(WORD_BITS) + k, BYTE_BITS[k], c, n, node) for k, c in enumerate(contexts)]
+    at = node << 1 | bit if turns else node
+    slots = [_slots(len(WORD_BITS) + k, BYTE_BITS[k], c, n, at, turns) for k, c in enumerate(contexts)]
     return slots, bit, depth, np.repeat(owner, n)
 
 
@@ -310,14 +344,20 @@ def _cuts(ends: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(np.diff(ends // BULK)) + 1).tolist(), len(ends)]
 
 
-def _reads(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, Read]]:
-    """_bulks of a batch's texts with their words read; the words never become Python objects."""
-    n = len(column)
+def _split(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts without their ends, the text of each, and its size."""
     found = pc.ascii_split_whitespace(pc.ascii_lower(column.view(pa.string())))
-    words, text = found.flatten().view(pa.binary()), np.repeat(np.arange(n), pc.list_value_length(found).to_numpy())
+    words, text = found.flatten().view(pa.binary()), np.repeat(np.arange(len(column)), pc.list_value_length(found).to_numpy())
     size = pc.binary_length(words).to_numpy()
     if not (some := size > 0).all():  # blanks at a text's ends leave empty strings
         words, text, size = words.filter(pa.array(some)), text[some], size[some]
+    return words, text, size
+
+
+def _reads(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, Read]]:
+    """_bulks of a batch's texts with their words read; the words never become Python objects."""
+    n = len(column)
+    words, text, size = _split(column)
     count = np.bincount(text, minlength=n)
     last = np.cumsum(count + 1) - 1
     inner = np.ones(len(size) + n, bool)
@@ -352,21 +392,33 @@ def _reads(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, Read]]:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, kind, count in training documents of that kind) of many documents at a time, kind -1 for other documents'
     words, with count 0; the end is the empty word."""
-    held: dict[int, Counter] = {}
+    held: dict[int, list[pa.Table]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for kind, counts in held.items():
-            words, n = list(counts), [*counts.values()] if kind >= 0 else [0] * len(counts)
-            for i in range(0, len(words), 50_000):
-                some = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([kind] * len(some), pa.int32()), pa.array(n[i : i + 50_000], pa.int64())], WORDS.names)
+        for kind, tables in held.items():
+            for b in tables[0].to_batches(max_chunksize=50_000):
+                n = b.column(1) if kind >= 0 else pa.array(np.zeros(b.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * b.num_rows, pa.int32()), n], WORDS.names)
         held.clear()
 
-    for batch in batches:
-        for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(kind, Counter()).update(_words(text))
-        if sum(map(len, held.values())) > 400_000:
-            yield from flush()
+    def rows() -> int:
+        return sum(t.num_rows for tables in held.values() for t in tables)
+
+    def add() -> None:
+        for kind, tables in held.items():
+            held[kind] = [pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])]
+
+    for whole in batches:
+        for kind in pc.unique(whole.column(1)).to_pylist():
+            for batch in bounded(whole.filter(pc.equal(whole.column(1), kind)), 0, 1000):
+                found = _split(batch.column(0))[0].value_counts()
+                words, n = pa.concat_arrays([found.field(0), pa.array([b""], pa.binary())]), pa.concat_arrays([found.field(1), pa.array([batch.num_rows], pa.int64())])
+                held.setdefault(kind, []).append(pa.table({"word": words, "c": n}))
+        if rows() > MOST:
+            add()
+            if rows() > MANY:
+                yield from flush()
+    add()
     yield from flush()
 
 
@@ -400,21 +452,24 @@ def _blocks(table: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
 
 
 def _count_distinct(table: np.ndarray, gathered: list[tuple[np.ndarray, list[list[np.ndarray]]]], model: Model) -> None:
-    """Adds the bits of (symbols, contexts) to the words' table: each word in each of its contexts once, as often as it occurs."""
+    """Adds the bits of (symbols, contexts) to the words' table: each word alone and with each kind once, as often as it occurs, and
+    one by one in the contexts that are mostly met once."""
     if not gathered:
         return
     symbols, base = np.concatenate([x for x, _ in gathered]), len(model.kind)
-    for k in range(len(WORD_BITS)):
-        keys = np.zeros(len(symbols), np.int64)
-        for j in range(len(gathered[0][1][k])):
-            keys = keys * base + np.concatenate([c[k][j] for _, c in gathered])
-        keys, times = np.unique(keys * base + symbols, return_counts=True)
-        keys, symbol = np.divmod(keys, base)
+    for k in (0, 1):
+        keys = np.concatenate([c[1][0] for _, c in gathered]) * base + symbols if k else symbols
+        times = np.bincount(keys)
+        keys = np.flatnonzero(times)
+        kind, symbol = np.divmod(keys, base)
         for i in range(0, len(keys), BULK):
             some = slice(i, i + BULK)
-            n, node, _, bit = model.words.spell(symbol[some])
-            context = [*np.divmod(keys[some], base)] if k == 3 else [keys[some]]
-            np.add.at(table, (2 * _table(k, context, n, node) + bit).astype(np.int64), np.repeat(times[some].astype(np.int32), n))
+            n, turn = model.words.turns(symbol[some])
+            np.add.at(table, _table(k, [kind[some]], n, turn, 1), np.repeat(times[keys[some]].astype(np.int32), n))
+    for symbols, contexts in gathered:
+        n, turn = model.words.turns(symbols)
+        for k in range(2, len(WORD_BITS)):
+            np.add.at(table, _table(k, contexts[k], n, turn, 1), np.int32(1))
     gathered.clear()
 
 
@@ -474,10 +529,10 @@ def _count_spelled(model: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(-(-2 * (SLOTS - WORD_SLOTS) // BLOCK) * BLOCK, np.int64)
         for words, kind, n, _ in _distinct(batches):
-            slots, bit, _, word = spelled(words, kind, model.value)
+            slots, _, _, word = spelled(words, kind, model.value, 1)
             times = n[word]
             for s in slots:
-                np.add.at(table, (2 * (s - WORD_SLOTS) + bit).astype(np.int64), times)
+                np.add.at(table, (s - 2 * WORD_SLOTS).astype(np.int64), times)
         yield from _blocks(table, 2 * WORD_SLOTS // BLOCK)
 
     return run
@@ -520,6 +575,7 @@ CODES = 512
 _LEVEL = (np.arange(CODES) - CODES // 2).clip(1 - CODES // 2, CODES // 2 - 1) / (CODES // 2 - 1)
 #: The prediction that a code stands for; nothing is as far out as the ends.
 _CODED = np.repeat(4 * _LEVEL / (1 - np.abs(_LEVEL).clip(0, 0.99)), GATES)
+_CODED_SINGLE, _CODED_SQUARE = _CODED.astype(np.float32), _CODED * _CODED
 _SMALL_CODES = _code(_SMALL)
 
 
@@ -549,7 +605,11 @@ def _left_out(table: np.ndarray) -> np.ndarray:
 
 
 def _map(z: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    return depth * 64 + np.clip((z * 3 + 32).astype(np.int64), 0, 63)
+    u = z * np.float32(3)
+    u += np.float32(32)
+    out = np.clip(u, 0, 63, out=u).astype(np.intp)
+    out += depth << 6
+    return out
 
 
 def _start() -> list[np.ndarray]:
@@ -576,23 +636,49 @@ def learn_step(w: np.ndarray, inputs: list[np.ndarray], bit: np.ndarray, times:
     return z
 
 
-def code_step(w: np.ndarray, codes: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
-    """learn_step for inputs as codes: sums by code instead of sums by gate of products."""
-    z, own = np.zeros(len(bit), np.float32), _CODED.reshape(CODES, GATES)
+def code_step(w: np.ndarray, codes: list[np.ndarray], bit: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """learn_step for inputs as codes: sums by code instead of sums by gate of products. Errors and curvatures are whole numbers of
+    small steps, both in one float, so that one sum by code gives both: of at most STEPS[0] bits, repeats counted, it is exact;
+    more are summed apart."""
+    z = np.zeros(len(bit), np.float32)
     codes = [c.astype(np.intp) for c in codes]
     for now, c in zip(w, codes, strict=True):
-        z += (own * now).astype(np.float32).ravel().take(c)
-    p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-    error, bend = (bit - p).astype(np.float64), (p * (1 - p)).astype(np.float64)
+        z += (np.tile(now.astype(np.float32), CODES) * _CODED_SINGLE).take(c)
+    p = np.clip(z, -20, 20)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    np.reciprocal(p, out=p)
+    error = np.rint((bit - p) * np.float32(ERROR)).astype(np.float64)
+    p -= p * p
+    p *= np.float32(BEND)
+    bend = np.rint(p, out=p)
+    if times is not None:
+        error, bend = error * times, bend * times
+    both = error * APART + bend if (len(bit) if times is None else times.sum()) <= STEPS[0] else None
     for now, c in zip(w, codes, strict=True):
-        slope, curve = (np.bincount(c, weights=x, minlength=CODES * GATES).reshape(CODES, GATES) for x in (error, bend))
-        now += RATE * (slope * own).sum(axis=0) / ((curve * own * own).sum(axis=0) + 20)
+        if both is None:
+            slope, curve = (np.bincount(c, weights=x, minlength=CODES * GATES) for x in (error, bend))
+        else:
+            sums = np.bincount(c, weights=both, minlength=CODES * GATES)
+            slope = np.floor(sums * (1 / APART))
+            curve = sums - slope * APART
+        now += RATE * _by_gate(slope, _CODED) / ERROR / (_by_gate(curve, _CODED_SQUARE) / BEND + 20)
     np.maximum(w, 0, out=w)
     return z
 
 
+def _by_gate(sums: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Sums over the codes of each gate, in two steps of wide rows."""
+    return (sums * factor).reshape(64, -1).sum(axis=0).reshape(-1, GATES).sum(axis=0)
+
+
+#: Steps of errors and curvatures (at most a quarter); APART is more than STEPS[0] curvatures, and all fit a float's 53 bits.
+ERROR, BEND, APART = 1 << 14, 1 << 10, 1 << 24
+
+
 def _learn(group: int, counts: object, bits: object):
-    """Weights and the map of a group; bits gives a task's (slots, bit, depth, inputs from the text so far, times or None, how many
+    """Weights and the map of a group; bits gives a task's (slots of two entries, bit, depth, inputs from the text so far, times or None, how many
     bits of the same texts are in the other group). A task's weights count by all its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -602,10 +688,10 @@ def _learn(group: int, counts: object, bits: object):
             for i in range(0, len(bit), STEPS[group]):
                 some = slice(i, i + STEPS[group])
                 often = None if times is None else times[some]
-                seen_ = [*[inputs.take(2 * s[some] + bit[some]) for s in slots], *[x[some] for x in own]]
-                z = code_step(w, seen_, bit[some]) if group == 0 else learn_step(w, seen_, bit[some], often)
-                m = _map(z, depth[some])
-                seen += [np.bincount(m, weights=often, minlength=512), np.bincount(m, weights=bit[some] if often is None else bit[some] * often, minlength=512)]
+                seen_ = [*[inputs.take(s[some]) for s in slots], *[x[some] for x in own]]
+                z = code_step(w, seen_, bit[some], often)
+                m = np.bincount(_map(z, depth[some]) << 1 | bit[some], weights=often, minlength=1024).reshape(512, 2)
+                seen += [m.sum(axis=1), m[:, 1]]
             n += more + (len(bit) if times is None else int(times.sum()))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([seen.tobytes()]), pa.array([n], pa.int64())], LEARNED.names)
 
@@ -626,19 +712,32 @@ def _spelled_bits(model: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for words, kind, n, _ in _distinct(batches):
             some = np.flatnonzero(n)
-            slots, bit, depth, word = spelled([words[i] for i in some.tolist()], kind[some], model.value)
-            yield [s - WORD_SLOTS for s in slots], bit, depth, [], n[some][word], 0
+            slots, bit, depth, word = spelled([words[i] for i in some.tolist()], kind[some], model.value, 1)
+            yield [s - 2 * WORD_SLOTS for s in slots], bit, depth, [], n[some][word], 0
 
     return run
 
 
+FINE = 512
+
+
+def _fine(x: np.ndarray) -> np.ndarray:
+    """Weighted predictions in steps of 1 / FINE, so that five sum up within 16 bits; more than 12 is 12 in the mix."""
+    out = np.empty(len(x), np.int16)
+    for i in range(0, len(x), BLOCK):
+        out[i : i + BLOCK] = np.rint(np.clip(x[i : i + BLOCK], -12.7, 12.7) * FINE)
+    return out
+
+
 def _logs(slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray, own: list[np.ndarray], weighted: np.ndarray, w: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """The natural log-probability of each bit."""
+    """The natural log-probability of each bit; weighted: as numbers, or as _fine has them."""
     z = weighted.take(slots[0])
     for s in slots[1:]:
         z += weighted.take(s)
-    for k, x in enumerate(own, len(slots)):
-        z += w[k].astype(np.float32).take(x.view(np.int32) & (GATES - 1)) * x
+    if z.dtype == np.int16:
+        z = z * np.float32(1 / FINE)
+    for now, x in zip(w[len(w) - len(own) :], own, strict=True):
+        z += now.astype(np.float32).take(x.view(np.int32) & (GATES - 1)) * x
     # the adaptive map, read between its two nearest entries, and the mix itself have half each
     u = z * np.float32(3)
     u += np.float32(31.5)
@@ -677,6 +776,7 @@ def _spelled_costs(model: object, tables: object):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted, w, refined = tables.value
+        weighted = np.array(weighted)
         for words, kind, _, c in _distinct(batches):
             slots, bit, depth, word = spelled(words, kind, model.value)
             cost = np.bincount(word, weights=_logs([s - WORD_SLOTS for s in slots], bit, depth, [], weighted, w, refined), minlength=len(words)) / np.log(10)
@@ -703,7 +803,7 @@ def fit(shared: object, counted: DataFrame, rare: DataFrame, texts: DataFrame) -
     for group, (rows, bits) in enumerate(((texts, _word_bits(shared)), (rare, _spelled_bits(shared)))):
         a, b = ends[group : group + 2]
         mine = inputs[2 * a : 2 * b]
-        left = spark.sparkContext.broadcast(mine if group else np.concatenate([_code(mine[i : i + BLOCK]) for i in range(0, len(mine), BLOCK)]))
+        left = spark.sparkContext.broadcast(np.concatenate([_code(mine[i : i + BLOCK]) for i in range(0, len(mine), BLOCK)]))
         with arrow_rows(spark):
             learned = rows.mapInArrow(_learn(group, left, bits), LEARNED).filter("n > 0").collect()  # one small row a task
         left.destroy()
@@ -718,6 +818,9 @@ def fit(shared: object, counted: DataFrame, rare: DataFrame, texts: DataFrame) -
             for i in range(start, start + (1 << bits_), BLOCK):
                 zero, one = (table[2 * i + x : 2 * min(i + BLOCK, start + (1 << bits_)) : 2].astype(np.float64) for x in (0, 1))
                 weighted[i - a : i - a + len(zero)] = w[k][_gate(zero + one)] * _stretch(zero, one)
+        if group == 0:  # a kind's nodes take what the node alone says, which is then looked up with it
+            weighted[int(OFFSETS[1]) : int(OFFSETS[2])].reshape(KINDS, -1)[:] += weighted[: int(OFFSETS[1])]
+        weighted = _fine(weighted)
         middle = np.tile(1 / (1 + np.exp(-(np.arange(64) - 31.5) / 3)), 8)
         found.append(spark.sparkContext.broadcast((weighted, w, ((seen[1] + 20 * middle) / (seen[0] + 20)).astype(np.float32))))
     return tuple(found)
@@ -730,16 +833,20 @@ def _documents(model: object, tables: object, bases: object):
         from pyspark import TaskContext
 
         row, m, base, (weighted, w, refined) = TaskContext.get().partitionId() << 33, model.value, bases.value, tables.value
+        weighted = np.array(weighted)  # a copy has large memory pages, what was unpickled has not
         for whole in batches:
             for batch in bounded(whole, 1, 1000):
                 size, sums = batch.num_rows, np.zeros((4, batch.num_rows))
                 for of, read in _reads(batch.column(1), m):
-                    slots, bit, depth, piece, own = Bits(read, m, spell=False).groups[0]
+                    bits = Bits(read, m, spell=False)
+                    _, *slots = bits.groups[0][0]  # what the node alone says is in the kinds' table
+                    _, bit, depth, _, own = bits.groups[0]
+                    logs = _logs(slots, bit, depth, own, weighted, w, refined)
                     in_ = read.symbol != m.escape
                     place, old = of[read.piece[in_]], base[read.symbol[in_]]
                     sums += [
                         np.bincount(place, minlength=size), np.bincount(place, weights=old[:, 0] > 0, minlength=size), np.bincount(place, weights=old[:, 1], minlength=size),
-                        np.bincount(of[piece], weights=_logs(slots, bit, depth, own, weighted, w, refined), minlength=size),
+                        np.bincount(of[bits.pieces], weights=np.add.reduceat(logs, bits.begin, dtype=np.float64), minlength=size),
                     ]
                     if n := len(read.rare):
                         given = pa.array(row + of[read.rare_piece]), read.rare, pa.array(read.rare_kind)

@@ -344,6 +344,74 @@ def test_learning_from_codes_follows_the_inputs():
     assert np.allclose(lm_score.learn_step(one, inputs, bit), lm_score.code_step(two, codes, bit), atol=0.05) and np.allclose(one, two, atol=0.01)
 
 
+def test_one_sum_by_code_gives_errors_and_curvatures():
+    """Bits that count several times move the weights as repeated bits do, in one sum or apart."""
+    r = np.random.default_rng(8)
+    inputs = [lm_score._input(r.integers(0, 90, 3000), r.integers(0, 9, 3000)) for _ in range(3)]
+    bit = r.integers(0, 2, 3000).astype(np.uint8)
+    for most in (8, 40):
+        times = r.integers(1, most, 3000)
+        assert (times.sum() > lm_score.STEPS[0]) == (most == 40)
+        one, two, three = (np.full((3, lm_score.GATES), 0.3) for _ in range(3))
+        z = lm_score.code_step(one, [lm_score._code(x) for x in inputs], bit, times)
+        lm_score.code_step(two, [lm_score._code(x).repeat(times) for x in inputs], bit.repeat(times))
+        assert len(z) == 3000 and np.allclose(one, two, atol=1e-9)
+        lm_score.learn_step(three, inputs, bit, times)
+        assert np.allclose(one, three, atol=0.01)
+
+
+def test_slots_of_two_entries_and_what_a_text_showed():
+    model = small_model()
+    pieces = [([], lm_score._words(t)) for t in [b"ab c ab zz b zz ab", b"", b"ba ba c c zz q ab b", b"b ab " * 9000, b"c"]]
+    plain, paired = lm_score.Bits(pieces, model), lm_score.Bits(pieces, model, codes=True)
+    (slots, bit, _, own, (seen,)), (twice, *_, (codes,)) = plain.groups[0], paired.groups[0]
+    assert all(np.array_equal(2 * a + bit, b) for a, b in zip(slots, twice, strict=True)) and plain.pieces.tolist() == [0, 1, 2, 3, 4]
+    assert np.array_equal(np.repeat(plain.pieces, np.diff(plain.begin, append=len(bit))), own)
+    counts, want = {}, []
+    for piece, node, b in zip(own.tolist(), slots[0].tolist(), bit.tolist(), strict=True):
+        n = counts.setdefault((piece, node), [0, 0])
+        want.append(tuple(n))
+        n[b] += 1
+    want = lm_score._input(*np.array(want).T)
+    assert len(bit) > 1 << 15 and np.array_equal(seen, want) and np.array_equal(codes, lm_score._code(want))
+    words, kind = [b"zz", b"q", b"ba"], np.array([0, 7, 1])
+    (a, bit, *_), (b, *_) = lm_score.spelled(words, kind, model), lm_score.spelled(words, kind, model, 1)
+    assert all(np.array_equal(2 * x + bit, y) for x, y in zip(a, b, strict=True))
+
+
+def test_fine_steps_and_a_kind_with_its_node_cost_the_same():
+    r = np.random.default_rng(5)
+    bits = lm_score.Bits([([], lm_score._words(b"ab c ab zz b zz ab ba c " * 200))], small_model(), spell=False)
+    slots, bit, depth, _, own = bits.groups[0]
+    weighted, w = r.normal(0, 2, lm_score.WORD_SLOTS).astype(np.float32), r.random((6, lm_score.GATES))
+    refined = np.linspace(0.05, 0.95, 512).astype(np.float32)
+    want = lm_score._logs(slots, bit, depth, own, weighted, w, refined)
+    plain, kinds = int(lm_score.OFFSETS[1]), weighted[int(lm_score.OFFSETS[1]) : int(lm_score.OFFSETS[2])]
+    kinds.reshape(lm_score.KINDS, plain)[:] += weighted[:plain]
+    got = lm_score._logs(slots[1:], bit, depth, own, lm_score._fine(weighted), w, refined)
+    assert np.allclose(got, want, atol=0.02) and got.sum() == pytest.approx(want.sum(), rel=1e-3)
+    assert int(lm_score._fine(np.full(3, 1e9, np.float32)).max()) * 5 < 1 << 15
+
+
+def test_words_are_counted_in_arrow(monkeypatch):
+    texts = [b"A b b", b"", b" \t\n", b"b  C\x0bb\xc3\x89 ", b"x y", b"b x"]
+    kinds = [0, 0, 1, 1, -1, 0]
+    want, got = Counter(), Counter()
+    for t, k in zip(texts, kinds, strict=True):
+        for x in lm_score._words(t):
+            want[x, k] += k >= 0
+    monkeypatch.setattr(lm_score, "MOST", 3)
+    for many in (0, 1000):
+        monkeypatch.setattr(lm_score, "MANY", many)
+        batches = [pa.RecordBatch.from_arrays([pa.array([t], pa.binary()), pa.array([k], pa.int32())], ["text", "kind"]) for t, k in zip(texts, kinds, strict=True)]
+        rows = [r for b in lm_score._count_words(iter(batches)) for r in b.to_pylist()]
+        got = Counter()
+        for r in rows:
+            got[r["word"], r["kind"]] += r["c"]
+        assert got == want and set(got) == set(want) and (many == 0 or len(rows) == len(want))
+    assert not list(lm_score._count_words(iter([])))
+
+
 def test_vocabulary_is_bounded_by_a_threshold(spark):
     rows = [(bytearray(f"w{i}".encode()), c, c) for i, c in enumerate([9, 9, 7, 7, 7, 5, 2, 2, 1, 0])] + [(bytearray(b""), 3, 3)]
     words = spark.createDataFrame(rows, "word binary, c long, c0 long")
